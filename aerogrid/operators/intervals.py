@@ -26,17 +26,17 @@ SMALL_BUCKET = 256  # most interval ends in one station-hour for the broadcast f
 
 @dataclass(frozen=True)
 class Measure:
-    """What to keep about the active intervals: `how` is max, min or sum of `value` over them."""
+    """What to keep about the active intervals: `how` is max, min or sum of `value` (SQL text) over them."""
 
     name: str
     how: str
-    value: Column
+    value: str
 
     def merge(self, c: str | Column) -> Column:
         return {"max": F.max, "min": F.min, "sum": F.sum}[self.how](c)
 
 
-ACTIVE = Measure("active", "max", F.lit(1))
+ACTIVE = Measure("active", "max", "1")
 
 
 # ---------------------------------------------------------------- grid labels
@@ -58,7 +58,7 @@ def grid_labels(
         hi = F.greatest(lo, floor_time(end - micro, minutes))
     else:
         raise ValueError(f"unknown bounds {bounds}")
-    covered = intervals.select("station", lo.alias("_lo"), hi.alias("_hi"), *[m.value.alias(m.name) for m in measures])
+    covered = intervals.select("station", lo.alias("_lo"), hi.alias("_hi"), *[F.expr(m.value).alias(m.name) for m in measures])
     steps = (
         covered.where(F.col("_lo") <= F.col("_hi"))
         .withColumn("ts", F.explode(F.sequence("_lo", "_hi", step)))
@@ -75,7 +75,7 @@ def _dyadic_nodes(lo: Column, hi: Column, levels: int) -> Column:
     """Cover of the positions [lo, hi) by aligned blocks of length 2^level, at most two per level."""
 
     def at(level: Column) -> Column:
-        size = F.shiftleft(F.lit(1).cast("long"), level.cast("int"))
+        size = F.pow(F.lit(2.0), level).cast("long")
         left = F.ceil(lo / size).cast("long")
         right = F.floor(hi / size).cast("long")
         return F.array_compact(
@@ -91,56 +91,78 @@ def _dyadic_nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def step_function(intervals: DataFrame, measures: Sequence[Measure], closed: bool = False) -> DataFrame:
+def step_function(
+    intervals: DataFrame, measures: Sequence[Measure], closed: bool = False, size: tuple[int, int] | None = None
+) -> DataFrame:
     """(station, from_us, to_us, measures): the combined value of the intervals active in each segment.
 
     Every interval is split over at most 2·log2(n) aligned blocks of boundary positions, values are
     combined per block, and each segment combines the blocks it lies in.  Segments without an active
     interval have null measures.
     """
+    number, _ = size or _interval_size(intervals)
+    levels = max(1, math.ceil(math.log2(2 * number + 2)))
+    names = [m.name for m in measures]
     micro = F.expr("INTERVAL 1 MICROSECOND")
     end = F.col("end_time") + micro if closed else F.col("end_time")
-    spans = (
-        intervals.select("station", F.col("start_time").alias("_s"), end.alias("_e"), *[m.value.alias(m.name) for m in measures])
-        .where(F.col("_s") < F.col("_e"))
-        .groupBy("station", "_s", "_e")
-        .agg(*[m.merge(m.name).alias(m.name) for m in measures])
-    )
-    levels = max(1, math.ceil(math.log2(2 * intervals.count() + 2)))
-    points = spans.select("station", F.explode(F.array("_s", "_e")).alias("t")).distinct()
-    placed = positions(points, ["station"], "t", "t", bucket_seconds=30 * 86_400)
-    ends = placed.select("station", "t", F.col("_pos").alias("_p"))
-    names = [m.name for m in measures]
-    ranged = spans.join(ends.select("station", F.col("t").alias("_s"), F.col("_p").alias("_lo")), ["station", "_s"]).join(
-        ends.select("station", F.col("t").alias("_e"), F.col("_p").alias("_hi")), ["station", "_e"]
-    )
+    raw = intervals.select(
+        "station", F.col("start_time").alias("_s"), end.alias("_e"), *[F.expr(m.value).alias(m.name) for m in measures]
+    ).where(F.col("_s") < F.col("_e"))
+    merged = [m.merge(m.name).alias(m.name) for m in measures]
+    spans = raw.groupBy("station", "_s", "_e").agg(*merged)
+    if number <= SMALL_INTERVALS:
+        placed, ranged = _place_small(spans, names)
+    else:
+        placed, ranged = _place_large(spans)
     nodes = (
         ranged.select("station", F.explode(_dyadic_nodes(F.col("_lo"), F.col("_hi"), levels)).alias("_n"), *names)
         .groupBy("station", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
-        .agg(*[m.merge(m.name).alias(m.name) for m in measures])
+        .agg(*merged)
     )
-    lookups = placed.select(
-        "station",
-        "t",
-        "_pos",
-        F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"),
-    ).withColumn("node", F.expr("shiftright(_pos, level)"))
-    values = (
-        lookups.join(nodes, ["station", "level", "node"])
-        .groupBy("station", "_pos")
-        .agg(*[m.merge(m.name).alias(m.name) for m in measures])
+    lookups = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn(
+        "node", F.expr("shiftright(_pos, level)")
     )
-    nxt = placed.select("station", (F.col("_pos") - 1).alias("_pos"), epoch_us("t").alias("to_us"))
     return (
-        placed.select("station", "_pos", epoch_us("t").alias("from_us"))
-        .join(nxt, ["station", "_pos"], "left")
-        .join(values, ["station", "_pos"], "left")
-        .select("station", "from_us", "to_us", *names)
+        lookups.join(nodes, ["station", "level", "node"], "left")
+        .groupBy("station", "_pos", "from_us", "to_us")
+        .agg(*merged)
+        .drop("_pos")
+    )
+
+
+def _place_small(spans: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Boundary positions of a checked-small table: one sort per station, reused by what follows."""
+    by_time = Window.partitionBy("station").orderBy("_t")
+    ends = spans.withColumn("_t", F.explode(F.array("_s", "_e")))
+    ranked = ends.select(
+        "*",
+        (F.dense_rank().over(by_time) - 1).cast("long").alias("_pos"),
+        epoch_us("_t").alias("from_us"),
     )
+    placed = ranked.groupBy("station", "_pos").agg(F.max("from_us").alias("from_us"))
+    nxt = F.lead("from_us").over(Window.partitionBy("station").orderBy("_pos"))
+    placed = placed.withColumn("to_us", nxt)
+    ranged = ranked.groupBy("station", "_s", "_e").agg(
+        F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), *[F.first(n).alias(n) for n in names]
+    )
+    return placed, ranged
 
 
-def _is_small(intervals: DataFrame) -> bool:
-    """True if the intervals are few, and few of them start or end in any one station-hour."""
+def _place_large(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boundary positions without a task per station."""
+    points = spans.select("station", F.explode(F.array("_s", "_e")).alias("t")).distinct()
+    ranked = positions(points, ["station"], "t", "t", bucket_seconds=30 * 86_400)
+    ends = ranked.select("station", "t", F.col("_pos").alias("_p"))
+    ranged = spans.join(
+        ends.select("station", F.col("t").alias("_s"), F.col("_p").alias("_lo")), ["station", "_s"]
+    ).join(ends.select("station", F.col("t").alias("_e"), F.col("_p").alias("_hi")), ["station", "_e"])
+    nxt = ranked.select("station", (F.col("_pos") - 1).alias("_pos"), epoch_us("t").alias("to_us"))
+    placed = ranked.select("station", "_pos", epoch_us("t").alias("from_us")).join(nxt, ["station", "_pos"], "left")
+    return placed, ranged
+
+
+def _interval_size(intervals: DataFrame) -> tuple[int, int]:
+    """Number of intervals, and the most that start or end in one station-hour (two numbers to the driver)."""
     hours = intervals.select(
         "station", F.explode(F.array(floor_time("start_time", 60), floor_time("end_time", 60))).alias("_h")
     )
@@ -150,7 +172,7 @@ def _is_small(intervals: DataFrame) -> bool:
         .agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max("_c"), F.lit(0)))
         .first()
     )
-    return int(row[0]) <= 2 * SMALL_INTERVALS and int(row[1]) <= SMALL_BUCKET
+    return (int(row[0]) + 1) // 2, int(row[1])
 
 
 def label_points(
@@ -167,11 +189,12 @@ def label_points(
     sorted:    points and segments meet in (station, hour) buckets and each point takes the last
                segment at or before it; over-full buckets are salted.
     """
+    size = _interval_size(intervals)
     if strategy == "auto":
-        strategy = "broadcast" if _is_small(intervals) else "sorted"
+        strategy = "broadcast" if size[0] <= SMALL_INTERVALS and size[1] <= SMALL_BUCKET else "sorted"
     names = [m.name for m in measures]
     hour = 3_600_000_000
-    segments = step_function(intervals, measures, closed).where(F.col("to_us").isNotNull())
+    segments = step_function(intervals, measures, closed, size).where(F.col("to_us").isNotNull())
     known = None
     for n in names:
         known = F.col(n).isNotNull() if known is None else known | F.col(n).isNotNull()
@@ -238,7 +261,7 @@ def label_with_windows(points: DataFrame, windows: DataFrame, strategy: str = "a
         "station", F.col("window_start").alias("start_time"), F.col("window_end").alias("end_time"), newest.alias("_last")
     )
     inner = label_points(points, windows, [ACTIVE], strategy=strategy).withColumnRenamed("active", "_now")
-    outer = label_points(inner, wide, [Measure("_win", "max", F.col("_last"))], strategy=strategy)
+    outer = label_points(inner, wide, [Measure("_win", "max", "_last")], strategy=strategy)
     hours = (F.col("_win.start_us") - epoch_us("ts")).cast("double") / F.lit(3_600_000_000.0)
     return outer.select(
         *points.columns,

@@ -107,17 +107,20 @@ def over_series(
     ahead: int = 0,
     keep: Sequence[str] | None = None,
     strategy: str = "auto",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `back` rows back and `ahead` rows ahead.
 
     `build` gets the ordered window spec and returns the new columns.  With ``auto`` the plain window
     is used while the largest series fits one task; beyond that rows are cut into blocks of positions,
     each with a halo copied from its neighbours, so the largest task has a fixed number of rows.
+    `sizes` is a frame with the same rows per series that is cheaper to count than `df`.
     """
     group = list(group)
     kept = list(keep) if keep is not None else df.columns
     if strategy == "auto":
-        strategy = "plain" if largest_group(df, group) <= max_group_rows(df) else "blocked"
+        counted = df if sizes is None else sizes
+        strategy = "plain" if largest_group(counted, group) <= max_group_rows(df) else "blocked"
     if strategy == "plain":
         return df.select(*kept, *build(Window.partitionBy(*group).orderBy(ts, tie)))
     size = max(_limit(df, BLOCK_ROWS, 500_000), back + ahead, 1)

@@ -284,3 +284,21 @@ def polynomial(df: DataFrame, columns: Sequence[str], squares: bool = True) -> D
     return df.select("*", *made)
 
 
+
+
+def row_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean, sample deviation, extremes and range over the known values of a row (more than three columns)."""
+    if len(columns) <= 3:
+        return df
+    values = F.array_compact(F.array(*[F.col(c).cast("double") for c in columns]))
+    n = F.size("_v")
+    total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+    with_mean = df.withColumn("_v", values).withColumn("row_mean", F.when(n > 0, total / n))
+    spread = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("row_mean")) * (x - F.col("row_mean")))
+    return (
+        with_mean.withColumn("row_std", F.when(n > 1, F.sqrt(spread / (n - 1))))
+        .withColumn("row_max", F.array_max("_v"))
+        .withColumn("row_min", F.array_min("_v"))
+        .withColumn("row_range", F.col("row_max") - F.col("row_min"))
+        .drop("_v")
+    )

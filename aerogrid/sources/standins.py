@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from aerogrid.functions.timefeat import epoch_us, floor_time, from_us
+from aerogrid.functions.timefeat import floor_time
+from aerogrid.sources.files import canonical_intervals
 
 STATIONS = ["EGLL", "LSZH", "LFPG", "LOWW"]  # fixed values: user_id % 4
 REASONS = [
@@ -33,47 +35,49 @@ CAUSES = [
 ]  # fixed values: doc_id % 7
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a table; its schema is taken from the file footer once per path and given afterwards."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _pick(index: Column, values: list) -> Column:
-    out = None
-    for i, v in enumerate(values):
-        lit = F.lit(v).cast("string")
-        out = F.when(index == i, lit) if out is None else out.when(index == i, lit)
-    return out
+def _pick(index: str, values: list) -> str:
+    arms = " ".join(f"WHEN {i} THEN " + ("CAST(NULL AS STRING)" if v is None else f"'{v}'") for i, v in enumerate(values))
+    return f"CASE {index} {arms} END"
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "ts",
         "event_type",
-        _pick(F.col("user_id") % 4, STATIONS).alias("station"),
-        F.round(F.col("value") * 100).cast("long").alias("vc"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"),
+        f"{_pick('user_id % 4', STATIONS)} AS station",
+        "CAST(round(value * 100) AS BIGINT) AS vc",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k",
     )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per event: station, time and the decoded weather values."""
-    vc, k = F.col("vc"), F.col("k")
-    temp = F.round(k.cast("double") * F.lit(0.4) - F.lit(10.0), 1)
-    return _base(spark, sf_dir).select(
+    temp = "round(CAST(k AS DOUBLE) * 0.4D - 10D, 1)"
+    return _base(spark, sf_dir).selectExpr(
         "event_id",
         "ts",
         "station",
-        temp.alias("temperature_c"),
-        F.round(temp - (vc % 120).cast("double") / F.lit(10.0), 1).alias("dewpoint_c"),
-        (vc % 45).cast("double").alias("wind_speed_kt"),
-        ((vc * 7) % 361).cast("double").alias("wind_direction"),
-        F.when(vc % 3 == 0, (vc % 45 + vc % 15).cast("double")).alias("wind_gust_kt"),
-        F.when(F.col("event_type") == "error", ((vc % 20) * 100).cast("double"))
-        .otherwise(F.least(F.lit(9999), 1000 + (vc % 100) * 100).cast("double"))
-        .alias("visibility_m"),
-        F.when(k % 10 != 0, (k * 50).cast("double")).alias("ceiling_ft"),
-        F.round(F.lit(980.0) + k.cast("double") * F.lit(0.7), 1).alias("pressure_hpa"),
+        f"{temp} AS temperature_c",
+        f"round({temp} - CAST(vc % 120 AS DOUBLE) / 10D, 1) AS dewpoint_c",
+        "CAST(vc % 45 AS DOUBLE) AS wind_speed_kt",
+        "CAST((vc * 7) % 361 AS DOUBLE) AS wind_direction",
+        "CASE WHEN vc % 3 = 0 THEN CAST(vc % 45 + vc % 15 AS DOUBLE) END AS wind_gust_kt",
+        """CASE WHEN event_type = 'error' THEN CAST((vc % 20) * 100 AS DOUBLE)
+           ELSE CAST(least(9999, 1000 + (vc % 100) * 100) AS DOUBLE) END AS visibility_m""",
+        "CASE WHEN k % 10 <> 0 THEN CAST(k * 50 AS DOUBLE) END AS ceiling_ft",
+        "round(980D + CAST(k AS DOUBLE) * 0.7D, 1) AS pressure_hpa",
     )
 
 
@@ -91,47 +95,31 @@ OBS_NUMERIC = [
 
 def raw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restriction list with the raw column names of the operational export."""
-    vc, k = F.col("vc"), F.col("k")
-    start = floor_time("ts", 1)
-    minutes = F.lit(30) + vc % 240
+    start = "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) DIV 60000000 * 60000000)"
+    reason = _pick("k % 8", REASONS)
     return (
         _base(spark, sf_dir)
-        .where((F.col("event_type") == "error") & (k < 8))
-        .select(
-            F.col("station").alias("Protected Location Id"),
-            F.when(vc % 10 == 9, "Airspace").otherwise("Aerodrome").alias("Protected Location Type"),
-            start.alias("Regulation Start Time"),
-            from_us(epoch_us(start) + minutes * 60_000_000).alias("Regulation End Date"),
-            F.when(k % 4 == 0, "Cancelled").otherwise("Applied").alias("Regulation Cancel Status"),
-            _pick(k % 8, REASONS).alias("Regulation Reason Name"),
-            F.concat(F.lit("due to "), F.coalesce(_pick(k % 8, REASONS), F.lit("unknown"))).alias(
-                "Regulation Description"
-            ),
-            minutes.alias("Regulation Duration (min)"),
-            (vc % 500).alias("ATFM Delay (min)"),
-            (vc % 60).alias("Regulated Traffic"),
-            F.col("event_id").alias("ordinal"),
-            (vc % 5).alias("severity"),
+        .where("event_type = 'error' AND k < 8")
+        .selectExpr(
+            "station AS `Protected Location Id`",
+            "CASE WHEN vc % 10 = 9 THEN 'Airspace' ELSE 'Aerodrome' END AS `Protected Location Type`",
+            f"CAST({start} AS TIMESTAMP_NTZ) AS `Regulation Start Time`",
+            f"CAST({start} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 30 + CAST(vc % 240 AS INT)) AS `Regulation End Date`",
+            "CASE WHEN k % 4 = 0 THEN 'Cancelled' ELSE 'Applied' END AS `Regulation Cancel Status`",
+            f"{reason} AS `Regulation Reason Name`",
+            f"concat('due to ', coalesce({reason}, 'unknown')) AS `Regulation Description`",
+            "30 + vc % 240 AS `Regulation Duration (min)`",
+            "vc % 500 AS `ATFM Delay (min)`",
+            "vc % 60 AS `Regulated Traffic`",
+            "event_id AS ordinal",
+            "vc % 5 AS severity",
         )
     )
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals under library names, with an explicit ordinal and a severity."""
-    raw = raw_intervals(spark, sf_dir)
-    return raw.select(
-        F.col("Protected Location Id").alias("station"),
-        F.col("Protected Location Type").alias("location_type"),
-        F.col("Regulation Start Time").alias("start_time"),
-        F.col("Regulation End Date").alias("end_time"),
-        F.col("Regulation Reason Name").alias("reason"),
-        F.col("Regulation Description").alias("description"),
-        (F.col("Regulation Cancel Status") == "Cancelled").alias("cancelled"),
-        F.col("Regulation Duration (min)").alias("duration_min"),
-        F.col("ATFM Delay (min)").alias("delay_min"),
-        "severity",
-        "ordinal",
-    )
+    return canonical_intervals(raw_intervals(spark, sf_dir), extra=["severity", "ordinal"])
 
 
 def _digits(c: Column, width: int) -> Column:
@@ -224,10 +212,10 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text causes: the whole document text behind a keyword phrase; one in seven is missing."""
-    phrase = _pick(F.col("doc_id") % 7, CAUSES)
+    phrase = F.expr(_pick("doc_id % 7", CAUSES))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        _pick(F.col("doc_id") % 4, STATIONS).alias("station"),
+        F.expr(_pick("doc_id % 4", STATIONS)).alias("station"),
         F.concat(phrase, F.lit(" "), F.col("text")).alias("description"),
     )
 
