@@ -256,12 +256,18 @@ def label_with_windows(points: DataFrame, windows: DataFrame, strategy: str = "a
 
     Where windows overlap, the last one in file order gives the hours to its interval start.
     """
-    newest = F.struct("ordinal", epoch_us("start_time").alias("start_us"))
-    wide = windows.select(
-        "station", F.col("window_start").alias("start_time"), F.col("window_end").alias("end_time"), newest.alias("_last")
-    )
-    inner = label_points(points, windows, [ACTIVE], strategy=strategy).withColumnRenamed("active", "_now")
-    outer = label_points(inner, wide, [Measure("_win", "max", "_last")], strategy=strategy)
+    spans = windows.selectExpr(
+        "station",
+        "ordinal",
+        "start_time AS _start",
+        """explode(array(named_struct('inner', 1, 'start_time', start_time, 'end_time', end_time),
+                         named_struct('inner', 0, 'start_time', window_start, 'end_time', window_end))) AS _s""",
+    ).select("station", "ordinal", epoch_us("_start").alias("start_us"), "_s.*")
+    measures = [
+        Measure("_now", "max", "CASE WHEN inner = 1 THEN 1 END"),
+        Measure("_win", "max", "CASE WHEN inner = 0 THEN struct(ordinal, start_us) END"),
+    ]
+    outer = label_points(points, spans, measures, strategy=strategy)
     hours = (F.col("_win.start_us") - epoch_us("ts")).cast("double") / F.lit(3_600_000_000.0)
     return outer.select(
         *points.columns,

@@ -196,48 +196,53 @@ def fill_series(
     return joined.select(*others, *filled).select(*df.columns)
 
 
-def value_splits(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
-    """Cut points that spread the values of a numeric column evenly (a mergeable sketch, a few numbers)."""
+def value_splits(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
+    """Cut points that spread the values of numeric columns evenly (one pass, mergeable sketches)."""
+    columns = list(columns)
     parts = parts or max(2, min(2_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     probs = [i / parts for i in range(1, parts)]
-    cuts = df.approxQuantile(value, probs, min(0.01, 0.25 / parts))
-    return sorted({float(c) for c in cuts if c is not None})
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    cuts = numbers.approxQuantile(numbers.columns, probs, min(0.01, 0.25 / parts))
+    return {c: sorted({float(x) for x in found if x is not None}) for c, found in zip(columns, cuts)}
 
 
-def running_totals(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    sums: Sequence[str],
-    parts: int | None = None,
-    descending: bool = False,
+def with_ranges(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Add the value range of each column, and return the names of the added columns."""
+    columns = list(columns)
+    splits = value_splits(df, columns, parts)
+    added = {c: f"_range{i}" for i, c in enumerate(columns)}
+    made = Bucketizer(
+        splitsArray=[_all_splits(splits[c]) for c in columns],
+        inputCols=[f"_in{i}" for i in range(len(columns))],
+        outputCols=[added[c] for c in columns],
+        handleInvalid="keep",
+    ).transform(df.withColumns({f"_in{i}": F.col(c).cast("double") for i, c in enumerate(columns)}))
+    return made.drop(*[f"_in{i}" for i in range(len(columns))]), added
+
+
+def _all_splits(cuts: list[float]) -> list[float]:
+    return [float("-inf"), *(cuts or [0.0]), float("inf")]
+
+
+def accumulate(
+    cells: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:
-    """Exact running sums of `sums` over the ordered distinct values of `value`, per group.
+    """Running sums over rows that are unique per (group, value) and carry the value range `_r`.
 
-    Returns one row per (group, value) with `<s>` (at this value), `<s>_cum` (up to and including it)
-    and `<s>_total`.  Ties are summed map-side first; the distinct values are then cut into ranges of
-    near-equal size, summed per range, and shifted by the totals of the earlier ranges.
+    Sums inside a range are shifted by the totals of the earlier ranges of the group.
     """
     group, sums = list(group), list(sums)
-    cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[F.sum(s).alias(s) for s in sums])
-    cuts = value_splits(df.select(F.col(value).cast("double").alias(value)), value, parts)
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        tagged = cells.withColumn("_v", F.col(value).cast("double"))
-        cells = Bucketizer(splits=splits, inputCol="_v", outputCol="_r").transform(tagged).drop("_v")
-    else:
-        cells = cells.withColumn("_r", F.lit(0.0))
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     ranges = cells.groupBy(*group, "_r").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = over.orderBy(direction("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    before = over.orderBy(order("_r")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(
         *group,
         "_r",
         *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_s_{s}").over(over).alias(f"{s}_total") for s in sums],
     )
-    inner = Window.partitionBy("_key").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("_key").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
     local = _keyed(cells, [*group, "_r"]).select("*", *[F.sum(s).over(inner).alias(f"_c_{s}") for s in sums])
     joined = _join_small_key(local, ranges, [*group, "_r"])
     return joined.select(
@@ -249,27 +254,54 @@ def running_totals(
     )
 
 
+def running_totals(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    sums: Sequence[str],
+    parts: int | None = None,
+    descending: bool = False,
+) -> DataFrame:
+    """Exact running sums of `sums` over the ordered distinct values of `value`, per group.
+
+    One row per (group, value) with `<s>` (at this value), `<s>_cum` (up to and including it) and
+    `<s>_total`.  Ties are summed map-side first, so a value that a third of the rows share is one cell.
+    """
+    ranged, names = with_ranges(df.where(F.col(value).isNotNull()), [value], parts)
+    cells = ranged.groupBy(*group, F.col(names[value]).alias("_r"), value).agg(*[F.sum(s).alias(s) for s in sums])
+    return accumulate(cells, group, value, sums, descending)
+
+
+def long_cells(
+    df: DataFrame, columns: Sequence[str], group: Sequence[str], sums: dict[str, Column], parts: int | None = None
+) -> DataFrame:
+    """Distinct values of several columns as rows (group, feature, _r, value) with summed measures."""
+    ranged, names = with_ranges(df, columns, parts)
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"), F.col(names[c]).alias("_r")
+        )
+        for c in columns
+    ]
+    long = ranged.select(*group, *[e.alias(n) for n, e in sums.items()], F.explode(F.array(*entries)).alias("_e"))
+    known = F.col("_e.value").isNotNull() & ~F.isnan("_e.value")
+    return (
+        long.where(known)
+        .groupBy(*group, F.col("_e.feature").alias("feature"), F.col("_e._r").alias("_r"), F.col("_e.value").alias("value"))
+        .agg(*[F.sum(n).alias(n) for n in sums])
+    )
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], group: Sequence[str] = (), parts: int | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per (group, feature), `q0..`, plus the count `n`.
 
-    Built on `running_totals`, so no task holds the distinct values of a whole column.
+    Built on running counts, so no task holds the distinct values of a whole column.
     """
     group = list(group)
-    long = df.select(
-        *group,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("_e"),
-    ).select(*group, "_e.feature", (F.col("_e.value") + F.lit(0.0)).alias("value"), F.lit(1).cast("long").alias("n"))
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    tables = [
-        running_totals(long.where(F.col("feature") == c), [*group, "feature"], "value", ["n"], parts) for c in columns
-    ]
-    cum = tables[0]
-    for t in tables[1:]:
-        cum = cum.unionByName(t)
+    cells = long_cells(df, columns, group, {"n": F.lit(1).cast("long")}, parts)
+    cum = accumulate(cells, [*group, "feature"], "value", ["n"])
     aggs = []
     for i, p in enumerate(probs):
         rank = (F.col("n_total") - 1) * F.lit(float(p))

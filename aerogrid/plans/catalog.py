@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerogrid.plans import join_queries, scalar_queries, window_queries  # noqa: F401
+from aerogrid.plans import join_queries, quality_queries, scalar_queries, window_queries  # noqa: F401
 from aerogrid.plans.registry import QUERIES, Query
 
 

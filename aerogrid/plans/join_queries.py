@@ -8,11 +8,12 @@ from aerogrid.functions import timefeat as D
 from aerogrid.functions import weather as M
 from aerogrid.functions.num import rnd
 from aerogrid.functions.text import phenomenon_flags
-from aerogrid.operators import filters, grid, intervals, joins
+from aerogrid.operators import filters, grid, intervals, joins, prep
 from aerogrid.plans import facades
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
 from aerogrid.plans.window_queries import labelled, zeroed
+from aerogrid.session import settle
 from aerogrid.sources import standins as S
 
 
@@ -145,9 +146,8 @@ def _(spark, d):
 SELECT event_id, {r('h')} AS hours_to_regulation, CAST(h >= 0 AND h <= 2 AS INTEGER) AS regulation_imminent FROM m""",
 )
 def _(spark, d):
-    from aerogrid.operators.prep import impute
-
-    filled = impute(windowed(spark, d).select("event_id", "time_to_regulation"), ["time_to_regulation"])
+    hours = settle(windowed(spark, d).select("event_id", "time_to_regulation"))
+    filled = prep.impute(hours, ["time_to_regulation"])
     out = intervals.imminence(filled).select("event_id", "hours_to_regulation", "regulation_imminent")
     return out.withColumn("hours_to_regulation", rnd("hours_to_regulation") + F.lit(0.0))
 

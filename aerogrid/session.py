@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "aerogrid", memory: str = "8g") -> SparkSession:
@@ -38,3 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several jobs read to the checkpoint folder and go on from there.
+
+    The copy survives the loss of executors, and the plan behind it runs once.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
