@@ -225,32 +225,49 @@ def _all_splits(cuts: list[float]) -> list[float]:
 
 
 def accumulate(
-    cells: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
+    cells: DataFrame,
+    group: Sequence[str],
+    value: str,
+    measures: Sequence[str],
+    descending: bool = False,
+    how: str = "sum",
+    strict: bool = False,
 ) -> DataFrame:
-    """Running sums over rows that are unique per (group, value) and carry the value range `_r`.
+    """Running sums (or maxima) over rows that are unique per (group, value) and carry the value range `_r`.
 
-    Sums inside a range are shifted by the totals of the earlier ranges of the group.
+    Results inside a range are combined with those of the earlier ranges of the group, so no task sees a
+    whole group.  `strict` leaves the row itself out.  Adds `<m>_cum` and `<m>_total`.
     """
-    group, sums = list(group), list(sums)
+    group, measures = list(group), list(measures)
+    fold = {"sum": F.sum, "max": F.max}[how]
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    ranges = cells.groupBy(*group, "_r").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    ranges = cells.groupBy(*group, "_r").agg(*[fold(m).alias(f"_s_{m}") for m in measures])
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = over.orderBy(order("_r")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(
         *group,
         "_r",
-        *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
-        *[F.sum(f"_s_{s}").over(over).alias(f"{s}_total") for s in sums],
+        *[fold(f"_s_{m}").over(before).alias(f"_o_{m}") for m in measures],
+        *[fold(f"_s_{m}").over(over).alias(f"{m}_total") for m in measures],
     )
-    inner = Window.partitionBy("_key").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    local = _keyed(cells, [*group, "_r"]).select("*", *[F.sum(s).over(inner).alias(f"_c_{s}") for s in sums])
+    inner = (
+        Window.partitionBy("_key").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    )
+    local = _keyed(cells, [*group, "_r"]).select("*", *[fold(m).over(inner).alias(f"_c_{m}") for m in measures])
     joined = _join_small_key(local, ranges, [*group, "_r"])
+
+    def combined(m: str) -> Column:
+        here, earlier = F.col(f"_c_{m}"), F.col(f"_o_{m}")
+        if how == "max":
+            return F.greatest(here, earlier)
+        return F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+
     return joined.select(
         *group,
         value,
-        *sums,
-        *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"{s}_cum") for s in sums],
-        *[f"{s}_total" for s in sums],
+        *measures,
+        *[combined(m).alias(f"{m}_cum") for m in measures],
+        *[f"{m}_total" for m in measures],
     )
 
 

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from aerogrid.plans import join_queries, quality_queries, scalar_queries, window_queries  # noqa: F401
+from aerogrid.plans import (  # noqa: F401
+    evaluation_queries,
+    join_queries,
+    prep_queries,
+    quality_queries,
+    result_queries,
+    scalar_queries,
+    window_queries,
+)
 from aerogrid.plans.registry import QUERIES, Query
 
 
