@@ -147,8 +147,9 @@ def fill_series(
     ts: str = "ts",
     tie: str = "event_id",
     strategy: str = "auto",
+    backward: bool = True,
 ) -> DataFrame:
-    """Unlimited forward fill, then backward fill, of `columns` per series.
+    """Unlimited forward fill, then (unless switched off) backward fill, of `columns` per series.
 
     Blocked form: fill inside each block, then carry the last (first) known value of the earlier
     (later) blocks over the per-block summary, which has one row per block.
@@ -162,7 +163,10 @@ def fill_series(
         fwd, bwd = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
         return df.select(
             *others,
-            *[F.coalesce(F.last(c, True).over(fwd), F.first(c, True).over(bwd)).alias(c) for c in columns],
+            *[
+                F.coalesce(F.last(c, True).over(fwd), *([F.first(c, True).over(bwd)] if backward else [])).alias(c)
+                for c in columns
+            ],
         ).select(*df.columns)
     size = max(_limit(df, BLOCK_ROWS, 500_000), 1)
     placed = positions(df, group, ts, tie).withColumn("_block", F.floor(F.col("_pos") / F.lit(size)).cast("long"))
@@ -190,9 +194,8 @@ def fill_series(
         *[F.first(c, True).over(bwd).alias(f"_j_{c}") for c in columns],
     )
     joined = _join_small_key(inner, blocks, [*group, "_block"])
-    filled = [
-        F.coalesce(F.col(f"_i_{c}"), F.col(f"_p_{c}"), F.col(f"_j_{c}"), F.col(f"_n_{c}")).alias(c) for c in columns
-    ]
+    sources = ["_i_", "_p_", "_j_", "_n_"] if backward else ["_i_", "_p_"]
+    filled = [F.coalesce(*[F.col(f"{s}{c}") for s in sources]).alias(c) for c in columns]
     return joined.select(*others, *filled).select(*df.columns)
 
 

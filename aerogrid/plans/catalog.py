@@ -9,6 +9,7 @@ from aerogrid.plans import (  # noqa: F401
     quality_queries,
     result_queries,
     scalar_queries,
+    source_queries,
     window_queries,
 )
 from aerogrid.plans.registry import QUERIES, Query

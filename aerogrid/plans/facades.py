@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from aerogrid.functions import timefeat as D
 from aerogrid.functions import weather as M
 from aerogrid.functions.num import numeric_columns, rnd
+from aerogrid.functions import text as T
 from aerogrid.functions.text import is_weather_reason
-from aerogrid.operators import filters, grid, intervals, prep
+from aerogrid.operators import filters, grid, intervals, ordering, prep
 
 FORECAST_COLUMNS = ["wind_speed_kt", "wind_direction", "visibility_m", "ceiling_ft"]
 
@@ -83,3 +84,14 @@ def sampling_summary(rows: DataFrame, windows: DataFrame, hours_added: float = 8
         rnd(F.avg(is_weather_reason("reason").cast("int"))).alias("weather_share"),
     )
     return counts.join(F.broadcast(one), F.lit(True))  # four rows and one row
+
+
+def scaled_blocks(reports: DataFrame) -> DataFrame:
+    """Archive reports decoded into scaled numbers next to wind-quadrant and cloud-cover indicators."""
+    fields = reports.select("event_id", "station", "ts", *T.legacy_fields("report"))
+    filled = ordering.fill_series(fields, ["temperature_c", "dewpoint_c"])
+    numbers = ["visibility_m", "ceiling_ft", "wind_speed_kt", "temperature_c", "dewpoint_c"]
+    scaled = prep.Scaler("minmax").fit(filled, numbers).transform(filled)
+    encoded = prep.wind_quadrants(scaled, "wind_direction_text", "wind")
+    encoded = prep.one_hot(encoded, "ceiling_cover", "cover", values=range(5))
+    return encoded.drop("wind_direction_text", "ceiling_cover")

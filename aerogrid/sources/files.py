@@ -102,8 +102,8 @@ def in_name_range(path: Column | str, start, end) -> Column:
 
 
 def _station_of(path: Column) -> Column:
-    """Station folder of a file: .../<station>/<file>."""
-    return F.element_at(F.split(path, "/"), -2)
+    """Station of a file: .../<station>/<file> or .../station=<station>/<file>."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^station=", "")
 
 
 def _read_reports(spark: SparkSession, paths, schema: str, encoding: str, start, end, by_name: bool) -> DataFrame:
@@ -125,14 +125,21 @@ def _read_reports(spark: SparkSession, paths, schema: str, encoding: str, start,
 
 
 def read_observations(
-    spark: SparkSession, root: str, stations: Sequence[str], start, end, encoding: str = "UTF-8", by_name: bool = False
+    spark: SparkSession,
+    root: str,
+    stations: Sequence[str],
+    start,
+    end,
+    encoding: str = "UTF-8",
+    by_name: bool = False,
+    layout: str = "{station}",
 ) -> DataFrame:
-    """Decoded observations of several stations from <root>/<station>/*.csv in the closed date range.
+    """Decoded observations of several stations from <root>/<station folder>/*.csv in the closed date range.
 
-    `encoding` names the fallback (ISO-8859-1 accepts every byte); `by_name` also prunes files by the
+    `layout` gives the station folder (`station={station}` for a partitioned layout), `encoding` names the fallback (ISO-8859-1 accepts every byte); `by_name` also prunes files by the
     date in their name.
     """
-    paths = [f"{root}/{s}" for s in stations]
+    paths = [f"{root}/{layout.format(station=s)}" for s in stations]
     rows = _read_reports(spark, paths, OBSERVATION_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows.withColumnRenamed("datetime", "ts"), "ts", start, end)
     return rows.select(
@@ -141,10 +148,17 @@ def read_observations(
 
 
 def read_forecasts(
-    spark: SparkSession, root: str, stations: Sequence[str], start, end, encoding: str = "UTF-8", by_name: bool = False
+    spark: SparkSession,
+    root: str,
+    stations: Sequence[str],
+    start,
+    end,
+    encoding: str = "UTF-8",
+    by_name: bool = False,
+    layout: str = "{station}",
 ) -> DataFrame:
     """Forecast periods of several stations, filtered on the start of validity."""
-    paths = [f"{root}/{s}" for s in stations]
+    paths = [f"{root}/{layout.format(station=s)}" for s in stations]
     rows = _read_reports(spark, paths, FORECAST_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows, "valid_from", start, end)
     return rows.select("station", "issue_time", "valid_from", "valid_to", "source_file", *T.decode_report("report"))
@@ -184,7 +198,7 @@ def reports_from_parts(df: DataFrame) -> DataFrame:
 
 def read_wrapped_reports(spark: SparkSession, path: str) -> DataFrame:
     """Forecast dump whose reports wrap over lines and end with '='; each starts with a 12-digit time."""
-    text = spark.read.option("lineSep", "=").text(path)
+    text = spark.read.option("lineSep", "=").text(path)  # one row per report, however it wraps
     joined = F.trim(F.regexp_replace("value", r"\s+", " "))
     return (
         text.select(joined.alias("line"))

@@ -210,6 +210,45 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_forecast_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TAF-like text written from the forecasts: a main period and one change group."""
+    f = forecasts(spark, sf_dir)
+    span = F.concat(F.date_format("valid_from", "ddHH"), F.lit("/"), F.date_format("valid_to", "ddHH"))
+    wind = lambda plus: F.concat(
+        _digits(F.col("wind_direction"), 3),
+        _digits(F.col("wind_speed_kt") + plus, 2),
+        F.lit("G"),
+        _digits(F.col("wind_speed_kt") + plus + 9, 2),
+        F.lit("KT"),
+    )
+    return f.select(
+        "station",
+        "issue_time",
+        "valid_from",
+        "valid_to",
+        F.concat(
+            F.lit("TAF "),
+            "station",
+            F.lit(" "),
+            F.date_format("issue_time", "ddHHmm"),
+            F.lit("Z "),
+            span,
+            F.lit(" "),
+            wind(0),
+            F.lit(" "),
+            _digits(F.col("visibility_m"), 4),
+            F.when(F.col("ceiling_ft").isNull(), "").otherwise(
+                F.concat(F.lit(" BKN"), _digits(F.floor(F.col("ceiling_ft") / 100), 3))
+            ),
+            F.lit(" TEMPO "),
+            span,
+            F.lit(" "),
+            wind(5),
+            F.lit(" 3000"),
+        ).alias("report"),
+    )
+
+
 def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text causes: the whole document text behind a keyword phrase; one in seven is missing."""
     phrase = F.expr(_pick("doc_id % 7", CAUSES))
