@@ -15,7 +15,7 @@ INF = float("inf")
 
 
 def _magnus(t: Column, a: float, b: float) -> Column:
-    return F.lit(a) * t / (F.lit(b) + t)
+    return F.try_divide(F.lit(a) * t, F.lit(b) + t)
 
 
 def grid_humidity(temp, dew) -> Column:
@@ -48,7 +48,7 @@ def report_wind_chill(temp, speed) -> Column:
 
 
 def gust_factor(gust, speed) -> Column:
-    return col(gust) / (col(speed) + 1.0)
+    return F.try_divide(col(gust), col(speed) + 1.0)
 
 
 def turbulence(gust, speed) -> Column:

@@ -22,7 +22,9 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns: Sequence[str
     )
     cells = long_cells(both, columns, [], {"n_ref": F.col("_ref"), "n_cur": F.col("_cur")})
     cum = accumulate(cells, ["feature"], "value", ["n_ref", "n_cur"])
-    distance = F.abs(F.col("n_ref_cum") / F.col("n_ref_total") - F.col("n_cur_cum") / F.col("n_cur_total"))
+    distance = F.abs(
+        F.try_divide(F.col("n_ref_cum"), F.col("n_ref_total")) - F.try_divide(F.col("n_cur_cum"), F.col("n_cur_total"))
+    )
     return cum.groupBy("feature").agg(
         F.max("n_ref_total").alias("n_ref"), F.max("n_cur_total").alias("n_cur"), F.max(distance).alias("ks")
     )
@@ -55,7 +57,11 @@ def chi2_statistic(
     listed = hist.groupBy("feature").agg(
         F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.collect_list(F.struct("r", "c")).alias("cells")
     )  # at most `bins` cells per feature
-    scale_c, scale_r = (F.lit(1.0), F.col("nc") / F.col("nr")) if counts else (1.0 / F.col("nc"), 1.0 / F.col("nr"))
+    scale_c, scale_r = (
+        (F.lit(1.0), F.try_divide(F.col("nc"), F.col("nr")))
+        if counts
+        else (F.try_divide(F.lit(1.0), F.col("nc")), F.try_divide(F.lit(1.0), F.col("nr")))
+    )
     eps = F.lit(1e-10)
     term = lambda x: F.pow(x["c"] * scale_c - x["r"] * scale_r, F.lit(2.0)) / (x["r"] * scale_r + eps)
     return listed.select(

@@ -140,6 +140,12 @@ def over_series(
     return out.where(F.col("_block") == F.floor(F.col("_pos") / F.lit(size))).drop("_pos", "_block")
 
 
+def _up_to_here(w: WindowSpec) -> WindowSpec:
+    """Growing frame: Spark carries it forward row by row, while a frame to the end of the group is
+    evaluated anew for every row.  Looking ahead is therefore a growing frame in descending order."""
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def fill_series(
     df: DataFrame,
     columns: Sequence[str],
@@ -159,39 +165,39 @@ def fill_series(
     if strategy == "auto":
         strategy = "plain" if largest_group(df, group) <= max_group_rows(df) else "blocked"
     if strategy == "plain":
-        w = Window.partitionBy(*group).orderBy(ts, tie)
-        fwd, bwd = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        known = _up_to_here(Window.partitionBy(*group).orderBy(ts, tie))
+        coming = _up_to_here(Window.partitionBy(*group).orderBy(F.desc(ts), F.desc(tie)))
         return df.select(
             *others,
             *[
-                F.coalesce(F.last(c, True).over(fwd), *([F.first(c, True).over(bwd)] if backward else [])).alias(c)
+                F.coalesce(F.last(c, True).over(known), *([F.last(c, True).over(coming)] if backward else [])).alias(c)
                 for c in columns
             ],
         ).select(*df.columns)
     size = max(_limit(df, BLOCK_ROWS, 500_000), 1)
     placed = positions(df, group, ts, tie).withColumn("_block", F.floor(F.col("_pos") / F.lit(size)).cast("long"))
-    known = [
+    ends = [
         f(F.when(F.col(c).isNotNull(), F.struct(F.col("_pos"), F.col(c)))).alias(f"{p}{c}")
         for c in columns
         for p, f in (("_l_", F.max), ("_f_", F.min))
     ]
-    blocks = placed.groupBy(*group, "_block").agg(*known)
-    wb = Window.partitionBy(*group).orderBy("_block")
-    prev, nxt = wb.rowsBetween(Window.unboundedPreceding, -1), wb.rowsBetween(1, Window.unboundedFollowing)
+    blocks = placed.groupBy(*group, "_block").agg(*ends)
+    prev = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    nxt = Window.partitionBy(*group).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         *group,
         "_block",
         *[F.last(F.col(f"_l_{c}")[c], True).over(prev).alias(f"_p_{c}") for c in columns],
-        *[F.first(F.col(f"_f_{c}")[c], True).over(nxt).alias(f"_n_{c}") for c in columns],
+        *[F.last(F.col(f"_f_{c}")[c], True).over(nxt).alias(f"_n_{c}") for c in columns],
     )
     placed = _keyed(placed, [*group, "_block"])
-    w = Window.partitionBy("_key").orderBy("_pos")
-    fwd, bwd = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    known = _up_to_here(Window.partitionBy("_key").orderBy("_pos"))
+    coming = _up_to_here(Window.partitionBy("_key").orderBy(F.desc("_pos")))
     inner = placed.select(
         *others,
         "_key",
-        *[F.last(c, True).over(fwd).alias(f"_i_{c}") for c in columns],
-        *[F.first(c, True).over(bwd).alias(f"_j_{c}") for c in columns],
+        *[F.last(c, True).over(known).alias(f"_i_{c}") for c in columns],
+        *[F.last(c, True).over(coming).alias(f"_j_{c}") for c in columns],
     )
     joined = _join_small_key(inner, blocks, [*group, "_block"])
     sources = ["_i_", "_p_", "_j_", "_n_"] if backward else ["_i_", "_p_"]

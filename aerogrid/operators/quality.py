@@ -120,12 +120,12 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(columns)])
     total = reduce(lambda a, b: a + b, [F.col(f"_{i}") for i in range(len(columns))])
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("missing"), (F.col(f"_{i}") / F.col("_n")).alias("ratio"))
+        F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("missing"), F.try_divide(F.col(f"_{i}"), F.col("_n")).alias("ratio"))
         for i, c in enumerate(columns)
     ]
     entries.append(
         F.struct(
-            F.lit("(all)").alias("column"), total.alias("missing"), (total / (F.col("_n") * len(columns))).alias("ratio")
+            F.lit("(all)").alias("column"), total.alias("missing"), F.try_divide(total, F.col("_n") * len(columns)).alias("ratio")
         )
     )
     return row.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
@@ -141,8 +141,8 @@ def missing_pattern(df: DataFrame, columns: Sequence[str], ts: str = "ts") -> Da
         F.sum("_m").cast("double").alias("_s"),
         F.sum(F.col("_m") * F.col("_m")).cast("double").alias("_q"),
     )
-    mean = F.col("_s") / F.col("hours")
-    std = F.sqrt((F.col("_q") - F.col("_s") * mean) / (F.col("hours") - 1))
+    mean = F.try_divide(F.col("_s"), F.col("hours"))
+    std = F.sqrt(F.try_divide(F.col("_q") - F.col("_s") * mean, F.col("hours") - 1))
     return row.select("hours", mean.alias("mean_missing"), std.alias("std_missing"), (std > mean).alias("non_uniform"))
 
 
@@ -151,7 +151,7 @@ def duplicates(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     keys = list(keys or df.columns)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     return groups.agg(F.sum("_c").alias("rows"), F.sum(F.col("_c") - 1).alias("duplicates")).withColumn(
-        "ratio", F.col("duplicates") / F.col("rows")
+        "ratio", F.try_divide(F.col("duplicates"), F.col("rows"))
     )
 
 
@@ -212,7 +212,7 @@ def explain_anomalies(df: DataFrame, flag_column: str, columns: Sequence[str], k
 
 def completeness(df: DataFrame, minutes: int = 30, ts: str = "ts") -> DataFrame:
     span = (epoch_us(F.max(ts)) - epoch_us(F.min(ts))).cast("double") / F.lit(minutes * 60_000_000.0)
-    return df.agg((F.count(F.lit(1)) / span).alias("completeness"))
+    return df.agg(F.try_divide(F.count(F.lit(1)).cast("double"), span).alias("completeness"))
 
 
 def validation_report(

@@ -64,7 +64,9 @@ def anova_f(df: DataFrame, columns: Sequence[str], target: str, expressions: dic
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("total"),
     )
-    f = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
+    f = F.try_divide(
+        F.try_divide(F.col("between"), F.col("k") - 1), F.try_divide(F.col("within"), F.col("total") - F.col("k"))
+    )
     return sums.select("feature", f.alias("score"))
 
 
@@ -81,9 +83,9 @@ def f_regression(df: DataFrame, columns: Sequence[str], target: str) -> DataFram
     entries = [
         F.struct(
             F.lit(c).alias("feature"),
-            (F.pow(F.col(f"r{i}"), F.lit(2.0)) / (1.0 - F.pow(F.col(f"r{i}"), F.lit(2.0))) * (F.col(f"n{i}") - 2)).alias(
-                "score"
-            ),
+            F.try_divide(
+                F.pow(F.col(f"r{i}"), F.lit(2.0)) * (F.col(f"n{i}") - 2), 1.0 - F.pow(F.col(f"r{i}"), F.lit(2.0))
+            ).alias("score"),
         )
         for i, c in enumerate(columns)
     ]
@@ -99,7 +101,7 @@ def chi2_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame
     long = per_class.select("n", F.explode(F.array(*entries)).alias("_e")).select("n", "_e.*")
     over = Window.partitionBy("feature")
     expected = F.col("n") / F.sum("n").over(over) * F.sum("s").over(over)
-    parts = long.select("feature", (F.pow(F.col("s") - expected, F.lit(2.0)) / expected).alias("t"))
+    parts = long.select("feature", F.try_divide(F.pow(F.col("s") - expected, F.lit(2.0)), expected).alias("t"))
     return parts.groupBy("feature").agg(F.sum("t").alias("score"))
 
 

@@ -107,7 +107,7 @@ def dataset_summary(df: DataFrame, columns: Sequence[str], ts: str = "ts") -> Da
         F.lit(len(columns)).alias("columns"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
-        (missing / (rows * len(columns))).alias("missing_ratio"),
+        F.try_divide(missing, rows * len(columns)).alias("missing_ratio"),
     )
 
 

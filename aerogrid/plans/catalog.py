@@ -5,6 +5,7 @@ from __future__ import annotations
 from aerogrid.plans import (  # noqa: F401
     evaluation_queries,
     join_queries,
+    model_queries,
     prep_queries,
     quality_queries,
     result_queries,

@@ -242,7 +242,7 @@ def _(spark, d):
     return (
         S.observations(spark, d)
         .groupBy("station")
-        .agg(F.count(F.lit(1)).alias("n"), rnd(F.count(F.lit(1)) / span).alias("completeness"))
+        .agg(F.count(F.lit(1)).alias("n"), rnd(F.try_divide(F.count(F.lit(1)).cast("double"), span)).alias("completeness"))
     )
 
 

@@ -190,7 +190,7 @@ def forecast_periods(df: DataFrame, report: str = "report", issue: str = "issue_
 
 def reports_from_parts(df: DataFrame) -> DataFrame:
     """Report dump with year, month, day, hour and minute columns: build the time, keep METAR rows."""
-    made = F.make_timestamp_ntz(
+    made = F.try_make_timestamp_ntz(
         F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("minute"), F.lit(0).cast("decimal(8,6)")
     )
     return df.where(F.col("report").contains("METAR")).withColumn("ts", made)
