@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.operators import reduction
 from aerogrid.operators.ordering import exact_quantiles
+from aerogrid.session import settle
 
 MAX_REFERENCE_ROWS = 5_000  # rows a neighbour reference may have
 
@@ -136,7 +137,7 @@ def robust_distance(
 
     Every round is two passes: the distance quantile, and the moments of the rows inside it.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    numbers = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
     mean, cov = _moments(numbers, columns)
     for _ in range(rounds):
         measured = numbers.withColumn("_d", _distance(columns, mean, cov))

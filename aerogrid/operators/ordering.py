@@ -54,7 +54,7 @@ def positions(
 
     Ranks are taken per (group, time bucket) and shifted by the rows of the earlier buckets, so no
     task sees a whole group.  If even one time bucket is too large (copies with one timestamp), the
-    bucket is cut further by (ts, high bits of tie); `tie` must be a whole number then.
+    bucket is cut further by (ts, high bits of tie); `tie` must be a whole number or a time then.
     """
     group = list(group)
     limit = max_group_rows(df)
@@ -70,7 +70,9 @@ def positions(
         joined = _join_small_key(ranked, offsets, [*group, "_b"])
         return joined.withColumn(out, F.col("_rn") - 1 + F.col("_off")).drop("_b", "_rn", "_off")
     shift = max(0, limit.bit_length() - 1)
-    fine = tagged.withColumn("_t", epoch_us(ts)).withColumn("_h", F.shiftright(F.col(tie).cast("long"), shift))
+    is_time = dict(df.dtypes)[tie].startswith("timestamp")
+    number = epoch_us(tie) if is_time else F.col(tie).cast("long")
+    fine = tagged.withColumn("_t", epoch_us(ts)).withColumn("_h", F.shiftright(number, shift))
     cells = fine.groupBy(*group, "_b", "_t", "_h").agg(F.count(F.lit(1)).alias("_c"))
     inner = Window.partitionBy(*group, "_b").orderBy("_t", "_h").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*group, "_b", "_t", "_h", F.coalesce(F.sum("_c").over(inner), F.lit(0)).alias("_off2"))

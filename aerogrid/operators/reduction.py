@@ -15,6 +15,8 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerogrid.session import settle
+
 
 def linear(columns: Sequence[str], weights: Sequence[float], offsets: Sequence[float] | None = None) -> Column:
     """Weighted sum of columns, each less its offset."""
@@ -113,7 +115,7 @@ def fit_nmf(df: DataFrame, columns: Sequence[str], k: int = 30, iterations: int
     tops = df.agg(*[F.max(c).alias(c) for c in columns]).first()
     scale = np.array([float(tops[c] or 1.0) or 1.0 for c in columns])
     h = start.uniform(0.1, 1.0, (k, len(columns)))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     width = k * len(columns) + k * k
 
     for _ in range(iterations):

@@ -10,7 +10,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -352,6 +352,16 @@ def preparation(
     return Pipeline(stages=steps)
 
 
+def fit_transform(flow: Pipeline, df: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """Fit a preparation and return it with the prepared table, running each step once."""
+    fitted = []
+    for stage in flow.getStages():
+        model = stage.fit(df) if isinstance(stage, Estimator) else stage
+        df = model.transform(df)
+        fitted.append(model)
+    return PipelineModel(fitted), df
+
+
 def weather_preparation(df: DataFrame, label: str = "y", **kw) -> Pipeline:
     """Preparation with detected column types and the weather presets."""
     skip = {label, *KEYS}

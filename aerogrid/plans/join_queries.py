@@ -26,7 +26,7 @@ def active_intervals(spark, d):
     "A-01",
     "SELECT station, ts, "
     + ", ".join(
-        f"{r(c, 4)} AS {c}"
+        f"{r(c, 8)} AS {c}"
         for c in (
             "wind_speed_kt wind_direction wind_gust_kt visibility_m ceiling_ft temperature_c dewpoint_c pressure_hpa".split()
         )
@@ -34,7 +34,7 @@ def active_intervals(spark, d):
     + " FROM resampled",
 )
 def _(spark, d):
-    return zeroed(grid.resample(S.observations(spark, d)), ["station", "ts"], 4)
+    return zeroed(grid.resample(S.observations(spark, d)), ["station", "ts"], 8)
 
 
 @query(
@@ -64,12 +64,12 @@ def _(spark, d):
 @query(
     "grid_with_observations",
     "J-01",
-    f"""SELECT g.station, g.ts, {r('s.temperature_c', 4)} AS temperature_c, {r('s.visibility_m', 4)} AS visibility_m,
- {r('s.pressure_hpa', 4)} AS pressure_hpa FROM grid g LEFT JOIN resampled s ON g.station = s.station AND g.ts = s.ts""",
+    f"""SELECT g.station, g.ts, {r('s.temperature_c', 8)} AS temperature_c, {r('s.visibility_m', 8)} AS visibility_m,
+ {r('s.pressure_hpa', 8)} AS pressure_hpa FROM grid g LEFT JOIN resampled s ON g.station = s.station AND g.ts = s.ts""",
 )
 def _(spark, d):
     out = grid.on_grid(S.observations(spark, d), fill_minutes=None)
-    return zeroed(out.select("station", "ts", "temperature_c", "visibility_m", "pressure_hpa"), ["station", "ts"], 4)
+    return zeroed(out.select("station", "ts", "temperature_c", "visibility_m", "pressure_hpa"), ["station", "ts"], 8)
 
 
 @query(
@@ -132,24 +132,23 @@ def _(spark, d):
 @query(
     "hours_to_interval",
     "J-06",
-    f"SELECT event_id, station, ts, {r('time_to_regulation')} AS time_to_regulation FROM windowed",
+    "SELECT event_id, station, ts, time_to_regulation FROM windowed",
 )
 def _(spark, d):
-    out = windowed(spark, d).select("event_id", "station", "ts", "time_to_regulation")
-    return zeroed(out, ["event_id", "station", "ts"])
+    return windowed(spark, d).select("event_id", "station", "ts", "time_to_regulation")
 
 
 @query(
     "interval_imminence",
     "M-14",
     f"""WITH m AS (SELECT event_id, coalesce(time_to_regulation, (SELECT median(time_to_regulation) FROM windowed)) AS h FROM windowed)
-SELECT event_id, {r('h')} AS hours_to_regulation, CAST(h >= 0 AND h <= 2 AS INTEGER) AS regulation_imminent FROM m""",
+SELECT event_id, {r('h', 3)} AS hours_to_regulation, CAST(h >= 0 AND h <= 2 AS INTEGER) AS regulation_imminent FROM m""",
 )
 def _(spark, d):
     hours = settle(windowed(spark, d).select("event_id", "time_to_regulation"))
     filled = prep.impute(hours, ["time_to_regulation"])
     out = intervals.imminence(filled).select("event_id", "hours_to_regulation", "regulation_imminent")
-    return out.withColumn("hours_to_regulation", rnd("hours_to_regulation") + F.lit(0.0))
+    return out.withColumn("hours_to_regulation", rnd("hours_to_regulation", 3) + F.lit(0.0))
 
 
 @query(
@@ -171,7 +170,7 @@ def _(spark, d):
     "features_with_labels",
     "J-08",
     f"""WITH l AS (SELECT DISTINCT g.station, g.ts FROM grid g JOIN active i ON g.station = i.station AND g.ts >= i.start_time AND g.ts < i.end_time)
-SELECT s.station, s.ts, {r('s.temperature_c', 4)} AS temperature_c, 1 AS y FROM resampled s JOIN l ON s.station = l.station AND s.ts = l.ts""",
+SELECT s.station, s.ts, {r('s.temperature_c', 8)} AS temperature_c, 1 AS y FROM resampled s JOIN l ON s.station = l.station AND s.ts = l.ts""",
 )
 def _(spark, d):
     obs = S.observations(spark, d)
@@ -179,7 +178,7 @@ def _(spark, d):
         grid.time_grid(obs), active_intervals(spark, d), 30, [intervals.ACTIVE], "half_open"
     ).where(F.col("active") == 1)
     joined = grid.resample(obs).join(labels, ["station", "ts"], "inner")
-    return joined.select("station", "ts", (rnd("temperature_c", 4) + F.lit(0.0)).alias("temperature_c"), F.lit(1).alias("y"))
+    return joined.select("station", "ts", (rnd("temperature_c", 8) + F.lit(0.0)).alias("temperature_c"), F.lit(1).alias("y"))
 
 
 @query(

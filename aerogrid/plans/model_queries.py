@@ -253,32 +253,32 @@ def _(spark, d):
 )
 def _(spark, d):
     f = S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC)
-    out = stages.preparation(_FC, outliers="iqr", threshold=0.1).fit(f).transform(f)
+    _, out = stages.fit_transform(stages.preparation(_FC, outliers="iqr", threshold=0.1), f)
     return out.select("l_orderkey", "l_linenumber", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in _FC])
 
 
 @query("weather_preparation", "X-16")
 def _(spark, d):
     rows = poor_conditions(spark, d).select("event_id", "station", "ts", "y", "temperature_c", "wind_speed_kt", "hour")
-    return stages.weather_preparation(rows, "y").fit(rows).transform(rows)
+    return stages.fit_transform(stages.weather_preparation(rows, "y"), rows)[1]
 
 
 @query("sequence_recipe", "X-17")
 def _(spark, d):
     rows = poor_conditions(spark, d).select("event_id", "station", "ts", "y", "temperature_c", "wind_speed_kt")
-    return stages.recipe("lstm", ["temperature_c", "wind_speed_kt"], "y").fit(rows).transform(rows)
+    return stages.fit_transform(stages.recipe("lstm", ["temperature_c", "wind_speed_kt"], "y"), rows)[1]
 
 
 @query("linear_recipe", "X-17")
 def _(spark, d):
     rows = poor_conditions(spark, d)
-    return stages.recipe("logistic_regression", _W, "y").fit(rows).transform(rows)
+    return stages.fit_transform(stages.recipe("logistic_regression", _W, "y"), rows)[1]
 
 
 @query("engineered_features", "X-18")
 def _(spark, d):
     rows = settle(poor_conditions(spark, d).select("event_id", "station", "ts", "y", "temperature_c", "pressure_hpa"))
-    return stages.engineered(["temperature_c"], "y", 10, "f_classif").fit(rows).transform(rows)
+    return stages.fit_transform(stages.engineered(["temperature_c"], "y", 10, "f_classif"), rows)[1]
 
 
 @query("evaluated_models_ranked", "H-07 W-18")

@@ -234,14 +234,14 @@ def _(spark, d):
     "W-11",
     "SELECT g.station, g.ts, "
     + ", ".join(
-        f"{r(f'last_value({c} IGNORE NULLS) OVER w', 4)} AS {c}" for c in ("temperature_c", "visibility_m", "ceiling_ft")
+        f"{r(f'last_value({c} IGNORE NULLS) OVER w', 8)} AS {c}" for c in ("temperature_c", "visibility_m", "ceiling_ft")
     )
     + """ FROM grid g LEFT JOIN resampled s ON g.station = s.station AND g.ts = s.ts
 WINDOW w AS (PARTITION BY g.station ORDER BY g.ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
 def _(spark, d):
     out = grid.on_grid(S.observations(spark, d)).select("station", "ts", "temperature_c", "visibility_m", "ceiling_ft")
-    return zeroed(out, ["station", "ts"], 4)
+    return zeroed(out, ["station", "ts"], 8)
 
 
 @query(
