@@ -10,6 +10,7 @@ into one task.  Three building blocks avoid it:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -305,19 +306,21 @@ def long_cells(
 ) -> DataFrame:
     """Distinct values of several columns as rows (group, feature, _r, value) with summed measures."""
     ranged, names = with_ranges(df, columns, parts)
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"), F.col(names[c]).alias("_r")
-        )
-        for c in columns
-    ]
-    long = ranged.select(*group, *[e.alias(n) for n, e in sums.items()], F.explode(F.array(*entries)).alias("_e"))
-    known = F.col("_e.value").isNotNull() & ~F.isnan("_e.value")
-    return (
-        long.where(known)
-        .groupBy(*group, F.col("_e.feature").alias("feature"), F.col("_e._r").alias("_r"), F.col("_e.value").alias("value"))
+    kept = [*group, *[e.alias(n) for n, e in sums.items()]]
+    entries = []
+    for i, c in enumerate(columns):
+        known = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        entry = F.struct(F.col(names[c]).alias("_r"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"))
+        entries.append(F.when(known, entry).alias(f"_e{i}"))
+    ids = [*group, *sums]
+    long = ranged.select(*kept, *entries).unpivot(ids, [f"_e{i}" for i in range(len(columns))], "_name", "_e")
+    cells = (
+        long.where(F.col("_e").isNotNull())
+        .groupBy(*group, "_name", F.col("_e._r").alias("_r"), F.col("_e.value").alias("value"))
         .agg(*[F.sum(n).alias(n) for n in sums])
     )
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("_name", 3, 9).cast("int") + 1)
+    return cells.withColumn("feature", named).drop("_name")
 
 
 def exact_quantiles(
@@ -325,8 +328,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per (group, feature), `q0..`, plus the count `n`.
 
-    Built on running counts, so no task holds the distinct values of a whole column.
+    Without groups, exact counts per value range tell which ranges hold the wanted ranks, and only the
+    rows of those ranges are shuffled and ordered.  With groups, running counts cover all ranges.
     """
+    if not group:
+        return _quantiles_by_range(df, list(columns), list(probs), parts)
     group = list(group)
     cells = long_cells(df, columns, group, {"n": F.lit(1).cast("long")}, parts)
     cum = accumulate(cells, [*group, "feature"], "value", ["n"])
@@ -348,6 +354,63 @@ def exact_quantiles(
     )
 
 
+def _long_ranges(ranged: DataFrame, names: dict[str, str], wanted: dict[str, set[float]] | None = None) -> DataFrame:
+    """(feature number, range, value) rows of several columns, optionally only of the wanted ranges."""
+    entries = []
+    for i, (c, r) in enumerate(names.items()):
+        known = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        if wanted is not None:
+            known = known & F.col(r).isin([float(x) for x in wanted[c]])
+        entry = F.struct(F.col(r).alias("_r"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"))
+        entries.append(F.when(known, entry).alias(str(i)))
+    long = ranged.select(*entries).unpivot([], [str(i) for i in range(len(names))], "feature", "_e")
+    return long.where(F.col("_e").isNotNull()).select(F.col("feature").cast("int").alias("feature"), "_e.*")
+
+
+def _quantiles_by_range(df: DataFrame, columns: list[str], probs: list[float], parts: int | None) -> DataFrame:
+    spark = df.sparkSession
+    if parts is None:
+        parts = max(64, min(2_000, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    ranged, names = with_ranges(df.select(*columns), columns, parts)
+    counts: dict[str, dict[float, int]] = {c: {} for c in columns}
+    for row in _long_ranges(ranged, names).groupBy("feature", "_r").count().collect():  # columns x ranges numbers
+        counts[columns[row["feature"]]][row["_r"]] = row["count"]
+    targets, wanted = [], {c: set() for c in columns}
+    for i, c in enumerate(columns):
+        n = sum(counts[c].values())
+        for j, p in enumerate(probs if n else []):
+            for side, rank in enumerate((math.floor((n - 1) * p), math.ceil((n - 1) * p))):
+                before = 0
+                for r in sorted(counts[c]):
+                    if rank < before + counts[c][r]:
+                        targets.append((i, r, j, side, rank - before))
+                        wanted[c].add(r)
+                        break
+                    before += counts[c][r]
+    found: dict[tuple[int, int, int], float] = {}
+    if targets:
+        cells = _long_ranges(ranged, names, wanted).groupBy("feature", "_r", "value").agg(F.count(F.lit(1)).alias("n"))
+        inner = Window.partitionBy("feature", "_r").orderBy("value")
+        cum = cells.withColumn("cum", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        asked = spark.createDataFrame(targets, "feature int, _r double, prob int, side int, rank long")
+        hits = cum.join(F.broadcast(asked), ["feature", "_r"])  # two rows per column and probability
+        hits = hits.where((F.col("cum") > F.col("rank")) & (F.col("cum") - F.col("n") <= F.col("rank")))
+        for row in hits.select("feature", "prob", "side", "value").collect():
+            found[row["feature"], row["prob"], row["side"]] = row["value"]
+    rows = []
+    for i, c in enumerate(columns):
+        n = sum(counts[c].values())
+        if not n:
+            continue
+        values = []
+        for j, p in enumerate(probs):
+            lo, hi, h = found[i, j, 0], found[i, j, 1], (n - 1) * p
+            values.append(float(lo + (hi - lo) * (h - math.floor(h))))
+        rows.append((c, n, *values))
+    schema = "feature string, n long, " + ", ".join(f"q{j} double" for j in range(len(probs)))
+    return spark.createDataFrame(rows, schema)
+
+
 def hash_order(keys: Sequence[str | Column], seed: int) -> Column:
     """A reproducible pseudo-random order: hex digest of the key text and a seed."""
     return F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed))))
