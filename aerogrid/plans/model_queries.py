@@ -227,7 +227,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- preparation pipelines
 
 
-@query("preparation_pipeline", "X-15")
+@query("preparation_replayed", "X-15")
 def _(spark, d):
     f = S.features(spark, d).select("l_orderkey", "l_linenumber", "y", *_FC)
     flow = stages.preparation(_FC, label="y", select="f_score", share=0.5)
