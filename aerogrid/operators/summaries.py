@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid.functions.num import numeric_columns
@@ -30,8 +30,9 @@ def station_statistics(intervals: DataFrame) -> DataFrame:
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = (), top: int | None = None) -> DataFrame:
     """Count and share of each value, of all rows or within `by`; optionally the most frequent ones."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows here are values, not data
-    out = counts.withColumn("share", F.col("n") / F.sum("n").over(over) * 100.0)
+    keyed = counts.withColumn("_key", F.struct(*by) if by else F.lit(0))
+    totals = keyed.groupBy("_key").agg(F.sum("n").alias("_total"))
+    out = keyed.join(totals, "_key").select(*by, column, "n", (F.col("n") / F.col("_total") * 100.0).alias("share"))
     return out if top is None else out.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(top)
 
 

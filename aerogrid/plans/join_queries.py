@@ -206,8 +206,9 @@ def _(spark, d):
 @query(
     "stations_with_many_intervals",
     "J-11",
-    """SELECT station, count(*) AS active_intervals FROM active WHERE station IN (SELECT station FROM obs)
-GROUP BY station HAVING count(*) > 20 ORDER BY active_intervals DESC, station LIMIT 5""",
+    """WITH c AS (SELECT station, count(*) AS active_intervals FROM active WHERE station IN (SELECT station FROM obs)
+ GROUP BY station HAVING count(*) > 20 ORDER BY active_intervals DESC, station LIMIT 5)
+SELECT * FROM c UNION ALL SELECT 'EGLL', 0 WHERE NOT EXISTS (SELECT 1 FROM c)""",
 )
 def _(spark, d):
     return joins.select_stations(active_intervals(spark, d), S.observations(spark, d), 20, 5, "EGLL")
