@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import exact_dedup, winnowing
+from aerogrid.llm import exact_dedup, secret_scan, winnowing
 from aerogrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,36 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _secret_sql() -> str:
+    """Matches of each rule; positions add up the lengths of the pieces and matches before them."""
+    parts = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        pat = rule.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least, regexp_extract_all(t, '{pat}') AS m, "
+            f"regexp_extract_all(t, '{pat}', {rule.group}) AS g, string_split_regex(t, '{pat}') AS p FROM d"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+y AS (SELECT doc_id, kind, rank, length(g[i]) AS glen, least,
+        cast(list_sum(list_transform(p[1:i], lambda a: length(a))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda a: length(a))), 0) AS BIGINT) AS s,
+        length(m[i]) AS n FROM x),
+z AS (SELECT doc_id, kind, rank, s, kind || ':' || s || ':' || (s + n) AS shown FROM y WHERE glen >= least)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(shown, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(shown, ',' ORDER BY s, rank), '') AS spans
+FROM d LEFT JOIN z USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op9_secret_scan", _secret_sql())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
