@@ -39,3 +39,13 @@ def ascii_lower(text: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """A 128-bit key of (id, text), never null; only rows equal in both share it."""
     return [F.xxhash64(doc_id, text).alias("_k1"), F.xxhash64(F.lit(11), text, doc_id).alias("_k2")]
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """`docs` as one struct column `_row`, which no other name can clash with, and the given columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
+def tie_order(docs: DataFrame, *left_out: str) -> Column:
+    """Text of all columns of `_row` but the given ones, to choose among rows that are else alike."""
+    return F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"_row.`{c}`") for c in docs.columns if c not in left_out]))

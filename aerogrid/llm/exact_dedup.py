@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerogrid.llm.common import broadcast_if_small
+from aerogrid.llm.common import broadcast_if_small, packed, tie_order
 from aerogrid.session import settle
 
 
@@ -30,11 +30,6 @@ def _collided(hashed: DataFrame, counts: DataFrame) -> DataFrame | None:
     return None if bad.isEmpty() else bad
 
 
-def _hashed(docs: DataFrame, text_col: str, hashing: Callable[[Column], Column]) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("*", text.alias("_text"), hashing(text).alias("_h"))
-
-
 def _with_variant(hashed: DataFrame, bad: DataFrame | None) -> DataFrame:
     """Add `_variant`: the text where the hash is shared by different texts, else null."""
     if bad is None:
@@ -55,8 +50,8 @@ def exact_duplicates(
     smaller than any other; of repeated rows with the same id and text exactly one is kept.  An empty
     table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"))
-    hashed = _hashed(rows, "_raw", hashing).drop("_raw")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    hashed = rows.withColumn("_h", hashing(F.col("_text")))
     digest = F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")
     light = settle(hashed.groupBy("_h", "_id", digest).agg(F.count(F.lit(1)).alias("_c")))
     bad = _collided(hashed, light.groupBy("_h").agg(F.sum("_c").alias("_n")))
@@ -89,11 +84,9 @@ def drop_exact_duplicates(
 
     Rows that tie in text and id are told apart by their other columns, so reruns agree.
     """
-    columns = docs.columns
-    others = [F.col(f"`{c}`") for c in columns if c != text_col]
-    order = F.struct(F.col(f"`{id_col}`"), F.to_json(F.struct(*others)))
-    hashed = _hashed(docs, text_col, hashing)
+    marked = packed(docs, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    hashed = marked.withColumn("_h", hashing(F.col("_text")))
     counts = settle(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")))
-    marked = _with_variant(hashed, _collided(hashed, counts))
-    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("_row")
-    return marked.groupBy("_h", "_variant").agg(best).select("_row.*")
+    order = F.struct(F.col(f"_row.`{id_col}`"), tie_order(docs, text_col))
+    best = F.max_by("_row", order).alias("_row")
+    return _with_variant(hashed, _collided(hashed, counts)).groupBy("_h", "_variant").agg(best).select("_row.*")

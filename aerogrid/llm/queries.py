@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import exact_dedup, language_id, mixing, quality, secret_scan, winnowing
+from aerogrid.llm import exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, winnowing
 from aerogrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,31 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) AS sh,
+        CASE WHEN len(w) = 0 THEN 'text ' || t ELSE 'set ' END AS k FROM d),
+named AS (SELECT doc_id, sh, k = 'set ' AS worded, CASE WHEN k = 'set ' THEN k || md5(array_to_string(sh, '|')) ELSE k END AS name FROM s),
+sets AS (SELECT name, min(doc_id) AS set_id, any_value(sh) AS sh, bool_and(worded) AS worded FROM named GROUP BY name),
+x AS (SELECT set_id, len(sh) AS n, unnest(sh) AS g FROM sets WHERE worded),
+pairs AS (SELECT a.set_id AS a, b.set_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+          FROM x a JOIN x b ON a.g = b.g AND a.set_id <> b.set_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE c >= 0.8 * (na + nb - c)),
+reach AS (SELECT set_id AS v, set_id AS r FROM sets UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT v, min(r) AS class_id FROM reach GROUP BY v),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, sets.set_id, coalesce(n_links, 0) AS n_links
+FROM named JOIN sets USING (name) JOIN comp ON comp.v = sets.set_id LEFT JOIN n ON n.a = sets.set_id
+"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -105,3 +131,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 @query("op10_benchmark_decontamination", OP10_SQL)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerogrid.llm.common import ascii_lower, broadcast_if_small, let, row_key
+from aerogrid.llm.common import ascii_lower, broadcast_if_small, let, packed, row_key
 from aerogrid.session import settle
 
 #: Fixed by the contract: runs of these characters are words, after A-Z became lower case.
@@ -39,8 +39,8 @@ def _fingerprints(tokens: Column, length: int, gram: int) -> Column:
 
     def grams(h: Column) -> Column:
         hashed = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])
-        packed = lambda i: F.shiftleft(hashed(i), BITS).bitwiseOR(i.bitwiseAND(F.lit(mask)))
-        return F.transform(F.sequence(F.lit(0).cast("long"), (F.size(h) - k).cast("long")), packed)
+        tagged = lambda i: F.shiftleft(hashed(i), BITS).bitwiseOR(i.bitwiseAND(F.lit(mask)))
+        return F.transform(F.sequence(F.lit(0).cast("long"), (F.size(h) - k).cast("long")), tagged)
 
     def least(g: Column) -> Column:
         if w == 1:
@@ -118,8 +118,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *keys)
     found = _occurrences(keyed, items, options.get("item_col", "item_id"), options.get("item_text_col", "text"), window, gram)
     bad = _summary(found).where((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n"))).select("_k1", "_k2")
-    marked = docs.select("*", *keys)
-    return marked.join(broadcast_if_small(settle(bad)), ["_k1", "_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return packed(docs, *keys).join(broadcast_if_small(settle(bad)), ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def _occurrences(keyed: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, gram: int) -> DataFrame:
