@@ -28,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
     A column used inside a lambda is otherwise computed again for every element.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, winnowing
+from aerogrid.llm import exact_dedup, language_id, mixing, ngram_join, pii, quality, secret_scan, winnowing
 from aerogrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,15 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+#: Of the registered query only; a real run takes its key from where secrets are kept.
+PII_KEY = "registered query"
+
+
+@query("op3_pii_pseudonyms")
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
