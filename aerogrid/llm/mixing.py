@@ -32,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 
 def fit_budget(counts: dict[int, int], budget: int, knapsack: int = KNAPSACK_WORDS) -> dict[int, int]:
-    """How many documents of each length to take so that their words come as near below `budget` as found.
+    """How many documents of each length to take so that their words come as near to `budget` as found.
 
     `counts` holds the documents per length; the dynamic program covers the last `knapsack` words.
     """
@@ -47,23 +47,31 @@ def fit_budget(counts: dict[int, int], budget: int, knapsack: int = KNAPSACK_WOR
         more = min(counts[n] - taken[n], left // n)
         taken[n] += more
         left -= more * n
-    for n, c in _knapsack({n: counts[n] - taken[n] for n in counts if 0 < n <= left}, left).items():
+    for n, c in _knapsack({n: counts[n] - taken[n] for n in counts if 0 < n <= 2 * left and counts[n] > taken[n]}, left).items():
         taken[n] += c
     return taken
 
 
 def _knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """Bounded knapsack: bit i of `reach` says that i words can be made up; lots double in size."""
+    """Bounded knapsack: bit i of `reach` says that i words can be made up; lots double in size.
+
+    The sum nearest to the budget is taken, the lower one of two as near.
+    """
     reach, lots = 1, []
-    mask = (1 << (budget + 1)) - 1
+    most = budget + max(counts, default=0)
+    mask = (1 << (most + 1)) - 1
     for n in sorted(counts, reverse=True):
-        rest, lot = min(counts[n], budget // n), 1
+        rest, lot = min(counts[n], most // n), 1
         while rest > 0 and not reach >> budget & 1:
             lot = min(lot, rest)
             lots.append((n, lot, reach))
             reach |= reach << n * lot & mask
             rest, lot = rest - lot, lot * 2
-    words, taken = reach.bit_length() - 1, {}
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    nearest_above = budget + (above & -above).bit_length() if above else None
+    words = below if nearest_above is None or budget - below <= nearest_above - budget else nearest_above
+    taken: dict[int, int] = {}
     for n, lot, before in reversed(lots):
         if not before >> words & 1:
             taken[n] = taken.get(n, 0) + lot

@@ -206,7 +206,7 @@ def _near_by_signature(least_alike: float):
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of all pairwise intersections."""
+    """Matrix of the sizes of all intersections of two different sets."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times > 1)

@@ -29,9 +29,10 @@ FORMATS = {
     "date": r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<![\d+])\+(?!1)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<![\d(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
 }
 KINDS = tuple(FORMATS)
 #: Any format.  The names start at a letter or digit, the numbers at one of three kinds of character.
@@ -230,7 +231,8 @@ def _kind(value: Column) -> Column:
     """The first format that the whole value has."""
     out = None
     for kind, pattern in FORMATS.items():
-        fits = value.rlike(f"^(?:{pattern})$")
+        alone = pattern.replace(r"\2", r"\1") if kind == "card" else pattern  # the only group there
+        fits = value.rlike(f"^(?:{alone})$")
         out = F.when(fits, F.lit(kind)) if out is None else out.when(fits, F.lit(kind))
     return out
 
