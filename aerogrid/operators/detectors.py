@@ -9,13 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerogrid.operators import reduction
 from aerogrid.operators.ordering import exact_quantiles
 from aerogrid.session import settle
 
-MAX_REFERENCE_ROWS = 5_000  # rows a neighbour reference may have
-
 
 def flag_highest(df: DataFrame, score: str, share: float, out: str) -> DataFrame:
     """Flag the rows whose score exceeds the exact (1 - share) quantile."""
@@ -60,6 +59,11 @@ def _paths(node: dict, x: np.ndarray, depth: float) -> np.ndarray:
     return out
 
 
+def sample_limit(rows: int, sample: int) -> int:
+    """The 64-bit hash value up to which about twice `sample` of `rows` rows lie."""
+    return -(1 << 63) + min((1 << 64) - 1, (2 * sample << 64) // max(rows, 1))
+
+
 def fit_isolation_forest(
     df: DataFrame, columns: Sequence[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42
 ) -> list[str]:
@@ -70,11 +74,9 @@ def fit_isolation_forest(
     """
     columns = list(columns)
     n = df.count()
-    share = min(1.0, 2.0 * sample / max(n, 1))
-    limit = int(share * 1_000_000)
+    limit = sample_limit(n, sample)
     draws = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1_000_000)) < F.lit(limit),
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)) <= F.lit(limit)
     )
     rows = df.select(F.explode(draws).alias("tree"), key, *[F.col(c).cast("double").alias(c) for c in columns])
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.lit(seed), F.col("tree")), key)
@@ -149,38 +151,63 @@ def robust_distance(
 # ---------------------------------------------------------------- local density
 
 
-def local_outlier_scores(
-    df: DataFrame, reference: DataFrame, columns: Sequence[str], k: int = 20, out: str = "score"
-) -> DataFrame:
-    """Local outlier factor of every row relative to a small reference table.
+def _cells(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """Add `_cell`: rows close in space share one.
 
-    The reference must have at most MAX_REFERENCE_ROWS rows (checked, never cut): it goes to every task
-    and each row looks up its nearest neighbours there, so no pairs of data rows are formed.
+    Cells with more than `most` rows are halved at the median of their widest column, again and again;
+    each level sums up the cells and moves no rows to a common place.  Cells of equal points are dealt out by hash.
     """
     columns = list(columns)
-    rows = reference.select(*columns).dropna().limit(MAX_REFERENCE_ROWS + 1).collect()
-    if len(rows) > MAX_REFERENCE_ROWS:
-        raise ValueError(f"the reference has more than {MAX_REFERENCE_ROWS} rows; aggregate it first")
-    ref = np.array([[float(v) for v in r] for r in rows])
-    k = min(k, len(ref) - 1)
-    apart = np.sqrt(((ref[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)) if len(ref) <= 1_000 else np.stack(
-        [np.sqrt(((ref - p) ** 2).sum(axis=1)) for p in ref]
-    )
-    np.fill_diagonal(apart, np.inf)
-    near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-    reach = np.take_along_axis(apart, near, axis=1).max(axis=1)
-    density = 1.0 / (np.maximum(np.take_along_axis(apart, near, axis=1), reach[near]).mean(axis=1) + 1e-10)
+    placed = df.withColumn("_cell", F.lit(1).cast("long"))  # halves of cell c are 2c and 2c + 1; dealt cells are negative
+    while True:
+        stats = [F.struct((F.max(c) - F.min(c)).alias("wide"), F.lit(i).alias("axis"), F.percentile_approx(c, 0.5, 200).alias("mid"), F.max(c).alias("top")) for i, c in enumerate(columns)]
+        cells = placed.where("_cell > 0").groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.array_max(F.array(*stats)).alias("_s"))
+        cells = settle(cells.where(F.col("_n") > most))
+        n_cells = cells.count()
+        if not n_cells:
+            return placed
+        value = F.element_at(F.array(*columns), F.col("_s.axis") + 1)
+        upper = F.when(F.col("_s.mid") < F.col("_s.top"), value > F.col("_s.mid")).otherwise(value >= F.col("_s.top"))
+        lot = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("_n") / most))
+        own = (
+            F.when(F.col("_n").isNull(), F.col("_cell"))
+            .when(F.col("_s.wide") > 0, F.col("_cell") * 2 + upper.cast("long"))
+            .otherwise(-F.pmod(F.xxhash64("_cell", lot), F.lit(1 << 62)) - 1)
+        )
+        joined = placed.join(F.broadcast(cells) if n_cells <= 100_000 else cells, "_cell", "left")
+        placed = settle(joined.select(*df.columns, own.alias("_cell")))
 
-    @F.pandas_udf("double")
-    def score(*series: pd.Series) -> pd.Series:
-        x = np.column_stack([s.fillna(0.0).to_numpy(dtype=float) for s in series])
-        made = np.empty(len(x))
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            d = np.sqrt(((part[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
-            close = np.argpartition(d, k - 1, axis=1)[:, :k]
-            own = 1.0 / (np.maximum(np.take_along_axis(d, close, axis=1), reach[close]).mean(axis=1) + 1e-10)
-            made[at : at + 512] = density[close].mean(axis=1) / own
-        return pd.Series(made)
 
-    return df.withColumn(out, score(*[F.col(c).cast("double") for c in columns]))
+def local_outlier_scores(
+    df: DataFrame, columns: Sequence[str], k: int = 20, out: str = "score", cell_rows: int = 2_000
+) -> DataFrame:
+    """Local outlier factor of every row among the rows of its cell of space.
+
+    Columns are scaled to unit deviation; missing values count as the mean.  Neighbours across a cell's
+    border are not seen, so cells are kept much larger than `k`.
+    """
+    columns = list(columns)
+    stats = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    scaled = [
+        (F.coalesce((F.col(c) - F.lit(stats[f"a{i}"])) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0))).alias(f"_x{i}")
+        for i, c in enumerate(columns)
+    ]
+    names = [f"_x{i}" for i in range(len(columns))]
+    placed = _cells(df.select(*df.columns, *scaled), names, cell_rows)
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[names].to_numpy(dtype=float)
+        near = min(k, len(x) - 1)
+        if near < 1:
+            return rows.drop(columns=[*names, "_cell"]).assign(**{out: 1.0})
+        squares = (x**2).sum(axis=1)
+        apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0.0))
+        np.fill_diagonal(apart, np.inf)
+        close = np.argpartition(apart, near - 1, axis=1)[:, :near]
+        distance = np.take_along_axis(apart, close, axis=1)
+        reach = distance.max(axis=1)
+        density = 1.0 / (np.maximum(distance, reach[close]).mean(axis=1) + 1e-10)
+        return rows.drop(columns=[*names, "_cell"]).assign(**{out: density[close].mean(axis=1) / density})
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    return placed.groupBy("_cell").applyInPandas(score, schema)

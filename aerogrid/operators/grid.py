@@ -111,7 +111,7 @@ def forecast_on_grid(forecasts: DataFrame, columns: Sequence[str], minutes: int
     steps = forecasts.where(F.col("valid_to") >= F.col("valid_from")).select(
         "station", "issue_time", F.explode(F.sequence(start, F.col("valid_to"), step)).alias("ts"), *columns
     )
-    newest = F.max_by(F.struct(*columns), F.col("issue_time"))
+    newest = F.max_by(F.struct(*columns), F.struct("issue_time", *columns))  # equal issues: the greater values
     return (
         steps.groupBy("station", "ts")
         .agg(newest.alias("f"))
@@ -126,12 +126,13 @@ def time_gaps(df: DataFrame, limit_hours: float = 24, ingest: str = "event_id")
         df, lambda w: [(us - F.lag(us).over(w)).alias("_gap")], back=1, keep=["station", "ts", ingest]
     )
     in_order = over_series(
-        df.select("station", "ts", ingest, from_us(F.col(ingest) * 1_000_000).alias("_seq")),
+        df.select("station", "ts", ingest, from_us(F.col(ingest)).alias("_seq")),
         lambda w: [(us - F.lag(us).over(w)).alias("_jump")],
         ts="_seq",
         tie=ingest,
         back=1,
         keep=["station"],
+        bucket_seconds=1,  # a million ids
     )
     gaps = forward.groupBy("station").agg(
         F.count_if(F.col("_gap") > F.lit(int(limit_hours * 3_600_000_000))).alias("large_gaps"),

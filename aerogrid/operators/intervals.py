@@ -22,6 +22,7 @@ from aerogrid.operators.ordering import largest_group, max_group_rows, positions
 
 SMALL_INTERVALS = 50_000  # intervals whose step function may be broadcast
 SMALL_BUCKET = 256  # most interval ends in one station-hour for the broadcast form
+BROADCAST_HOURS = 500_000  # station-hours of segments that may go to every task
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,8 @@ def grid_labels(
         hi = F.greatest(lo, floor_time(end - micro, minutes))
     else:
         raise ValueError(f"unknown bounds {bounds}")
+    first, last = grid.agg(F.min("ts"), F.max("ts")).first()  # steps outside the grid label nothing
+    lo, hi = F.greatest(lo, F.lit(first)), F.least(hi, F.lit(last))
     covered = intervals.select("station", lo.alias("_lo"), hi.alias("_hi"), *[F.expr(m.value).alias(m.name) for m in measures])
     steps = (
         covered.where(F.col("_lo") <= F.col("_hi"))
@@ -190,6 +193,7 @@ def label_points(
                segment at or before it; over-full buckets are salted.
     """
     size = _interval_size(intervals)
+    asked = strategy
     if strategy == "auto":
         strategy = "broadcast" if size[0] <= SMALL_INTERVALS and size[1] <= SMALL_BUCKET else "sorted"
     names = [m.name for m in measures]
@@ -201,6 +205,10 @@ def label_points(
     spread = segments.where(known).withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("from_us") / hour), F.floor((F.col("to_us") - 1) / hour)))
     )
+    if strategy == "broadcast" and asked == "auto":  # long segments stand in every hour they cover
+        hours = F.floor((F.col("to_us") - 1) / hour) - F.floor(F.col("from_us") / hour) + 1
+        if (segments.where(known).agg(F.sum(hours)).first()[0] or 0) > BROADCAST_HOURS:
+            strategy = "sorted"
     tagged = points.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / hour))
     if strategy == "broadcast":
         right = F.broadcast(spread.withColumnsRenamed({"station": "_st", "_b": "_rb"}))

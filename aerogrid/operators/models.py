@@ -27,9 +27,9 @@ from aerogrid.session import checkpoint_dir, settle
 
 # Settings of the four classifiers of the balanced flow.
 SETTINGS = {
-    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"},
+    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024},
     "gradient_boosting": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8},
-    "logistic_regression": {"maxIter": 1000, "regParam": 0.0},
+    "logistic_regression": {"maxIter": 1000},  # the penalty is that of C = 1, see fit()
     "neural_network": {"hidden": [100, 50], "maxIter": 500},
 }
 
@@ -62,6 +62,8 @@ def pipeline(kind: str, columns: Sequence[str], label: str, weight: str | None =
 
 def fit(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, **kw) -> PipelineModel:
     checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
+    if kind == "logistic_regression" and "regParam" not in kw:
+        kw["regParam"] = 1.0 / max(1, df.count())  # the loss here is a mean, not a sum
     return pipeline(kind, columns, label, weight, **kw).fit(df)
 
 
@@ -122,7 +124,7 @@ def train_many(df: DataFrame, test: DataFrame, runs: dict[str, dict], columns: S
             row = evaluate(score(model, test), label).first()
             return (name, *[float(v) if v is not None else None for v in row], time.monotonic() - began, None)
         except Exception as e:  # a failed run is a result too
-            return (name, None, None, None, None, None, time.monotonic() - began, str(e)[:500])
+            return (name, None, None, None, None, None, time.monotonic() - began, str(e))
 
     with ThreadPoolExecutor(min(len(runs), 4)) as pool:
         rows = list(pool.map(one, runs.items()))
@@ -245,29 +247,30 @@ def perturbation_importance(model: PipelineModel, df: DataFrame, columns: Sequen
 # ---------------------------------------------------------------- feature selection by models
 
 
+def elimination_path(df: DataFrame, columns: Sequence[str], label: str, kind: str, least: int, **kw) -> list[list[str]]:
+    """The feature sets from all columns down to `least`: fit, drop the least important feature, repeat."""
+    path = [list(columns)]
+    while len(path[-1]) > least:
+        model = fit(df, kind, path[-1], label, **kw)
+        ranked = [r["feature"] for r in importances(model, path[-1], df.sparkSession).collect()]
+        path.append([c for c in path[-1] if c != ranked[-1]])
+    return path
+
+
 def eliminate_features(
     df: DataFrame, columns: Sequence[str], label: str, keep: int, kind: str = "random_forest", **kw
 ) -> list[str]:
-    """Recursive elimination: fit, drop the least important feature, repeat."""
-    left = list(columns)
-    while len(left) > keep:
-        model = fit(df, kind, left, label, **kw)
-        ranked = [r["feature"] for r in importances(model, left, df.sparkSession).collect()]
-        left = [c for c in left if c != ranked[-1]]
-    return left
+    """Recursive elimination down to `keep` features."""
+    return elimination_path(df, columns, label, kind, keep, **kw)[-1]
 
 
 def eliminate_by_validation(
     df: DataFrame, columns: Sequence[str], label: str, keys: Sequence[str], kind: str = "random_forest", k: int = 3, **kw
 ) -> list[str]:
     """The feature set of the elimination path with the best cross-validated AUC."""
-    best, chosen = -1.0, list(columns)
-    for size in range(len(columns), 0, -1):
-        left = eliminate_features(df, columns, label, size, kind, **kw)
-        auc = cross_validate(df, kind, left, label, keys, k, **kw).agg(F.avg("auc")).first()[0] or 0.0
-        if auc > best:
-            best, chosen = auc, left
-    return chosen
+    path = elimination_path(df, columns, label, kind, 1, **kw)
+    aucs = [cross_validate(df, kind, left, label, keys, k, **kw).agg(F.avg("auc")).first()[0] or 0.0 for left in path]
+    return path[aucs.index(max(aucs))]
 
 
 def lasso_features(df: DataFrame, columns: Sequence[str], label: str, strength: float = 0.001) -> list[str]:

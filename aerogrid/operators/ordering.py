@@ -111,6 +111,7 @@ def over_series(
     keep: Sequence[str] | None = None,
     strategy: str = "auto",
     sizes: DataFrame | None = None,
+    bucket_seconds: int = 86_400,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `back` rows back and `ahead` rows ahead.
 
@@ -127,7 +128,7 @@ def over_series(
     if strategy == "plain":
         return df.select(*kept, *build(Window.partitionBy(*group).orderBy(ts, tie)))
     size = max(_limit(df, BLOCK_ROWS, 500_000), back + ahead, 1)
-    placed = positions(df, group, ts, tie)
+    placed = positions(df, group, ts, tie, bucket_seconds=bucket_seconds)
     own = F.floor(F.col("_pos") / F.lit(size)).cast("long")
     rest = F.col("_pos") % F.lit(size)
     copies = F.array_compact(
@@ -211,7 +212,7 @@ def fill_series(
 def value_splits(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Cut points that spread the values of numeric columns evenly (one pass, mergeable sketches)."""
     columns = list(columns)
-    parts = parts or max(2, min(2_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     probs = [i / parts for i in range(1, parts)]
     numbers = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
     cuts = numbers.approxQuantile(numbers.columns, probs, min(0.01, 0.25 / parts))
@@ -370,7 +371,7 @@ def _long_ranges(ranged: DataFrame, names: dict[str, str], wanted: dict[str, set
 def _quantiles_by_range(df: DataFrame, columns: list[str], probs: list[float], parts: int | None) -> DataFrame:
     spark = df.sparkSession
     if parts is None:
-        parts = max(64, min(2_000, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+        parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     ranged, names = with_ranges(df.select(*columns), columns, parts)
     counts: dict[str, dict[float, int]] = {c: {} for c in columns}
     for row in _long_ranges(ranged, names).groupBy("feature", "_r").count().collect():  # columns x ranges numbers

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorSlicer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from aerogrid.functions.num import clip, flag, right_closed
 from aerogrid.functions.weather import wind_quadrant
 from aerogrid.operators.ordering import exact_quantiles, positions
 
-MAX_CATEGORIES = 1_000  # more categories than this are not turned into indicator columns
 
 
 # ---------------------------------------------------------------- scalar fits
@@ -47,10 +47,8 @@ def most_frequent(df: DataFrame, column: str):
 
 
 def distinct_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column with few of them; the bound is checked, never cut."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values; use target encoding")
+    """Sorted distinct values of a column; each becomes a column name, so they come to the driver."""
+    rows = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
     return sorted(r[0] for r in rows)
 
 
@@ -91,13 +89,26 @@ def wind_quadrants(df: DataFrame, column: str, prefix: str) -> DataFrame:
 def one_hot(
     df: DataFrame, column: str, prefix: str, values: Sequence | None = None, drop_first: bool = False
 ) -> DataFrame:
-    """One 0/1 column per value, named prefix_value, after the existing columns."""
+    """One 0/1 column per value, named prefix_value, after the existing columns.
+
+    For a column with thousands of values `one_hot_vector` is the lighter form.
+    """
     values = list(values) if values is not None else distinct_values(df, column)
     if drop_first:
         values = values[1:]
     return df.select("*", *[flag(F.col(column) == v).alias(f"{prefix}_{v}") for v in values])
 
 
+def one_hot_vector(df: DataFrame, column: str, out: str, drop_first: bool = False) -> DataFrame:
+    """The indicators of `one_hot` as one sparse vector, for any number of values; missing values have none set."""
+    indexer = StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
+    indexed = indexer.transform(df)
+    sparse = OneHotEncoder(inputCol="_index", outputCol="_all", dropLast=False, handleInvalid="keep").fit(indexed).transform(indexed)
+    n = len(indexer.labels)
+    known = VectorSlicer(inputCol="_all", outputCol=out, indices=list(range(1 if drop_first else 0, n)))
+    return known.transform(sparse).drop("_index", "_all")
+
+
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0) -> DataFrame:
     """m-estimate target encoding: (sum of target + m * global mean) / (rows + m) per category.
 
@@ -254,8 +265,10 @@ class QuantileBins:
     edges: dict[str, list[float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> QuantileBins:
-        counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-        wide = [c for c in columns if counts[c] > self.bins]
+        rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        close = [c for c in columns if self.bins / 2 <= rough[c] <= 2 * self.bins]
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in close]).first() if close else {}
+        wide = [c for c in columns if (exact[c] if c in close else rough[c]) > self.bins]
         if wide:
             probs = [i / self.bins for i in range(self.bins + 1)]
             self.edges = {c: sorted(set(q)) for c, q in quantiles(df, wide, probs).items()}

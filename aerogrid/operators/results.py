@@ -81,9 +81,12 @@ def experiment_rollup(results: DataFrame, experiment: str, model: str, metric: s
 
 
 def rank_models(results: DataFrame, group: Sequence[str], metric: str, tie: str) -> DataFrame:
-    """Rank 1..n per experiment, best first; missing metrics last."""
-    w = Window.partitionBy(*group).orderBy(F.desc_nulls_last(metric), tie)
-    return results.withColumn("rank", F.row_number().over(w))
+    """Rank 1..n per experiment, best first; missing metrics last.  Only equal metrics meet in a task."""
+    placed = rank_scores(results, group, metric).withColumnRenamed("rank", "_first").withColumn("_group", F.struct(*group))
+    known = results.groupBy(F.struct(*group).alias("_group")).agg((F.count(metric) + 1).alias("_missing"))
+    among = F.row_number().over(Window.partitionBy("_group", metric).orderBy(tie))
+    first = F.coalesce("_first", "_missing")
+    return placed.join(known, "_group").select(*results.columns, (first + among - 1).cast("int").alias("rank"))
 
 
 def rank_scores(results: DataFrame, group: Sequence[str], metric: str) -> DataFrame:

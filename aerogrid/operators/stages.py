@@ -31,6 +31,7 @@ WEATHER_LAGS = {
     "visibility_m": [1, 3, 6],
     "pressure_hpa": [1, 3, 6, 12, 24],
 }
+BROADCAST_CATEGORIES = 400_000  # categories of a stored encoding that may go to every task
 HIGH_CARDINALITY = ("airport", "station", "city", "country")
 
 
@@ -103,10 +104,8 @@ def _fit_encode(df, s):
             rows = df.groupBy(c).agg(F.sum(F.col(s["label"]).cast("double")).alias("t"), F.count(s["label"]).alias("n"))
             total = rows.agg(F.sum("t"), F.sum("n")).first()
             out["prior"] = prior = float(total[0] or 0.0) / max(1, total[1] or 0)
-            listed = rows.limit(prep.MAX_CATEGORIES + 1).collect()
-            if len(listed) > prep.MAX_CATEGORIES:
-                raise ValueError(f"{c} has too many values for a stored encoding; join prep.target_encode instead")
-            out["target"][c] = {r[c]: (r["t"] + 10.0 * prior) / (r["n"] + 10.0) for r in listed if r[c] is not None}
+            # one number per category is part of the stored stage
+            out["target"][c] = {r[c]: (r["t"] + 10.0 * prior) / (r["n"] + 10.0) for r in rows.collect() if r[c] is not None}
         else:
             out["one_hot"][c] = prep.distinct_values(df, c)
     return out
@@ -197,11 +196,12 @@ def _apply_encode(df, s):
     for c, values in s["one_hot"].items():
         out = prep.one_hot(out, c, c, values, drop_first=True).drop(c)
     for c, means in s["target"].items():
-        value = None
-        for k, v in means.items():
-            value = F.when(F.col(c) == k, F.lit(v)) if value is None else value.when(F.col(c) == k, F.lit(v))
-        encoded = F.lit(s["prior"]) if value is None else value.otherwise(F.lit(s["prior"]))
-        out = out.withColumn(f"{c}_encoded", encoded)
+        kind = dict(df.dtypes)[c]
+        table = df.sparkSession.createDataFrame([(str(k), float(v)) for k, v in means.items()], "_k string, _v double")
+        table = table.select(F.col("_k").cast(kind).alias("_k"), "_v")
+        small = F.broadcast(table) if len(means) <= BROADCAST_CATEGORIES else table
+        out = out.join(small, out[c] == F.col("_k"), "left")
+        out = out.withColumn(f"{c}_encoded", F.coalesce("_v", F.lit(s["prior"]))).drop("_k", "_v")
         out = out if c in KEYS else out.drop(c)
     return out
 

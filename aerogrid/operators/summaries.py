@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.functions.num import numeric_columns
 from aerogrid.operators.ordering import exact_quantiles
+from aerogrid.session import settle
 
 
 def station_statistics(intervals: DataFrame) -> DataFrame:
@@ -30,9 +31,14 @@ def station_statistics(intervals: DataFrame) -> DataFrame:
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = (), top: int | None = None) -> DataFrame:
     """Count and share of each value, of all rows or within `by`; optionally the most frequent ones."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    keyed = counts.withColumn("_key", F.struct(*by) if by else F.lit(0))
-    totals = keyed.groupBy("_key").agg(F.sum("n").alias("_total"))
-    out = keyed.join(totals, "_key").select(*by, column, "n", (F.col("n") / F.col("_total") * 100.0).alias("share"))
+    counts = settle(counts)  # one row per value, read twice
+    if by:
+        keyed = counts.withColumn("_key", F.struct(*by))
+        totals = keyed.groupBy("_key").agg(F.sum("n").alias("_total"))
+        with_total = keyed.join(totals, "_key")
+    else:
+        with_total = counts.withColumn("_total", F.lit(counts.agg(F.sum("n")).first()[0]))
+    out = with_total.select(*by, column, "n", (F.col("n") / F.col("_total") * 100.0).alias("share"))
     return out if top is None else out.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(top)
 
 
@@ -114,5 +120,7 @@ def dataset_summary(df: DataFrame, columns: Sequence[str], ts: str = "ts") -> Da
 
 def content_hash(df: DataFrame) -> DataFrame:
     """Order-free hash of the content: equal tables give equal values however they are partitioned."""
-    h = F.xxhash64(*sorted(df.columns))
-    return df.agg(F.bit_xor(h).alias("hash_xor"), F.count(F.lit(1)).alias("rows"))
+    names = sorted(df.columns)
+    h = F.xxhash64(*[e for c in names for e in (F.col(c).isNull(), F.col(c))])  # nulls alone leave a hash as it is
+    total = F.sum(h.cast("decimal(20,0)"))  # pairs of equal rows cancel out in the exclusive or
+    return df.agg(F.bit_xor(h).alias("hash_xor"), total.alias("hash_sum"), F.count(F.lit(1)).alias("rows"))

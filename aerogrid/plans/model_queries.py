@@ -15,10 +15,12 @@ from aerogrid.sources import standins as S
 _FC = S.FEATURES
 _KEY = ["event_id"]
 _W = ["temperature_c", "dewpoint_c", "wind_speed_kt", "pressure_hpa"]
-FOREST = {"kind": "random_forest", "numTrees": 20, "maxDepth": 5}
-BOOSTED = {"kind": "gradient_boosting", "maxIter": 10, "maxDepth": 3}
-LOGISTIC = {"kind": "logistic_regression", "maxIter": 50}
-NEURAL = {"kind": "neural_network", "hidden": [16, 8], "maxIter": 40}
+# The settings of models.SETTINGS hold unless a query says otherwise.
+FOREST = {"kind": "random_forest"}
+BOOSTED = {"kind": "gradient_boosting"}
+LOGISTIC = {"kind": "logistic_regression"}
+NEURAL = {"kind": "neural_network"}
+
 
 
 def poor_conditions(spark, d):
@@ -60,12 +62,12 @@ def _(spark, d):
 @query("stacked_ensemble", "K-06")
 def _(spark, d):
     base = {"forest": FOREST, "linear": LOGISTIC}
-    return models.stack(poor_conditions(spark, d), base, _W, "y", _KEY, 3, maxIter=50).select("event_id", "y", "score")
+    return models.stack(poor_conditions(spark, d), base, _W, "y", _KEY).select("event_id", "y", "score")
 
 
 @query("cross_validation", "K-16 B-06")
 def _(spark, d):
-    return models.cross_validate(poor_conditions(spark, d), columns=_W, label="y", keys=_KEY, k=3, **FOREST)
+    return models.cross_validate(poor_conditions(spark, d), columns=_W, label="y", keys=_KEY, **FOREST)
 
 
 @query("train_many_models", "K-17 K-15")
@@ -153,7 +155,7 @@ def _(spark, d):
 @query("isolation_forest", "Q-10")
 def _(spark, d):
     obs = S.observations(spark, d).select("event_id", *_W)
-    forest = detectors.fit_isolation_forest(obs, _W, "event_id", trees=50)
+    forest = detectors.fit_isolation_forest(obs, _W, "event_id")
     scored = detectors.isolation_scores(obs, _W, forest)
     return detectors.flag_highest(settle(scored), "score", 0.01, "anomaly").select("event_id", "score", "anomaly")
 
@@ -167,16 +169,15 @@ def _(spark, d):
 
 @query("local_density", "Q-12")
 def _(spark, d):
-    obs = S.observations(spark, d).select("event_id", "station", "ts", *_W)
-    typical = obs.groupBy("station", D.hour().alias("hour")).agg(*[F.avg(c).alias(c) for c in _W])
-    scored = settle(detectors.local_outlier_scores(obs, typical, _W))
+    obs = S.observations(spark, d).select("event_id", *_W)
+    scored = settle(detectors.local_outlier_scores(obs, _W))
     return detectors.flag_highest(scored, "score", 0.01, "anomaly").select("event_id", "score", "anomaly")
 
 
 @query("detector_ensemble", "Q-13 Q-10 Q-11")
 def _(spark, d):
     obs = S.observations(spark, d).select("event_id", *_W)
-    forest = detectors.fit_isolation_forest(obs, _W, "event_id", trees=25)
+    forest = detectors.fit_isolation_forest(obs, _W, "event_id")
     both = settle(detectors.robust_distance(detectors.isolation_scores(obs, _W, forest), _W))
     both = detectors.flag_highest(both, "score", 0.01, "isolation_anomaly")
     both = detectors.flag_highest(both, "distance", 0.01, "covariance_anomaly")
@@ -210,7 +211,7 @@ def _(spark, d):
 @query("nonnegative_factors", "X-13")
 def _(spark, d):
     f = S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC)
-    return reduction.apply_nmf(f, reduction.fit_nmf(f, _FC, 2, iterations=5))
+    return reduction.apply_nmf(f, reduction.fit_nmf(f, _FC, 2))
 
 
 @query("random_projection", "X-14")

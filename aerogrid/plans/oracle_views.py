@@ -12,6 +12,11 @@ def _pick(index: str, values: list) -> str:
     return f"CASE {index} {arms} END"
 
 
+def _station(number: str) -> str:
+    letters = " || ".join(f"chr(CAST(65 + {number} // {26**i} % 26 AS INTEGER))" for i in (3, 2, 1, 0))
+    return f"coalesce({_pick(number, STATIONS)}, {letters})"
+
+
 _SIGNED = "(CASE WHEN {c} < 0 THEN 'M' ELSE '' END || lpad(CAST(CAST(floor(abs({c}) + 0.5) AS BIGINT) AS VARCHAR), 2, '0'))"
 
 
@@ -21,7 +26,7 @@ def _digits(c: str, width: int) -> str:
 
 VIEWS: dict[str, str] = {
     "base": f"""
-SELECT event_id, ts, event_type, {_pick('user_id % 4', STATIONS)} AS station,
+SELECT event_id, ts, event_type, {_station('user_id')} AS station,
   CAST(round(value * 100) AS BIGINT) AS vc,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
 FROM events""",
@@ -43,7 +48,7 @@ SELECT station, CASE WHEN vc % 10 = 9 THEN 'Airspace' ELSE 'Aerodrome' END AS lo
   'due to ' || coalesce({_pick('k % 8', REASONS)}, 'unknown') AS description,
   k % 4 = 0 AS cancelled, 30 + vc % 240 AS duration_min, vc % 500 AS delay_min, vc % 60 AS traffic,
   vc % 5 AS severity, event_id AS ordinal
-FROM base WHERE event_type = 'error' AND k < 8""",
+FROM base WHERE event_type = 'error'""",
     "raw_report": f"""
 SELECT event_id, station, ts, year(ts) AS "year", month(ts) AS "month", day(ts) AS "day", hour(ts) AS "hour",
   minute(ts) AS "minute",
@@ -66,7 +71,7 @@ FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS issu
         row_number() OVER (PARTITION BY station, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') ORDER BY ts, event_id) AS rn
       FROM obs) WHERE rn = 1""",
     "causes": f"""
-SELECT doc_id, {_pick('doc_id % 4', STATIONS)} AS station, ({_pick('doc_id % 7', CAUSES)}) || ' ' || text AS description
+SELECT doc_id, {_station('(doc_id // 10)')} AS station, ({_pick('doc_id % 7', CAUSES)}) || ' ' || text AS description
 FROM documents""",
     "features": """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_discount,

@@ -45,7 +45,8 @@ def _(spark, d):
     "read_forecast_files",
     "S-03 T-08",
     """SELECT station, issue_time, valid_from, valid_to, wind_speed_kt, wind_direction, visibility_m, floor(ceiling_ft / 100) * 100 AS ceiling_ft
-FROM forecast WHERE valid_from BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
+FROM forecast WHERE station IN ('EGLL', 'LSZH', 'LFPG', 'LOWW')
+ AND valid_from BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
 )
 def _(spark, d):
     root = scratch_path(spark, "forecasts")

@@ -1,12 +1,13 @@
 """File sources and sinks: observation, forecast and restriction files, feature tables, report dumps.
 
-Readers state their schema, keep malformed rows visible in `_corrupt_record`, and leave filters to the
+Readers state their schema, give malformed rows as a table of their own, and leave filters to the
 scan: Parquet filters push down, and a table written by `save_features(partition_by=...)` prunes folders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,22 @@ def _read_reports(spark: SparkSession, paths, schema: str, encoding: str, start,
     return df.drop("_path")
 
 
+def malformed_rows(spark: SparkSession, root: str, schema: str = OBSERVATION_SCHEMA, encoding: str = "UTF-8") -> DataFrame:
+    """The rows below `root` that do not fit the schema: source_file, line as it stands, and what could be read of it.
+
+    The readers leave these rows out, as they have no date to be selected by.
+    """
+    rows = _read_reports(spark, root, schema, encoding, None, None, False)
+    return rows.where(F.col("_corrupt_record").isNotNull()).drop("station").withColumnRenamed("_corrupt_record", "line")
+
+
+def files_by_encoding(spark: SparkSession, root: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """(path, encoding) of each file below `root`: UTF-8 where its bytes are, else the fallback."""
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    return content.select("path", F.when(utf8, F.lit("UTF-8")).otherwise(F.lit(fallback)).alias("encoding"))
+
+
 def read_observations(
     spark: SparkSession,
     root: str,
@@ -136,11 +153,18 @@ def read_observations(
 ) -> DataFrame:
     """Decoded observations of several stations from <root>/<station folder>/*.csv in the closed date range.
 
-    `layout` gives the station folder (`station={station}` for a partitioned layout), `encoding` names the fallback (ISO-8859-1 accepts every byte); `by_name` also prunes files by the
-    date in their name.
+    `layout` gives the station folder (`station={station}` for a partitioned layout); `by_name` also prunes
+    files by the date in their name.  `encoding` "auto" reads each file as UTF-8 or, if its bytes are not, as
+    ISO-8859-1; any other name holds for all files.  Rows that do not fit are in `malformed_rows`.
     """
     paths = [f"{root}/{layout.format(station=s)}" for s in stations]
-    rows = _read_reports(spark, paths, OBSERVATION_SCHEMA, encoding, start, end, by_name)
+    if encoding == "auto":
+        found = [r for p in paths for r in files_by_encoding(spark, p).collect()]  # one row per file
+        groups = {e: [r["path"] for r in found if r["encoding"] == e] for e in sorted({r["encoding"] for r in found})}
+        parts = [_read_reports(spark, own, OBSERVATION_SCHEMA, e, start, end, by_name) for e, own in groups.items()]
+        rows = reduce(DataFrame.unionByName, parts)
+    else:
+        rows = _read_reports(spark, paths, OBSERVATION_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows.withColumnRenamed("datetime", "ts"), "ts", start, end)
     return rows.select(
         "station", "ts", "source_file", "report", *T.decode_report("report"), *T.phenomenon_flags("report")

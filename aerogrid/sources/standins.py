@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from aerogrid.functions.timefeat import floor_time
 from aerogrid.sources.files import canonical_intervals
 
-STATIONS = ["EGLL", "LSZH", "LFPG", "LOWW"]  # fixed values: user_id % 4
+STATIONS = ["EGLL", "LSZH", "LFPG", "LOWW"]  # names of users 0 to 3; the others get four letters by number
 REASONS = [
     "W - Weather",
     "G - Aerodrome Capacity",
@@ -51,12 +51,18 @@ def _pick(index: str, values: list) -> str:
     return f"CASE {index} {arms} END"
 
 
+def _station(number: str) -> str:
+    """One station per number: a known name or four letters."""
+    letters = ", ".join(f"char(65 + {number} DIV {26**i} % 26)" for i in (3, 2, 1, 0))
+    return f"coalesce({_pick(number, STATIONS)}, concat({letters}))"
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "ts",
         "event_type",
-        f"{_pick('user_id % 4', STATIONS)} AS station",
+        f"{_station('user_id')} AS station",
         "CAST(round(value * 100) AS BIGINT) AS vc",
         "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k",
     )
@@ -99,7 +105,7 @@ def raw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = _pick("k % 8", REASONS)
     return (
         _base(spark, sf_dir)
-        .where("event_type = 'error' AND k < 8")
+        .where("event_type = 'error'")
         .selectExpr(
             "station AS `Protected Location Id`",
             "CASE WHEN vc % 10 = 9 THEN 'Airspace' ELSE 'Aerodrome' END AS `Protected Location Type`",
@@ -254,7 +260,7 @@ def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.expr(_pick("doc_id % 7", CAUSES))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.expr(_pick("doc_id % 4", STATIONS)).alias("station"),
+        F.expr(_station("(doc_id DIV 10)")).alias("station"),
         F.concat(phrase, F.lit(" "), F.col("text")).alias("description"),
     )
 

@@ -125,3 +125,21 @@ def test_gap_of_one_and_three_steps(spark):
         (minute(90), 1),
         (minute(120), 2),
     ]
+
+
+def test_an_open_ended_interval_is_clipped_to_the_grid(spark):
+    obs = spark.createDataFrame([("A", 1, minute(0)), ("B", 2, minute(600))], POINT)
+    spans = spark.createDataFrame([("A", 1, minute(90), at("9999-12-31 00:00:00"), 1), ("B", 2, at("1700-01-01 00:00:00"), minute(60), 2)], SPAN)
+    steps = grid.time_grid(obs)
+    got = intervals.grid_labels(steps, spans, 30, [ACTIVE], "half_open")
+    active = {(r["station"], r["ts"]) for r in got.where("active = 1").collect()}
+    assert active == {("A", minute(m)) for m in range(90, 601, 30)} | {("B", minute(m)) for m in (0, 30)}
+
+
+def test_long_segments_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BROADCAST_HOURS", 100)
+    points = spark.createDataFrame([("A", i, minute(i * 7)) for i in range(400)], POINT)
+    spans = spark.createDataFrame([("A", 1, minute(60), at("2030-01-01 00:00:00"), 1), ("A", 2, minute(500), minute(510), 3)], SPAN)
+    labelled = intervals.label_points(points, spans, [ACTIVE])
+    assert "BroadcastHashJoin" not in labelled._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    assert labelled.where("active = 1").count() == sum(1 for i in range(400) if i * 7 >= 60)

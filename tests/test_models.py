@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from aerogrid.operators import detectors, models, prep, reduction, selection, stages
+from aerogrid.operators import detectors, models, prep, reduction, selection, stages, summaries
 from aerogrid.session import scratch_path
 
 COLS = ["x0", "x1", "x2"]
@@ -65,7 +65,7 @@ def test_detectors_find_an_outlier(spark, table):
     forest = detectors.fit_isolation_forest(rows, COLS, "id", trees=20, sample=64)
     top = detectors.isolation_scores(rows, COLS, forest).orderBy(F.desc("score")).first()
     far = detectors.robust_distance(rows, COLS).orderBy(F.desc("distance")).first()
-    lone = detectors.local_outlier_scores(rows, table, COLS, 10).orderBy(F.desc("score")).first()
+    lone = detectors.local_outlier_scores(rows, COLS, 10).orderBy(F.desc("score")).first()
     assert top["id"] == far["id"] == lone["id"] == 9999
 
 
@@ -115,3 +115,39 @@ def test_scaler_round_trip(table):
             .first()[0]
         )
         assert worst < 1e-9
+
+
+def test_local_density_in_small_cells(spark, table):
+    """Halved cells still show the outlier; equal points beyond a cell's size are dealt out."""
+    odd = spark.createDataFrame([(9999, 25.0, -25.0, 25.0, 0)], table.schema)
+    same = spark.range(10_000, 10_300).selectExpr("id", *[f"CAST(0 AS DOUBLE) AS {c}" for c in COLS], "0 AS y")
+    rows = table.unionByName(odd).unionByName(same.select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes]))
+    scored = detectors.local_outlier_scores(rows, COLS, 10, cell_rows=100)
+    assert scored.count() == rows.count()
+    assert 9999 in {r["id"] for r in scored.orderBy(F.desc("score")).limit(3).collect()}
+
+
+def test_sampling_share_of_very_large_tables():
+    low, high = -(1 << 63), (1 << 63) - 1
+    assert detectors.sample_limit(100, 256) == high
+    for rows in (10**6, 10**9, 10**12, 10**15):
+        expected = (detectors.sample_limit(rows, 256) - low) / 2**64 * rows
+        assert 500 < expected < 524
+
+
+def test_many_categories(spark):
+    rows = spark.range(3_000).selectExpr("id", "concat('c', id % 1500) AS station", "CAST(id % 2 AS INT) AS y")
+    assert len(prep.one_hot(rows, "station", "s").columns) == 1_503
+    vectors = prep.one_hot_vector(rows, "station", "v").select("v").limit(5).collect()
+    assert all(r["v"].size == 1_500 and len(r["v"].indices) == 1 for r in vectors)
+    state = stages._fit_encode(rows, {"columns": ["station"], "label": "y"})
+    assert len(state["target"]["station"]) == 1_500
+    encoded = stages._apply_encode(rows.withColumn("station", F.when(F.col("id") > 0, F.col("station")).otherwise("new")), state)
+    assert encoded.count() == 3_000 and encoded.where("station_encoded IS NULL").count() == 0
+
+
+def test_content_hash_sees_pairs_and_nulls(spark):
+    tables = [[(1, 1), (1, 1)], [(2, 2), (2, 2)], [(1, None)], [(None, 1)], [(1, 1)]]
+    hashes = [tuple(summaries.content_hash(spark.createDataFrame(t, "a int, b int")).first()) for t in tables]
+    assert len(set(hashes)) == len(tables)
+    assert hashes[0] == tuple(summaries.content_hash(spark.createDataFrame(tables[0], "a int, b int").repartition(3)).first())
