@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerogrid.operators.ordering import hash_ranks, positions
+from aerogrid.operators.ordering import hash_pieces, hash_ranks, value_at
 
 
 def balance_windows(
@@ -25,10 +26,8 @@ def balance_windows(
     positives = sizes.get("positive", 0)
     from_window = min(sizes.get("window", 0), int(positives * window_share))
     from_outside = positives - from_window
-    ranked = hash_ranks(tagged, ["stratum"], keys, seed)
-    quota = F.when(F.col("stratum") == "window", from_window).when(F.col("stratum") == "outside", from_outside)
-    picked = ranked.where((F.col("stratum") == "positive") | (F.col("_rank") <= quota))
-    return picked.drop("_rank", "_rank_n")
+    pieces = hash_pieces(tagged, "stratum", keys, seed, {"window": [from_window], "outside": [from_outside]})
+    return pieces.where(F.col("_piece") == 0).drop("_piece")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -63,24 +62,34 @@ def chronological_split(
         n = int(n * share)
         bounds.append(n)
     bounds.reverse()
-    placed = positions(df, [], ts, tie)
-    split = None
-    for bound, name in zip(bounds, names):
-        cond = F.col("_pos") < bound
-        split = F.when(cond, name) if split is None else split.when(cond, name)
-    return placed.withColumn("split", split.otherwise(names[-1])).drop("_pos")
+    at, tied = F.col(ts), F.col(tie)
+    split = F.lit(names[-1])
+    for bound, name in reversed(list(zip(bounds, names))):
+        cut = value_at(df, bound, ts, tie)
+        if cut is None:  # no row lies beyond the bound
+            split = F.lit(name)
+            continue
+        before = F.lit(True) if cut[0] is None else at.isNull() | (at < F.lit(cut[0])) | ((at == F.lit(cut[0])) & (tied < F.lit(cut[1])))
+        split = F.when(before, name).otherwise(split)
+    return df.withColumn("split", split)
 
 
 def stratified_split(
     df: DataFrame, label: str, keys: Sequence[str], shares: Sequence[float], names: Sequence[str], seed: int = 42
 ) -> DataFrame:
     """Random split with the class shares kept; shares of the later parts are taken from the front."""
-    ranked = hash_ranks(df, [label], keys, seed)
-    split, upto = None, F.lit(0)
-    for share, name in zip(shares, names[1:]):
-        upto = upto + F.round(F.col("_rank_n") * F.lit(share)).cast("long")
-        split = F.when(F.col("_rank") <= upto, name) if split is None else split.when(F.col("_rank") <= upto, name)
-    return ranked.withColumn("split", split.otherwise(names[0])).drop("_rank", "_rank_n")
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    bounds = {}
+    for r in sizes:
+        upto, ranks = 0, []
+        for share in shares:
+            upto += math.floor(r["n"] * share + 0.5)
+            ranks.append(upto)
+        bounds[r[label]] = ranks
+    pieces = hash_pieces(df, label, keys, seed, bounds)
+    order = [*names[1:], names[0]]
+    split = F.element_at(F.array(*[F.lit(x) for x in order]), F.col("_piece") + 1)
+    return pieces.withColumn("split", split).drop("_piece")
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:

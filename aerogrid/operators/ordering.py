@@ -439,3 +439,66 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed:
     )
     joined = _join_small_key(ranked, offsets, [*strata, "_p"])
     return joined.withColumn(out, F.col("_rn") + F.col("_off")).drop("_h", "_p", "_rn", "_off")
+
+
+def hash_pieces(
+    df: DataFrame, stratum: str, keys: Sequence[str], seed: int, bounds: dict[object, Sequence[int]], out: str = "_piece"
+) -> DataFrame:
+    """Add the number of `bounds` of its stratum that lie below a row's rank by `hash_order`.
+
+    Only the counts of the digest's first four digits move; a bound becomes a prefix, and just the rows
+    with that very prefix are ranked.  `bounds` has ascending ranks for each of the (few) strata.
+    """
+    tagged = df.withColumn("_h", hash_order(keys, seed)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = tagged.groupBy(stratum, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    crossing = None
+    for value, ranks in bounds.items():
+        for rank in ranks:
+            hit = F.col(stratum).eqNullSafe(F.lit(value)) & (F.col("_before") < rank) & (F.col("_before") + F.col("_c") > rank)
+            crossing = hit if crossing is None else crossing | hit
+    ends = placed.where(crossing).collect() if crossing is not None else []  # one row per bound
+    reached = {}
+    for value, ranks in bounds.items():
+        exact = placed.where(F.col(stratum).eqNullSafe(F.lit(value)))
+        for rank in ranks:
+            cut = next((r for r in ends if r[stratum] == value and r["_before"] < rank < r["_before"] + r["_c"]), None)
+            if cut:
+                reached[value, rank] = (cut["_p"], rank - cut["_before"])
+            else:  # the bound falls between two prefixes
+                first = exact.where(F.col("_before") >= rank).agg(F.min("_p")).first()[0]
+                reached[value, rank] = (first or "g", 0)
+    edges = {(value, prefix) for (value, _), (prefix, open_) in reached.items() if open_}
+    on_edge = F.lit(False)
+    for value, prefix in sorted(edges, key=repr):
+        on_edge = on_edge | (F.col(stratum).eqNullSafe(F.lit(value)) & (F.col("_p") == prefix))
+
+    def piece(inner: Column) -> Column:
+        number = F.lit(0)
+        for value, ranks in bounds.items():
+            for rank in ranks:
+                prefix, open_ = reached[value, rank]
+                above = (F.col("_p") > prefix) | ((F.col("_p") == prefix) & (inner > open_))
+                number = number + F.when(F.col(stratum).eqNullSafe(F.lit(value)) & above, 1).otherwise(0)
+        return number
+
+    plain = tagged.where(~on_edge).withColumn(out, piece(F.lit(1)))
+    if not edges:
+        return plain.drop("_h", "_p")
+    ranked = tagged.where(on_edge).withColumn("_rn", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_h", *keys)))
+    edge = ranked.withColumn(out, piece(F.col("_rn"))).drop("_rn")
+    return plain.unionByName(edge).drop("_h", "_p")
+
+
+def value_at(df: DataFrame, rank: int, ts: str, tie: str) -> tuple | None:
+    """(ts, tie) of the row at a 0-based rank in time order, by counts per day and the rows of one day."""
+    days = df.groupBy(time_bucket(ts, 86_400).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    day = days.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    hit = day.where((F.col("_before") <= rank) & (F.col("_before") + F.col("_c") > rank)).first()
+    if hit is None:
+        return None
+    inside = df.where(time_bucket(ts, 86_400).eqNullSafe(F.lit(hit["_day"]))).select(ts, tie)
+    found = positions(inside, [], ts, tie, bucket_seconds=60).where(F.col("_pos") == rank - hit["_before"]).first()
+    return found[ts], found[tie]
