@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aerogrid.plans import (  # noqa: F401
+    balanced_queries,
     evaluation_queries,
     join_queries,
     model_queries,

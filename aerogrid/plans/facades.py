@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from aerogrid.functions import weather as M
 from aerogrid.functions.num import numeric_columns, rnd
 from aerogrid.functions import text as T
 from aerogrid.functions.text import is_weather_reason
-from aerogrid.operators import filters, grid, intervals, ordering, prep
+from aerogrid.operators import balance, filters, grid, intervals, metrics, models, ordering, prep
+from aerogrid.session import settle
 
 FORECAST_COLUMNS = ["wind_speed_kt", "wind_direction", "visibility_m", "ceiling_ft"]
 
@@ -95,3 +98,51 @@ def scaled_blocks(reports: DataFrame) -> DataFrame:
     encoded = prep.wind_quadrants(scaled, "wind_direction_text", "wind")
     encoded = prep.one_hot(encoded, "ceiling_cover", "cover", values=range(5))
     return encoded.drop("wind_direction_text", "ceiling_cover")
+
+
+BALANCED_FEATURES = [
+    "visibility_m", "ceiling_ft", "wind_speed_kt", "wind_direction", "temperature_c", "dewpoint_c",
+    "hour", "day_of_week", "month", "is_weekend",
+    "low_visibility", "very_low_visibility", "low_ceiling", "very_low_ceiling", "high_wind", "very_high_wind",
+    "temp_dewpoint_diff", "fog_risk", "wind_temp_interaction", "flight_category",
+]
+
+
+def balanced_dataset(observations: DataFrame, regulations: DataFrame) -> DataFrame:
+    """Observations labelled around the intervals, balanced, with features and a split by time.
+
+    All positives, as many negatives (70 % of them from the windows around intervals), a missing ceiling
+    becomes the median, and the last 15 % of the rows in time are the test part.  Features that look
+    ahead in time are left out.
+    """
+    windows = intervals.sampling_windows(filters.usable_intervals(regulations))
+    labelled = settle(intervals.label_with_windows(observations, windows))
+    rows = balance.balance_windows(labelled, "has_regulation", "in_window", ["event_id"])
+    rows = settle(rows)
+    made = prep.impute(rows, ["ceiling_ft"]).select(
+        "*",
+        D.hour("ts").alias("hour"),
+        D.day_of_week("ts").alias("day_of_week"),
+        F.month("ts").alias("month"),
+        D.is_weekend("ts").alias("is_weekend"),
+        *M.condition_flags("visibility_m", "ceiling_ft", "wind_speed_kt", "temperature_c", "dewpoint_c"),
+        M.flight_category_code("visibility_m", "ceiling_ft").alias("flight_category"),
+    )
+    split = balance.chronological_split(made, [0.85, 0.82], ["train", "val", "test"])
+    return split.select("event_id", "station", "ts", "has_regulation", *BALANCED_FEATURES, "split")
+
+
+def balanced_models(rows: DataFrame, runs: dict[str, dict]) -> DataFrame:
+    """Per model: the threshold of the best F1 on the validation part, and the metrics on the test part."""
+    rows = settle(rows)
+    train, val, test = [rows.where(F.col("split") == s) for s in ("train", "val", "test")]
+    parts = []
+    for name, settings in runs.items():
+        weighted = balance.with_class_weight(train, "has_regulation")
+        weight = {} if settings["kind"] == "neural_network" else {"weight": "weight"}
+        model = models.fit(weighted, columns=BALANCED_FEATURES, label="has_regulation", **weight, **settings)
+        cut = metrics.best_threshold(models.score(model, val), "has_regulation").first()
+        threshold = float(cut["threshold"]) if cut else 0.5
+        measured = models.evaluate(models.score(model, test), "has_regulation", threshold)
+        parts.append(measured.select(F.lit(name).alias("model"), F.lit(threshold).alias("threshold"), "accuracy", "precision", "recall", "f1", "auc"))
+    return reduce(DataFrame.unionByName, parts)

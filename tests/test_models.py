@@ -6,7 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from aerogrid.operators import detectors, models, prep, reduction, selection, stages, summaries
+from aerogrid.plans import facades
 from aerogrid.session import scratch_path
+from aerogrid.sources import standins as S
 
 COLS = ["x0", "x1", "x2"]
 
@@ -151,3 +153,12 @@ def test_content_hash_sees_pairs_and_nulls(spark):
     hashes = [tuple(summaries.content_hash(spark.createDataFrame(t, "a int, b int")).first()) for t in tables]
     assert len(set(hashes)) == len(tables)
     assert hashes[0] == tuple(summaries.content_hash(spark.createDataFrame(tables[0], "a int, b int").repartition(3)).first())
+
+
+def test_balanced_flow(spark, sf_dir):
+    rows = facades.balanced_dataset(S.observations(spark, sf_dir), S.intervals(spark, sf_dir))
+    runs = {"forest": {"kind": "random_forest", "numTrees": 10, "maxDepth": 4}, "linear": {"kind": "logistic_regression"}}
+    got = {r["model"]: r for r in facades.balanced_models(rows, runs).collect()}
+    assert set(got) == set(runs)
+    for r in got.values():
+        assert 0 <= r["threshold"] <= 1 and all(0 <= r[m] <= 1 for m in ("accuracy", "precision", "recall", "f1", "auc") if r[m] is not None)
