@@ -27,7 +27,7 @@ from aerogrid.session import checkpoint_dir, settle
 
 # Settings of the four classifiers of the balanced flow.
 SETTINGS = {
-    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024},
+    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024, "cacheNodeIds": True},
     "gradient_boosting": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8},
     "logistic_regression": {"maxIter": 1000},  # the penalty is that of C = 1, see fit()
     "neural_network": {"hidden": [100, 50], "maxIter": 500},
