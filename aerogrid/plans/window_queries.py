@@ -219,14 +219,14 @@ def _(spark, d):
    - (lag(temperature_c, 12) OVER w + lead(temperature_c, 12) OVER w) / 2) / 24 AS trend FROM obs {W_SQL}),
  p AS (SELECT station, rn % 24 AS ph, avg(x - trend) AS m FROM t GROUP BY ALL),
  s AS (SELECT station, ph, m - avg(m) OVER (PARTITION BY station) AS season FROM p)
-SELECT event_id, {r('CASE WHEN n > 48 THEN trend END', 4)} AS temperature_c_trend,
- {r('CASE WHEN n > 48 THEN season END', 4)} AS temperature_c_seasonal,
- {r('CASE WHEN n > 48 THEN x - trend - season END', 4)} AS temperature_c_residual
+SELECT event_id, {r('CASE WHEN n > 48 THEN trend END', 7)} AS temperature_c_trend,
+ {r('CASE WHEN n > 48 THEN season END', 7)} AS temperature_c_seasonal,
+ {r('CASE WHEN n > 48 THEN x - trend - season END', 7)} AS temperature_c_residual
 FROM t JOIN s ON t.station = s.station AND t.rn % 24 = s.ph""",
 )
 def _(spark, d):
     out = windows.seasonal_decompose(S.observations(spark, d), "temperature_c")
-    return zeroed(out.drop("station", "ts", "temperature_c"), ["event_id"], 4)
+    return zeroed(out.drop("station", "ts", "temperature_c"), ["event_id"], 7)
 
 
 @query(
