@@ -4,7 +4,8 @@ E-mail addresses, phone numbers, IPv4 addresses, payment cards, bank accounts, s
 and dates are found by pattern and validated (check digits, ranges, calendar).  A valid value is
 permuted inside the set of valid values of its format: two halves take turns to be shifted by a keyed
 hash of the other, modulo the number of values a half can have, which is one-to-one for any sizes.  Equal
-values get equal pseudonyms in all documents, and whoever has the key can undo them.
+values get equal pseudonyms in all documents, and whoever has the key can undo them.  Letters of any
+script are permuted among similar ones of the same script (`letters`).
 Only SQL functions are used.
 """
 
@@ -17,33 +18,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid.llm.common import let
+from aerogrid.llm.letters import alphabets
 
 ROUNDS = 8
 CHUNK = 26  # characters permuted together; a half of 13 letters fits a long
+WIDE_CHUNK = 8  # the same where there are larger alphabets; a half of 4 characters of 42,718 fits a long
 #: All days of 400 years, the period of the calendar: 189 * 773 days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1700-01-01", 189, 773
+#: The days after the 12th of their month in that time: 9 * 9833 days in 4,800 months.
+MONTHS, LATE_HIGH, LATE_LOW = 4800, 9, 9833
+#: Countries by the length of their bank account numbers, to tell where a number in groups of four ends.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED_IBAN = "|".join(
+    rf"(?:{codes.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, codes in IBAN_COUNTRIES.items()
+)
 #: Published formats, in order of precedence.  Each part is anchored so that scanning stays linear.
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED_IBAN})(?![\p{{L}}\p{{N}}])",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-    r"|(?<![\d+])\+(?!1)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\d(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
+    r"|(?<![\d+])\+(?!1)(?=(?:[ .()-]{0,2}\d){6})\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){1,5}[ .-]?\d{2,4}(?!\d)"
+    r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([ .-])\d{3}\1\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
 }
 KINDS = tuple(FORMATS)
 #: Any format.  The names start at a letter or digit, the numbers at one of three kinds of character.
 _ANY = "(?:{email}|{iban})|(?=[0-9+(])(?:{date}|{ssn}|{ipv4}|{phone}|{card})".format(**FORMATS)
 #: Every value of a format has one of these, which is quick to find out.
-_MAYBE = r"@|[0-9][0-9 .()/+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
+_MAYBE = r"@|[0-9][0-9 .()/+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11}| [A-Z0-9]{4} [A-Z0-9]{4} [A-Z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-DATE_FORMATS = ((r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"), (r"\d{2}\.\d{2}\.\d{4}", "dd.MM.yyyy"), (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"))
+#: Slash dates are month-first where they can be; a day after the 12th in first place tells the others.
+LATE_FIRST = (r"(?:1[3-9]|2\d|3[01])/\d{2}/\d{4}", "dd/MM/yyyy")
+DATE_FORMATS = ((r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"), (r"\d{2}\.\d{2}\.\d{4}", "dd.MM.yyyy"), LATE_FIRST, (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"))
 #: Alphabets of permuted characters: first and last character of each.
 ALPHABETS = (("0", "9"), ("a", "z"), ("A", "Z"), ("à", "ö"), ("ø", "ÿ"), ("À", "Ö"), ("Ø", "Þ"))
 CELL = "[" + "".join(f"{a}-{b}" for a, b in ALPHABETS) + "]"
+#: The same for the other characters of names: long runs, then small alphabets one after the other in one text.
+ANY_CELL = r"[\p{L}\p{M}\p{N}]"
+RUNS, _SMALL = alphabets("".join(chr(i) for a, b in ALPHABETS for i in range(ord(a), ord(b) + 1)))
+LETTERS = "".join(_SMALL)
+STARTS = [sum(map(len, _SMALL[:i])) for i in range(len(_SMALL) + 1)]
+#: Country codes of numbers written without a gap.
+_COUNTRY = r"^(\+\d{1,3}(?=\D)|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
 
 
 def _hashed(key: str, tweak: Column, step: Column, value: Column) -> Column:
@@ -77,25 +102,48 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _cells(characters: Column) -> Column:
-    """Array of (base, size, value) of each character in its alphabet."""
+def _cells(characters: Column, wide: bool) -> Column:
+    """Array of (base, size, value) of each character in its alphabet; below 0, bases are places in LETTERS."""
+
+    def struct(base: Column, size: Column, value: Column) -> Column:
+        return F.struct(base.cast("int").alias("base"), size.cast("long").alias("size"), value.cast("long").alias("value"))
+
+    def in_letters(c: Column) -> Column:
+        starts = F.array(*[F.lit(s) for s in STARTS])
+
+        def found(at: Column) -> Column:
+            start, end = F.array_max(F.filter(starts, lambda s: s <= at)), F.array_min(F.filter(starts, lambda s: s > at))
+            return F.when(at >= 0, struct(-start - 1, end - start, at - start))
+
+        return let(F.call_function("locate", c, F.lit(LETTERS)) - 1, found)
 
     def cell(c: Column) -> Column:
         code = F.ascii(c)
         out = None
-        for a, b in ALPHABETS:
-            inside = F.struct(F.lit(ord(a)).alias("base"), F.lit(ord(b) - ord(a) + 1).cast("long").alias("size"), (code - ord(a)).cast("long").alias("value"))
-            out = F.when(code.between(ord(a), ord(b)), inside) if out is None else out.when(code.between(ord(a), ord(b)), inside)
-        return out
+        for a, b in [(ord(a), ord(b)) for a, b in ALPHABETS] + (RUNS if wide else []):
+            inside = struct(F.lit(a), F.lit(b - a + 1), code - a)
+            out = F.when(code.between(a, b), inside) if out is None else out.when(code.between(a, b), inside)
+        return out.otherwise(in_letters(c)) if wide else out
 
     return F.transform(characters, cell)
 
 
-def permute_characters(text: Column, key: str, tweak: str, undo: bool = False) -> Column:
-    """A keyed permutation of the texts with the same alphabet at each place; all characters must be cells."""
+def _letter(base: Column, value: Column, wide: bool) -> Column:
+    if not wide:
+        return F.char(base + value)
+    spelt = F.decode(F.unhex(F.lpad(F.hex(base + value), 8, "0")), "UTF-32")
+    return F.when(base < 0, F.substring(F.lit(LETTERS), (value - base).cast("int"), F.lit(1))).when(base < 256, F.char(base + value)).otherwise(spelt)
+
+
+def permute_characters(text: Column, key: str, tweak: str, undo: bool = False, wide: bool = False) -> Column:
+    """A keyed permutation of the texts with the same alphabet at each place.
+
+    All characters must be cells; with `wide` those that are not (letters newer than Unicode 13) make the result null.
+    """
+    length = F.when(text.rlike(f"^{CELL}*$"), CHUNK).otherwise(WIDE_CHUNK) if wide else F.lit(CHUNK)
 
     def chunk(i: Column) -> Column:
-        return let(_cells(_characters(F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))), lambda cells: permuted(cells, i))
+        return let(_cells(_characters(F.substring(text, i * length + 1, length)), wide), lambda cells: permuted(cells, i))
 
     def permuted(cells: Column, i: Column) -> Column:
         half = F.floor(F.size(cells) / 2).cast("int")
@@ -107,15 +155,17 @@ def permute_characters(text: Column, key: str, tweak: str, undo: bool = False) -
 
         def spell(part: Column, value: Column) -> Column:
             def put(acc: Column, x: Column) -> Column:
-                letter = F.char(x["base"] + acc["rest"] % x["size"])
+                letter = _letter(x["base"], acc["rest"] % x["size"], wide)
                 return F.struct(_div(acc["rest"], x["size"]).alias("rest"), F.concat(letter, acc["out"]).alias("out"))
 
             return F.aggregate(F.reverse(part), F.struct(value.alias("rest"), F.lit("").alias("out")), put)["out"]
 
         return let(mixed, lambda m: F.concat(spell(first, m["l"]), spell(second, m["r"])))
 
-    chunks = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / CHUNK).cast("int"))
-    return F.when(F.length(text) > 0, F.array_join(F.transform(chunks, chunk), "")).otherwise(text)
+    chunks = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / length).cast("int"))
+    whole = lambda parts: F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
+    joined = let(F.transform(chunks, chunk), whole) if wide else F.array_join(F.transform(chunks, chunk), "")
+    return F.when(F.length(text) > 0, joined).otherwise(text)
 
 
 def _only(text: Column, pattern: str) -> Column:
@@ -144,20 +194,28 @@ def _mod97(bban_then_country: Column) -> Column:
 
 
 def _email(value: Column, key: str, undo: bool) -> Column:
+    """A name without letters and digits has nothing to replace."""
     local = F.substring_index(value, "@", 1)
-    mixed = let(_only(local, CELL), lambda cells: _put_back(local, permute_characters(cells, key, "email", undo), CELL))
+    moved = lambda cells: let(permute_characters(cells, key, "email", undo, wide=True), lambda new: _put_back(local, new, ANY_CELL))
+    mixed = let(_only(local, ANY_CELL), lambda cells: F.when(F.length(cells) > 0, moved(cells)))
     return F.concat(mixed, F.lit("@"), F.substring_index(value, "@", -1))
 
 
 def _iban(value: Column, key: str, undo: bool) -> Column:
-    country = F.substring(value, 1, 2)
-    valid = _mod97(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1
+    """Groups stay; the check digits are made anew."""
+
+    def moved(compact: Column) -> Column:
+        country = F.substring(compact, 1, 2)
+        valid = _mod97(F.concat(F.substring(compact, 5, 40), F.substring(compact, 1, 4))) == 1
 
-    def renewed(account: Column) -> Column:
-        check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
-        return F.concat(country, check, account)
+        def renewed(account: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(country, check, account)
 
-    return F.when(valid, let(permute_characters(F.substring(value, 5, 40), key, "iban", undo), renewed))
+        new = let(permute_characters(F.substring(compact, 5, 40), key, "iban", undo), renewed)
+        return F.when(valid, F.when(F.length(compact) == F.length(value), new).otherwise(let(new, lambda n: _put_back(value, n, "[A-Z0-9]"))))
+
+    return let(F.translate(value, " ", ""), moved)
 
 
 def _moved_day(day: Column, fmt: str, key: str, undo: bool) -> Column:
@@ -168,11 +226,28 @@ def _moved_day(day: Column, fmt: str, key: str, undo: bool) -> Column:
     return F.when(day.isNotNull() & since.between(0, DAYS_HIGH * DAYS_LOW - 1), let(mixed, back))
 
 
+def _moved_late_day(day: Column, fmt: str, key: str, undo: bool) -> Column:
+    """The same among the days after the 12th of a month, so that the day in first place still tells the format."""
+    first = F.lit(FIRST_DAY).cast("date")
+    start = lambda month: F.add_months(first, month.cast("int"))
+    before = lambda month: F.datediff(start(month), first) - 12 * month
+    place = F.datediff(day, first) - 12 * ((F.year(day) - 1700) * 12 + F.month(day))
+    mixed = feistel(_div(place, F.lit(LATE_LOW)), place % LATE_LOW, F.lit(LATE_HIGH), F.lit(LATE_LOW), key, F.lit("late day"), undo)
+
+    def back(at: Column) -> Column:
+        guess = _div(at * MONTHS, F.lit(LATE_HIGH * LATE_LOW))  # at most a month off
+        month = F.array_max(F.filter(F.sequence(guess - 1, guess + 1), lambda m: before(m) <= at))
+        return let(month, lambda m: F.date_format(F.date_add(start(m), (12 + at - before(m)).cast("int")), fmt))
+
+    moved = let(mixed, lambda m: let(m["l"] * LATE_LOW + m["r"], back))
+    return F.when(day.isNotNull() & F.year(day).between(1700, 2099), moved)
+
+
 def _date(value: Column, key: str, undo: bool) -> Column:
     out = None
     for pattern, fmt in DATE_FORMATS:
         day = F.to_date(F.try_to_timestamp(value, F.lit(fmt)))
-        own = let(day, partial(_moved_day, fmt=fmt, key=key, undo=undo))
+        own = let(day, partial(_moved_late_day if fmt == LATE_FIRST[1] else _moved_day, fmt=fmt, key=key, undo=undo))
         out = F.when(value.rlike(f"^{pattern}$"), own) if out is None else out.when(value.rlike(f"^{pattern}$"), own)
     return out
 
@@ -203,7 +278,7 @@ def _ipv4(value: Column, key: str, undo: bool) -> Column:
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
     """The country code stays."""
-    country = F.regexp_extract(value, r"^(\+\d{1,3}(?=\D)|\+)", 1)
+    country = F.regexp_extract(value, _COUNTRY, 1)
     return let(
         F.substring(value, F.length(country) + 1, F.length(value)),
         lambda rest: F.concat(country, let(_only(rest, "[0-9]"), lambda d: _put_back(rest, permute_characters(d, key, "phone", undo), "[0-9]"))),

@@ -1,10 +1,11 @@
 import datetime
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from aerogrid.llm.pii import DAYS_HIGH, DAYS_LOW, feistel, permute_characters, pseudonymize
+from aerogrid.llm.pii import DAYS_HIGH, DAYS_LOW, LATE_HIGH, LATE_LOW, feistel, permute_characters, pseudonymize
 
 KEY = "a key"
 
@@ -94,3 +95,51 @@ def test_tables_and_odd_rows(spark, sf_dir, odd, empty):
     assert out.join(planted.select("doc_id"), "doc_id").where("n_pseudonyms = 0").count() == 0 < planted.count()
     assert pseudonymize(out, KEY, undo=True).select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0
     assert pseudonymize(odd, KEY).count() == odd.count() and pseudonymize(empty, KEY).collect() == []
+
+
+FULL_SCRIPTS = ["иван.петров@mail.ru", "γιώργος@x.gr", "王小明@x.cn", "łódźś@x.pl", "žůřě@x.cz", "ğışİ@x.tr", "राम_कुमार@x.in", "e\u0301a\u0308o@x.org", "김철수@x.kr", "𠀀𠀁𝐀𝐁@x.org", "ß.é9@x.de", "абвгдежзийклмнопрстуфхцчшщ@x.ru"]
+WRITTEN_FORMS = {
+    "+33 1 42 68 53 00": "phone", "+7 495 123-45-67": "phone", "+79991234567": "phone", "+33142685300": "phone", "+33 (0)1 42 68 53 00": "phone",
+    "+55 11 9 1234-5678": "phone", "(617) 555 0123": "phone", "617 555 0123": "phone", "GB82 WEST 1234 5698 7654 32": "iban", "NO93 8601 1117 947": "iban",
+    "25/12/1987": "date", "31/01/2000": "date",
+}
+
+
+def test_names_of_any_script_change(spark):
+    texts = [f"to {v}, now" for v in FULL_SCRIPTS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pseudonymize(docs, KEY).orderBy("doc_id").collect()
+    for old, r in zip(FULL_SCRIPTS, rows, strict=True):
+        new = re.fullmatch("to (.*), now", r.text)[1]
+        name, domain = new.split("@")
+        was = old.split("@")[0]
+        assert r.n_pseudonyms == 1 and r.kinds == "email" and domain == old.split("@")[1] and len(name) == len(was)
+        assert name != was and sum(a != b for a, b in zip(name, was)) >= 0.5 * sum(c.isalnum() for c in was), (old, new)
+        assert [unicodedata.category(c)[0] for c in name] == [unicodedata.category(c)[0] for c in was]
+    assert run(spark, [r.text for r in rows], undo=True) == texts
+    assert run(spark, ["...@x.org"]) == ["...@x.org"]
+
+
+def test_common_written_forms_change(spark):
+    texts = [f"see {v}, now" for v in WRITTEN_FORMS] + ["BE68 5390 0754 7034 PAID 100"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pseudonymize(docs, KEY).orderBy("doc_id").collect()
+    for (old, kind), r in zip(WRITTEN_FORMS.items(), rows, strict=False):
+        new = re.fullmatch("see (.*), now", r.text)[1]
+        assert new != old and r.kinds == kind and r.n_pseudonyms == 1, (old, r)
+        assert re.sub(r"[A-Z0-9]", "0", new) == re.sub(r"[A-Z0-9]", "0", old)
+        assert kind != "iban" or iban(new.replace(" ", ""))
+        assert kind != "date" or datetime.datetime.strptime(new, "%d/%m/%Y").day > 12
+        assert not old.startswith("+") or new[:2] == old[:2]
+    assert rows[-1].kinds == "iban" and rows[-1].text.endswith(" PAID 100")
+    assert run(spark, [r.text for r in rows], undo=True) == texts
+    grouped, compact = run(spark, ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"])
+    assert grouped.replace(" ", "") == compact
+
+
+def test_day_first_dates_are_permuted_among_themselves(spark):
+    days = spark.sql("SELECT explode(sequence(DATE '1700-01-01', DATE '2099-12-31')) AS d").where("day(d) > 12")
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).withColumn("doc_id", F.col("text"))
+    new = pseudonymize(texts, KEY)
+    assert new.select("text").distinct().count() == texts.count() == new.where("n_pseudonyms = 1").count() == LATE_HIGH * LATE_LOW
+    assert new.select("text").exceptAll(texts.select("text")).isEmpty()
