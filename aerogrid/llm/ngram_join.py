@@ -5,6 +5,8 @@ maps each set to tokens (coordinate, value), so that similar sets share tokens a
 with all sets in one bucket; a bucket chooses 1 / similarity of its coordinates on average and splits its
 sets by their values, and so on until the buckets are small; pairs above the similarity keep at least one
 bucket in common with a chance that the depth bounds, so the number of runs follows from the wanted recall.
+All runs share one signature, so the chances are summed over the signatures a pair can have, and those too
+unlike for the comparison by signature count as lost.
 Buckets are compared by signature, which leaves candidate groups; inside those, the shingle sets themselves
 are compared, in blocks of bounded size, so links are exact.  Links are counted per set; pairs are not emitted.
 """
@@ -32,7 +34,7 @@ COORDINATES = 64
 SMALL = 256  # sets in a bucket that is compared at once
 DEPTH = 3  # splits after which a bucket is compared in blocks, whatever its size
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000  # of a block of sets that one task compares
-SLACK = 0.2  # signatures may be this much less alike than the sets; four standard deviations
+FLOOR_SHARE = 0.25  # of the loss that the recall allows, what the comparison by signature may take
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 65)], np.uint64)
 _ODD = np.array([int.from_bytes(xxhash.xxh64_digest(bytes([i])), "big") | 1 for i in range(COORDINATES)], np.uint64)
@@ -93,14 +95,43 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["_id", "_t1", "_t2", "set", "n", "sign"])
 
 
-def runs_for(recall: float, similarity: float, depth: int) -> int:
-    """Runs after which a pair of the given similarity has met with the wanted chance, at the given depth."""
+def _alike_chances(similarity: float) -> list[float]:
+    """Chance of each number of equal coordinates of a pair of the given similarity."""
+    return [math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+
+
+def least_alike(recall: float, similarity: float) -> int:
+    """Equal coordinates that a pair must have to be a candidate: as many as lose at most FLOOR_SHARE of the allowed loss."""
+    lost, chances = 0.0, _alike_chances(similarity)
+    for k, chance in enumerate(chances):
+        lost += chance
+        if lost > FLOOR_SHARE * (1 - recall):
+            if k == 0:
+                raise ValueError(f"a recall of {recall} at similarity {similarity} needs more than {COORDINATES} coordinates")
+            return k
+    return COORDINATES
+
+
+def loss_after(runs: int, recall: float, similarity: float, depth: int) -> float:
+    """Chance that a pair of the given similarity is lost, by its signature or since no run brought it together."""
+    least = least_alike(recall, similarity)
     more = 1 / similarity - int(1 / similarity)
-    meet = 1.0
-    for _ in range(depth):
-        miss = 1 - similarity * meet
-        meet = 1 - ((1 - more) * miss ** int(1 / similarity) + more * miss ** (int(1 / similarity) + 1))
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    lost = 0.0
+    for k, chance in enumerate(_alike_chances(similarity)):
+        meet = 1.0 if k >= least else 0.0
+        for _ in range(depth):
+            miss = 1 - k / COORDINATES * meet
+            meet = 1 - ((1 - more) * miss ** int(1 / similarity) + more * miss ** (int(1 / similarity) + 1))
+        lost += chance * (1 - meet) ** runs
+    return lost
+
+
+def runs_for(recall: float, similarity: float, depth: int) -> int:
+    """Runs after which a pair of the given similarity is found with the wanted chance, at the given depth."""
+    runs = 1
+    while loss_after(runs, recall, similarity, depth) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _children(path: Column, sign: Column, similarity: float) -> Column:
@@ -186,9 +217,8 @@ def _allowed(own: np.ndarray, bi: int, bj: int) -> np.ndarray:
     return other & ~np.eye(len(own), dtype=bool)
 
 
-def _near_by_signature(least_alike: float):
+def _near_by_signature(need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = math.ceil(least_alike * COORDINATES)
         for rows in _grouped(batches, ["path", "bi", "bj"]):
             if len(rows) < 2:
                 continue
@@ -282,7 +312,7 @@ def near_duplicates(
     buckets = _buckets(reps.where("n > 0"), similarity, recall, small, depth)
     filled = buckets.join(reps.select("set", "sign"), "set")
     spread = _pairs_of_blocks(filled.select("path", "set", "c", "sign"), "path", F.ceil(F.col("c") / (2 * block_sets))).drop("c")
-    edges = spread.mapInArrow(_near_by_signature(similarity - SLACK), "a binary, b binary").distinct()
+    edges = spread.mapInArrow(_near_by_signature(least_alike(recall, similarity)), "a binary, b binary").distinct()
     groups = components(edges).withColumnsRenamed({"v": "set"})
 
     members = groups.join(reps.select("set", "rep", "n"), "set")

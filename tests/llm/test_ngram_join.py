@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,23 @@ def test_recall_over_the_tables(spark, sf_dir):
     rows = [tuple(r) for r in docs.collect()]
     got = sorted((tuple(r) for r in near_duplicate_classes(docs.withColumn("x", F.lit(1))).collect()), key=repr)
     assert got == expected(rows)
+
+
+def test_the_loss_counts_the_signature_that_all_runs_share():
+    for similarity in (0.8, 0.82, 0.85, 0.5, 1.0):
+        runs = ngram_join.runs_for(ngram_join.RECALL, similarity, ngram_join.DEPTH)
+        lost = ngram_join.loss_after(runs, ngram_join.RECALL, similarity, ngram_join.DEPTH)
+        assert lost <= 1 - ngram_join.RECALL
+    with pytest.raises(ValueError):
+        runs_for(0.99999, 0.1, 3)
+
+
+def test_signatures_of_pairs_at_exactly_the_similarity_pass_the_floor():
+    """Pairs of nine shingles, eight of them common: about one of a million may fall below the floor."""
+    rng = np.random.default_rng(5)
+    need = ngram_join.least_alike(ngram_join.RECALL, 0.8)
+    alike = []
+    for _ in range(60_000):
+        found = rng.integers(0, 1 << 64, 10, np.uint64)
+        alike.append(int((ngram_join.signature(found[:9]) == ngram_join.signature(found[1:])).sum()))
+    assert sum(a < need for a in alike) <= 1
