@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, quality, secret_scan, url_rules, winnowing
+from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, quality, secret_scan, simhash, url_rules, winnowing
 from aerogrid.llm.chat_template import CONTROLS, CompiledTemplate
 from aerogrid.llm.common import table
 
@@ -179,6 +179,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op13_simhash_anchor_points")
+def op13_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
