@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, quality, secret_scan, simhash, url_rules, winnowing
+from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, prefix_trie, quality, secret_scan, simhash, url_rules, winnowing
 from aerogrid.llm.chat_template import CONTROLS, CompiledTemplate
 from aerogrid.llm.common import table
 
@@ -179,6 +179,41 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP12_SQL = """
+WITH RECURSIVE own AS (
+    SELECT c, list({'id': id, 'b': b} ORDER BY turn NULLS FIRST, id) AS s
+    FROM (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS b,
+                 printf('%08X', strlen(coalesce(text, ''))) || md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+          FROM conversations WHERE conv_id IS NOT NULL) GROUP BY c),
+steps AS (  -- crc32 of the decimal id, bit by bit
+    SELECT c, 0 AS i, 4294967295 AS crc FROM own
+    UNION ALL
+    SELECT c, i + 1, xor(v >> 1, (v & 1) * 3988292384)
+    FROM (SELECT c, i, CASE WHEN i % 8 = 0 THEN xor(crc, cast(ord(substr(cast(c AS VARCHAR), cast(i // 8 AS BIGINT) + 1, 1)) AS BIGINT)) ELSE crc END AS v
+          FROM steps WHERE i < 8 * len(cast(c AS VARCHAR)))),
+h AS (SELECT c, xor(crc, 4294967295) % 9 AS h FROM steps WHERE i = 8 * len(cast(c AS VARCHAR))),
+built AS (SELECT o.c, list_concat(coalesce(b.s[1:h.h], []), o.s[h.h + 1:]) AS s
+          FROM own o JOIN h USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 5),
+starts AS (SELECT c, d, array_to_string(list_transform(s[1:d], lambda x: x.id), '') AS k, s[d].b AS b, d = len(s) AS ended
+           FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+nodes AS (SELECT k, d, min(c) AS conv, count(*) AS n, coalesce(max(b), 0) AS b,
+                 sha256(coalesce(string_agg(cast(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends
+          FROM starts GROUP BY k, d),
+children AS (SELECT left(k, 40 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (SELECT left(v.k, 40 * v.e) AS k, sum((v.n - 1) * v.b) AS saved, count(*) FILTER (ch.n IS NULL) AS leaves
+          FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM nodes) v LEFT JOIN children ch ON ch.k = v.k GROUP BY 1)
+SELECT nodes.conv AS conv_id, nodes.d AS depth, up.conv AS parent_conv_id, nodes.n AS n_convs, coalesce(ch.n, 0) AS n_children,
+       leaves AS n_leaves, cast(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN below ON below.k = nodes.k LEFT JOIN children ch ON ch.k = nodes.k
+     LEFT JOIN nodes up ON nodes.d > 0 AND up.k = left(nodes.k, 40 * (nodes.d - 1))
+"""
+
+
+@query("op12_conversation_trie", OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_simhash_anchor_points")
 def op13_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
