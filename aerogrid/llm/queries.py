@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, prefix_trie, quality, secret_scan, simhash, url_rules, winnowing
+from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, prefix_trie, quality, secret_scan, simhash, token_alignment, url_rules, winnowing
 from aerogrid.llm.chat_template import CONTROLS, CompiledTemplate
 from aerogrid.llm.common import table
 
@@ -179,6 +179,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 OP12_SQL = """
 WITH RECURSIVE own AS (
     SELECT c, list({'id': id, 'b': b} ORDER BY turn NULLS FIRST, id) AS s
