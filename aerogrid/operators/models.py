@@ -12,7 +12,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -23,39 +22,42 @@ from pyspark.sql import functions as F
 
 from aerogrid.operators import metrics
 from aerogrid.operators.balance import stratified_folds
+from aerogrid.operators.forest import Forest
 from aerogrid.session import checkpoint_dir, settle
 
 # Settings of the four classifiers of the balanced flow.
 SETTINGS = {
-    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024, "cacheNodeIds": True},
+    "random_forest": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "minInstancesSplit": 5},  # sqrt of the features a node
     "gradient_boosting": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8},
     "logistic_regression": {"maxIter": 1000},  # the penalty is that of C = 1, see fit()
     "neural_network": {"hidden": [100, 50], "maxIter": 500},
 }
 
 
-def classifier(kind: str, inputs: int, label: str, weight: str | None = None, seed: int = 42, **overrides):
-    """An unfitted classifier reading `features`, with the default settings unless overridden."""
+def classifier(kind: str, columns: Sequence[str], label: str, weight: str | None = None, seed: int = 42, **overrides):
+    """An unfitted classifier with the default settings unless overridden; all but the forest read `features`."""
     kw = {**SETTINGS[kind], **overrides}
+    if kind == "random_forest":
+        return Forest(columns=list(columns), labelCol=label, weightCol=weight or "", seed=seed, **kw)
     common = {"featuresCol": "features", "labelCol": label}
     if kind == "neural_network":
-        return MultilayerPerceptronClassifier(layers=[inputs, *kw.pop("hidden"), 2], seed=seed, **common, **kw)
+        return MultilayerPerceptronClassifier(layers=[len(columns), *kw.pop("hidden"), 2], seed=seed, **common, **kw)
     if weight:
         common["weightCol"] = weight
-    if kind == "random_forest":
-        return RandomForestClassifier(seed=seed, **common, **kw)
     if kind == "gradient_boosting":
         return GBTClassifier(seed=seed, **common, **kw)
     return LogisticRegression(**common, **kw)
 
 
 def pipeline(kind: str, columns: Sequence[str], label: str, weight: str | None = None, seed: int = 42, **kw) -> Pipeline:
-    """Assemble, scale, classify."""
+    """Assemble, scale, classify; trees need no scale."""
+    if kind == "random_forest":
+        return Pipeline(stages=[classifier(kind, columns, label, weight, seed, **kw)])
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="keep"),
             StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-            classifier(kind, len(columns), label, weight, seed, **kw),
+            classifier(kind, columns, label, weight, seed, **kw),
         ]
     )
 
