@@ -39,12 +39,21 @@ PHENOMENA = {
 }
 COVER_CODES = {"FEW": 1, "SCT": 2, "BKN": 3, "OVC": 4}
 
-# Layout of the report groups.
-WIND_GROUP = r"\b(VRB|[0-9]{3})([0-9]{2,3})(?:G([0-9]{2,3}))?KT\b"
-VISIBILITY_GROUP = r"KT(?: [0-9]{3}V[0-9]{3})? ([0-9]{4})\b"
+# Layout of the report groups, and what a unit is in knots, metres or hectopascals.
+WIND_GROUP = r"\b(VRB|[0-9]{3})P?([0-9]{2,3})(?:GP?([0-9]{2,3}))?(KT|MPS|KMH)\b"
+VISIBILITY_GROUP = r"(?:KT|MPS|KMH)(?: [0-9]{3}V[0-9]{3})? ([0-9]{4})(?:NDV)?\b"
+MILES_GROUP = r"(?:^|\s)[PM]?(?:([0-9]{1,2}) )?([0-9]{1,2})(?:/([0-9]{1,2}))?SM\b"
+CLEAR_GROUP = r"\bCAVOK\b"
 CLOUD_GROUP = r"\b(?:FEW|SCT|BKN|OVC)[0-9]{3}"
-TEMPERATURE_GROUP = r"\b(M?[0-9]{2})/(M?[0-9]{2})\b"
+VERTICAL_GROUP = r"\bVV([0-9]{3})\b"
+TEMPERATURE_GROUP = r"\b(M?[0-9]{2})/(M?[0-9]{2}\b|//|(?=\s|$))"
 PRESSURE_GROUP = r"\bQ([0-9]{4})\b"
+INCHES_GROUP = r"\bA([0-9]{4})\b"
+LATER_GROUPS = r"\s(?:RMK|TEMPO|BECMG|NOSIG|PROB[0-9]{2}|FM[0-9]{6})\b"
+KNOTS = {"KT": 1.0, "MPS": 1.9438444924, "KMH": 0.5399568035}
+METRES_A_MILE = 1609.344
+HECTOPASCALS = 0.338638866667  # of a hundredth of an inch
+CLEAR_VISIBILITY = 10000.0
 VALIDITY_GROUP = r"\b([0-9]{2})([0-9]{2})/([0-9]{2})([0-9]{2})\b"
 
 
@@ -108,21 +117,44 @@ def cloud_layers(report) -> Column:
     )
 
 
+def _knots(body: Column, group: int) -> Column:
+    """Wind group number in knots; a group without numbers (`/////KT`) is null."""
+    unit, value = F.regexp_extract(body, WIND_GROUP, 4), _number(F.regexp_extract(body, WIND_GROUP, group))
+    out = F.when(unit == "KT", value)
+    for name, factor in list(KNOTS.items())[1:]:
+        out = out.when(unit == name, value * F.lit(factor))
+    return out
+
+
+def _metres(body: Column) -> Column:
+    """Visibility: the four digits after the wind, or miles with a fraction, or what CAVOK stands for."""
+    whole, top, under = (_number(F.regexp_extract(body, MILES_GROUP, i)) for i in (1, 2, 3))
+    miles = F.coalesce(whole, F.lit(0.0)) + F.when(under.isNull(), top).otherwise(top / under)
+    clear = F.when(body.rlike(CLEAR_GROUP), F.lit(CLEAR_VISIBILITY))
+    return F.coalesce(clear, _number(F.regexp_extract(body, VISIBILITY_GROUP, 1)), miles * F.lit(METRES_A_MILE))
+
+
 def decode_report(report) -> list[Column]:
-    """Wind, visibility, lowest broken/overcast layer, temperatures and pressure of one report."""
-    c = col(report)
+    """Wind, visibility, lowest broken/overcast layer, temperatures and pressure of one report.
+
+    Only the groups before remarks and change groups count.  Winds in metres per second or kilometres per hour, miles, CAVOK, vertical
+    visibility and pressure in inches are turned into knots, metres, feet and hectopascals; groups of slashes are null.
+    """
+    c = F.split(col(report), LATER_GROUPS, 2)[0]
     ceilings = F.transform(
         F.filter(cloud_layers(c), lambda x: x["cover"].isin("BKN", "OVC")), lambda x: x["height_ft"]
     )
+    vertical = _number(F.regexp_extract(c, VERTICAL_GROUP, 1)) * 100.0
+    inches = _number(F.regexp_extract(c, INCHES_GROUP, 1)) * F.lit(HECTOPASCALS)
     return [
         F.regexp_extract(c, WIND_GROUP, 1).try_cast("double").alias("wind_direction"),
-        _number(F.regexp_extract(c, WIND_GROUP, 2)).alias("wind_speed_kt"),
-        _number(F.regexp_extract(c, WIND_GROUP, 3)).alias("wind_gust_kt"),
-        _number(F.regexp_extract(c, VISIBILITY_GROUP, 1)).alias("visibility_m"),
-        F.array_min(ceilings).alias("ceiling_ft"),
+        _knots(c, 2).alias("wind_speed_kt"),
+        _knots(c, 3).alias("wind_gust_kt"),
+        _metres(c).alias("visibility_m"),
+        F.least(F.array_min(ceilings), vertical).alias("ceiling_ft"),
         _degrees(F.regexp_extract(c, TEMPERATURE_GROUP, 1)).alias("temperature_c"),
-        _degrees(F.regexp_extract(c, TEMPERATURE_GROUP, 2)).alias("dewpoint_c"),
-        _number(F.regexp_extract(c, PRESSURE_GROUP, 1)).alias("pressure_hpa"),
+        _degrees(F.regexp_replace(F.regexp_extract(c, TEMPERATURE_GROUP, 2), "/", "")).alias("dewpoint_c"),
+        F.coalesce(_number(F.regexp_extract(c, PRESSURE_GROUP, 1)), inches).alias("pressure_hpa"),
     ]
 
 

@@ -22,6 +22,7 @@ from aerogrid.operators.ordering import largest_group, max_group_rows, positions
 
 SMALL_INTERVALS = 50_000  # intervals whose step function may be broadcast
 SMALL_BUCKET = 256  # most interval ends in one station-hour for the broadcast form
+BLOCK_LEVEL = 12  # values meet the positions in blocks of at most 2^12
 BROADCAST_HOURS = 500_000  # station-hours of segments that may go to every task
 
 
@@ -100,11 +101,13 @@ def step_function(
     """(station, from_us, to_us, measures): the combined value of the intervals active in each segment.
 
     Every interval is split over at most 2·log2(n) aligned blocks of boundary positions, values are
-    combined per block, and each segment combines the blocks it lies in.  Segments without an active
-    interval have null measures.
+    combined per block, and each segment combines the blocks it lies in.  Blocks longer than 2^BLOCK_LEVEL are few once
+    combined, and are cut into blocks of that length, so that the positions of a hot station never meet under one
+    key.  Segments without an active interval have null measures.
     """
     number, _ = size or _interval_size(intervals)
     levels = max(1, math.ceil(math.log2(2 * number + 2)))
+    low = min(levels, BLOCK_LEVEL)
     names = [m.name for m in measures]
     micro = F.expr("INTERVAL 1 MICROSECOND")
     end = F.col("end_time") + micro if closed else F.col("end_time")
@@ -122,7 +125,12 @@ def step_function(
         .groupBy("station", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
         .agg(*merged)
     )
-    lookups = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn(
+    if levels > low:
+        size_up = F.pow(F.lit(2.0), F.col("level") - low).cast("long")
+        cut = nodes.where(F.col("level") > low).withColumn("node", F.explode(F.sequence(F.col("node") * size_up, (F.col("node") + 1) * size_up - 1)))
+        both = nodes.where(F.col("level") <= low).unionByName(cut.withColumn("level", F.lit(low)))
+        nodes = both.groupBy("station", "level", "node").agg(*merged)
+    lookups = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(low)))).withColumn(
         "node", F.expr("shiftright(_pos, level)")
     )
     return (

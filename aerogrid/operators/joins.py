@@ -56,3 +56,15 @@ def rates_by_condition(df: DataFrame, conditions: Sequence[str], label: str) ->
     return long.groupBy("_e.condition", "_e.present").agg(
         F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"), rnd(F.avg(label)).alias("positive_rate")
     )
+
+
+def positive_times(labels: DataFrame) -> DataFrame:
+    """(ts, stations, n_stations) of labelled (station, ts): the stations of each time, in order and comma-joined."""
+    once = labels.select("station", "ts").distinct()
+    return once.groupBy("ts").agg(F.array_join(F.array_sort(F.collect_list("station")), ",").alias("stations"), F.count(F.lit(1)).alias("n_stations"))
+
+
+def wide_times(labels: DataFrame, stations: Sequence[str]) -> DataFrame:
+    """One row per time with a 0/1 column for each of the given stations; for few, as each is a column."""
+    hits = [F.max((F.col("station") == s).cast("int")).alias(s) for s in stations]
+    return labels.groupBy("ts").agg(*hits)

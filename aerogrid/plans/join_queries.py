@@ -118,10 +118,31 @@ def _(spark, d):
     return out.select("station", "ts", F.coalesce("active", F.lit(0)).alias("regulation_binary"))
 
 
-def windowed(spark, d):
+def windowed(spark, d, strategy="auto"):
     """Observations with the labels of the sampling windows."""
     windows = intervals.sampling_windows(filters.usable_intervals(S.intervals(spark, d)))
-    return intervals.label_with_windows(S.observations(spark, d), windows)
+    return intervals.label_with_windows(S.observations(spark, d), windows, strategy)
+
+
+def _in_both_ways(strategy):
+    """The same labels by one strategy, whatever the sizes are."""
+
+    @query(f"point_labels_half_open_{strategy}", "J-03", "SELECT event_id, station, ts, y FROM labelled")
+    def _(spark, d):
+        out = intervals.label_points(S.observations(spark, d), active_intervals(spark, d), strategy=strategy)
+        return out.select("event_id", "station", "ts", F.coalesce("active", F.lit(0)).alias("y"))
+
+    @query(f"extended_window_labels_{strategy}", "J-05", "SELECT event_id, station, ts, has_regulation, in_window FROM windowed")
+    def _(spark, d):
+        return windowed(spark, d, strategy).select("event_id", "station", "ts", "has_regulation", "in_window")
+
+    @query(f"hours_to_interval_{strategy}", "J-06", "SELECT event_id, station, ts, time_to_regulation FROM windowed")
+    def _(spark, d):
+        return windowed(spark, d, strategy).select("event_id", "station", "ts", "time_to_regulation")
+
+
+_in_both_ways("broadcast")
+_in_both_ways("sorted")
 
 
 @query("extended_window_labels", "J-05", "SELECT event_id, station, ts, has_regulation, in_window FROM windowed")
@@ -235,19 +256,31 @@ def _(spark, d):
     "U-03",
     """WITH b AS (SELECT DISTINCT g.station, g.ts FROM grid g JOIN active i ON g.station = i.station
  AND ((i.start_time < g.ts + INTERVAL 30 MINUTE AND i.start_time >= g.ts) OR (i.start_time <= g.ts AND g.ts < i.end_time)))
-SELECT ts, max(CAST(station = 'EGLL' AS INTEGER)) AS "EGLL", max(CAST(station = 'LFPG' AS INTEGER)) AS "LFPG",
- max(CAST(station = 'LOWW' AS INTEGER)) AS "LOWW", max(CAST(station = 'LSZH' AS INTEGER)) AS "LSZH" FROM b GROUP BY ts""",
+SELECT ts, string_agg(station, ',' ORDER BY station) AS stations, count(*) AS n_stations FROM b GROUP BY ts""",
 )
 def _(spark, d):
+    """All stations that are positive at a time; the wide form with a column for each is `joins.wide_times`."""
     labels = intervals.grid_labels(
         grid.time_grid(S.observations(spark, d)), active_intervals(spark, d), 30, [intervals.ACTIVE], "overlap"
     ).where(F.col("active") == 1)
-    return (
-        labels.groupBy("ts")
-        .pivot("station", sorted(S.STATIONS))
-        .agg(F.max("active"))
-        .fillna(0, subset=sorted(S.STATIONS))
-    )
+    return joins.positive_times(labels)
+
+
+@query(
+    "positive_times_wide",
+    "U-03",
+    """WITH b AS (SELECT DISTINCT g.station, g.ts FROM grid g JOIN active i ON g.station = i.station
+ AND ((i.start_time < g.ts + INTERVAL 30 MINUTE AND i.start_time >= g.ts) OR (i.start_time <= g.ts AND g.ts < i.end_time)))
+SELECT ts, """
+    + ", ".join(f"max(CAST(ascii(station) % 26 = {i} AS INTEGER)) AS group_{i}" for i in range(26))
+    + " FROM b GROUP BY ts",
+)
+def _(spark, d):
+    labels = intervals.grid_labels(
+        grid.time_grid(S.observations(spark, d)), active_intervals(spark, d), 30, [intervals.ACTIVE], "overlap"
+    ).where(F.col("active") == 1)
+    groups = labels.withColumn("station", F.concat(F.lit("group_"), F.ascii("station") % 26))
+    return joins.wide_times(groups, [f"group_{i}" for i in range(26)])
 
 
 @query(

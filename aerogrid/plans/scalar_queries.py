@@ -567,6 +567,24 @@ def _(spark, d):
     return out.select(*rest, *zero)
 
 
+@query(
+    "decode_mixed_reports",
+    "T-06",
+    f"""SELECT event_id, CASE WHEN k <> 6 THEN wind_direction END AS wind_direction,
+ {r("CASE WHEN k = 1 THEN floor(wind_speed_kt / 2) * 1.9438444924::DOUBLE WHEN k <> 6 THEN wind_speed_kt END", 6)} AS wind_speed_kt,
+ {r("CASE k WHEN 2 THEN 10000 WHEN 3 THEN (event_id % 5 + 0.5::DOUBLE) * 1609.344::DOUBLE WHEN 6 THEN NULL ELSE visibility_m END", 6)} AS visibility_m,
+ CASE WHEN k NOT IN (2, 6) THEN floor(coalesce(ceiling_ft, 900) / 100) * 100 END AS ceiling_ft,
+ {r("CASE WHEN k <> 6 THEN " + _ROUND_AWAY.format(c="temperature_c") + " END")} AS temperature_c,
+ {r("CASE WHEN k NOT IN (4, 6) THEN " + _ROUND_AWAY.format(c="dewpoint_c") + " END")} AS dewpoint_c,
+ {r("CASE WHEN k = 4 THEN floor(pressure_hpa * 3) * 0.338638866667::DOUBLE ELSE floor(pressure_hpa) END", 6)} AS pressure_hpa
+FROM (SELECT *, event_id % 8 AS k FROM obs)""",
+)
+def _(spark, d):
+    out = S.mixed_reports(spark, d).select("event_id", *T.decode_report("report"))
+    rounded = ("wind_speed_kt", "visibility_m", "temperature_c", "dewpoint_c", "pressure_hpa")
+    return out.select("event_id", "wind_direction", "ceiling_ft", *[(rnd(c, 6) + F.lit(0.0)).alias(c) for c in rounded])
+
+
 @query(
     "clip_to_bounds",
     "T-11",

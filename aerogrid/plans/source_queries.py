@@ -27,32 +27,68 @@ _AWAY = "(sign({c}) * floor(abs({c}) + 0.5))"
     "S-01 S-02 T-06 U-01",
     f"""SELECT station, ts, CASE WHEN event_id % 17 <> 0 THEN wind_speed_kt END AS wind_speed_kt, visibility_m,
  {r("CASE WHEN event_id % 13 <> 0 THEN " + _AWAY.format(c="temperature_c") + " END")} AS temperature_c FROM obs
-WHERE station IN ('EGLL', 'LFPG') AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
 )
 def _(spark, d):
     root = scratch_path(spark, "observations")
     rows = S.raw_reports(spark, d).select("station", F.col("ts").alias("datetime"), "report")
     rows.write.partitionBy("station").option("header", True).option("timestampNTZFormat", MICROS).csv(root)
-    read = files.read_observations(
-        spark, root, ["EGLL", "LFPG"], "2024-01-05", "2024-01-15", "ISO-8859-1", layout="station={station}"
-    )
+    read = files.read_observations(spark, root, None, "2024-01-05", "2024-01-15", "ISO-8859-1", layout="station={station}")
     return read.select(
         "station", "ts", "wind_speed_kt", "visibility_m", (F.col("temperature_c") + F.lit(0.0)).alias("temperature_c")
     )
 
 
+def _mixed_files(spark, d):
+    """Report files in folders by station group: those of even groups in UTF-8, the others in ISO-8859-1, some rows without a time."""
+    root = scratch_path(spark, "mixed")
+    k = F.ascii(F.substring("station", 1, 1)) + F.ascii(F.substring("station", 4, 1))
+    time = F.when(F.col("event_id") % 19 == 0, F.lit("no time")).otherwise(F.date_format("ts", MICROS))
+    rows = S.raw_reports(spark, d).select(
+        F.concat(F.lit("G"), k % 10).alias("station"), k.alias("_k"), time.alias("datetime"), F.concat("report", F.lit(" RMK "), "event_id", F.lit(" \u00e9t\u00e9")).alias("report")
+    )
+    for odd, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        own = rows.where(F.col("_k") % 2 == odd).drop("_k")
+        own.write.mode("append").partitionBy("station").option("header", True).option("encoding", encoding).csv(root)
+    return root
+
+
+_GROUP = "'G' || ((ascii(substr(station, 1, 1)) + ascii(substr(station, 4, 1))) % 10)"
+
+
+@query(
+    "read_mixed_encodings",
+    "S-02 S-01",
+    f"""SELECT {_GROUP} AS station, ts, event_id || ' \u00e9t\u00e9' AS remark, CASE WHEN event_id % 17 <> 0 THEN wind_speed_kt END AS wind_speed_kt, visibility_m FROM obs
+WHERE event_id % 19 <> 0 AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
+)
+def _(spark, d):
+    read = files.read_observations(spark, _mixed_files(spark, d), None, "2024-01-05", "2024-01-15", "auto", layout="station={station}")
+    return read.select("station", "ts", F.split("report", " RMK ")[1].alias("remark"), "wind_speed_kt", "visibility_m")
+
+
+@query(
+    "malformed_lines",
+    "S-02",
+    f"""SELECT {_GROUP} AS station, count(*) AS n_lines, sum(event_id) AS remarks FROM obs WHERE event_id % 19 = 0 GROUP BY 1""",
+)
+def _(spark, d):
+    bad = files.malformed_rows(spark, f"{_mixed_files(spark, d)}/station=*", encoding="auto")
+    remark = F.regexp_extract("line", r"RMK ([0-9]+) \u00e9t\u00e9", 1).cast("long")
+    return bad.groupBy("station").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(remark).alias("remarks"))
+
+
 @query(
     "read_forecast_files",
     "S-03 T-08",
     """SELECT station, issue_time, valid_from, valid_to, wind_speed_kt, wind_direction, visibility_m, floor(ceiling_ft / 100) * 100 AS ceiling_ft
-FROM forecast WHERE station IN ('EGLL', 'LSZH', 'LFPG', 'LOWW')
- AND valid_from BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
+FROM forecast WHERE valid_from BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
 )
 def _(spark, d):
     root = scratch_path(spark, "forecasts")
     rows = S.raw_forecast_reports(spark, d).select("station", "issue_time", "valid_from", "valid_to", "report")
     rows.write.partitionBy("station").option("header", True).option("timestampNTZFormat", MICROS).csv(root)
-    read = files.read_forecasts(spark, root, S.STATIONS, "2024-01-05", "2024-01-15", layout="station={station}")
+    read = files.read_forecasts(spark, root, None, "2024-01-05", "2024-01-15", layout="station={station}")
     return read.select(
         "station", "issue_time", "valid_from", "valid_to", "wind_speed_kt", "wind_direction", "visibility_m", "ceiling_ft"
     )
@@ -63,12 +99,12 @@ def _(spark, d):
     "S-04 F-05",
     """SELECT station, start_time, end_time, reason, cancelled, duration_min, coalesce(regexp_matches(upper(reason),
  'WEATHER|WX|CB|TS|FOG|WIND|SNOW|ICE|VISIBILITY|CEILING|STORM'), false) AS is_weather_related FROM intervals
-WHERE station IN ('EGLL', 'LSZH') AND start_time BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'""",
+WHERE start_time BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'""",
 )
 def _(spark, d):
     path = scratch_path(spark, "intervals")
     S.raw_intervals(spark, d).drop("ordinal", "severity").write.option("header", True).csv(path)
-    read = files.read_intervals(spark, path, ["EGLL", "LSZH"], "2024-01-03", "2024-01-25")
+    read = files.read_intervals(spark, path, None, "2024-01-03", "2024-01-25")
     return read.select(
         "station", "start_time", "end_time", "reason", "cancelled", "duration_min", "is_weather_related"
     )

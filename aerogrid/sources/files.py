@@ -7,7 +7,6 @@ scan: Parquet filters push down, and a table written by `save_features(partition
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ WINDOW_SCHEMA = (
     "regulation_end TIMESTAMP_NTZ, reason STRING, duration_hours DOUBLE"
 )
 
+FALLBACK = "ISO-8859-1"  # of files that are not in UTF-8
+
 # Date forms a file name may carry.
 NAME_DATES = [r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})(\d{2})(\d{2})", r"(\d{4})_(\d{2})_(\d{2})"]
 
@@ -52,13 +53,13 @@ def canonical_intervals(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def select_intervals(df: DataFrame, stations: Sequence[str], start, end) -> DataFrame:
-    """Intervals of the given stations that start in the closed range, with the weather flag."""
-    picked = df.where(F.col("station").isin(list(stations)))
+def select_intervals(df: DataFrame, stations: Sequence[str] | None, start, end) -> DataFrame:
+    """Intervals of the given stations (None: all) that start in the closed range, with the weather flag."""
+    picked = df if stations is None else df.where(F.col("station").isin(list(stations)))
     return with_weather_flag(filter_dates(picked, "start_time", start, end))
 
 
-def read_intervals(spark: SparkSession, path: str, stations: Sequence[str], start, end, fmt: str = "csv") -> DataFrame:
+def read_intervals(spark: SparkSession, path: str, stations: Sequence[str] | None, start, end, fmt: str = "csv") -> DataFrame:
     """Read a raw interval export (CSV or Parquet) and select from it."""
     if fmt == "csv":
         raw = spark.read.schema(RAW_INTERVAL_SCHEMA).option("header", True).csv(path)
@@ -125,44 +126,74 @@ def _read_reports(spark: SparkSession, paths, schema: str, encoding: str, start,
     return df.drop("_path")
 
 
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"))
+
+
+def files_by_encoding(spark: SparkSession, paths, fallback: str = FALLBACK) -> DataFrame:
+    """(path, encoding) of each file that has lines: UTF-8 where all its lines are, else the fallback."""
+    utf8 = F.bool_and(F.is_valid_utf8("value"))
+    return _lines(spark, paths).groupBy(F.col("_path").alias("path")).agg(F.when(utf8, "UTF-8").otherwise(fallback).alias("encoding"))
+
+
+def _column_names(schema: str) -> list[str]:
+    return [part.split()[0].strip("`") for part in schema.split(", ")]
+
+
+def _read_lines(spark: SparkSession, paths, schema: str, fallback: str) -> DataFrame:
+    """Rows of CSV files in mixed encodings: the columns of the schema, station, source_file.
+
+    Lines are read as they stand.  A file whose lines are all valid UTF-8 is in UTF-8, any other in the fallback
+    encoding; only the paths of those others are joined to the lines, so no file is held as a whole.
+    """
+    lines = _lines(spark, paths)
+    others = lines.where(~F.is_valid_utf8("value")).select("_path").distinct().withColumn("_other", F.lit(True))
+    known = lines.join(others, "_path", "left")
+    text = F.when(F.col("_other"), F.decode(F.col("value").cast("binary"), fallback)).otherwise(F.col("value"))
+    names = [n for n in _column_names(schema) if n != "_corrupt_record"]
+    header = F.regexp_replace("_line", '"', "") == ",".join(names)
+    parsed = F.from_csv("_line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = known.select(text.alias("_line"), "_path", "source_file").where((F.col("_line") != "") & ~header)
+    return rows.select(parsed.alias("_row"), _station_of(F.col("_path")).alias("station"), "source_file", "_path").select("_row.*", "station", "source_file", "_path")
+
+
 def malformed_rows(spark: SparkSession, root: str, schema: str = OBSERVATION_SCHEMA, encoding: str = "UTF-8") -> DataFrame:
     """The rows below `root` that do not fit the schema: source_file, line as it stands, and what could be read of it.
 
-    The readers leave these rows out, as they have no date to be selected by.
+    The readers leave these rows out, as they have no date to be selected by.  `encoding` "auto" is that of `read_observations`.
     """
-    rows = _read_reports(spark, root, schema, encoding, None, None, False)
-    return rows.where(F.col("_corrupt_record").isNotNull()).drop("station").withColumnRenamed("_corrupt_record", "line")
+    if encoding == "auto":
+        rows = _read_lines(spark, root, schema, FALLBACK).drop("_path")
+    else:
+        rows = _read_reports(spark, root, schema, encoding, None, None, False)
+    return rows.where(F.col("_corrupt_record").isNotNull()).withColumnRenamed("_corrupt_record", "line")
 
 
-def files_by_encoding(spark: SparkSession, root: str, fallback: str = "ISO-8859-1") -> DataFrame:
-    """(path, encoding) of each file below `root`: UTF-8 where its bytes are, else the fallback."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    return content.select("path", F.when(utf8, F.lit("UTF-8")).otherwise(F.lit(fallback)).alias("encoding"))
+def _folders(root: str, stations: Sequence[str] | None, layout: str) -> list[str]:
+    """The folders of the given stations, or of all there are."""
+    return [f"{root}/{layout.format(station=s)}" for s in stations] if stations is not None else [f"{root}/{layout.format(station='*')}"]
 
 
 def read_observations(
     spark: SparkSession,
     root: str,
-    stations: Sequence[str],
+    stations: Sequence[str] | None,
     start,
     end,
     encoding: str = "UTF-8",
     by_name: bool = False,
     layout: str = "{station}",
 ) -> DataFrame:
-    """Decoded observations of several stations from <root>/<station folder>/*.csv in the closed date range.
+    """Decoded observations of several stations (None: all) from <root>/<station folder>/*.csv in the closed date range.
 
     `layout` gives the station folder (`station={station}` for a partitioned layout); `by_name` also prunes
     files by the date in their name.  `encoding` "auto" reads each file as UTF-8 or, if its bytes are not, as
     ISO-8859-1; any other name holds for all files.  Rows that do not fit are in `malformed_rows`.
     """
-    paths = [f"{root}/{layout.format(station=s)}" for s in stations]
+    paths = _folders(root, stations, layout)
     if encoding == "auto":
-        found = [r for p in paths for r in files_by_encoding(spark, p).collect()]  # one row per file
-        groups = {e: [r["path"] for r in found if r["encoding"] == e] for e in sorted({r["encoding"] for r in found})}
-        parts = [_read_reports(spark, own, OBSERVATION_SCHEMA, e, start, end, by_name) for e, own in groups.items()]
-        rows = reduce(DataFrame.unionByName, parts)
+        rows = _read_lines(spark, paths, OBSERVATION_SCHEMA, FALLBACK)
+        rows = (rows.where(in_name_range("_path", start, end)) if by_name else rows).drop("_path")
     else:
         rows = _read_reports(spark, paths, OBSERVATION_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows.withColumnRenamed("datetime", "ts"), "ts", start, end)
@@ -174,15 +205,15 @@ def read_observations(
 def read_forecasts(
     spark: SparkSession,
     root: str,
-    stations: Sequence[str],
+    stations: Sequence[str] | None,
     start,
     end,
     encoding: str = "UTF-8",
     by_name: bool = False,
     layout: str = "{station}",
 ) -> DataFrame:
-    """Forecast periods of several stations, filtered on the start of validity."""
-    paths = [f"{root}/{layout.format(station=s)}" for s in stations]
+    """Forecast periods of several stations (None: all), filtered on the start of validity."""
+    paths = _folders(root, stations, layout)
     rows = _read_reports(spark, paths, FORECAST_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows, "valid_from", start, end)
     return rows.select("station", "issue_time", "valid_from", "valid_to", "source_file", *T.decode_report("report"))

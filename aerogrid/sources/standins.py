@@ -196,6 +196,23 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with the groups of other countries, a kind for each remainder of event_id by 8."""
+    kind = F.col("event_id") % 8
+    hundreds = _digits(F.floor(F.coalesce(F.col("ceiling_ft"), F.lit(900.0)) / 100), 3)
+    wind = F.when(kind == 1, F.concat(_digits(F.col("wind_direction"), 3), _digits(F.floor(F.col("wind_speed_kt") / 2), 2), F.lit("MPS")))
+    wind = wind.when(kind == 6, F.lit("/////KT")).otherwise(F.concat(_digits(F.col("wind_direction"), 3), _digits(F.col("wind_speed_kt"), 2), F.lit("KT")))
+    sky = F.when(kind == 2, F.lit("CAVOK")).when(kind == 3, F.concat((F.col("event_id") % 5).cast("string"), F.lit(" 1/2SM BKN"), hundreds))
+    sky = sky.when(kind == 5, F.concat(_digits(F.col("visibility_m"), 4), F.lit(" FG VV"), hundreds)).when(kind == 6, F.lit("//// // ///"))
+    sky = sky.otherwise(F.concat(_digits(F.col("visibility_m"), 4), F.lit(" SCT001 OVC"), hundreds))
+    temps = F.when(kind == 6, F.lit("/////")).when(kind == 4, F.concat(_signed(F.col("temperature_c")), F.lit("///")))
+    temps = temps.otherwise(F.concat(_signed(F.col("temperature_c")), F.lit("/"), _signed(F.col("dewpoint_c"))))
+    pressure = F.when(kind == 4, F.concat(F.lit("A"), _digits(F.floor(F.col("pressure_hpa") * 3), 4))).otherwise(F.concat(F.lit("Q"), _digits(F.floor(F.col("pressure_hpa")), 4)))
+    later = F.when(kind == 7, F.lit(" TEMPO 36099MPS 0200 OVC000 RMK A1234 VV000")).otherwise("")
+    head = F.concat(F.lit("METAR "), F.col("station"), F.lit(" "), F.date_format("ts", "ddHHmm"), F.lit("Z"))
+    return observations(spark, sf_dir).select("event_id", F.concat(F.concat_ws(" ", head, wind, sky, temps, pressure), later).alias("report"))
+
+
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One forecast per station and 6 hours, valid for 9 hours, so neighbours overlap."""
     obs = observations(spark, sf_dir)

@@ -20,7 +20,7 @@ def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
     root = _folder(tmp_path, a=(HEAD + GOOD).encode(), b=(HEAD + GOOD).encode("latin-1"))
     read = files.read_observations(spark, root, ["EGLL"], "2024-01-01", "2024-01-31", "auto")
     assert {r["report"][-5:] for r in read.collect()} == {"Métar"} and read.count() == 2
-    found = {r["path"][-5:]: r["encoding"] for r in files.files_by_encoding(spark, root).collect()}
+    found = {r["path"][-5:]: r["encoding"] for r in files.files_by_encoding(spark, f"{root}/EGLL").collect()}
     assert found == {"a.csv": "UTF-8", "b.csv": "ISO-8859-1"}
 
 

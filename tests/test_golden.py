@@ -91,6 +91,28 @@ def test_report_decoding(spark):
     assert tuple(legacy[1])[:5] == (10000.0, 0, 5000.0, 0.0, "No info")
 
 
+REPORTS = {  # report: (direction, speed, gust, visibility, ceiling, temperature, dewpoint, pressure)
+    "METAR EDDF 010020Z 24008MPS CAVOK 05/M02 Q1021 NOSIG": (240.0, 8 * 1.9438444924, None, 10000.0, None, 5.0, -2.0, 1021.0),
+    "METAR KJFK 010051Z 31015G22KT 1 1/2SM BR OVC004 09/08 A2992 RMK AO2 BKN001": (310.0, 15.0, 22.0, 1.5 * 1609.344, 400.0, 9.0, 8.0, 2992 * 0.338638866667),
+    "METAR KBOS 010054Z 00000KT 10SM FEW250 M12/M20 A3041": (0.0, 0.0, None, 10 * 1609.344, None, -12.0, -20.0, 3041 * 0.338638866667),
+    "METAR KSEA 010053Z VRB03KT M1/4SM FG VV002 07/07 A2980": (None, 3.0, None, 0.25 * 1609.344, 200.0, 7.0, 7.0, 2980 * 0.338638866667),
+    "METAR LFPG 010030Z AUTO /////KT //// // ////// //// Q////": (None,) * 8,
+    "METAR UUEE 010030Z 18005G11MPS 0600NDV FG VV/// 02/// Q0990": (180.0, 5 * 1.9438444924, 11 * 1.9438444924, 600.0, None, 2.0, None, 990.0),
+    "METAR EGLL 010020Z 240P99KT 9999 BKN012 10/ Q1000 TEMPO 0400 FG OVC001": (240.0, 99.0, None, 9999.0, 1200.0, 10.0, None, 1000.0),
+    "METAR ZBAA 010030Z 02036KMH 3000 SCT010 OVC020 M01/M03 Q1030 BECMG 24010KT 9999": (20.0, 36 * 0.5399568035, None, 3000.0, 2000.0, -1.0, -3.0, 1030.0),
+    "": (None,) * 8,
+    None: (None,) * 8,
+}
+
+
+def test_every_report_group(spark):
+    df = spark.createDataFrame([(t,) for t in REPORTS], "r string").select("r", *T.decode_report("r"))
+    for row in df.collect():
+        want = REPORTS[row[0]]
+        assert [x is None for x in row[1:]] == [x is None for x in want], row
+        assert all(abs(a - b) < 1e-9 for a, b in zip(row[1:], want) if b is not None), row
+
+
 def test_file_names(spark):
     names = ["x_20240105.csv", "2024-02-01.csv", "a_2024_01_31.csv", "x_20249950.csv", "plain.csv"]
     df = spark.createDataFrame([(f"/d/EGLL/{n}",) for n in names], "p string")

@@ -63,6 +63,44 @@ def test_large_placement_and_salting(spark, data, small_blocks, monkeypatch):
     assert {r["event_id"]: r["n"] for r in got} == wanted
 
 
+@pytest.mark.parametrize("level", [1, 3])
+@pytest.mark.parametrize("strategy", ["broadcast", "sorted"])
+def test_long_blocks_are_cut(spark, data, monkeypatch, strategy, level):
+    monkeypatch.setattr(intervals, "BLOCK_LEVEL", level)
+    points, spans = data
+    measures = [Measure("n", "sum", "1"), Measure("severity", "max", "severity"), Measure("last", "max", "ordinal")]
+    got = intervals.label_points(spark.createDataFrame(points, POINT), spark.createDataFrame(spans, SPAN), measures, strategy=strategy).collect()
+    assert {r["event_id"]: (r["n"], r["severity"], r["last"]) for r in got} == brute(points, spans, False)
+
+
+def test_a_hot_station_meets_no_large_key(spark, monkeypatch):
+    """90 % of the intervals at one station, many of them over all its time: no block key has more positions than the level allows."""
+    monkeypatch.setattr(intervals, "SMALL_INTERVALS", 100)
+    monkeypatch.setattr(intervals, "BLOCK_LEVEL", 6)
+    n = F.col("id")
+    start = F.when(n % 5 == 0, n % 7).otherwise(n * 3)
+    end = F.when(n % 5 == 0, 40_000 + n).otherwise(n * 3 + 50)
+    at_minute = lambda c: F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=c.cast("int"))
+    station = F.when(n % 10 < 9, "HOT").otherwise(F.concat(F.lit("S"), n % 3))
+    spans = spark.range(6000).select(station.alias("station"), n.alias("ordinal"), at_minute(start).alias("start_time"), at_minute(end).alias("end_time"), (n % 9).cast("int").alias("severity"))
+    keys = []
+    join = type(spans).join
+
+    def counted(self, other, on=None, how=None):
+        if on == ["station", "level", "node"]:
+            keys.append(self.groupBy(*on).count().agg(F.max("count")).first()[0])
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(spans), "join", counted)
+    made = intervals.step_function(spans, [Measure("n", "sum", "1")])
+    total, covered = made.agg(F.count("*"), F.sum("n")).first()
+    assert keys and max(keys) <= 2**6 and total > 9000
+    # each interval counts once in every segment between its ends
+    monkeypatch.setattr(type(spans), "join", join)
+    monkeypatch.setattr(intervals, "BLOCK_LEVEL", 30)
+    assert intervals.step_function(spans, [Measure("n", "sum", "1")]).agg(F.count("*"), F.sum("n")).first() == (total, covered)
+
+
 @pytest.mark.parametrize("bounds", ["closed", "half_open", "overlap"])
 def test_grid_matches_brute_force(spark, data, bounds):
     _, spans = data
