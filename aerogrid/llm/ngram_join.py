@@ -208,13 +208,32 @@ def _pairs_of_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit("block"), "set"), F.col("_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("bi"), F.greatest(o, F.col("own")).alias("bj")))
     spread = rows.withColumn("_blocks", blocks.cast("int")).withColumn("own", own).withColumn("_to", F.explode(pairs))
-    return spread.select(*rows.columns, "own", "_to.bi", "_to.bj").repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj")
+    return spread.select(*rows.columns, "own", "_to.bi", "_to.bj").repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", "set")
 
 
 def _allowed(own: np.ndarray, bi: int, bj: int) -> np.ndarray:
-    """Which pairs this task compares: those across its two blocks, or all of its single block."""
-    other = own[:, None] != own[None, :] if bi != bj else np.ones((len(own), len(own)), bool)
-    return other & ~np.eye(len(own), dtype=bool)
+    """Which pairs this task counts: those across its two blocks, or all of its single block."""
+    return own[:, None] != own[None, :] if bi != bj else np.ones((len(own), len(own)), bool)
+
+
+def _edges(near: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (index, index) that a task of one or two blocks adds to the links between sets sorted by name.
+
+    The task of a single block ties each set to the least name of its component there, whichever bucket it is.  A
+    task of two blocks only ties such components to each other, so a group of m sets in b blocks gives m + b * b edges.
+    """
+    across = own[:, None] != own[None, :]
+    root = _roots(near & ~across)
+    if not across.any():
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return some, root[some]
+    i, j = np.nonzero(near & across)
+    reps, place = np.unique(root, return_inverse=True)
+    tied = np.zeros((len(reps), len(reps)), bool)
+    tied[place[i], place[j]] = True
+    top = _roots(tied)
+    some = np.flatnonzero(top != np.arange(len(top)))
+    return reps[some], reps[top[some]]
 
 
 def _near_by_signature(need: int):
@@ -226,11 +245,9 @@ def _near_by_signature(need: int):
             alike = np.zeros((len(rows), len(rows)), np.uint8)
             for c in range(COORDINATES):
                 alike += signs[:, c, None] == signs[None, :, c]
-            near = (alike >= need) & _allowed(rows["own"].to_numpy(), rows["bi"][0].as_py(), rows["bj"][0].as_py())
-            root = _roots(near)
-            some = np.flatnonzero(root != np.arange(len(root)))
+            near = (alike >= need) & ~np.eye(len(rows), dtype=bool)
             names = rows["set"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(root[some]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)) for x in _edges(near, rows["own"].to_numpy())], ["a", "b"])
 
     return run
 
@@ -256,6 +273,8 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(similarity: float):
+    """Rows (set, root, links): numbers of links that the task has counted, and edges, which count none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["comp", "bi", "bj"]):
             if len(rows) < 2:
@@ -264,12 +283,15 @@ def _links(similarity: float):
             sizes = np.array([len(s) for s in sets], np.float64)
             common = common_shingles(sets)
             near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-            near &= _allowed(rows["own"].to_numpy(), rows["bi"][0].as_py(), rows["bj"][0].as_py())
-            counts = near.sum(axis=1)
+            near &= ~np.eye(len(rows), dtype=bool)
+            own = rows["own"].to_numpy()
+            counts = (near & _allowed(own, rows["bi"][0].as_py(), rows["bj"][0].as_py())).sum(axis=1)
             some = np.flatnonzero(counts)
             names = rows["set"].combine_chunks()
-            columns = [names.take(pa.array(some)), names.take(pa.array(_roots(near)[some])), pa.array(counts[some].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["set", "root", "links"])
+            a, b = _edges(near, own)
+            sets = pa.concat_arrays([names.take(pa.array(some)), names.take(pa.array(a))])
+            roots = pa.concat_arrays([pa.nulls(len(some), names.type), names.take(pa.array(b))])
+            yield pa.RecordBatch.from_arrays([sets, roots, pa.array(np.concatenate([counts[some], np.zeros(len(a), np.int64)]))], ["set", "root", "links"])
 
     return run
 
@@ -280,6 +302,18 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch["set"], batch["comp"], batch["_blocks"], found], ["set", "comp", "_blocks", "shingles"])
 
 
+def candidate_edges(sets: DataFrame, similarity: float, recall: float, small: int = SMALL, depth: int = DEPTH, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Distinct edges (a, b) between the names of `sets` (set, sign) that a bucket has brought together, and that are alike by signature.
+
+    The number of blocks is a power of two, so blocks of other buckets hold the same sets and have the same least name.
+    """
+    buckets = _buckets(sets, similarity, recall, small, depth)
+    filled = buckets.join(sets.select("set", "sign"), "set")
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("c") / (2 * block_sets)))))
+    spread = _pairs_of_blocks(filled.select("path", "set", "c", "sign"), "path", blocks).drop("c")
+    return spread.mapInArrow(_near_by_signature(least_alike(recall, similarity)), "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -309,10 +343,7 @@ def near_duplicates(
     own = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_t1", "_t2")).alias("rep")
     reps = settle(signed.groupBy("set").agg(own, F.max("n").alias("n"), F.max("sign").alias("sign")))
 
-    buckets = _buckets(reps.where("n > 0"), similarity, recall, small, depth)
-    filled = buckets.join(reps.select("set", "sign"), "set")
-    spread = _pairs_of_blocks(filled.select("path", "set", "c", "sign"), "path", F.ceil(F.col("c") / (2 * block_sets))).drop("c")
-    edges = spread.mapInArrow(_near_by_signature(least_alike(recall, similarity)), "a binary, b binary").distinct()
+    edges = candidate_edges(reps.where("n > 0"), similarity, recall, small, depth, block_sets)
     groups = components(edges).withColumnsRenamed({"v": "set"})
 
     members = groups.join(reps.select("set", "rep", "n"), "set")
@@ -326,8 +357,8 @@ def near_duplicates(
     compared = _pairs_of_blocks(in_groups, "comp", F.col("_blocks")).drop("_blocks")
     found = settle(compared.mapInArrow(_links(similarity), "set binary, root binary, links long"))
 
-    links = found.groupBy("set").agg(F.sum("links").alias("links"))
-    classes = components(found, "set", "root").withColumnRenamed("v", "set")
+    links = found.where("root IS NULL").groupBy("set").agg(F.sum("links").alias("links"))
+    classes = components(found.where("root IS NOT NULL"), "set", "root").withColumnRenamed("v", "set")
     known = reps.select("set", "rep").join(classes, "set", "left").join(links, "set", "left")
     known = settle(known.select("set", "rep", F.coalesce("comp", "set").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")))
     heads = known.groupBy("comp").agg(F.min("rep").alias("head"))
@@ -341,7 +372,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, one of each class: its least id; columns as they were."""
+    """The rows of `docs` that stay, one of each class: its least id; columns as they were.
+
+    Null texts count as empty and are one class; a null id stays only where no row of the class has one; of rows that repeat
+    id and text, the one with the greatest other columns stays; an empty table stays empty; no column name clashes.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
     heads = settle(found.select("comp", "head").distinct().select("head._id", "head._t1", "head._t2"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.llm import ngram_join
 from aerogrid.llm.graph import components
-from aerogrid.llm.ngram_join import common_shingles, drop_near_duplicates, near_duplicate_classes, runs_for, shingles
+from aerogrid.llm.ngram_join import candidate_edges, common_shingles, drop_near_duplicates, near_duplicate_classes, runs_for, shingles
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,6 +77,28 @@ def test_a_large_group_of_near_copies(spark):
     assert drop_near_duplicates(docs).count() == 1
 
 
+def test_edges_of_a_near_copy_group_follow_its_size(spark):
+    """Twice the near copies give about twice the edges, in one block or in many, and still hold the group together."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 31, ngram_join.COORDINATES)
+    made = {}
+    for m in (600, 1200):
+        rows = []
+        for i in range(m):
+            sign = base.copy()
+            some = rng.choice(ngram_join.COORDINATES, 6, replace=False)
+            sign[some] = rng.integers(0, 1 << 31, 6)
+            rows.append((i.to_bytes(16, "big"), [int(x) for x in sign]))
+        sets = spark.createDataFrame(rows, "set binary, sign array<int>")
+        for block_sets in (4096, 32):
+            edges = candidate_edges(sets, 0.8, ngram_join.RECALL, block_sets=block_sets)
+            made[m, block_sets] = edges.count()
+            assert components(edges).select("comp").distinct().count() == 1
+    print(made)
+    assert all(n <= 4 * m for (m, block_sets), n in made.items() if block_sets == 4096)
+    assert all(n <= 12 * m + 64 * 64 for (m, block_sets), n in made.items() if block_sets == 32)
+
+
 def test_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = sorted((tuple(r) for r in near_duplicate_classes(odd).collect()), key=repr)
