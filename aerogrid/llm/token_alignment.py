@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,25 +52,34 @@ def _joined(lists: pa.Array, ends: np.ndarray, separator: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, lists), separator)
 
 
-def _cuts(pieces: list[str]) -> np.ndarray:
-    """For each two bytes x, y (at 256 x + y) whether both tokenizers always end a token between them.
-
-    A's words end where the class of ASCII characters changes, if the first is no white space and they are no apostrophe and
-    letter; white space and what follows it stay together.  B never merges over two characters that no piece of it has in a row.
-    """
-    kinds = np.full(256, 4)  # 0 white space, 1 letters, 2 digits, 3 signs, 4 anything else
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 white space, 1 letters, 2 digits, 3 signs, 4 anything else."""
+    kinds = np.full(256, 4)
     for c in range(0x21, 0x7F):
         kinds[c] = 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3
     kinds[[0x20, *range(0x09, 0x0E)]] = 0
+    return kinds
+
+
+def _cuts(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where both tokenizers always end a token.
+
+    The first array tells it for each two bytes x, y (at 256 x + y).  A's words end where the class of ASCII characters changes, if
+    the first is no white space and they are no apostrophe and letter; white space and what follows it stay together.  B never
+    merges over two characters that no piece of it has in a row.  The others tell it for a byte after a two-byte character, none of
+    which is white space from U+00C0 on: the second for any of these, the third for the letters up to U+00FF.
+    """
+    kinds = _kinds()
     x, y = kinds[:, None], kinds[None, :]
     cut = (x >= 1) & (x <= 3) & (y <= 3) & (x != y)
     cut[ord("'"), kinds == 1] = False
+    after_any, after_letter = kinds == 0, (kinds == 0) | (kinds == 2) | (kinds == 3)
     for piece in pieces:
         for a, b in zip(piece, piece[1:], strict=False):
             a, b = (" " if c == "▁" else c for c in (a, b))
-            if ord(a) < 128 and ord(b) < 128:
-                cut[ord(a), ord(b)] = False
-    return cut.reshape(-1)
+            if ord(b) < 128 and ord(a) < 0x800:
+                (cut[ord(a)] if ord(a) < 128 else after_letter if 0xC0 <= ord(a) <= 0xFF else after_any)[ord(b)] = False
+    return cut.reshape(-1), after_any & after_letter, after_letter
 
 
 class Aligner:
@@ -94,9 +104,7 @@ class Aligner:
         self.a_lengths, self.b_lengths = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (self.a_bytes, self.b_bytes))
         self.numerals = pa.array([str(i) for i in range(max(len(shown), len(pieces)))])
         whole = [p for i, p in zip(ids, pieces, strict=True) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
-        self.cut = _cuts(whole)
-        # no piece of B goes on with a space or other white space after a character, so these are cuts as well
-        self.wide_cut = not any(b in "▁ \t\n\x0b\x0c\r" and a != "▁" for p in whole for a, b in zip(p, p[1:], strict=False))
+        self.cut, self.after_any, self.after_letter = _cuts(whole)
         self.look_up: tuple[int, np.ndarray, np.ndarray] | None = None
         self.clear()
 
@@ -109,44 +117,58 @@ class Aligner:
         self.held = 0
         self.look_up = None
 
+    def _differ(self, ids: np.ndarray, many: np.ndarray, known: pa.Array, lengths: np.ndarray, pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which pieces are not what their tokens' bytes are together."""
+        total = np.add.reduceat(np.append(lengths[ids], 0), np.cumsum(many) - many) * (many > 0)
+        bad = total != sizes
+        if bad.any():
+            ids = ids[np.repeat(~bad, many)]
+        want = np.frombuffer(b"".join(p for p, other in zip(pieces, bad, strict=True) if not other), np.uint8)
+        got = np.frombuffer(known.take(pa.array(ids)).buffers()[2] or b"", np.uint8, len(want))
+        if (wrong := np.flatnonzero(got != want)).size:
+            same = np.flatnonzero(~bad)
+            bad[same[np.searchsorted(np.cumsum(sizes[same]), wrong, "right")]] = True
+        return bad
+
     def learn(self, pieces: list[bytes]) -> None:
         """Align pieces that are not known yet."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
         a_lists = [self.a.encode_ordinary(t) for t in texts]
         # a line break is a token of its own, so B puts nothing before the piece
-        b_lists = [ids[2:] for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        counts = np.zeros((4, len(pieces)), np.int64)
-        good = np.ones(len(pieces), bool)
-        for lists, known, lengths in ((a_lists, self.a_bytes, self.a_lengths), (b_lists, self.b_bytes, self.b_lengths)):
-            n = np.array([len(x) for x in lists], np.int64)
-            ids = np.array([i for x in lists for i in x], np.int64)
-            total = np.add.reduceat(np.append(lengths[ids], 0), np.cumsum(n) - n) * (n > 0)
-            good &= (total == sizes) & (n > 0)
-            if good.all() and b"".join(known.take(pa.array(ids)).to_pylist()) == b"".join(pieces):
-                continue
-            for i in np.flatnonzero(good):
-                good[i] = b"".join(known.take(pa.array(lists[i], pa.int64())).to_pylist()) == pieces[i]
-        chosen = np.flatnonzero(good)
-        a_n, b_n = (np.array([len(x[i]) for i in chosen], np.int64) for x in (a_lists, b_lists))
-        a, b = (np.array([t for i in chosen for t in x[i]], np.int64) for x in (a_lists, b_lists))
-        a_ends, b_ends, ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]), np.cumsum(sizes[chosen])
-        groups, parts = np.intersect1d(a_ends, b_ends, assume_unique=True), np.union1d(a_ends, b_ends)
+        b_lists = self.b.encode(["\n" + t for t in texts], num_threads=1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        a_n, b_n = (np.fromiter(map(len, x), np.int64, len(pieces)) for x in (a_lists, b_lists))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a_lists, a_n), (b_lists, b_n)))
+        _, nth = _fan(b_n)
+        b, b_n = b[nth >= 2], b_n - 2
+        bad = self._differ(a, a_n, self.a_bytes, self.a_lengths, pieces, sizes) | self._differ(b, b_n, self.b_bytes, self.b_lengths, pieces, sizes)
+        if bad.any():
+            a, b = a[np.repeat(~bad, a_n)], b[np.repeat(~bad, b_n)]
+        a_ends, b_ends, ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]), np.cumsum(sizes[~bad])
         # tokens overlap in one stretch each, and each stretch between two ends belongs to one A and one B token
-        links = a[np.searchsorted(a_ends, parts)] * self.b_ids + b[np.searchsorted(b_ends, parts)]
+        at = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int8)
+        at[a_ends] |= 1
+        at[b_ends] |= 2
+        parts, groups = np.flatnonzero(at), np.flatnonzero(at == 3)
+        kind = at[parts]
+        a_of, b_of = (np.cumsum(kind & k > 0) - (kind & k > 0) for k in (1, 2))
+        links = a[a_of] * self.b_ids + b[b_of]
         group_ends, link_ends = (np.searchsorted(x, ends, "right") for x in (groups, parts))
-        counts[:, chosen] = a_n, b_n, np.diff(group_ends, prepend=0), np.diff(link_ends, prepend=0)
-        counts[0, ~good] = -1
+        counts = np.zeros((4, len(pieces)), np.int64)
+        counts[:, ~bad] = a_n[~bad], b_n[~bad], np.diff(group_ends, prepend=0), np.diff(link_ends, prepend=0)
+        counts[0, bad] = -1
         sides = [_joined(self.numerals.take(pa.array(ids)), np.searchsorted(x, groups, "right"), ",") for ids, x in ((a, a_ends), (b, b_ends))]
         shown = _joined(pc.binary_join_element_wise(*sides, "|"), group_ends, ";").to_pylist()
-        places = iter(shown)
-        self.texts += [next(places) if g else "" for g in good]
+        self.held += int(sizes.sum()) + sum(map(len, shown)) + 4 * len(links) + 300 * len(pieces)
+        if bad.any():
+            places = iter(shown)
+            shown = ["" if other else next(places) for other in bad]
+        self.texts += shown
         self.first = np.append(self.first, len(self.links) + np.cumsum(counts[3]) - counts[3])
         self.links = np.append(self.links, links.astype(np.int32))
         start = len(self.number)
         self.number.update(zip(pieces, range(start, start + len(pieces)), strict=True))
         self.counts = np.append(self.counts, counts, axis=1)
-        self.held += int(sizes.sum()) + sum(map(len, shown)) + 4 * len(links) + 300 * len(pieces)
 
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         fresh = [p for p in pieces if p not in self.number]
@@ -158,9 +180,11 @@ class Aligner:
         """Where pieces begin in the bytes of texts that begin at `firsts`."""
         here = np.zeros(len(data), bool)
         here[1:] = self.cut[data[:-1].astype(np.uint16) << 8 | data[1:]]
-        if self.wide_cut:  # after a two-byte letter or sign, none of which is white space
-            before, last, then = data[:-2], data[1:-1], data[2:]
-            here[2:] |= (before >= 0xC3) & (before <= 0xDF) & (last >= 0x80) & ((then == 0x20) | ((then >= 0x09) & (then <= 0x0D)))
+        second = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)) + 1  # last bytes of two-byte characters
+        second = second[second + 1 < len(data)]
+        letter = (data[second - 1] == 0xC3) & (data[second] != 0x97) & (data[second] != 0xB7)  # no signs for times and division
+        then = data[second + 1]
+        here[second[np.where(letter, self.after_letter[then], self.after_any[then])] + 1] = True
         here[firsts] = True
         return np.flatnonzero(here)
 
