@@ -151,22 +151,22 @@ def apply_nmf(df: DataFrame, state: dict, prefix: str = "nmf") -> DataFrame:
     return made.select(*df.columns, *[F.col("_w")[i].alias(f"{prefix}_{i}") for i in range(len(h))])
 
 
+def random_matrix(columns: int, n: int = 10, method: str = "random_projection", seed: int = 42) -> tuple[np.ndarray, np.ndarray | None]:
+    """Weights of `n` synthetic features, and their shifts for the RBF kernel."""
+    rng = np.random.default_rng(seed)
+    if method == "random_projection":
+        return rng.normal(0.0, 1.0 / math.sqrt(n), (n, columns)), None
+    if method == "rbf":
+        return rng.normal(0.0, math.sqrt(2.0), (n, columns)), rng.uniform(0.0, 2.0 * math.pi, n)
+    raise ValueError(f"unknown method {method}")
+
+
 def random_features(
     df: DataFrame, columns: Sequence[str], n: int = 10, method: str = "random_projection", seed: int = 42
 ) -> DataFrame:
     """Synthetic features: Gaussian random projections, or random Fourier features of an RBF kernel."""
-    rng = np.random.default_rng(seed)
-    made = []
-    if method == "random_projection":
-        matrix = rng.normal(0.0, 1.0 / math.sqrt(n), (n, len(columns)))
-        made = [linear(columns, w).alias(f"synthetic_{i}") for i, w in enumerate(matrix)]
-    elif method == "rbf":
-        matrix = rng.normal(0.0, math.sqrt(2.0), (n, len(columns)))
-        shifts = rng.uniform(0.0, 2.0 * math.pi, n)
-        made = [
-            (F.cos(linear(columns, w) + F.lit(float(b))) * F.lit(math.sqrt(2.0 / n))).alias(f"synthetic_{i}")
-            for i, (w, b) in enumerate(zip(matrix, shifts))
-        ]
-    else:
-        raise ValueError(f"unknown method {method}")
-    return df.select("*", *made)
+    matrix, shifts = random_matrix(len(columns), n, method, seed)
+    sums = [linear(columns, w) for w in matrix]
+    if shifts is not None:
+        sums = [F.cos(x + F.lit(float(b))) * F.lit(math.sqrt(2.0 / n)) for x, b in zip(sums, shifts)]
+    return df.select("*", *[x.alias(f"synthetic_{i}") for i, x in enumerate(sums)])

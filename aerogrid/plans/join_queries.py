@@ -359,13 +359,71 @@ def _(spark, d):
     )
 
 
-@query("feature_matrix", "S-16")
-def _(spark, d):
+def _feature_matrix_sql():
+    """Grid, reduced observations, forecasts, labels, clock and weather features, then the missing-value rules."""
+    obs = "wind_speed_kt wind_direction wind_gust_kt visibility_m ceiling_ft temperature_c dewpoint_c pressure_hpa".split()
+    flags = {"has_fog": ("FG", "BR"), "has_rain": ("RA", "DZ"), "has_snow": ("SN", "SG"), "has_thunderstorm": ("TS",), "has_ice": ("FZ", "IC")}
+    hit = {n: " OR ".join(f"contains(report, '{c}')" for c in codes) for n, codes in flags.items()}
+    values = [*obs, *flags]
+    forecast = {f"{c}_forecast": c for c in facades.FORECAST_COLUMNS}
+    clock = {
+        "hour": "hour(ts)", "day_of_week": "isodow(ts) - 1", "month": "month(ts)", "is_weekend": "CAST(isodow(ts) >= 6 AS INTEGER)",
+        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
+        "month_sin": "sin(2 * pi() * month(ts) / 12)", "month_cos": "cos(2 * pi() * month(ts) / 12)",
+    }
+    magnus = "17.27::DOUBLE * {0} / (237.7::DOUBLE + {0})"
+    kmh = "(wind_speed_kt * 1.852::DOUBLE)"
+    power = f"pow({kmh}, 0.16::DOUBLE)"
+    chill = f"13.12::DOUBLE + 0.6215::DOUBLE * temperature_c - 11.37::DOUBLE * {power} + 0.3965::DOUBLE * temperature_c * {power}"
+    weather = {
+        "relative_humidity": f"CASE WHEN temperature_c IS NOT NULL AND dewpoint_c IS NOT NULL THEN greatest(0, least(100, 100 * exp({magnus.format('dewpoint_c')} - {magnus.format('temperature_c')}))) END",
+        "wind_chill": f"CASE WHEN temperature_c <= 10 AND {kmh} >= 4.8::DOUBLE THEN {chill} ELSE temperature_c END",
+        "weather_severity": "has_fog * 2 + has_thunderstorm * 3 + has_ice * 3 + CAST(coalesce(visibility_m < 1000, false) AS INTEGER) * 2 + CAST(coalesce(ceiling_ft < 500, false) AS INTEGER) * 2",
+    }
+    levels = {
+        "vis_category": ("visibility_m", "'very_poor' 1000 'poor' 3000 'moderate' 5000 'good' 10000 'excellent'".split()),
+        "ceiling_category": ("ceiling_ft", "'very_low' 200 'low' 500 'moderate' 1000 'high' 3000 'unlimited'".split()),
+    }
+    category = {
+        n: f"CASE WHEN {c} <= 0 THEN NULL " + " ".join(f"WHEN {c} <= {at} THEN {v}" for v, at in zip(x[::2], x[1::2], strict=False)) + f" WHEN {c} > {x[-2]} THEN {x[-1]} END"
+        for n, (c, x) in levels.items()
+    }
+    labels = ["has_regulation", "has_weather_regulation", "regulation_severity"]
+    numbers = [*values, *forecast, *labels, *clock, *weather]
+    whole = {*flags, *labels, "hour", "day_of_week", "month", "is_weekend", "weather_severity"}
+    filled = lambda c: f"coalesce(last_value({c} IGNORE NULLS) OVER back, first_value({c} IGNORE NULLS) OVER ahead)"
+    last = lambda c: f"coalesce({c}, 0)" if c in whole else r(f"coalesce({c}, 0)", 6)
+    return f"""WITH flagged AS (SELECT o.*, {", ".join(f"CAST({x} AS INTEGER) AS {n}" for n, x in hit.items())} FROM obs o JOIN raw_report USING (event_id)),
+ reduced AS (SELECT station, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') AS ts, {", ".join(f"{'max' if c == 'wind_gust_kt' else 'min' if c in ('visibility_m', 'ceiling_ft') else 'avg'}({c}) AS {c}" for c in obs)},
+  {", ".join(f"max({c}) AS {c}" for c in flags)} FROM flagged GROUP BY ALL),
+ steps AS (SELECT g.station, g.ts, {", ".join(f"last_value(s.{c} IGNORE NULLS) OVER w AS {c}" for c in values)} FROM grid g LEFT JOIN reduced s ON g.station = s.station AND g.ts = s.ts
+  WINDOW w AS (PARTITION BY g.station ORDER BY g.ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ spread AS (SELECT station, issue_time, unnest(generate_series(valid_from, valid_to, INTERVAL 30 MINUTE)) AS ts, {", ".join(f"{c} AS {n}" for n, c in forecast.items())} FROM forecast),
+ newest AS (SELECT * FROM spread QUALIFY row_number() OVER (PARTITION BY station, ts ORDER BY issue_time DESC) = 1),
+ covered AS (SELECT g.station, g.ts, CAST(count(i.ordinal) > 0 AS INTEGER) AS has_regulation, coalesce(max(CAST(coalesce(regexp_matches(upper(reason),
+   'WEATHER|WX|CB|TS|FOG|WIND|SNOW|ICE|VISIBILITY|CEILING|STORM'), false) AS INTEGER)), 0) AS has_weather_regulation, coalesce(max(severity), 0) AS regulation_severity
+  FROM grid g LEFT JOIN active i ON g.station = i.station AND g.ts BETWEEN i.start_time AND i.end_time GROUP BY ALL),
+ made AS (SELECT s.*, {", ".join(f"n.{c}" for c in forecast)}, {", ".join(f"c.{c}" for c in labels)} FROM steps s JOIN covered c ON s.station = c.station AND s.ts = c.ts
+  LEFT JOIN newest n ON s.station = n.station AND s.ts = n.ts),
+ featured AS (SELECT *, {", ".join(f'{x} AS "{n}"' for n, x in {**clock, **weather, **category}.items())} FROM made),
+ flowing AS (SELECT station, ts, {", ".join(category)}, {", ".join(f'{filled(chr(34) + c + chr(34))} AS "{c}"' for c in numbers)} FROM featured
+  WINDOW back AS (PARTITION BY station ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY station ORDER BY ts ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT station, ts, {", ".join(f"coalesce({c}, (SELECT {c} FROM flowing WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in category)},
+ {", ".join(f'{last(chr(34) + c + chr(34)) if c not in whole else f"coalesce({chr(34)}{c}{chr(34)}, 0)"} AS "{c}"' for c in numbers)} FROM flowing"""
+
+
+def feature_matrix(spark, d):
     reports = S.raw_reports(spark, d).select("event_id", *phenomenon_flags("report"))
     obs = S.observations(spark, d).join(reports, "event_id")
     return facades.feature_matrix(obs, S.forecasts(spark, d), active_intervals(spark, d))
 
 
+@query("feature_matrix", "S-16", _feature_matrix_sql())
+def _(spark, d):
+    out = feature_matrix(spark, d)
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c, kind in out.dtypes if kind == "double"})
+
+
 @query(
     "label_rate_by_condition",
     "A-07",

