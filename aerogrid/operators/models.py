@@ -97,8 +97,11 @@ def evaluate(scored: DataFrame, label: str, threshold: float = 0.5, by: Sequence
 def out_of_fold(
     df: DataFrame, kind: str, columns: Sequence[str], label: str, keys: Sequence[str], k: int = 5, **kw
 ) -> DataFrame:
-    """Every row scored by the model that did not see its fold; the folds are fitted at the same time."""
-    folded = settle(stratified_folds(df, label, keys, k))
+    """Every row scored by the model that did not see its fold; the folds are fitted at the same time.
+
+    A table that has its folds already, in `fold`, keeps them.
+    """
+    folded = df if "fold" in df.columns else settle(stratified_folds(df, label, keys, k))
 
     def one(i: int) -> DataFrame:
         model = fit(folded.where(F.col("fold") != i), kind, columns, label, **kw)
@@ -176,7 +179,7 @@ def grid_search(
 
 
 def stack(
-    df: DataFrame, base: dict[str, dict], columns: Sequence[str], label: str, keys: Sequence[str], k: int = 3, meta="logistic_regression",
+    df: DataFrame, base: dict[str, dict], columns: Sequence[str], label: str, keys: Sequence[str], k: int = 5, meta="logistic_regression",
     **meta_kw,
 ) -> DataFrame:
     """Out-of-fold scores of the base models feed a meta-learner; returns its scores for every row.
@@ -184,9 +187,10 @@ def stack(
     The base scores come from models that did not see the row, so the meta-learner does not learn their
     training error.
     """
+    folded = settle(stratified_folds(df, label, keys, k))
     joined = None
     for name, kw in base.items():
-        part = out_of_fold(df, columns=columns, label=label, keys=keys, k=k, **kw)
+        part = out_of_fold(folded, columns=columns, label=label, keys=keys, k=k, **kw)
         part = part.select(*keys, label, F.col("score").alias(name))
         joined = part if joined is None else joined.join(part.drop(label), list(keys))
     joined = settle(joined)
@@ -228,6 +232,40 @@ def vote_stored(df: DataFrame, results: DataFrame, weights: Sequence[float] | No
     return out.withColumn("score", metrics.soft_vote(votes, weights or [1.0] * len(paths)))
 
 
+def _score_all(df: DataFrame, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A score column for each stored package, in the given order."""
+    out = df
+    for i, path in enumerate(paths):
+        model, _, _ = load_package(path, df.sparkSession)
+        out = score(model, out, f"base_{i}")
+    return out, [f"base_{i}" for i in range(len(paths))]
+
+
+def save_stack(df: DataFrame, packages: Sequence[str], label: str, path: str, meta: str = "logistic_regression", **meta_kw) -> None:
+    """Fit a meta-learner on the scores of stored packages and store it with references to them.
+
+    `df` must be rows that the packages were not fitted on; at least two packages are needed.
+    """
+    if len(packages) < 2:
+        raise ValueError("a stack needs at least two stored models")
+    spark = df.sparkSession
+    scored, names = _score_all(df, packages)
+    scored = settle(scored.select(label, *names))
+    model = fit(scored, meta, names, label, **meta_kw)
+    cut = metrics.best_threshold(score(model, scored).withColumnRenamed(label, "y")).first()
+    save_package(model, path, names, float(cut["threshold"]) if cut else 0.5, spark)
+    rows = [(i, p) for i, p in enumerate(packages)]
+    spark.createDataFrame(rows, "place int, path string").write.mode("overwrite").json(f"{path}/base")
+
+
+def score_stack(df: DataFrame, path: str) -> DataFrame:
+    """Score with a stored stack: its packages first, then the meta-learner on their scores."""
+    spark = df.sparkSession
+    base = spark.read.schema("place int, path string").json(f"{path}/base").orderBy("place").collect()  # one row per model
+    scored, names = _score_all(df, [r["path"] for r in base])
+    return score_package(scored, path).drop(*names)
+
+
 def perturbation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], steps: int = 1) -> DataFrame:
     """Mean absolute change of the probability when one slot is zeroed.
 

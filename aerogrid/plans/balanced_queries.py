@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerogrid.functions.num import rnd
+from aerogrid.operators import models
 from aerogrid.plans import facades
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
@@ -40,10 +41,5 @@ def _(spark, d):
 
 @query("balanced_models", "K-01 K-02 K-03 K-04 K-13")
 def _(spark, d):
-    runs = {  # smaller than models.SETTINGS, so that the query ends in a minute or two
-        "random_forest": {"kind": "random_forest", "numTrees": 50, "maxDepth": 8},
-        "gradient_boosting": {"kind": "gradient_boosting", "maxIter": 20, "maxDepth": 5},
-        "logistic_regression": {"kind": "logistic_regression"},
-        "neural_network": {"kind": "neural_network", "hidden": [100, 50], "maxIter": 50},
-    }
+    runs = {kind: {"kind": kind} for kind in models.SETTINGS}
     return facades.balanced_models(facades.balanced_dataset(S.observations(spark, d), S.intervals(spark, d)), runs)

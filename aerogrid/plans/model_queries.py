@@ -17,11 +17,10 @@ from aerogrid.sources import standins as S
 _FC = S.FEATURES
 _KEY = ["event_id"]
 _W = ["temperature_c", "dewpoint_c", "wind_speed_kt", "pressure_hpa"]
-# The three queries of single models fit with the settings of models.SETTINGS.  Queries that fit many
-# models (folds, searches, stacks, packages) use smaller ones, so that a run over all queries ends in minutes.
+# All queries fit with the settings of models.SETTINGS.
 FULL = {k: {"kind": k} for k in ("random_forest", "gradient_boosting", "logistic_regression", "neural_network")}
-FOREST = {"kind": "random_forest", "numTrees": 20, "maxDepth": 5}
-BOOSTED = {"kind": "gradient_boosting", "maxIter": 10, "maxDepth": 3}
+FOREST = FULL["random_forest"]
+BOOSTED = FULL["gradient_boosting"]
 LOGISTIC = FULL["logistic_regression"]
 
 
@@ -102,6 +101,18 @@ def _(spark, d):
     return models.vote_stored(test, stored).select("event_id", "y", "score")
 
 
+@query("stored_stack_scores", "K-21 K-06")
+def _(spark, d):
+    train, val, test = _split(spark, d)
+    paths = []
+    for name, kw in {"forest": FOREST, "linear": LOGISTIC, "wide": {**FOREST, "maxDepth": 10, "seed": 7}}.items():
+        paths.append(scratch_path(spark, name))
+        models.save_package(models.fit(train, columns=_W, label="y", **kw), paths[-1], _W, 0.5, spark)
+    path = scratch_path(spark, "stack")
+    models.save_stack(val, paths, "y", path)
+    return models.score_stack(test, path).select("event_id", "y", "score", "prediction")
+
+
 @query("feature_perturbation", "K-23")
 def _(spark, d):
     train, _, test = _split(spark, d)
@@ -122,21 +133,26 @@ def _(spark, d):
 
 @query("grid_search", "H-02")
 def _(spark, d):
-    space = {"maxDepth": [3, 5], "numTrees": [5, 10]}
+    space = {"maxDepth": [10, 20], "numTrees": [100, 300]}
     return models.grid_search(poor_conditions(spark, d), "random_forest", _W, "y", _KEY, space, 3)
 
 
 @query("random_search", "H-03 H-02")
 def _(spark, d):
-    space = {"maxDepth": [2, 3, 4], "numTrees": [3, 5]}
-    return models.grid_search(poor_conditions(spark, d), "random_forest", _W, "y", _KEY, space, 3, draws=3)
+    space = {"maxDepth": [5, 10, 15, 20], "numTrees": [50, 100, 200, 300], "minInstancesPerNode": [1, 2, 4]}
+    return models.grid_search(poor_conditions(spark, d), "random_forest", _W, "y", _KEY, space, 3, draws=10)
 
 
 @query("recursive_elimination", "L-04")
 def _(spark, d):
     rows = settle(poor_conditions(spark, d))
-    kept = models.eliminate_features(rows, _W, "y", 2, numTrees=10, maxDepth=4)
-    return rows.select("event_id", "y", *kept)
+    return rows.select("event_id", "y", *models.eliminate_features(rows, _W, "y", 2))
+
+
+@query("validated_elimination", "L-04")
+def _(spark, d):
+    rows = settle(poor_conditions(spark, d))
+    return rows.select("event_id", "y", *models.eliminate_by_validation(rows, _W, "y", _KEY, k=5))
 
 
 @query("lasso_selection", "L-05")
@@ -148,7 +164,7 @@ def _(spark, d):
 @query("forest_selection", "L-06")
 def _(spark, d):
     rows = settle(poor_conditions(spark, d))
-    return rows.select("event_id", "y", *models.important_features(rows, _W, "y", numTrees=10, maxDepth=4))
+    return rows.select("event_id", "y", *models.important_features(rows, _W, "y"))
 
 
 # ---------------------------------------------------------------- detectors
@@ -213,7 +229,7 @@ def _(spark, d):
 @query("nonnegative_factors", "X-13")
 def _(spark, d):
     f = S.features(spark, d).select("l_orderkey", "l_linenumber", *_FC)
-    return reduction.apply_nmf(f, reduction.fit_nmf(f, _FC, 2))
+    return reduction.apply_nmf(f, reduction.fit_nmf(f, _FC, min(30, len(_FC))))
 
 
 def _synthetic_sql(method: str, digits: int) -> str:

@@ -44,6 +44,26 @@ def test_package_round_trip(spark, table):
     assert models.load_package(path, spark)[1:] == (COLS, 0.3)
 
 
+def test_stored_stack_replays(spark, table):
+    train, rest = table.randomSplit([0.5, 0.5], 3)
+    train, rest = train.cache(), rest.cache()
+    paths = []
+    for name, kw in {"forest": {"kind": "random_forest", "numTrees": 10, "maxDepth": 4}, "linear": {"kind": "logistic_regression"}}.items():
+        paths.append(scratch_path(spark, name))
+        models.save_package(models.fit(train, columns=COLS, label="y", **kw), paths[-1], COLS, 0.5, spark)
+    path = scratch_path(spark, "stack")
+    models.save_stack(rest, paths, "y", path)
+    first, again = (sorted(map(tuple, models.score_stack(rest, path).select("y", "score", "prediction").collect())) for _ in range(2))
+    assert first == again and np.mean([y == p for y, _, p in first]) > 0.9
+    # the same by hand: score with each package, then with the stored meta-learner
+    by_hand = models.score(models.load_package(paths[1], spark)[0], models.score(models.load_package(paths[0], spark)[0], rest, "base_0"), "base_1")
+    meta, columns, _ = models.load_package(path, spark)
+    assert columns == ["base_0", "base_1"]
+    assert sorted(r.score for r in models.score(meta, by_hand).select("score").collect()) == sorted(s for _, s, _ in first)
+    with pytest.raises(ValueError):
+        models.save_stack(rest, paths[:1], "y", path)
+
+
 def test_importances_and_elimination(spark, table):
     model = models.fit(table, "random_forest", COLS, "y", numTrees=10, maxDepth=4)
     ranked = [r["feature"] for r in models.importances(model, COLS, spark).collect()]
