@@ -112,6 +112,13 @@ def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.label_pages(pages, table(spark, sf_dir, "labels")))
 
 
+@query("url_rules_german_pages")
+def url_rules_german_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules where the label does depend on the URL: pages of German documents are blocked."""
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.label_pages_by_language(pages, table(spark, sf_dir, "documents"), "de"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))

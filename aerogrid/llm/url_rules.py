@@ -1,9 +1,9 @@
 """URL filtering by a rule list and by association rules mined from labelled URLs.
 
-A URL becomes a set of tokens.  FP-growth finds token combinations that are frequent among labelled
-URLs; those that imply the bad label with enough confidence and support are the mined rules, less those
-that contain a shorter one.  Rules are matched by an inverted index: a rule stands under its rarest
-token, so only URLs with that token are compared with the rest of the rule.
+A URL becomes a set of tokens, and tokens that always come together become one item.  FP-growth finds combinations
+of items that are frequent among labelled URLs; those that imply the bad label with enough confidence and support are
+the mined rules, less those that contain a shorter one.  Rules are matched by an inverted index: a rule stands under its rarest
+item, so only URLs with that item are compared with the rest of the rule.
 """
 
 from __future__ import annotations
@@ -62,33 +62,81 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return F.array_max(F.array(*found)) if len(found) else F.lit(None)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least: int = LEAST_URLS) -> DataFrame:
-    """Rows (tokens, confidence, support) from rows (tokens, bad).
+def _items(labelled: DataFrame) -> DataFrame:
+    """Rows (token, item, n, bad): tokens that occur in the same labelled URLs are one item, named after the least of them.
 
-    Support is the share of labelled URLs that have the tokens and are bad; at least `least` URLs must.
-    Rules that hold all tokens of another rule are left out.  Without labels there are no rules.
+    `n` and `bad` count the URLs, and the bad ones.  Rules that differ only in such tokens say the same of every labelled URL.
     """
-    n = labelled.count()
-    rows = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if n < least:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    support = max(min_support, least / n)
-    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(rows).associationRules
-    bad = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    mined = settle(bad.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"))
-    wider = _matches(mined.select(F.col("tokens").alias("have")), mined, proper=True).select(F.col("have").alias("tokens"))
-    return settle(mined.join(broadcast_if_small(settle(wider.distinct())), "tokens", "left_anti"))
+    numbered = labelled.withColumn("_row", F.monotonically_increasing_id())
+    spread = numbered.select("_row", "bad", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64(F.lit(i), "_row")).alias(f"_x{i}") for i in (1, 2)]
+    per_token = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), *where)
+    alike = per_token.groupBy("n", "bad", "_x1", "_x2").agg(F.min("token").alias("item"))
+    return per_token.join(alike, ["n", "bad", "_x1", "_x2"]).select("token", "item", "n", "bad")
+
+
+def _as_items(rows: DataFrame, key: str, tokens: str, items: DataFrame) -> DataFrame:
+    """Rows (key, have): the distinct items of the tokens; without any there is no row."""
+    spread = rows.select(key, F.explode(tokens).alias("token")).join(broadcast_if_small(items), "token")
+    return spread.groupBy(key).agg(F.collect_set("item").alias("have"))
 
 
-def _matches(rows: DataFrame, rules: DataFrame, proper: bool = False) -> DataFrame:
-    """The rows whose tokens `have` include all tokens of a rule (and more, if `proper`), by inverted index."""
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least: int = LEAST_URLS) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, confidence, support) and tokens (token, item), from settled rows (tokens, bad).
+
+    A rule's tokens are items; a URL has an item if it has any of its tokens.  Support is the share of labelled URLs that have the
+    items and are bad; at least `least` URLs must.  Rules that hold all items of another rule are left out: items that are a rule
+    alone are not mined further, nor are those that too few bad URLs or all URLs have.  Without labels there are no rules.
+    """
+    spark = labelled.sparkSession
+    n = labelled.count()
+    if n < least:
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double"), spark.createDataFrame([], "token string, item string")
+    support = min(1.0, max(min_support, least / n))
+    items = settle(_items(labelled).where(F.col("bad") >= F.lit(support * n - 1e-9)))
+    confidence = (F.col("bad") / F.col("n")).alias("confidence")
+    alone = items.where("token = item").select(F.array("item").alias("tokens"), confidence, (F.col("bad") / n).alias("support")).where(F.col("confidence") >= min_confidence)
+    rest = items.where((F.col("bad") / F.col("n") < min_confidence) & (F.col("n") < n))
+    rows = settle(labelled.withColumn("_row", F.monotonically_increasing_id()))
+    found = _as_items(rows, "_row", "tokens", rest.select("token", "item")).join(rows.select("_row", "bad"), "_row")
+    baskets = found.select(F.when(F.col("bad"), F.concat("have", F.array(F.lit(BAD)))).otherwise(F.col("have")).alias("items"))
+    some = found.count()
+    mined = alone
+    if some:  # the others have no item, so the support is taken of fewer
+        rules = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, support * n - 1e-6) / some), minConfidence=min_confidence).fit(baskets).associationRules
+        bad = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+        several = settle(bad.select(F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * some / n).alias("support")))
+        mined = alone.unionByName(several.join(broadcast_if_small(settle(_wider(several))), "tokens", "left_anti"))
+    return settle(mined), settle(items.select("token", "item"))
+
+
+def _wider(rules: DataFrame) -> DataFrame:
+    """Rows (tokens): the rules, of two items at least, that hold all items of a shorter one.
+
+    A rule stands under its two rarest items, so only rules that have both are compared with it.
+    """
+    often = rules.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rare = rules.select("tokens", F.explode("tokens").alias("t")).join(broadcast_if_small(often), "t")
+    two = rare.groupBy("tokens").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "t"))), 1, 2).alias("two"))
+    index = two.select(F.sort_array("two.t").alias("two"), F.col("tokens").alias("shorter"))
+    pairs = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.array(x, y))))
+    asked = rules.where(F.size("tokens") > 2).select("tokens", F.explode(pairs).alias("two"))
+    inside = (F.size("shorter") < F.size("tokens")) & (F.size(F.array_except("shorter", "tokens")) == 0)
+    return asked.join(index, "two").where(inside).select("tokens").distinct()
+
+
+def _matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows (key, have) that have all items of a rule, by an inverted index: a rule stands under the item that fewest rows have."""
     every = rules.select("tokens", F.explode("tokens").alias("t"))
-    often = every.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rarest = every.join(broadcast_if_small(often), "t").groupBy("tokens").agg(F.min(F.struct("n", "t")).alias("rarest"))
-    index = broadcast_if_small(settle(rarest.select("tokens", F.col("rarest.t").alias("t"))))
-    postings = rows.select("*", F.explode("have").alias("t")).join(index, "t")
-    held = F.size(F.array_except("tokens", "have")) == 0
-    return postings.where(held & (F.size("have") > F.size("tokens")) if proper else held).drop("t", "tokens")
+    asked = broadcast_if_small(settle(every.select("t").distinct()))
+    postings = settle(rows.select("key", F.explode("have").alias("t")).join(asked, "t"))
+    often = postings.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rarest = every.join(often, "t").groupBy("tokens").agg(F.min(F.struct("n", "t")).alias("rarest"), F.count(F.lit(1)).alias("_seen"))
+    index = rarest.where(F.col("_seen") == F.size("tokens")).select("tokens", F.col("rarest.t").alias("t"))  # else no row has some item
+    first = postings.join(broadcast_if_small(settle(index)), "t").select("key", "tokens")
+    alone = first.where(F.size("tokens") == 1).select("key")
+    longer = first.where(F.size("tokens") > 1).join(rows, "key").where(F.size(F.array_except("tokens", "have")) == 0)
+    return alone.unionByName(longer.select("key")).distinct()
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, **mining) -> DataFrame:
@@ -100,14 +148,18 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
     give no rows or no mined rules; other columns are ignored.
     """
     known = labelled.select(tokens_of(F.col("url")).alias("tokens"), "bad").where("bad IS NOT NULL")
-    mined = mine_rules(settle(known), **mining)
+    mined, items = mine_rules(settle(known), **mining)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     rows = rows.select("*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     rows = rows.withColumn("_listed", listed_rule(F.col("host"), F.col("path"), rules))
-    open_urls = rows.where("_listed IS NULL AND _url IS NOT NULL").select("_url").distinct().withColumn("have", tokens_of(F.col("_url")))
-    caught = settle(_matches(open_urls, mined).select("_url").distinct()).withColumn("_caught", F.lit(True))
-    judged = rows.join(broadcast_if_small(caught), "_url", "left")
     verdict = F.coalesce("_listed.verdict", F.when(F.col("_caught"), "block").otherwise("allow"))
+    if mined.isEmpty():
+        judged = rows.withColumn("_caught", F.lit(False))
+    else:
+        open_urls = rows.where("_listed IS NULL AND _url IS NOT NULL").select("_url").distinct()
+        have = _as_items(open_urls.select(F.col("_url").alias("key"), tokens_of(F.col("_url")).alias("tokens")), "key", "tokens", items)
+        caught = settle(_matches(settle(have), mined)).select(F.col("key").alias("_url"), F.lit(True).alias("_caught"))
+        judged = rows.join(broadcast_if_small(caught), "_url", "left")
     return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("_listed.rule").alias("rule"), verdict.alias("verdict"))
 
 
@@ -118,3 +170,11 @@ def label_pages(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> Da
     bad = labels.select(F.col("doc_id").alias("_doc"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     known = bad.where("_doc IS NOT NULL").groupBy("_doc").agg(F.max("bad").alias("bad"))
     return numbered.withColumn("_doc", number).where("_doc IS NOT NULL").join(known, "_doc").select("url", "bad")
+
+
+def label_pages_by_language(pages: DataFrame, docs: DataFrame, lang: str, url_col: str = "url") -> DataFrame:
+    """Rows (url, bad): pages whose path names a document by number; those of the given language count as bad, null ones as others."""
+    number = F.expr("try_cast(_n AS BIGINT)")
+    numbered = pages.select(F.col(url_col).alias("url"), F.regexp_extract(path_of(F.col(url_col)), r"/([0-9]+)(?:[./]|$)", 1).alias("_n"))
+    known = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.coalesce(F.col("lang") == lang, F.lit(False))).alias("bad"))
+    return numbered.withColumn("_doc", number).where("_doc IS NOT NULL").join(known, "_doc").select("url", "bad")
