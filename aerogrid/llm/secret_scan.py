@@ -35,14 +35,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
-#: Further kinds, by the published formats of the tokens.
+#: Further kinds, by the published formats of the tokens.  No group repeats without end, which would take stack, and
+#: what a match can start with many times in a row is bounded.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z][A-Z ]* )?PRIVATE KEY-----"),
     Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[^\s/@:]{6,64}@[A-Za-z0-9.-]{3,}"),
 )
 RULES = BASE_RULES + MORE_RULES
