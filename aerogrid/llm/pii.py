@@ -38,9 +38,10 @@ _GROUPED_IBAN = "|".join(
     rf"(?:{codes.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
     for n, codes in IBAN_COUNTRIES.items()
 )
-#: Published formats, in order of precedence.  Each part is anchored so that scanning stays linear.
+#: Published formats, in order of precedence.  Each part is anchored so that scanning stays linear, and groups that may
+#: repeat without end do so possessively, which takes no stack.
 FORMATS = {
-    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
     "iban": rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED_IBAN})(?![\p{{L}}\p{{N}}])",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -142,8 +143,8 @@ def permute_characters(text: Column, key: str, tweak: str, undo: bool = False, w
     """
     length = F.when(text.rlike(f"^{CELL}*$"), CHUNK).otherwise(WIDE_CHUNK) if wide else F.lit(CHUNK)
 
-    def chunk(i: Column) -> Column:
-        return let(_cells(_characters(F.substring(text, i * length + 1, length)), wide), lambda cells: permuted(cells, i))
+    def chunk(characters: Column, i: Column) -> Column:
+        return let(_cells(F.slice(characters, i * length + 1, length), wide), lambda cells: permuted(cells, i))
 
     def permuted(cells: Column, i: Column) -> Column:
         half = F.floor(F.size(cells) / 2).cast("int")
@@ -164,7 +165,8 @@ def permute_characters(text: Column, key: str, tweak: str, undo: bool = False, w
 
     chunks = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / length).cast("int"))
     whole = lambda parts: F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
-    joined = let(F.transform(chunks, chunk), whole) if wide else F.array_join(F.transform(chunks, chunk), "")
+    made = let(_characters(text), lambda characters: F.transform(chunks, partial(chunk, characters)))
+    joined = let(made, whole) if wide else F.array_join(made, "")
     return F.when(F.length(text) > 0, joined).otherwise(text)
 
 
@@ -174,9 +176,8 @@ def _only(text: Column, pattern: str) -> Column:
 
 def _put_back(layout: Column, cells: Column, pattern: str) -> Column:
     """`layout` with its characters that match `pattern` replaced by those of `cells`, in order."""
-    before = lambda i: F.length(_only(F.substring(layout, F.lit(1), i), pattern))
-    place = lambda c, i: F.when(c.rlike(f"^{pattern}$"), F.substring(cells, before(i) + 1, F.lit(1))).otherwise(c)
-    return let(_characters(layout), lambda chars: F.array_join(F.transform(chars, place), ""))
+    between = F.split(layout, pattern, -1)
+    return F.array_join(F.zip_with(between, _characters(cells), lambda b, c: F.concat(b, F.coalesce(c, F.lit("")))), "")
 
 
 def _luhn_sum(digits: Column, first_doubled: int) -> Column:
