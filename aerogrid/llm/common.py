@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: A table of keys with at most this many counted rows (tens of bytes each) may be broadcast.
-BROADCAST_ROWS = 400_000
+#: A table of at most so many counted bytes may be broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Of a hashed row besides its values.
+ROW_BYTES = 48
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`keys` with a broadcast hint if it has at most `limit` rows, else unchanged (a shuffled join).
+def _bytes_of(name: str, kind: DataType) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)).cast("long") + 8
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.octet_length(F.to_json(F.struct(f"`{name}`"))).cast("long") + 8
+    return F.lit(8).cast("long")
 
-    The rows are counted, so `keys` should be settled or cheap.
+
+def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`keys` with a broadcast hint if its rows take at most `limit` bytes, else unchanged (a shuffled join).
+
+    The bytes are counted, so `keys` should be settled or cheap.
     """
-    return F.broadcast(keys) if keys.count() <= limit else keys
+    row = sum((_bytes_of(f.name, f.dataType) for f in keys.schema), F.lit(ROW_BYTES).cast("long"))
+    return F.broadcast(keys) if (keys.agg(F.sum(row)).first()[0] or 0) <= limit else keys
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
