@@ -11,8 +11,9 @@ into one task.  Three building blocks avoid it:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,6 +44,23 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
     return F.floor(epoch_us(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal keys, from Arrow batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        key = list(zip(*[batch[k].to_pylist() for k in keys], strict=True))
+        starts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
+        for i, j in zip(starts, starts[1:], strict=False):
+            if held and key[i] != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held_key = key[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def positions(
     df: DataFrame,
     group: Sequence[str],

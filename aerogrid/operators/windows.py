@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from aerogrid.functions.num import flag
-from aerogrid.operators.ordering import over_series, positions
+from aerogrid.operators.ordering import grouped, over_series, positions
+from aerogrid.session import settle
 
+BLOCK = 4_096  # rows of a series that a task folds at once
 MAX_BROADCAST_ROWS = 1_000_000  # rows of a per-station summary that may be sent to every task
 
 
@@ -206,6 +211,83 @@ def dilate_labels(df: DataFrame, label: str, reach: int = 3, **kw) -> DataFrame:
     return near.select(*kept, F.greatest(F.col(label), F.col("_near")).alias(f"{label}_dilated"))
 
 
+#: Next state of the alternating rule for each (label, state); a state is previous label, whether the last change was
+#: taken, and how many rows are still set to 1: 8 * previous + 4 * taken + rows; the last one is before the first row.
+BEFORE = 16
+
+
+def _alternation(reach: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(next state, whether the row is a change that is taken) by label and state."""
+    if reach > 3:
+        raise ValueError("the rule is made for a reach of at most 3")
+    after, taken = [[0] * (BEFORE + 1) for _ in range(2)], [[0] * (BEFORE + 1) for _ in range(2)]
+    for label in range(2):
+        after[label][BEFORE] = 8 * label
+        for state in range(BEFORE):
+            previous, skip, rows = state // 8, state // 4 % 2, state % 4
+            now = 1 if rows else label
+            change = now != previous
+            taken[label][state] = int(change and not skip)
+            if taken[label][state]:
+                after[label][state] = 8 + 4 + reach
+            else:
+                after[label][state] = 8 * now + 4 * (0 if change else skip) + max(rows - 1, 0)
+    return after, taken
+
+
+def dilate_alternate(df: DataFrame, label: str, reach: int = 3, block: int = BLOCK, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Set the label to 1 within `reach` rows of every other change, where a change is seen after the rows set so far.
+
+    The rule keeps a state from row to row, so it is a function of the state before: each block of rows becomes such a function (a task
+    per block), these are chained (a row per block), and each block is read again from the state it begins in.
+    """
+    after, taken = _alternation(reach)
+    placed = settle(positions(df, ["station"], ts, tie).withColumn("_block", F.floor(F.col("_pos") / block)))
+    keyed = placed.select("station", "_block", "_pos", F.coalesce(F.col(label), F.lit(0)).cast("int").alias("_y"))
+
+    def chained(batches):
+        for rows in grouped(batches, ["station", "_block"]):
+            state = np.arange(BEFORE + 1)
+            steps = np.array(after)
+            for y in rows["_y"].to_numpy():
+                state = steps[y][state]
+            yield pa.RecordBatch.from_pylist([{"station": rows["station"][0].as_py(), "_block": rows["_block"][0].as_py(), "ends": state.tolist()}], _ENDS)
+
+    def begun(batches):
+        station, state = None, BEFORE
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["station"] != station:
+                    station, state = row["station"], BEFORE
+                out.append({"station": station, "_block": row["_block"], "_begin": state})
+                state = row["ends"][state]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _BEGINS)
+
+    def marked(batches):
+        for rows in grouped(batches, ["station", "_block"]):
+            state, found = rows["_begin"][0].as_py(), []
+            for y in rows["_y"].to_pylist():
+                found.append(taken[y][state])
+                state = after[y][state]
+            yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("station", "_pos")), pa.array(found, pa.int32())], ["station", "_pos", "_change"])
+
+    kind = df.schema["station"].dataType.simpleString()
+    _ENDS = pa.schema([("station", to_arrow_type(df.schema["station"].dataType)), ("_block", pa.int64()), ("ends", pa.list_(pa.int32()))])
+    _BEGINS = pa.schema([_ENDS.field(0), _ENDS.field(1), ("_begin", pa.int32())])
+    blocks = keyed.repartition("station", "_block").sortWithinPartitions("station", "_block", "_pos")
+    ends = blocks.mapInArrow(chained, f"station {kind}, _block long, ends array<int>")
+    starts = ends.repartition("station").sortWithinPartitions("station", "_block").mapInArrow(begun, f"station {kind}, _block long, _begin int")
+    again = keyed.join(settle(starts), ["station", "_block"]).repartition("station", "_block").sortWithinPartitions("station", "_block", "_pos")
+    changes = again.mapInArrow(marked, f"station {kind}, _pos long, _change int")
+    rows = placed.drop("_block").join(changes, ["station", "_pos"])
+    near = over_series(
+        rows, lambda w: [F.max("_change").over(w.rowsBetween(-reach, reach)).alias("_near")], ts=ts, tie=tie, back=reach, ahead=reach, keep=list(df.columns), sizes=df
+    )
+    return near.select(*df.columns, F.greatest(F.col(label), F.col("_near")).alias(f"{label}_dilated"))
+
+
 def sequences(
     df: DataFrame, columns: Sequence[str], label: str, length: int, inclusive: bool = True, **kw
 ) -> DataFrame:

@@ -412,13 +412,16 @@ SELECT station, ts, {", ".join(f"coalesce({c}, (SELECT {c} FROM flowing WHERE {c
  {", ".join(f'{last(chr(34) + c + chr(34)) if c not in whole else f"coalesce({chr(34)}{c}{chr(34)}, 0)"} AS "{c}"' for c in numbers)} FROM flowing"""
 
 
+FEATURE_MATRIX_SQL = _feature_matrix_sql()
+
+
 def feature_matrix(spark, d):
     reports = S.raw_reports(spark, d).select("event_id", *phenomenon_flags("report"))
     obs = S.observations(spark, d).join(reports, "event_id")
     return facades.feature_matrix(obs, S.forecasts(spark, d), active_intervals(spark, d))
 
 
-@query("feature_matrix", "S-16", _feature_matrix_sql())
+@query("feature_matrix", "S-16", FEATURE_MATRIX_SQL)
 def _(spark, d):
     out = feature_matrix(spark, d)
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c, kind in out.dtypes if kind == "double"})

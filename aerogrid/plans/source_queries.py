@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from aerogrid.functions import text as T
 from aerogrid.functions.num import rnd
 from aerogrid.operators import ordering, results
-from aerogrid.plans import facades
+from aerogrid.plans import facades, join_queries
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
-from aerogrid.session import scratch_path
-from aerogrid.sources import files
+from aerogrid.session import scratch_path, settle
+from aerogrid.sources import files, storage
 from aerogrid.sources import standins as S
 
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -314,16 +314,19 @@ def _(spark, d):
     )
 
 
-@query(
-    "export_comparison",
-    "S-12",
-    f"SELECT trial_id, model, {r('score')} AS score FROM trials WHERE experiment = 'LARGE'",
-)
-def _(spark, d):
-    path = scratch_path(spark, "export")
-    rows = S.trials(spark, d).where(F.col("experiment") == "LARGE").select("trial_id", "model", "score")
-    results.export_results(rows, path, "json")
-    return spark.read.schema(rows.schema).json(path).select("trial_id", "model", rnd("score").alias("score"))
+def _exported(name, fmt):
+    @query(name, "S-12", f"SELECT trial_id, model, experiment, {r('score')} AS score FROM trials")
+    def _(spark, d):
+        path = scratch_path(spark, "export")
+        rows = S.trials(spark, d).select("trial_id", "model", "experiment", "score")
+        results.export_results(rows, path, fmt)
+        reader = spark.read.schema(rows.schema)
+        read = reader.json(path) if fmt == "json" else reader.option("header", True).csv(path)
+        return read.select("trial_id", "model", "experiment", rnd("score").alias("score"))
+
+
+_exported("export_comparison", "json")
+_exported("export_comparison_csv", "csv")
 
 
 _SCALED = ("visibility_m", "ceiling_ft", "wind_speed_kt", "temperature_c", "dewpoint_c")
@@ -352,3 +355,33 @@ def _(spark, d):
     return out.withColumns({c: rnd(c) + F.lit(0.0) for c in _SCALED})
 
 
+_KEPT = ("has_regulation", "regulation_severity", "visibility_m", "temperature_c", "vis_category")
+_TWICE = "CAST(ts AS DATE) >= DATE '2024-01-20'"
+
+
+@query(
+    "stored_feature_matrix",
+    "S-16 S-14",
+    f"""SELECT station, ts, CAST(ts AS DATE) AS "day", has_regulation + CASE WHEN {_TWICE} THEN 10 ELSE 0 END AS has_regulation, regulation_severity,
+ visibility_m, temperature_c, vis_category FROM ({join_queries.FEATURE_MATRIX_SQL}) WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 21""",
+)
+def _(spark, d):
+    """Report files to a stored matrix: a first run over all days, a second that replaces the later ones, then retention."""
+    root = scratch_path(spark, "matrix")
+    made = settle(join_queries.feature_matrix(spark, d).select("station", "ts", *_KEPT))
+    storage.store_days(made, root)
+    storage.store_days(made.where(F.expr(_TWICE)).withColumn("has_regulation", F.col("has_regulation") + 10), root)
+    storage.retain_days(spark, root, "2024-01-31", 21)
+    read = storage.load_days(spark, root)
+    return read.withColumns({c: rnd(c) + F.lit(0.0) for c in ("visibility_m", "temperature_c")})
+
+
+@query(
+    "days_past_retention",
+    "S-14",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS removed_day FROM obs WHERE CAST(ts AS DATE) < DATE '2024-01-20' - 10 GROUP BY 1",
+)
+def _(spark, d):
+    root = scratch_path(spark, "days")
+    storage.store_days(S.observations(spark, d).select("event_id", "ts"), root)
+    return spark.createDataFrame([(x,) for x in storage.retain_days(spark, root, "2024-01-20", 10)], "removed_day string")

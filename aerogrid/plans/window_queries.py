@@ -8,6 +8,7 @@ from aerogrid.functions.num import flag, rnd
 from aerogrid.operators import filters, grid, intervals, ordering, prep, windows
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
+from aerogrid.session import settle
 from aerogrid.sources import standins as S
 
 W_SQL = "WINDOW w AS (PARTITION BY station ORDER BY ts, event_id)"
@@ -307,6 +308,23 @@ def _(spark, d):
     return windows.dilate_labels(labelled(spark, d), "y", 3, keep=["event_id", "y"], sizes=S.observations(spark, d))
 
 
+@query(
+    "dilate_alternate_changes",
+    "W-17",
+    """WITH RECURSIVE o AS (SELECT event_id, station, ts, y, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS p FROM labelled),
+ s AS (SELECT station, p, y AS now, 0 AS skip, 0 AS ahead, 0 AS taken FROM o WHERE p = 1
+  UNION ALL SELECT station, p, CASE WHEN change AND skip = 0 THEN 1 ELSE now END, CASE WHEN change THEN 1 - skip ELSE skip END,
+   CASE WHEN change AND skip = 0 THEN 3 ELSE greatest(ahead - 1, 0) END, CASE WHEN change AND skip = 0 THEN 1 ELSE 0 END
+  FROM (SELECT o.station, o.p, CASE WHEN s.ahead > 0 THEN 1 ELSE o.y END AS now, s.skip, s.ahead, (CASE WHEN s.ahead > 0 THEN 1 ELSE o.y END) <> s.now AS change
+   FROM s JOIN o ON o.station = s.station AND o.p = s.p + 1))
+SELECT o.event_id, o.y, greatest(o.y, max(s.taken) OVER (PARTITION BY o.station ORDER BY o.p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS y_dilated
+FROM o JOIN s ON o.station = s.station AND o.p = s.p""",
+)
+def _(spark, d):
+    rows = settle(labelled(spark, d).select("event_id", "station", "ts", "y"))
+    return windows.dilate_alternate(rows, "y").select("event_id", "y", "y_dilated")
+
+
 _SEQ = ("temperature_c", "wind_speed_kt")
 
 
