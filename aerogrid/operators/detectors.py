@@ -7,12 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from aerogrid.operators import reduction
-from aerogrid.operators.ordering import exact_quantiles
+from aerogrid.operators.ordering import exact_quantiles, grouped
 from aerogrid.session import settle
 
 
@@ -150,64 +150,214 @@ def robust_distance(
 
 # ---------------------------------------------------------------- local density
 
-
-def _cells(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
-    """Add `_cell`: rows close in space share one.
-
-    Cells with more than `most` rows are halved at the median of their widest column, again and again;
-    each level sums up the cells and moves no rows to a common place.  Cells of equal points are dealt out by hash.
+MOST_CELLS = 500_000  # about; their bounds go to every task
+
+
+class _Space:
+    """Cells of space from halving boxes: cell c is halved into 2 c (up to the cut) and 2 c + 1, the whole is 1."""
+
+    def __init__(self, rules: dict[int, tuple[int, float]]):
+        inner = sorted(rules.items())
+        self.inner = np.array([c for c, _ in inner], np.int64)
+        self.axis = np.array([a for _, (a, _) in inner], np.int64)
+        self.cut = np.array([v for _, (_, v) in inner])
+        self.boxes: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}  # lowest, highest corner and rows, of halved cells too
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        cell, rows = np.ones(len(x), np.int64), np.arange(len(x))
+        while len(rows) and len(self.inner):
+            at = np.minimum(np.searchsorted(self.inner, cell[rows]), len(self.inner) - 1)
+            halved = self.inner[at] == cell[rows]
+            rows, at = rows[halved], at[halved]
+            cell[rows] = 2 * cell[rows] + (x[rows, self.axis[at]] > self.cut[at])
+        return cell
+
+    def bound(self, found: list[tuple[int, np.ndarray, np.ndarray, int]]) -> None:
+        """Take the bounds of the filled cells, and from them those of the cells they come from."""
+        level = {cell: (low, high, n) for cell, low, high, n in found}
+        self.boxes = dict(level)
+        for cell in sorted(self.inner, reverse=True):  # children have larger numbers
+            parts = [self.boxes[c] for c in (2 * cell, 2 * cell + 1) if c in self.boxes]
+            self.boxes[int(cell)] = (np.min([b[0] for b in parts], axis=0), np.max([b[1] for b in parts], axis=0), sum(b[2] for b in parts))
+
+    def reach(self, x: np.ndarray, cell: int, k: int) -> np.ndarray:
+        """A distance within which each point has k other rows: to the far corner of the smallest box with as many."""
+        while cell > 1 and self.boxes[cell][2] <= k:
+            cell //= 2
+        low, high, _ = self.boxes[cell]
+        return np.sqrt((np.maximum(np.abs(x - low), np.abs(x - high)) ** 2).sum(axis=1))
+
+    def near(self, low: np.ndarray, high: np.ndarray, reach: float) -> list[int]:
+        """Filled cells whose box is within `reach` of the given box."""
+        halved, out, todo = set(self.inner.tolist()), [], [1]
+        while todo:
+            cell = todo.pop()
+            box = self.boxes.get(cell)
+            if box is None or (np.maximum(np.maximum(box[0] - high, low - box[1]), 0.0) ** 2).sum() > reach**2 * (1 + 1e-9):
+                continue
+            if cell in halved:
+                todo += [2 * cell, 2 * cell + 1]
+            else:
+                out.append(cell)
+        return out
+
+
+def _halved(points: DataFrame, names: Sequence[str], most: int) -> _Space:
+    """Halve cells of more than `most` points at the median of their widest column, level by level.
+
+    Only the rules are kept between the levels; each level sums up the cells of the points where they stand.
     """
-    columns = list(columns)
-    placed = df.withColumn("_cell", F.lit(1).cast("long"))  # halves of cell c are 2c and 2c + 1; dealt cells are negative
+    rules: dict[int, tuple[int, float]] = {}
     while True:
-        stats = [F.struct((F.max(c) - F.min(c)).alias("wide"), F.lit(i).alias("axis"), F.percentile_approx(c, 0.5, 200).alias("mid"), F.max(c).alias("top")) for i, c in enumerate(columns)]
-        cells = placed.where("_cell > 0").groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.array_max(F.array(*stats)).alias("_s"))
-        cells = settle(cells.where(F.col("_n") > most))
-        n_cells = cells.count()
-        if not n_cells:
-            return placed
-        value = F.element_at(F.array(*columns), F.col("_s.axis") + 1)
-        upper = F.when(F.col("_s.mid") < F.col("_s.top"), value > F.col("_s.mid")).otherwise(value >= F.col("_s.top"))
-        lot = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("_n") / most))
-        own = (
-            F.when(F.col("_n").isNull(), F.col("_cell"))
-            .when(F.col("_s.wide") > 0, F.col("_cell") * 2 + upper.cast("long"))
-            .otherwise(-F.pmod(F.xxhash64("_cell", lot), F.lit(1 << 62)) - 1)
-        )
-        joined = placed.join(F.broadcast(cells) if n_cells <= 100_000 else cells, "_cell", "left")
-        placed = settle(joined.select(*df.columns, own.alias("_cell")))
+        space = _Space(rules)
+        stats = [F.struct((F.max(c) - F.min(c)).alias("wide"), F.lit(i).alias("axis"), F.percentile_approx(c, 0.5, 200).alias("mid"), F.max(c).alias("top")) for i, c in enumerate(names)]
+        placed = points.withColumn("_cell", _cell_of(points, space, names))
+        cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.array_max(F.array(*stats)).alias("_s")).where(F.col("_n") > most)
+        found = cells.collect()  # one row for each cell that is halved
+        if not found:
+            return space
+        for r in found:
+            s = r["_s"]
+            rules[r["_cell"]] = (s["axis"], s["mid"] if s["mid"] < s["top"] else float(np.nextafter(s["top"], -np.inf)))
+
+
+def _cell_of(df: DataFrame, space: _Space, names: Sequence[str]) -> Column:
+    shared = df.sparkSession.sparkContext.broadcast(space)
+
+    @F.pandas_udf("long")
+    def cell(*series: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.cells(np.column_stack([x.to_numpy(dtype=float) for x in series])))
+
+    return cell(*[F.col(c) for c in names])
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all pairs; the same for a pair in whichever block it stands."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        total += (a[:, i, None] - b[None, :, i]) ** 2
+    return np.sqrt(total)
+
+
+def _visits(shared, names: list[str], k: int):
+    """(cell, id, x, reach): each point in its own cell and in all others that may hold one of its k nearest rows."""
+
+    def run(batches):
+        space = shared.value
+        for rows in grouped(batches, ["_cell"]):
+            own = rows["_cell"][0].as_py()
+            x = np.column_stack([rows[c].to_numpy() for c in names])
+            weight, ids = rows["_m"].to_numpy(), rows["_id"].to_numpy()
+            reach = space.reach(x, own, k)
+            if space.boxes[own][2] > k:
+                for at in range(0, len(x), 256):
+                    apart = _distances(x[at : at + 256], x)
+                    order = np.argsort(apart, axis=1, kind="stable")
+                    seen = np.cumsum(weight[order], axis=1) - 1  # without the row itself
+                    kth = (seen >= k).argmax(axis=1)
+                    reach[at : at + 256] = np.take_along_axis(apart, order, axis=1)[np.arange(len(apart)), kth]
+            low, high, _ = space.boxes[own]
+            for cell in space.near(low, high, float(reach.max())):
+                a, b, _ = space.boxes[cell]
+                gap = np.sqrt((np.maximum(np.maximum(a - x, x - b), 0.0) ** 2).sum(axis=1))
+                go = np.flatnonzero((gap <= reach * (1 + 1e-9)) | (cell == own))
+                if len(go):
+                    columns = [pa.array(np.full(len(go), cell)), pa.array(ids[go]), *(pa.array(x[go, i]) for i in range(len(names))), pa.array(reach[go])]
+                    yield pa.RecordBatch.from_arrays(columns, ["_cell", "_id", *names, "_reach"])
+
+    return run
+
+
+def _nearest(names: list[str], k: int):
+    """(id, near): of each visiting point the rows of the cell that can be among its k nearest, as (d, q, w)."""
+
+    def run(batches):
+        cell, at_home = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cells, kinds = batch["_cell"].to_numpy(), batch["_kind"].to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(batch)]) if len(batch) else []:
+                part = table.slice(i, j - i)
+                x = np.column_stack([part[c].to_numpy() for c in names])
+                if kinds[i] == 0:
+                    home = (x, part["_id"].to_numpy(), part["_m"].to_numpy())
+                    at_home = home if cells[i] != cell else tuple(np.concatenate(z) for z in zip(at_home, home))
+                    cell = cells[i]
+                    continue
+                out = []
+                ids, reach = part["_id"].to_numpy(), part["_reach"].to_numpy()
+                for at in range(0, len(x), 256):
+                    apart = _distances(x[at : at + 256], at_home[0])
+                    for row, d in enumerate(apart, at):
+                        weight = at_home[2] - (at_home[1] == ids[row])
+                        some = np.flatnonzero((d <= reach[row] * (1 + 1e-9)) & (weight > 0))
+                        some = some[np.argsort(d[some], kind="stable")]
+                        if not len(some):
+                            continue
+                        seen = np.cumsum(weight[some])
+                        last = min(int(np.searchsorted(seen, k)), len(some) - 1)
+                        some = some[d[some] <= d[some[last]]]
+                        out.append((ids[row], [{"d": float(d[q]), "q": int(at_home[1][q]), "w": int(weight[q])} for q in some]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], _NEAR)], ["_id", "near"])
+
+    return run
+
+
+_NEAR = pa.list_(pa.struct([("d", pa.float64()), ("q", pa.int64()), ("w", pa.int64())]))
+_NEAR_SQL = "array<struct<d: double, q: long, w: long>>"
+
+
+def nearest_rows(points: DataFrame, names: Sequence[str], k: int, cell_rows: int = 2_000) -> DataFrame:
+    """(id, kd, near) of distinct points (id, m copies, coordinates): the distance of the k-th nearest other row, and all rows within it.
+
+    Exact: a point looks into its own cell first, which bounds the distance, and then into all cells whose box that distance reaches.
+    Rows at the same distance as the k-th count as well; `near` has (distance, point, copies), a point's own other copies included.
+    """
+    names, spark = list(names), points.sparkSession
+    space = _halved(points, names, max(cell_rows, points.count() // MOST_CELLS))
+    placed = settle(points.withColumn("_cell", _cell_of(points, space, names)))
+    corners = [f(c).alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("lo", F.min), ("hi", F.max))]
+    found = placed.groupBy("_cell").agg(*corners, F.sum("_m").alias("n")).collect()  # one row per cell
+    space.bound([(r["_cell"], np.array([r[f"lo{i}"] for i in range(len(names))]), np.array([r[f"hi{i}"] for i in range(len(names))]), r["n"]) for r in found])
+    shared = spark.sparkContext.broadcast(space)
+    coordinates = ", ".join(f"{c} double" for c in names)
+    by_cell = placed.repartition("_cell").sortWithinPartitions("_cell")
+    visits = by_cell.mapInArrow(_visits(shared, names, k), f"_cell long, _id long, {coordinates}, _reach double")
+    both = placed.withColumn("_kind", F.lit(0)).unionByName(visits.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("_cell").sortWithinPartitions("_cell", "_kind")
+    parts = dealt.mapInArrow(_nearest(names, k), f"_id long, near {_NEAR_SQL}")
+    merged = parts.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("kd"))
+    step = lambda acc, x: F.when(acc["seen"] >= k, acc).otherwise(F.struct((acc["seen"] + x["w"]).alias("seen"), x["d"].alias("kd")))
+    reached = merged.withColumn("kd", F.aggregate("all", start, step)["kd"])
+    return reached.select("_id", "kd", F.filter("all", lambda x: x["d"] <= F.col("kd")).alias("near"))
 
 
 def local_outlier_scores(
     df: DataFrame, columns: Sequence[str], k: int = 20, out: str = "score", cell_rows: int = 2_000
 ) -> DataFrame:
-    """Local outlier factor of every row among the rows of its cell of space.
+    """Local outlier factor of every row: how much denser its k nearest rows lie than it does.
 
-    Columns are scaled to unit deviation; missing values count as the mean.  Neighbours across a cell's
-    border are not seen, so cells are kept much larger than `k`.
+    Columns are scaled to unit deviation; missing values count as the mean.  Neighbours are exact, also across cells; rows at the
+    same distance as the k-th count as neighbours too, and equal rows are one point with copies.  Without other rows the score is 1.
     """
     columns = list(columns)
     stats = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    names = [f"_x{i}" for i in range(len(columns))]
     scaled = [
-        (F.coalesce((F.col(c) - F.lit(stats[f"a{i}"])) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0))).alias(f"_x{i}")
+        (F.coalesce((F.col(c) - F.lit(stats[f"a{i}"])) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0)) + F.lit(0.0)).alias(f"_x{i}")
         for i, c in enumerate(columns)
     ]
-    names = [f"_x{i}" for i in range(len(columns))]
-    placed = _cells(df.select(*df.columns, *scaled), names, cell_rows)
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[names].to_numpy(dtype=float)
-        near = min(k, len(x) - 1)
-        if near < 1:
-            return rows.drop(columns=[*names, "_cell"]).assign(**{out: 1.0})
-        squares = (x**2).sum(axis=1)
-        apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0.0))
-        np.fill_diagonal(apart, np.inf)
-        close = np.argpartition(apart, near - 1, axis=1)[:, :near]
-        distance = np.take_along_axis(apart, close, axis=1)
-        reach = distance.max(axis=1)
-        density = 1.0 / (np.maximum(distance, reach[close]).mean(axis=1) + 1e-10)
-        return rows.drop(columns=[*names, "_cell"]).assign(**{out: density[close].mean(axis=1) / density})
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return placed.groupBy("_cell").applyInPandas(score, schema)
+    rows = settle(df.select(*df.columns, *scaled))
+    points = settle(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_m")).withColumn("_id", F.monotonically_increasing_id()))
+    near = settle(nearest_rows(points, names, k, cell_rows))
+    links = settle(near.select(F.col("_id").alias("p"), F.explode("near").alias("n")).select("p", "n.*"))
+    reach = links.join(near.select(F.col("_id").alias("q"), "kd"), "q")
+    mean_reach = F.sum(F.col("w") * F.greatest("kd", "d")) / F.sum("w")
+    density = settle(reach.groupBy("p").agg((1.0 / (mean_reach + 1e-10)).alias("lrd")))
+    around = links.join(density.select(F.col("p").alias("q"), "lrd"), "q").groupBy("p").agg((F.sum(F.col("w") * F.col("lrd")) / F.sum("w")).alias("_around"))
+    factor = around.join(density, "p").select(F.col("p").alias("_id"), (F.col("_around") / F.col("lrd")).alias(out))
+    scored = points.join(factor, "_id", "left").select(*names, F.coalesce(out, F.lit(1.0)).alias(out))
+    return rows.join(scored, names).select(*df.columns, out)

@@ -139,14 +139,56 @@ def test_scaler_round_trip(table):
         assert worst < 1e-9
 
 
-def test_local_density_in_small_cells(spark, table):
-    """Halved cells still show the outlier; equal points beyond a cell's size are dealt out."""
-    odd = spark.createDataFrame([(9999, 25.0, -25.0, 25.0, 0)], table.schema)
-    same = spark.range(10_000, 10_300).selectExpr("id", *[f"CAST(0 AS DOUBLE) AS {c}" for c in COLS], "0 AS y")
-    rows = table.unionByName(odd).unionByName(same.select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes]))
-    scored = detectors.local_outlier_scores(rows, COLS, 10, cell_rows=100)
-    assert scored.count() == rows.count()
-    assert 9999 in {r["id"] for r in scored.orderBy(F.desc("score")).limit(3).collect()}
+def plain_outlier_factors(x, k):
+    """Local outlier factors by all distances; rows as far as the k-th nearest are neighbours too."""
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    apart = np.zeros((len(x), len(x)))
+    for i in range(x.shape[1]):
+        apart += (x[:, i, None] - x[None, :, i]) ** 2
+    apart = np.sqrt(apart)
+    np.fill_diagonal(apart, np.inf)
+    kd = np.sort(apart, axis=1)[:, k - 1]
+    near = apart <= kd[:, None]
+    reach = np.where(near, np.maximum(apart, kd[None, :]), 0.0).sum(axis=1) / near.sum(axis=1)
+    density = 1.0 / (reach + 1e-10)
+    return (near * density[None, :]).sum(axis=1) / near.sum(axis=1) / density
+
+
+def test_local_density_is_exact_across_cells(spark):
+    """2,000 rows in cells of 50, some of them copies and one far away, against all distances."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(400, 3)) * 0.2 + 4, np.repeat(rng.normal(size=(3, 3)), 33, axis=0), [[25.0, -25.0, 25.0]]])
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x0 double, x1 double, x2 double")
+    want = plain_outlier_factors(x, 10)
+    for cell_rows in (50, 2_000):
+        got = {r["id"]: r["score"] for r in detectors.local_outlier_scores(rows, COLS, 10, cell_rows=cell_rows).collect()}
+        assert len(got) == len(x) and max(abs(got[i] / want[i] - 1) for i in range(len(x))) < 1e-6
+    assert got[len(x) - 1] > 5
+
+
+def test_neighbours_are_all_found(spark):
+    """The recall of the neighbours is 1, also where cells have fewer rows than k and coordinates tie."""
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(0, 12, (900, 2)).astype(float) * rng.choice([1.0, 1.0, 7.0], (900, 1)), axis=0)
+    points = spark.createDataFrame([(i, int(m), *map(float, r)) for i, (r, m) in enumerate(zip(x, rng.integers(1, 4, len(x))))], "_id long, _m long, a double, b double")
+    weight = np.array([r["_m"] for r in points.orderBy("_id").collect()])
+    found = {r["_id"]: r for r in detectors.nearest_rows(points, ["a", "b"], 15, cell_rows=6).collect()}
+    for i in range(len(x)):
+        d = np.sqrt((x[i, 0] - x[:, 0]) ** 2 + (x[i, 1] - x[:, 1]) ** 2)
+        own = weight - (np.arange(len(x)) == i)
+        order = np.argsort(d, kind="stable")
+        kd = d[order][np.searchsorted(np.cumsum(own[order]), 15)]
+        assert found[i]["kd"] == kd
+        assert {n["q"]: n["w"] for n in found[i]["near"]} == {int(q): int(own[q]) for q in np.flatnonzero((d <= kd) & (own > 0))}
+
+
+def test_local_density_of_few_or_equal_rows(spark):
+    few = spark.createDataFrame([(i, float(i // 2), None) for i in range(5)], "id long, x0 double, x1 double")
+    assert all(np.isfinite(r["score"]) for r in detectors.local_outlier_scores(few, ["x0", "x1"], 20).collect())
+    same = spark.range(60).selectExpr("id", "1.0D AS x0", "2.0D AS x1")
+    assert {round(r["score"], 6) for r in detectors.local_outlier_scores(same, ["x0", "x1"], 5).collect()} == {1.0}
+    assert {r["score"] for r in detectors.local_outlier_scores(same.limit(1), ["x0", "x1"], 5).collect()} == {1.0}
+    assert detectors.local_outlier_scores(same.limit(0), ["x0", "x1"], 5).collect() == []
 
 
 def test_sampling_share_of_very_large_tables():
