@@ -45,6 +45,12 @@ def station_bounds(obs: DataFrame, minutes: int = 30) -> DataFrame:
     )
 
 
+def grid_span(obs: DataFrame, minutes: int = 30) -> tuple | None:
+    """First and last step of the grid (two values to the driver), None without observations."""
+    row = obs.agg(floor_time(F.min("ts"), minutes).alias("lo"), ceil_time(F.max("ts"), minutes).alias("hi")).first()
+    return None if row["lo"] is None else (row["lo"], row["hi"])
+
+
 def time_grid(obs: DataFrame, minutes: int = 30) -> DataFrame:
     """Every station at every step between the common bounds."""
     step = F.expr(f"INTERVAL {minutes} MINUTES")
@@ -101,15 +107,23 @@ def fill_both_ways(
     ).select(*df.columns)
 
 
-def forecast_on_grid(forecasts: DataFrame, columns: Sequence[str], minutes: int = 30, align: bool = False) -> DataFrame:
+def forecast_on_grid(
+    forecasts: DataFrame, columns: Sequence[str], minutes: int = 30, align: bool = False, within: tuple | None = None
+) -> DataFrame:
     """Expand forecast periods to steps; the latest issue wins where periods overlap.
 
-    Steps start at `valid_from`; without `align` a period that starts between grid steps meets no grid row.
+    Steps start at `valid_from`; without `align` a period that starts between grid steps meets no grid row.  `within` gives the first and
+    last time of the grid, beyond which no steps are made, so a period with a stray end stays short.
     """
-    start = floor_time("valid_from", minutes) if align else F.col("valid_from")
+    start, end = floor_time("valid_from", minutes) if align else F.col("valid_from"), F.col("valid_to")
     step = F.expr(f"INTERVAL {minutes} MINUTES")
-    steps = forecasts.where(F.col("valid_to") >= F.col("valid_from")).select(
-        "station", "issue_time", F.explode(F.sequence(start, F.col("valid_to"), step)).alias("ts"), *columns
+    if within is not None:
+        width = minutes * 60_000_000
+        late = F.greatest(F.ceil((epoch_us(F.lit(within[0])) - epoch_us(start)) / F.lit(width)), F.lit(0))  # whole steps, so the places stay
+        start, end = from_us(epoch_us(start) + late * F.lit(width)), F.least(end, F.lit(within[1]))
+    periods = forecasts.select("station", "issue_time", start.alias("_from"), end.alias("_to"), *columns)
+    steps = periods.where(F.col("_to") >= F.col("_from")).select(
+        "station", "issue_time", F.explode(F.sequence("_from", "_to", step)).alias("ts"), *columns
     )
     newest = F.max_by(F.struct(*columns), F.struct("issue_time", *columns))  # equal issues: the greater values
     return (

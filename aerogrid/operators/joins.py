@@ -12,6 +12,16 @@ from aerogrid.functions.num import rnd
 from aerogrid.operators.ordering import positions
 
 
+BROADCAST_BYTES = 8 << 20  # counted bytes of a table that may go to every task
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`table`, cheap to read, with a broadcast hint if its rows take at most `limit` bytes; else a shuffled join, whose hot keys are split at run time."""
+    text = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")), F.lit(0))
+    size = table.agg(F.sum(text + F.lit(48 + 8 * len(table.columns)))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def at_times(df: DataFrame, times: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys occur in a label table (left semi join, no duplicates however often they occur)."""
     return df.join(times, list(keys), "left_semi")

@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerogrid.functions import timefeat, weather
 from aerogrid.functions.num import categorical_columns, numeric_columns
-from aerogrid.operators import filters, ordering, prep, reduction, selection, windows
+from aerogrid.operators import filters, joins, ordering, prep, reduction, selection, windows
 from aerogrid.session import settle
 
 KEYS = ("station", "ts", "event_id")
@@ -31,7 +31,7 @@ WEATHER_LAGS = {
     "visibility_m": [1, 3, 6],
     "pressure_hpa": [1, 3, 6, 12, 24],
 }
-BROADCAST_CATEGORIES = 400_000  # categories of a stored encoding that may go to every task
+SMOOTHING = 10.0  # rows of the mean that each category is thought to have besides its own
 HIGH_CARDINALITY = ("airport", "station", "city", "country")
 
 
@@ -51,8 +51,10 @@ class Step(Estimator, _Stored, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _fit(self, dataset: DataFrame) -> FittedStep:
+    def _fit(self, dataset: DataFrame) -> FittedStep | FittedEncoding:
         name = self.getOrDefault(self.kind)
+        if name == "encode":
+            return _fit_encode(dataset, self.value())
         learned = FITS[name](dataset, self.value()) if name in FITS else self.value()
         return FittedStep(kind=name, state=json.dumps(learned))
 
@@ -69,6 +71,60 @@ class FittedStep(Model, _Stored, DefaultParamsReadable, DefaultParamsWritable):
         return APPLIES[self.getOrDefault(self.kind)](dataset, self.value())
 
 
+class FittedEncoding(Model, _Stored, MLWritable, MLReadable):
+    """A fitted encoding.  Its tables of categories are data of their own: joined when applied, stored as Parquet, never on the driver."""
+
+    tables: dict[str, DataFrame]
+
+    @keyword_only
+    def __init__(self, *, kind: str | None = None, state: str | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        s, out = self.value(), dataset
+        for c, values in s["one_hot"].items():
+            out = prep.one_hot(out, c, c, values, drop_first=True).drop(c)
+        for c in s["target"]:
+            table = self.tables[c].select(F.col("category").alias("_k"), F.col("value").alias("_v"))
+            out = out.join(joins.broadcast_if_small(table), out[c] == F.col("_k"), "left")
+            out = out.withColumn(f"{c}_encoded", F.coalesce("_v", F.lit(s["prior"]))).drop("_k", "_v")
+            out = out if c in KEYS else out.drop(c)
+        return out
+
+    def write(self) -> MLWriter:
+        return _EncodingWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EncodingReader(cls)
+
+
+class _EncodingWriter(MLWriter):
+    def __init__(self, model: FittedEncoding):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        for i, c in enumerate(self.model.value()["target"]):
+            self.model.tables[c].write.parquet(f"{path}/categories/{i}")
+
+
+class _EncodingReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> FittedEncoding:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls()
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model._resetUid(metadata["uid"])
+        model.tables = {c: self.sparkSession.read.parquet(f"{path}/categories/{i}") for i, c in enumerate(model.value()["target"])}
+        return model
+
+
 def step(kind: str, **settings) -> Step:
     return Step(kind=kind, state=json.dumps(settings))
 
@@ -97,18 +153,23 @@ def _fit_outliers(df, s):
     return {"bounds": found.bounds}
 
 
-def _fit_encode(df, s):
-    out = {"one_hot": {}, "target": {}, "prior": 0.0}
+def _fit_encode(df, s) -> FittedEncoding:
+    """Indicators for columns of few values; for the others a table (category, value), kept beside the stage."""
+    state, tables = {"one_hot": {}, "target": [], "prior": 0.0, "label": s["label"]}, {}
+    label = F.col(s["label"]).cast("double")
+    known = df.agg(F.avg(label)).first()[0]
+    state["prior"] = prior = float(known or 0.0)
     for c in s["columns"]:
         if c in HIGH_CARDINALITY:
-            rows = df.groupBy(c).agg(F.sum(F.col(s["label"]).cast("double")).alias("t"), F.count(s["label"]).alias("n"))
-            total = rows.agg(F.sum("t"), F.sum("n")).first()
-            out["prior"] = prior = float(total[0] or 0.0) / max(1, total[1] or 0)
-            # one number per category is part of the stored stage
-            out["target"][c] = {r[c]: (r["t"] + 10.0 * prior) / (r["n"] + 10.0) for r in rows.collect() if r[c] is not None}
+            rows = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("category")).agg(F.sum(label).alias("t"), F.count(label).alias("n"))
+            value = (F.coalesce("t", F.lit(0.0)) + F.lit(SMOOTHING * prior)) / (F.col("n") + F.lit(SMOOTHING))
+            tables[c] = settle(rows.select("category", value.alias("value")))
+            state["target"].append(c)
         else:
-            out["one_hot"][c] = prep.distinct_values(df, c)
-    return out
+            state["one_hot"][c] = prep.distinct_values(df, c)
+    model = FittedEncoding(kind="encode", state=json.dumps(state))
+    model.tables = tables
+    return model
 
 
 def _fit_scale(df, s):
@@ -163,7 +224,6 @@ def _fit_fill(df, s):
 FITS = {
     "impute": _fit_impute,
     "outliers": _fit_outliers,
-    "encode": _fit_encode,
     "scale": _fit_scale,
     "bins": _fit_bins,
     "reduce": _fit_reduce,
@@ -191,21 +251,6 @@ def _apply_lags(df, s):
     return ordering.over_series(df, build, back=back)
 
 
-def _apply_encode(df, s):
-    out = df
-    for c, values in s["one_hot"].items():
-        out = prep.one_hot(out, c, c, values, drop_first=True).drop(c)
-    for c, means in s["target"].items():
-        kind = dict(df.dtypes)[c]
-        table = df.sparkSession.createDataFrame([(str(k), float(v)) for k, v in means.items()], "_k string, _v double")
-        table = table.select(F.col("_k").cast(kind).alias("_k"), "_v")
-        small = F.broadcast(table) if len(means) <= BROADCAST_CATEGORIES else table
-        out = out.join(small, out[c] == F.col("_k"), "left")
-        out = out.withColumn(f"{c}_encoded", F.coalesce("_v", F.lit(s["prior"]))).drop("_k", "_v")
-        out = out if c in KEYS else out.drop(c)
-    return out
-
-
 def _apply_transform(df, s):
     names = _numbers(df, s)
     if s["method"] == "polynomial":
@@ -296,7 +341,6 @@ APPLIES = {
     "outliers": lambda df, s: prep.OutlierBounds(bounds={c: tuple(b) for c, b in s["bounds"].items()}).transform(df),
     "lags": _apply_lags,
     "cyclical": lambda df, s: timefeat.encode_cyclical(df, {c: p for c, p in s["periods"].items() if c in df.columns}),
-    "encode": _apply_encode,
     "scale": lambda df, s: prep.Scaler("standard", s["centre"], s["scale"]).transform(df),
     "transform": _apply_transform,
     "bins": _bins,

@@ -183,7 +183,8 @@ SELECT g.station, g.ts, n.wind_speed_kt AS wind_speed_kt_forecast, n.wind_direct
 FROM grid g LEFT JOIN n ON g.station = n.station AND g.ts = n.ts AND n.rn = 1""",
 )
 def _(spark, d):
-    steps = grid.forecast_on_grid(S.forecasts(spark, d), facades.FORECAST_COLUMNS)
+    span = grid.grid_span(S.observations(spark, d))
+    steps = grid.forecast_on_grid(S.forecasts(spark, d), facades.FORECAST_COLUMNS, within=span)
     return grid.time_grid(S.observations(spark, d)).join(steps, ["station", "ts"], "left")
 
 

@@ -139,6 +139,8 @@ def with_views(body: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
+    if body.upper().startswith("PIVOT "):
+        return f"SELECT * FROM (WITH {ctes}\n{body})"
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aerogrid.functions import text as T
 from aerogrid.functions import timefeat as D
 from aerogrid.functions import weather as M
 from aerogrid.functions.num import clip, ratio, rnd
-from aerogrid.operators import filters, ordering, prep
+from aerogrid.operators import filters, intervals, ordering, prep
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
+from aerogrid.session import settle
 from aerogrid.sources import standins as S
 
 # ---------------------------------------------------------------- filters and projections
@@ -125,17 +127,23 @@ def _(spark, d):
     return filters.drop_sparse_columns(obs, 0.5)
 
 
+_BASE = ["event_id", "station", "visibility_m", "ceiling_ft", "wind_speed_kt"]
+
+
 @query(
     "final_column_list",
     "F-10",
-    """SELECT event_id, station, visibility_m, ceiling_ft, wind_speed_kt,
- CAST(station = 'EGLL' AS INTEGER) AS "station_EGLL", CAST(station = 'LFPG' AS INTEGER) AS "station_LFPG",
- CAST(station = 'LOWW' AS INTEGER) AS "station_LOWW", CAST(station = 'LSZH' AS INTEGER) AS "station_LSZH" FROM obs""",
+    f"""PIVOT (SELECT {", ".join(_BASE)}, {r("coalesce(time_to_regulation, 999)")} AS hours_to_regulation,
+ CAST(coalesce(time_to_regulation, 999) BETWEEN 0 AND 2 AS INTEGER) AS regulation_imminent, 'station_' || substr(station, 4, 1) AS s FROM windowed)
+ON s USING CAST(count(*) AS INTEGER) GROUP BY {", ".join(_BASE)}, hours_to_regulation, regulation_imminent""",
 )
 def _(spark, d):
-    flagged = prep.one_hot(S.observations(spark, d), "station", "station", values=sorted(S.STATIONS))
-    base = ["event_id", "station", "visibility_m", "ceiling_ft", "wind_speed_kt"]
-    return filters.final_columns(flagged, base, ["hours_to_regulation", "regulation_imminent"], ["station_"])
+    """Base columns, the imminence columns, and an indicator for every group of stations that there is."""
+    windows = intervals.sampling_windows(filters.usable_intervals(S.intervals(spark, d)))
+    rows = settle(intervals.imminence(intervals.label_with_windows(S.observations(spark, d), windows), 999.0).withColumn("_g", F.substring("station", 4, 1)))
+    flagged = prep.one_hot(rows, "_g", "station")
+    out = filters.final_columns(flagged, _BASE, ["hours_to_regulation", "regulation_imminent"], ["station_"])
+    return out.withColumn("hours_to_regulation", rnd("hours_to_regulation") + F.lit(0.0))
 
 
 # ---------------------------------------------------------------- date and time
@@ -594,6 +602,19 @@ def _(spark, d):
     return S.observations(spark, d).select("event_id", clip("ceiling_ft", 500.0, 3000.0).alias("ceiling_ft"))
 
 
+@query(
+    "one_hot_vectors",
+    "T-10",
+    """SELECT event_id, dense_rank() OVER (ORDER BY station) - 1 AS place, (SELECT count(DISTINCT station) FROM obs) AS size FROM obs""",
+)
+def _(spark, d):
+    """One sparse vector for all stations: the place that is set, and the size."""
+    out = prep.one_hot_vector(S.observations(spark, d).select("event_id", "station"), "station", "v")
+    v = F.col("v")
+    places = vector_to_array(v)
+    return out.select("event_id", (F.array_position(places, 1.0) - 1).alias("place"), F.size(places).cast("long").alias("size"))
+
+
 @query(
     "one_hot_indicators",
     "T-10",

@@ -204,10 +204,31 @@ def test_many_categories(spark):
     assert len(prep.one_hot(rows, "station", "s").columns) == 1_503
     vectors = prep.one_hot_vector(rows, "station", "v").select("v").limit(5).collect()
     assert all(r["v"].size == 1_500 and len(r["v"].indices) == 1 for r in vectors)
-    state = stages._fit_encode(rows, {"columns": ["station"], "label": "y"})
-    assert len(state["target"]["station"]) == 1_500
-    encoded = stages._apply_encode(rows.withColumn("station", F.when(F.col("id") > 0, F.col("station")).otherwise("new")), state)
+    flow = stages.Pipeline(stages=[stages.step("encode", columns=["station"], label="y")])
+    fitted = flow.fit(rows)
+    assert fitted.stages[0].tables["station"].count() == 1_500 and "c77" not in fitted.stages[0].getOrDefault("state")
+    path = scratch_path(spark, "encoding")
+    fitted.write().overwrite().save(path)
+    new = rows.withColumn("station", F.when(F.col("id") > 0, F.col("station")))
+    encoded, again = fitted.transform(new), PipelineModel.load(path).transform(new)
     assert encoded.count() == 3_000 and encoded.where("station_encoded IS NULL").count() == 0
+    assert encoded.exceptAll(again).count() == 0
+    got = {r["station"]: r["station_encoded"] for r in encoded.collect()}
+    assert abs(got["c7"] - (2 + 10 * 0.5) / 12) < 1e-12 and abs(got[None] - 0.5) < 1e-12
+
+
+def test_a_million_categories_are_joined(spark, monkeypatch):
+    """Beyond the broadcast limit the table is joined by a shuffle, and nothing of it is in the stage."""
+    from aerogrid.operators import joins
+
+    monkeypatch.setattr(joins.broadcast_if_small, "__defaults__", (1 << 16,))
+    rows = spark.range(1_000_000).selectExpr("concat('k', id) AS station", "CAST(id % 3 = 0 AS INT) AS y")
+    fitted = stages.step("encode", columns=["station"], label="y").fit(rows)
+    hot = rows.limit(10).unionByName(spark.range(20_000).selectExpr("'k3' AS station", "0 AS y"))
+    out = fitted.transform(hot)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 20_010 and len(fitted.getOrDefault("state")) < 200
+    assert out.where("station = 'k3'").select("station_encoded").distinct().count() == 1
 
 
 def test_content_hash_sees_pairs_and_nulls(spark):
