@@ -5,11 +5,13 @@ with k + w - 1 equal to the window length, two texts that share a whole window s
 inside it.  The fingerprints of the documents are joined to those of the benchmark, and each hit is
 extended: the word windows around it are compared with the windows of the items, word by word.
 An item shorter than the window is one window of its own length, so each window length that occurs
-(at most `window` of them) has its own k and w.
+(at most `window` of them) has its own k and w; the documents are cut into words and hashed once for all lengths.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +33,53 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _fingerprints(tokens: Column, length: int, gram: int) -> Column:
-    """Array of (h, p): gram hash and position of each fingerprint, for windows of `length` words."""
-    k = min(gram, length)
-    w = length - k + 1
+def _least(values: Column, width: int) -> Column:
+    """The least of each `width` neighbours; by doubling, so that a place is compared log(width) times."""
+
+    def step(at_hand: Column, size: int) -> Column:
+        if size == width:
+            return at_hand
+        by = min(size, width - size)
+        pairs = lambda m: F.zip_with(m, F.slice(m, by + 1, F.size(m)), lambda x, y: F.least(x, y))  # noqa: E731  # nulls at the end are skipped
+        return let(at_hand, lambda m: step(pairs(m), size + by))
+
+    return let(values, lambda g: F.slice(step(g, 1), 1, F.size(g) - (width - 1)))
+
+
+def _fingerprints(tokens: Column, lengths: list[int], gram: int) -> Column:
+    """Array of (len, h, p): gram hash and position of each fingerprint, for windows of each of the lengths in words."""
     mask = (1 << BITS) - 1
 
-    def grams(h: Column) -> Column:
+    def grams(h: Column, k: int) -> Column:
         hashed = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])
         tagged = lambda i: F.shiftleft(hashed(i), BITS).bitwiseOR(i.bitwiseAND(F.lit(mask)))
-        return F.transform(F.sequence(F.lit(0).cast("long"), (F.size(h) - k).cast("long")), tagged)
-
-    def least(g: Column) -> Column:
-        if w == 1:
-            return g
-        in_window = lambda i: F.least(*[F.get(g, i + j) for j in range(w)])
-        return F.transform(F.sequence(F.lit(0).cast("long"), (F.size(g) - w).cast("long")), in_window)
+        return F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0).cast("long"), (F.size(h) - k).cast("long")), tagged))
 
-    def distinct(m: Column) -> Column:
+    def distinct(m: Column, length: int) -> Column:
         entry = lambda v, i: F.struct(
+            F.lit(length).alias("len"),
             F.shiftright(v, BITS).alias("h"),
             (i + F.pmod(v.bitwiseAND(F.lit(mask)) - i, F.lit(mask + 1))).cast("int").alias("p"),
             ((i == 0) | (v != F.get(m, i - 1))).alias("new"),
         )
         return F.filter(F.transform(m, entry), lambda x: x["new"])
 
-    per_word = lambda t: let(F.transform(t, lambda x: F.xxhash64(x)), lambda h: let(grams(h), lambda g: let(least(g), distinct)))
-    return F.when(F.size(tokens) >= length, let(tokens, per_word))
+    def of_length(h: Column, g: Column, length: int) -> Column:
+        w = length - min(gram, length) + 1
+        return F.when(F.size(h) >= length, let(_least(g, w) if w > 1 else g, lambda m: distinct(m, length)))
+
+    def all_lengths(h: Column) -> Column:
+        parts = []
+        for k in sorted({min(gram, length) for length in lengths}):
+            own = [length for length in lengths if min(gram, length) == k]
+            found = lambda g, own=own: F.flatten(F.array_compact(F.array(*[of_length(h, g, length) for length in own])))
+            parts.append(let(grams(h, k), found))
+        return F.flatten(F.array_compact(F.array(*parts)))
+
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), all_lengths)
 
 
-def _window_rows(tokens: Column, starts: Column, length: int) -> Column:
+def _window_rows(tokens: Column, starts: Column, length: Column) -> Column:
     """Array of (start, window) for the given start positions."""
     return let(tokens, lambda t: F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_join(F.slice(t, s + 1, length), SEP).alias("win"))))
 
@@ -110,7 +129,9 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns as they were.
 
-    Documents without a hit pass by a join with the few keys that are contaminated.
+    Documents without a hit pass by a join with the few keys that are contaminated.  Null, empty and wordless texts have no
+    hits and stay, also if their id is null; rows that repeat id and text go or stay together; an empty table stays empty; no
+    column name clashes.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     window, gram, share = options.get("window", WINDOW), options.get("gram", GRAM), options.get("share", 20)
@@ -125,32 +146,29 @@ def _occurrences(keyed: DataFrame, items: DataFrame, item_col: str, item_text_co
     """Rows (key, n, s, e, items): windows of items found in documents, at words s up to e."""
     tok = settle(item_windows(items, item_col, item_text_col, window))
     lengths = sorted(r[0] for r in tok.select("len").distinct().collect())  # at most `window` numbers
-    tokens = words(F.col("_text"))
-    parts = []
-    for length in lengths:
-        own = tok.where(F.col("len") == length)
-        prints = own.select(F.explode(_fingerprints(F.col("w"), length, gram)).alias("f")).select("f.h").distinct()
-        starts = F.sequence(F.lit(0), F.size("w") - length)
-        wins = own.select("item", F.explode(_window_rows(F.col("w"), starts, length)).alias("x"))
-        wins = wins.groupBy(F.col("x.win").alias("win")).agg(F.collect_set("item").alias("items"))
-        in_docs = keyed.select("_k1", "_k2", F.explode(_fingerprints(tokens, length, gram)).alias("f"))
-        in_docs = in_docs.select("_k1", "_k2", "f.h", "f.p")
-        hits = in_docs.join(broadcast_if_small(settle(prints)), "h", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("p").alias("ps"))
-        hits = broadcast_if_small(settle(hits))
-        hit_docs = keyed.join(hits, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", "ps", tokens.alias("w"))
-        span = length - min(gram, length)  # a window that holds the gram at p starts at p - span or later
-        near = lambda p: F.sequence(F.greatest(p - span, F.lit(0)), F.least(p, F.size("w") - length))
-        around = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.when(F.greatest(p - span, F.lit(0)) <= F.least(p, F.size("w") - length), near(p)).otherwise(F.array().cast("array<int>")))))
-        cand = hit_docs.select("_k1", "_k2", F.size("w").alias("n"), F.explode(_window_rows(F.col("w"), around, length)).alias("x"))
-        cand = cand.select("_k1", "_k2", "n", F.col("x.s").alias("s"), (F.col("x.s") + length).alias("e"), F.col("x.win").alias("win"))
-        parts.append(cand.join(broadcast_if_small(settle(wins)), "win").drop("win"))
-    if not parts:
-        empty = keyed.select("_k1", "_k2", F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(0).alias("e"))
-        return empty.withColumn("items", F.array().cast("array<string>")).where(F.lit(False))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    if not lengths:
+        nothing = keyed.select("_k1", "_k2", F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(0).alias("e"))
+        return nothing.withColumn("items", F.array().cast("array<string>")).where(F.lit(False))
+    tokens, length = words(F.col("_text")), F.col("len")
+    own = [tok.where(length == n).select(F.explode(_fingerprints(F.col("w"), [n], gram)).alias("f")).select("f.len", "f.h") for n in lengths]
+    prints = reduce(DataFrame.unionByName, own).distinct()
+    starts = F.sequence(F.lit(0), F.size("w") - length)
+    wins = tok.select("item", "len", F.explode(_window_rows(F.col("w"), starts, length)).alias("x"))
+    wins = wins.groupBy("len", F.col("x.win").alias("win")).agg(F.collect_set("item").alias("items"))
+
+    in_docs = keyed.select("_k1", "_k2", F.explode(_fingerprints(tokens, lengths, gram)).alias("f"))
+    in_docs = in_docs.select("_k1", "_k2", "f.len", "f.h", "f.p")
+    hits = in_docs.join(broadcast_if_small(settle(prints)), ["len", "h"], "left_semi").groupBy("_k1", "_k2", "len").agg(F.collect_set("p").alias("ps"))
+    hits = settle(hits.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("len", "ps")).alias("of")))
+    hit_docs = keyed.join(broadcast_if_small(hits), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", tokens.alias("w"), F.explode("of").alias("f"))
+    hit_docs = hit_docs.select("_k1", "_k2", "w", F.size("w").alias("n"), "f.len", "f.ps")
+    span = length - F.least(F.lit(gram), length)  # a window that holds the gram at p starts at p - span or later
+    first, last = lambda p: F.greatest(p - span, F.lit(0)), lambda p: F.least(p, F.col("n") - length)
+    none = F.array().cast("array<int>")
+    around = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(none))))
+    cand = hit_docs.select("_k1", "_k2", "n", "len", F.explode(_window_rows(F.col("w"), around, length)).alias("x"))
+    cand = cand.select("_k1", "_k2", "n", "len", F.col("x.s").alias("s"), (F.col("x.s") + length).alias("e"), F.col("x.win").alias("win"))
+    return cand.join(broadcast_if_small(settle(wins)), ["len", "win"]).drop("win", "len")
 
 
 def _summary(found: DataFrame) -> DataFrame:
