@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerogrid.operators import reduction
+from aerogrid.operators import drift, reduction
 from aerogrid.operators.ordering import exact_quantiles, grouped
 from aerogrid.session import settle
 
@@ -132,19 +132,73 @@ def _distance(columns: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Colu
     return total
 
 
+SAMPLE = 2_000  # rows, by hash, on which the starts are tried
+STARTS, BEST = 50, 3  # small subsets tried on the sample, and how many of them are followed over all rows
+
+
+def _chi2_quantile(share: float, df: int) -> float:
+    low, high = 0.0, 10.0 * df + 100.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1.0 - drift.chi2_p_value(mid, df) < share else (low, mid)
+    return (low + high) / 2
+
+
+def _volume(cov: np.ndarray) -> float:
+    """Logarithm of the determinant; of a flat cloud minus infinity."""
+    sign, log = np.linalg.slogdet(cov)
+    return float(log) if sign > 0 else -np.inf
+
+
+def _starts(x: np.ndarray, support: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and covariances of the best of many small subsets after two concentration steps on the sample."""
+    rng, found = np.random.default_rng(seed), []
+    keep = max(int(np.ceil(support * len(x))), min(len(x), x.shape[1] + 1))
+    for _ in range(STARTS):
+        own = rng.choice(len(x), min(len(x), x.shape[1] + 1), replace=False)
+        for _ in range(3):
+            mean, cov = x[own].mean(axis=0), np.atleast_2d(np.cov(x[own].T, bias=True))
+            off = x - mean
+            own = np.argsort(((off @ np.linalg.pinv(cov)) * off).sum(axis=1), kind="stable")[:keep]
+        found.append((_volume(np.atleast_2d(np.cov(x[own].T, bias=True))), x[own].mean(axis=0), np.atleast_2d(np.cov(x[own].T, bias=True))))
+    found.sort(key=lambda f: f[0])
+    return [(mean, cov) for _, mean, cov in found[:BEST]]
+
+
 def robust_distance(
-    df: DataFrame, columns: Sequence[str], support: float = 0.75, rounds: int = 3, out: str = "distance"
+    df: DataFrame, columns: Sequence[str], support: float = 0.5, rounds: int = 10, out: str = "distance", seed: int = 42
 ) -> DataFrame:
-    """Mahalanobis distance to the centre of the `support` share of rows closest to it.
+    """Squared Mahalanobis distance to the centre of the `support` share of rows with the smallest covariance.
 
-    Every round is two passes: the distance quantile, and the moments of the rows inside it.
+    Small subsets of a sample give the starts.  The best are followed over all rows: the distance at the exact quantile, then the
+    moments of the rows inside, until the determinant falls no more.  The covariance is then made consistent by the median distance,
+    and mean and covariance are taken once more of all rows within the 97.5 % distance.
     """
-    numbers = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
-    mean, cov = _moments(numbers, columns)
-    for _ in range(rounds):
-        measured = numbers.withColumn("_d", _distance(columns, mean, cov))
-        cut = measured.approxQuantile("_d", [support], 0.001)[0]
-        mean, cov = _moments(measured.where(F.col("_d") <= cut), columns)
+    columns = list(columns)
+    numbers = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("_row", F.monotonically_increasing_id()))
+    total = numbers.count()
+    if not total:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    drawn = numbers.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_row"), 11) / F.lit(float(1 << 53)) < min(1.0, SAMPLE / total))
+    best = None
+    for mean, cov in _starts(drawn.select(columns).toPandas().to_numpy(float) if total > SAMPLE else numbers.select(columns).toPandas().to_numpy(float), support, seed):
+        volume = np.inf
+        for _ in range(rounds):
+            measured = numbers.withColumn("_d", _distance(columns, mean, cov))
+            cut = exact_quantiles(measured.select("_d"), ["_d"], [support]).first()["q0"]
+            mean, cov = _moments(measured.where(F.col("_d") <= cut), columns)
+            before, volume = volume, _volume(cov)
+            if not volume < before - 1e-9:
+                break
+        if best is None or volume < best[0]:
+            best = (volume, mean, cov)
+    _, mean, cov = best
+    median = exact_quantiles(numbers.select(_distance(columns, mean, cov).alias("_d")), ["_d"], [0.5]).first()["q0"]
+    cov = cov * (median / _chi2_quantile(0.5, len(columns)))
+    near = numbers.where(_distance(columns, mean, cov) < _chi2_quantile(0.975, len(columns)))
+    again = _moments(near, columns)
+    if _volume(again[1]) > -np.inf:
+        mean, cov = again
     return df.withColumn(out, _distance(columns, mean, cov))
 
 

@@ -139,6 +139,22 @@ def test_scaler_round_trip(table):
         assert worst < 1e-9
 
 
+@pytest.mark.parametrize("rows", [1_500, 6_000])
+def test_robust_centre_is_not_moved_by_outliers(spark, rows):
+    """20 % of the rows stand together far away; the centre and the spread stay those of the others."""
+    rng = np.random.default_rng(6)
+    clean = rng.multivariate_normal([1.0, -2.0, 0.5], [[2.0, 0.8, 0.0], [0.8, 1.0, 0.2], [0.0, 0.2, 0.5]], rows * 4 // 5)
+    x = np.concatenate([clean, rng.normal([9.0, 9.0, -9.0], 0.3, (rows // 5, 3)), [[np.nan, 0.0, 0.0]]])
+    table = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, x0 double, x1 double, x2 double")
+    got = {r["id"]: r["distance"] for r in detectors.robust_distance(table, COLS).collect()}
+    off = clean - clean.mean(axis=0)
+    want = ((off @ np.linalg.inv(np.cov(off.T))) * off).sum(axis=1)
+    ratio = np.array([got[i] for i in range(len(clean))]) / want
+    assert 0.85 < np.median(ratio) < 1.2 and got[len(x) - 1] is None
+    assert min(got[i] for i in range(len(clean), len(x) - 1)) > np.quantile(want, 0.999)
+    assert detectors.robust_distance(table.where("false"), COLS).collect() == []
+
+
 def plain_outlier_factors(x, k):
     """Local outlier factors by all distances; rows as far as the k-th nearest are neighbours too."""
     x = (x - x.mean(axis=0)) / x.std(axis=0)
