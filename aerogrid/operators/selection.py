@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerogrid.operators.ordering import running_totals
 from aerogrid.operators.prep import QuantileBins
+from aerogrid.session import settle
 
 
 def _explode(row: DataFrame, entries: Sequence[Column]) -> DataFrame:
@@ -38,6 +40,55 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     return terms.groupBy("feature").agg(F.sum("t").alias("score"))
 
 
+def digamma(x: Column) -> Column:
+    """Digamma of whole numbers from 1 on: six steps up, then the asymptotic series."""
+    z = x.cast("double") + 6.0
+    series = F.log(z) - 1.0 / (2.0 * z) - 1.0 / (12.0 * z * z) + 1.0 / (120.0 * z * z * z * z) - 1.0 / (252.0 * z * z * z * z * z * z)
+    return series - sum((1.0 / (x + float(j)) for j in range(6)), F.lit(0.0))
+
+
+def _kth_distance(cells: DataFrame, k: int) -> DataFrame:
+    """Add `r`, the distance of the k-th nearest other row of the same feature and class; rows are distinct values with their number `n`.
+
+    Values know their places in the order of their class, so each is sent to the k places on either side: no task sorts a class.
+    """
+    ordered = running_totals(cells.withColumn("one", F.lit(1)), ["feature", "y"], "v", ["one", "n", "size"])
+    placed = ordered.select("feature", "y", "v", "n", "size", (F.col("one_cum") - 1).alias("at"))
+    sent = placed.select("feature", "y", "v", "n", "size", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("by"), "at").withColumn("at", F.col("at") + F.col("by"))
+    met = sent.groupBy("feature", "y", "at").agg(F.collect_list(F.struct("v", "n")).alias("near"), F.max(F.when(F.col("by") == 0, F.struct("v", "n", "size"))).alias("own")).where("own IS NOT NULL")
+    own = met.select("feature", "y", "own.*", "near").withColumn("k", F.least(F.lit(k), F.col("size") - 1))
+    others = F.transform("near", lambda x: F.struct(F.abs(x["v"] - F.col("v")).alias("d"), (x["n"] - (x["v"] == F.col("v")).cast("int")).alias("w")))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("r"))
+    step = lambda acc, x: F.when(acc["seen"] >= F.col("k"), acc).otherwise(F.struct((acc["seen"] + x["w"]).alias("seen"), x["d"].alias("r")))
+    nearest = F.array_sort(F.filter(others, lambda x: x["w"] > 0))
+    return own.withColumn("r", F.aggregate(nearest, start, step)["r"]).drop("near")
+
+
+def nearest_mutual_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """Mutual information (nats) between a class and each feature by the k nearest rows of the same class.
+
+    Per row: the distance of the k-th nearest row of its class, and the number of rows of any class that are nearer (equal ones, if
+    that distance is 0).  Classes of a single row and missing values are left out; a negative estimate is 0.
+    """
+    entries = [F.struct(F.lit(c).alias("feature"), (F.col(c).cast("double") + F.lit(0.0)).alias("v")) for c in columns]
+    long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*entries)).alias("e")).select("y", "e.*").where("v IS NOT NULL")
+    counted = long.groupBy("feature", "y", "v").agg(F.count(F.lit(1)).alias("n"))
+    classes = counted.groupBy("feature", "y").agg(F.sum("n").alias("size")).where("size > 1")  # one row per feature and class
+    cells = settle(counted.join(F.broadcast(classes), ["feature", "y"]))
+    placed = settle(_kth_distance(cells, k))
+    bounds = placed.select("feature", F.explode(F.when(F.col("r") > 0, F.array(F.col("v") - F.col("r"), F.col("v") + F.col("r"))).otherwise(F.array("v"))).alias("v"), F.lit(0).cast("long").alias("n"))
+    totals = settle(running_totals(cells.select("feature", "v", "n").unionByName(bounds), ["feature"], "v", ["n"]))
+    upto = totals.select("feature", F.col("v").alias("_at"), "n", "n_cum")
+    low = upto.select("feature", F.col("_at").alias("_low"), F.col("n_cum").alias("_below"))
+    high = upto.select("feature", F.col("_at").alias("_high"), (F.col("n_cum") - F.col("n")).alias("_until"), F.col("n").alias("_equal"))
+    asked = placed.withColumn("_low", F.col("v") - F.col("r")).withColumn("_high", F.col("v") + F.col("r"))
+    inside = F.when(F.col("r") > 0, F.col("_until") - F.col("_below")).otherwise(F.col("_equal"))
+    known = asked.join(low, ["feature", "_low"]).join(high, ["feature", "_high"]).withColumn("m", inside)
+    mean = lambda x: F.sum(F.col("n") * digamma(x)) / F.sum("n")
+    score = digamma(F.sum("n")) + mean(F.col("k")) - mean(F.col("size")) - mean(F.col("m"))
+    return known.groupBy("feature").agg(F.greatest(score, F.lit(0.0)).alias("score"))
+
+
 def anova_f(df: DataFrame, columns: Sequence[str], target: str, expressions: dict[str, Column] | None = None) -> DataFrame:
     """One-way F of each feature between the classes of the target."""
     exprs = expressions or {c: F.col(c) for c in columns}

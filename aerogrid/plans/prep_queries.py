@@ -247,6 +247,31 @@ def _(spark, d):
     return selection.mutual_information(S.features(spark, d), _FC, "y").withColumn("score", rnd("score"))
 
 
+def _digamma(x: str) -> str:
+    z = f"({x} + 6::DOUBLE)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} * {z}) + 1 / (120 * {z} * {z} * {z} * {z}) - 1 / (252 * {z} * {z} * {z} * {z} * {z} * {z}) - " + " - ".join(f"1 / ({x} + {j}::DOUBLE)" for j in range(6)) + ")"
+
+
+def _nearest_sql(k: int = 3) -> str:
+    """Distances to the k values on either side within the class, then the rows of any class inside that distance."""
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, y, {c} AS v, count(*) AS n FROM features GROUP BY ALL" for c in _FC)
+    mean = lambda x: f"sum(n * {_digamma(x)}) / sum(n)"
+    return f"""WITH c AS ({cells}), p AS (SELECT *, row_number() OVER (PARTITION BY feature, y ORDER BY v) AS at, sum(n) OVER (PARTITION BY feature, y) AS size FROM c),
+ d AS (SELECT a.feature, a.y, a.v, abs(b.v - a.v) AS d, sum(b.n - CASE WHEN a.at = b.at THEN 1 ELSE 0 END) AS w FROM p a JOIN p b ON a.feature = b.feature AND a.y = b.y AND b.at BETWEEN a.at - {k} AND a.at + {k} GROUP BY ALL),
+ s AS (SELECT *, sum(w) OVER (PARTITION BY feature, y, v ORDER BY d) AS seen FROM d),
+ r AS (SELECT p.*, least({k}, size - 1) AS k, (SELECT min(d) FROM s WHERE s.feature = p.feature AND s.y = p.y AND s.v = p.v AND seen >= least({k}, p.size - 1)) AS r FROM p WHERE size > 1),
+ t AS (SELECT feature, v, sum(n) AS n FROM r GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY v) AS upto FROM t),
+ m AS (SELECT r.*, CASE WHEN r > 0 THEN hi.upto - coalesce(lo.upto, 0) ELSE t.n END AS m FROM (SELECT *, v + r AS top, v - r AS bottom FROM r) r
+  JOIN t ON t.feature = r.feature AND t.v = r.v
+  ASOF LEFT JOIN u hi ON hi.feature = r.feature AND hi.v < r.top ASOF LEFT JOIN u lo ON lo.feature = r.feature AND lo.v <= r.bottom)
+SELECT feature, {r(f"greatest(0, {_digamma('sum(n)')} + {mean('k')} - {mean('size')} - {mean('m')})")} AS score FROM m GROUP BY feature"""
+
+
+@query("nearest_mutual_information", "L-01", _nearest_sql())
+def _(spark, d):
+    return selection.nearest_mutual_information(S.features(spark, d), _FC, "y").withColumn("score", rnd("score"))
+
+
 def _anova_sql(exprs):
     return " UNION ALL ".join(
         f"""SELECT '{n}' AS feature, {r('b / (k - 1) / (w / (t - k))', 4)} AS score FROM (SELECT sum(n * (m - g) * (m - g)) AS b, sum(n * v) AS w,
