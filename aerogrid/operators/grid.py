@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerogrid.functions.timefeat import ceil_time, epoch_us, floor_time, from_us
-from aerogrid.operators.ordering import over_series
+from aerogrid.operators.ordering import max_group_rows, over_series
 
 # How each observation column is reduced inside one step.
 RESAMPLE_RULES = {
@@ -57,10 +58,17 @@ def time_grid(obs: DataFrame, minutes: int = 30) -> DataFrame:
     return station_bounds(obs, minutes).select("station", F.explode(F.sequence("lo", "hi", step)).alias("ts"))
 
 
+def series_strategy(obs: DataFrame, minutes: int = 30) -> str:
+    """How windows over the grid's series are run: all series have the same length, which follows from the span, so none is counted."""
+    span = grid_span(obs, minutes)
+    steps = 0 if span is None else (span[1] - span[0]) // timedelta(minutes=minutes) + 1
+    return "plain" if steps <= max_group_rows(obs) else "blocked"
+
+
 def on_grid(obs: DataFrame, minutes: int = 30, fill_minutes: int | None = 60) -> DataFrame:
     """Grid rows with the resampled values, filled forward for at most `fill_minutes`."""
     joined = time_grid(obs, minutes).join(resample(obs, minutes), ["station", "ts"], "left")
-    return joined if fill_minutes is None else forward_fill(joined, fill_minutes // minutes)
+    return joined if fill_minutes is None else forward_fill(joined, fill_minutes // minutes, strategy=series_strategy(obs, minutes))
 
 
 def value_columns(df: DataFrame, keys: Sequence[str] = ("station", "ts")) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ def feature_matrix(
     """Grid, resampled weather, forecasts, labels, clock and weather features, then the missing-value rules."""
     if start is not None and end is not None:
         obs = filters.filter_dates(obs, "ts", start, end)
-    out = grid.on_grid(obs, minutes)
+    out = on_steps = grid.on_grid(obs, minutes)
     if forecasts is not None:
         columns = [c for c in FORECAST_COLUMNS if c in forecasts.columns]
         span = grid.grid_span(obs, minutes)
@@ -68,14 +69,25 @@ def feature_matrix(
             "weather_severity"
         ),
     )
-    return handle_missing(out, ["vis_category", "ceiling_category"])
+    levels = on_steps.select(M.visibility_category("visibility_m").alias("vis_category"), M.ceiling_category("ceiling_ft").alias("ceiling_category"))
+    return handle_missing(out, _modes(levels), strategy=grid.series_strategy(obs, minutes))
 
 
-def handle_missing(df: DataFrame, categories: list[str], limit: int = 2) -> DataFrame:
-    """Fill numbers forward then backward by at most `limit` rows, categories by the mode, the rest by 0."""
+def _modes(levels: DataFrame) -> dict[str, str]:
+    """Most frequent value of each column of a few levels, the smallest on a tie; one row per combination comes to the driver."""
+    counts: dict[str, Counter] = {c: Counter() for c in levels.columns}
+    for r in levels.groupBy(*levels.columns).agg(F.count(F.lit(1)).alias("_n")).collect():
+        for c in levels.columns:
+            counts[c][r[c]] += r["_n"]
+    known = {c: sorted((-n, v) for v, n in own.items() if v is not None) for c, own in counts.items()}
+    return {c: own[0][1] for c, own in known.items() if own}
+
+
+def handle_missing(df: DataFrame, modes: dict[str, str], limit: int = 2, strategy: str = "auto") -> DataFrame:
+    """Fill numbers forward then backward by at most `limit` rows, categories by their mode, the rest by 0."""
     numbers = numeric_columns(df, {"station"})
-    filled = grid.fill_both_ways(df, limit, numbers)
-    return prep.fill_zero(prep.impute(filled, categorical=categories), numbers)
+    filled = grid.fill_both_ways(df, limit, numbers, strategy=strategy)
+    return prep.fill_zero(filled.fillna(modes) if modes else filled, numbers)
 
 
 def sampling_summary(rows: DataFrame, windows: DataFrame, hours_added: float = 8.0) -> DataFrame:
