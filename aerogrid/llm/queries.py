@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from aerogrid.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, prefix_trie, quality, secret_scan, simhash, token_alignment, url_rules, winnowing
@@ -229,8 +228,3 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_simhash_anchor_points")
 def op13_simhash_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
-
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
