@@ -288,10 +288,29 @@ def _(spark, d):
     return out.select("l_orderkey", "l_linenumber", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in _FC])
 
 
-@query("weather_preparation", "X-16")
+def _weather_preparation_sql():
+    """Clipped at the quartiles, lags and rolling statistics of the clipped values, cycles, then scaled."""
+    names = ("temperature_c", "wind_speed_kt")
+    clipped = ", ".join(f"greatest(q1_{c} - 1.5::DOUBLE * (q3_{c} - q1_{c}), least(q3_{c} + 1.5::DOUBLE * (q3_{c} - q1_{c}), {c})) AS {c}" for c in names)
+    made = {}
+    for c in names:
+        made |= {f"{c}_lag_{k}": f"lag({c}, {k}) OVER (PARTITION BY station ORDER BY ts, event_id)" for k in stages.WEATHER_LAGS[c]}
+        for n in (3, 6, 12, 24):
+            for stat, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+                made[f"{c}_roll_{stat}_{n}"] = f"CASE WHEN count({c}) OVER w{n} = {n} THEN {f}({c}) OVER w{n} END"
+    frames = ", ".join(f"w{n} AS (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 6, 12, 24))
+    return f"""WITH q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in names)} FROM obs),
+ p AS (SELECT event_id, station, ts, CAST(visibility_m < 3000 OR coalesce(ceiling_ft < 500, false) OR wind_speed_kt > 30 AS INTEGER) AS y, {clipped}, hour(ts) AS h FROM obs, q),
+ s AS (SELECT {", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in names)} FROM p)
+SELECT event_id, station, ts, y, {", ".join(f"{r(f'({c} - a_{c}) / s_{c}', 5)} AS {c}" for c in names)}, {", ".join(f"{r(x, 5)} AS {c}" for c, x in made.items())},
+ {r("sin(2 * pi() * h / 24)", 5)} AS hour_sin, {r("cos(2 * pi() * h / 24)", 5)} AS hour_cos FROM p, s WINDOW {frames}"""
+
+
+@query("weather_preparation", "X-16", _weather_preparation_sql())
 def _(spark, d):
     rows = poor_conditions(spark, d).select("event_id", "station", "ts", "y", "temperature_c", "wind_speed_kt", "hour")
-    return stages.fit_transform(stages.weather_preparation(rows, "y"), rows)[1]
+    out = stages.fit_transform(stages.weather_preparation(rows, "y"), rows)[1]
+    return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c, kind in out.dtypes if kind == "double"})
 
 
 @query("sequence_recipe", "X-17")
