@@ -25,7 +25,7 @@ SIZES = (1, 2, 3, 4)
 TRAIN_DOCS = 40_000
 #: The matrix has at most this many cells, so many languages get fewer buckets each.
 MATRIX_CELLS = 1 << 23
-MOST_BITS, LEAST_BITS = 16, 10
+MOST_BITS, LEAST_BITS = 16, 1  # very many languages have fewer buckets each, so the matrix keeps its bound
 SMOOTHING = 0.2
 BLOCK = 1 << 20
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -99,13 +99,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit
                     own += np.bincount(found, minlength=1 << bits)
         for lang, own in sums.items():
             some = np.flatnonzero(own)
-            columns = [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])]
+            columns = [pa.array(np.full(len(some), place[lang], np.int32)), pa.array(some.astype(np.int32)), pa.array(own[some])]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
-    counted = _sample(labelled, limit).mapInArrow(count, "lang string, bucket int, n long")
+    counted = _sample(labelled, limit).mapInArrow(count, "lang int, bucket int, n long")
     totals = settle(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))).toPandas()  # at most MATRIX_CELLS rows
     table = np.zeros((1 << bits, len(langs)))
-    table[totals["bucket"].to_numpy(), totals["lang"].map(place).to_numpy()] = totals["n"].to_numpy()
+    table[totals["bucket"].to_numpy(), totals["lang"].to_numpy()] = totals["n"].to_numpy()
     log_p = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (1 << bits)))
     n_docs = np.array([next(r["n"] for r in sizes if r["lang"] == lang) for lang in langs], float)
     return LanguageModel(langs, bits, log_p.astype(np.float32), np.log(n_docs / n_docs.sum()))
