@@ -23,6 +23,7 @@ from aerogrid.functions.timefeat import epoch_us
 
 MAX_GROUP_ROWS = "spark.aerogrid.maxGroupRows"  # rows of one group that a single task may sort
 BLOCK_ROWS = "spark.aerogrid.blockRows"  # rows per block of the blocked windows
+RANGE_ROWS = "spark.aerogrid.rangeRows"  # rows of a value range that a single task may sort
 
 
 def _limit(df: DataFrame, key: str, default: int) -> int:
@@ -227,10 +228,22 @@ def fill_series(
     return joined.select(*others, *filled).select(*df.columns)
 
 
+def range_count(df: DataFrame, least: int = 2) -> int:
+    """How many value ranges to cut a table into: as many as shuffle partitions, and more if a range had over `rangeRows` rows.
+
+    A table whose planned size is far below that is not counted.
+    """
+    spark = df.sparkSession
+    parts = max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = _limit(df, RANGE_ROWS, 1_000_000)
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return parts if planned < parts * rows else max(parts, -(-df.count() // rows))  # at least a byte a row, however packed
+
+
 def value_splits(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Cut points that spread the values of numeric columns evenly (one pass, mergeable sketches)."""
     columns = list(columns)
-    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = parts or range_count(df.select(*columns))
     probs = [i / parts for i in range(1, parts)]
     numbers = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
     cuts = numbers.approxQuantile(numbers.columns, probs, min(0.01, 0.25 / parts))
@@ -389,7 +402,7 @@ def _long_ranges(ranged: DataFrame, names: dict[str, str], wanted: dict[str, set
 def _quantiles_by_range(df: DataFrame, columns: list[str], probs: list[float], parts: int | None) -> DataFrame:
     spark = df.sparkSession
     if parts is None:
-        parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        parts = range_count(df.select(*columns), 64)
     ranged, names = with_ranges(df.select(*columns), columns, parts)
     counts: dict[str, dict[float, int]] = {c: {} for c in columns}
     for row in _long_ranges(ranged, names).groupBy("feature", "_r").count().collect():  # columns x ranges numbers

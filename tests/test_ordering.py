@@ -111,3 +111,16 @@ def test_sequences_of_short_series(spark):
     assert sorted(r["sequence"][0][0] for r in one_step) == [0.0, 1.0, 2.0]
     exact = windows.sequences(df, ["x"], "y", 3).collect()
     assert [r["sequence"] for r in exact] == [[[0.0], [1.0], [2.0]]]
+
+
+def test_value_ranges_follow_the_rows(spark):
+    """More rows give more ranges, so none outgrows a task; the results stay exact."""
+    rows = spark.range(40_000).selectExpr("CAST(id * 7919 % 40009 AS DOUBLE) AS x")
+    assert ordering.range_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(ordering.RANGE_ROWS, "500")
+    try:
+        assert ordering.range_count(rows) == 80
+        totals = ordering.running_totals(rows.withColumn("n", F.lit(1)), [], "x", ["n"]).collect()
+        assert [r["n_cum"] for r in sorted(totals, key=lambda r: r["x"])] == list(range(1, 40_001))
+    finally:
+        spark.conf.unset(ordering.RANGE_ROWS)
