@@ -313,10 +313,43 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c, kind in out.dtypes if kind == "double"})
 
 
-@query("sequence_recipe", "X-17")
+def _sequence_recipe_sql():
+    """Lags and their differences, the eight rolling statistics, and the calendar."""
+    names, sizes = ("temperature_c", "wind_speed_kt"), (3, 6, 12)
+    series, made = "(PARTITION BY station ORDER BY ts, event_id)", {}
+    for c in names:
+        for k in (1, 2, 3, 6, 12):
+            made[f"{c}_lag_{k}"] = f"lag({c}, {k}) OVER {series}"
+            if k > 1:
+                made[f"{c}_lag_diff_{k}"] = f"{c} - lag({c}, {k}) OVER {series}"
+        for n in sizes:
+            full = f"CASE WHEN count({c}) OVER w{n} = {n} THEN {{}} END"
+            rolled = {s: f"{f}({c}) OVER w{n}" for s, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}
+            rolled["skew"] = f"CASE WHEN max({c}) OVER w{n} = min({c}) OVER w{n} THEN 0 ELSE list_skewness(list({c}) OVER w{n}) END"
+            rolled["kurt"] = f"CASE WHEN max({c}) OVER w{n} = min({c}) OVER w{n} THEN -3 ELSE list_kurtosis(list({c}) OVER w{n}) END" if n > 3 else "CAST(NULL AS DOUBLE)"
+            rolled["trend"] = f"{c} - avg({c}) OVER w{n}"
+            rolled["zscore"] = f"CASE WHEN stddev_samp({c}) OVER w{n} > 0 THEN ({c} - avg({c}) OVER w{n}) / (stddev_samp({c}) OVER w{n} + 1e-8::DOUBLE) ELSE 0 END"
+            made |= {f"{c}_roll_{s}_{n}": full.format(x) for s, x in rolled.items()}
+    for name, x, period in (("hour", "hour(ts)", 24), ("day", "(isodow(ts) - 1)", 7), ("month", "month(ts)", 12)):
+        made |= {f"{name}_{f}": f"{f}(2 * pi() * {x} / {period})" for f in ("sin", "cos")}
+    whole = {
+        "hour": "hour(ts)", "day_of_week": "isodow(ts) - 1", "day_of_month": "day(ts)", "day_of_year": "dayofyear(ts)", "week_of_year": "week(ts)",
+        "month": "month(ts)", "quarter": "quarter(ts)", "is_weekend": "CAST(isodow(ts) >= 6 AS INTEGER)",
+        "is_night": "CAST(hour(ts) >= 22 OR hour(ts) <= 6 AS INTEGER)",
+        "is_rush_hour": "CAST(hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 17 AND 19 AS INTEGER)",
+        "season": "CASE quarter(ts) WHEN 1 THEN 'winter' WHEN 2 THEN 'spring' WHEN 3 THEN 'summer' ELSE 'fall' END",
+    }
+    frames = ", ".join(f"w{n} AS (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in sizes)
+    return f"""SELECT event_id, station, ts, CAST(visibility_m < 3000 OR coalesce(ceiling_ft < 500, false) OR wind_speed_kt > 30 AS INTEGER) AS y, {", ".join(names)},
+ {", ".join(f'{r(x, 3)} AS "{c}"' for c, x in made.items())}, {", ".join(f'{x} AS "{c}"' for c, x in whole.items())} FROM obs WINDOW {frames}"""
+
+
+@query("sequence_recipe", "X-17", _sequence_recipe_sql())
 def _(spark, d):
     rows = poor_conditions(spark, d).select("event_id", "station", "ts", "y", "temperature_c", "wind_speed_kt")
-    return stages.fit_transform(stages.recipe("lstm", ["temperature_c", "wind_speed_kt"], "y"), rows)[1]
+    out = stages.fit_transform(stages.recipe("lstm", ["temperature_c", "wind_speed_kt"], "y"), rows)[1]
+    made = [c for c, kind in out.dtypes if kind == "double" and c not in ("temperature_c", "wind_speed_kt")]
+    return out.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in made})
 
 
 def _linear_recipe_sql():
