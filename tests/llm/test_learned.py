@@ -1,7 +1,10 @@
 """Held-out accuracy of the learnt operators, and their behaviour without anything to learn."""
 
-import numpy as np
+import math
 import zlib
+from collections import Counter
+
+import numpy as np
 
 from aerogrid.llm import language_id, quality
 from aerogrid.llm.queries import QUERIES
@@ -47,6 +50,52 @@ def test_threshold_is_a_quantile():
     assert quality._threshold(s, good, w, None) == 1.5
     assert quality._threshold(s, good, w, 0.25) == 0.5
     assert quality._threshold(s, np.array([False, True, False, True]), w, 0.75) == 2.5
+    assert quality._threshold(s, good, np.array([1.0, 1, 1, 1]), None) == quality._threshold(s, good[::-1], w, None)  # the share decides
+
+
+def test_every_quality_score_comes_from_the_weights(spark, sf_dir, odd):
+    """Each score again in plain numpy, from the learnt weights and the features of the whole text."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = docs.select("text").unionByName(odd.select("text")).withColumn("s", model.score(quality.features("text"))).collect()
+    for r in rows:
+        strength = float(np.dot(quality.features_of(r.text), model.weights))
+        assert abs(r.s - 1 / (1 + np.exp(-(strength - model.threshold)) * (1 - quality.CUT) / quality.CUT)) < 1e-9
+
+
+def plain_buckets(text, bits):
+    """Bucket of every 1- to 4-gram, character by character in plain integers."""
+    letters = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    for n in range(1, 5):
+        for at in range(len(letters) - n + 1):
+            h = 0
+            for i, c in enumerate(letters[at : at + n], 1):
+                h = (h * 0x100000001B3 + ord(c) + i) % 2**64
+            yield (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def test_language_model_and_scores_equal_a_plain_bayes(spark, sf_dir):
+    """Counts in dicts and logs added one by one, in learning and in scoring."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500")
+    model = language_id.train(docs)
+    rows = [r for r in docs.collect() if r.text is not None]
+    counts = {lang: Counter() for lang in model.langs}
+    for r in rows:
+        if r.lang is not None:
+            counts[r.lang].update(plain_buckets(r.text, model.bits))
+    size, smooth = 1 << model.bits, language_id.SMOOTHING
+    prior = Counter(r.lang for r in rows if r.lang is not None)
+    got = {r.doc_id: r._lang for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    for r in rows[::3]:
+        if not any(c.isalpha() for c in r.text):
+            continue
+        logs = []
+        for lang in model.langs:
+            total = sum(counts[lang].values()) + smooth * size
+            logs.append(math.log(prior[lang] / sum(prior.values())) + sum(math.log((counts[lang][b] + smooth) / total) for b in plain_buckets(r.text, model.bits)))
+        best = int(np.argmax(logs))
+        chance = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        assert got[r.doc_id].lang_pred == model.langs[best] and abs(got[r.doc_id].score - chance) < 1e-3
 
 
 def test_language_on_held_out_rows(spark, sf_dir):
