@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 import unicodedata
 
@@ -143,3 +145,62 @@ def test_day_first_dates_are_permuted_among_themselves(spark):
     new = pseudonymize(texts, KEY)
     assert new.select("text").distinct().count() == texts.count() == new.where("n_pseudonyms = 1").count() == LATE_HIGH * LATE_LOW
     assert new.select("text").exceptAll(texts.select("text")).isEmpty()
+
+
+def plain_feistel(left, right, n_left, n_right, key, tweak):
+    """The eight rounds in plain integers."""
+    for step in range(1, 9):
+        change = int(hashlib.sha256("|".join([key, tweak, str(step), str(right if step % 2 else left), key]).encode()).hexdigest()[:15], 16)
+        if step % 2:
+            left = (left + change) % n_left
+        else:
+            right = (right + change) % n_right
+    return left, right
+
+
+def plain_pseudonym(value):
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", value):
+        a, b, c, d = map(int, value.split("."))
+        if max(a, b, c, d) > 255 or any(x != str(int(x)) for x in value.split(".")):
+            return value
+        left, right = plain_feistel(a * 256 + b, c * 256 + d, 65_536, 65_536, KEY, "ipv4")
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
+        area, group, serial = map(int, value.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return value
+        left, right = plain_feistel(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, KEY, "ssn")
+        return f"{left + (2 if left >= 665 else 1):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    first = datetime.date(1700, 1, 1)
+    try:
+        day = datetime.date.fromisoformat(value)
+    except ValueError:
+        return value
+    since = (day - first).days
+    if not 0 <= since < 189 * 773:
+        return value
+    left, right = plain_feistel(since // 773, since % 773, 189, 773, KEY, "date")
+    return (first + datetime.timedelta(days=left * 773 + right)).isoformat()
+
+
+def test_whole_texts_equal_plain_rounds(spark):
+    """Addresses, numbers and dates in texts, valid or not, replaced by the rounds in plain integers."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 6)):
+            parts.append(
+                rng.choice(
+                    [
+                        ".".join(str(rng.randrange(0, 300)) for _ in range(4)),
+                        f"{rng.randrange(0, 1000):03d}-{rng.randrange(0, 100):02d}-{rng.randrange(0, 10_000):04d}",
+                        f"{rng.randrange(1690, 2110)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}",
+                        "plain words",
+                    ]
+                )
+            )
+        texts.append(" and ".join(parts))
+    got = {r.doc_id: r.text for r in pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == re.sub(r"\d+\.\d+\.\d+\.\d+|\d{3}-\d{2}-\d{4}|\d{4}-\d{2}-\d{2}", lambda m: plain_pseudonym(m[0]), text)
