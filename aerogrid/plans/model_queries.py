@@ -152,7 +152,7 @@ def _(spark, d):
 @query("validated_elimination", "L-04")
 def _(spark, d):
     rows = settle(poor_conditions(spark, d))
-    return rows.select("event_id", "y", *models.eliminate_by_validation(rows, _W, "y", _KEY, k=5))
+    return rows.select("event_id", "y", *models.eliminate_by_validation(rows, _W, "y", _KEY))
 
 
 @query("lasso_selection", "L-05")
