@@ -378,14 +378,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id and text, the one with the greatest other columns stays; an empty table stays empty; no column name clashes.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    heads = settle(found.select("comp", "head").distinct().select("head._id", "head._t1", "head._t2"))
+    is_head = F.col(id_col).eqNullSafe(F.col("head._id")) & (F.col("_t1") == F.col("head._t1")) & (F.col("_t2") == F.col("head._t2"))
+    lost = settle(found.where(~is_head).select(F.col(id_col).alias("_id"), F.col("_t1").alias("_l1"), F.col("_t2").alias("_l2")).distinct())
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own_id = F.col(f"`{id_col}`").alias("_own")
     marked = packed(docs, own_id, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(11), text).alias("_t2"))
-    kept = marked.join(broadcast_if_small(heads), ["_t1", "_t2"]).where(F.col("_own").eqNullSafe(F.col("_id")))
+    same = (F.col("_t1") == F.col("_l1")) & (F.col("_t2") == F.col("_l2")) & F.col("_own").eqNullSafe(F.col("_id"))
+    kept = marked.join(broadcast_if_small(lost), same, "left_anti")  # those that go are few, so the others need not be moved
     again = found.groupBy(id_col, "_t1", "_t2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if again.isEmpty():
         return kept.select("_row.*")
     # rows that repeat both id and text: one of them stays, told apart by the other columns
     best = F.max_by("_row", tie_order(docs, text_col)).alias("_row")
-    return kept.groupBy("_id", "_t1", "_t2").agg(best).select("_row.*")
+    return kept.groupBy("_own", "_t1", "_t2").agg(best).select("_row.*")
