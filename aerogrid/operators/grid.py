@@ -55,7 +55,13 @@ def grid_span(obs: DataFrame, minutes: int = 30) -> tuple | None:
 def time_grid(obs: DataFrame, minutes: int = 30) -> DataFrame:
     """Every station at every step between the common bounds."""
     step = F.expr(f"INTERVAL {minutes} MINUTES")
-    return station_bounds(obs, minutes).select("station", F.explode(F.sequence("lo", "hi", step)).alias("ts"))
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few stations make many steps, so they are dealt out first
+    return station_bounds(obs, minutes).repartition(parts, "station").select("station", F.explode(F.sequence("lo", "hi", step)).alias("ts"))
+
+
+def join_steps(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join two tables of steps by station and time, sorted: plans take the size of exploded steps for that of their source and would broadcast them."""
+    return left.join(right.hint("merge"), ["station", "ts"], how)
 
 
 def series_strategy(obs: DataFrame, minutes: int = 30) -> str:
@@ -67,7 +73,7 @@ def series_strategy(obs: DataFrame, minutes: int = 30) -> str:
 
 def on_grid(obs: DataFrame, minutes: int = 30, fill_minutes: int | None = 60) -> DataFrame:
     """Grid rows with the resampled values, filled forward for at most `fill_minutes`."""
-    joined = time_grid(obs, minutes).join(resample(obs, minutes), ["station", "ts"], "left")
+    joined = join_steps(time_grid(obs, minutes), resample(obs, minutes), "left")
     return joined if fill_minutes is None else forward_fill(joined, fill_minutes // minutes, strategy=series_strategy(obs, minutes))
 
 

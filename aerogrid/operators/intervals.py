@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.functions.num import flag
 from aerogrid.functions.timefeat import ceil_time, epoch_us, floor_time
+from aerogrid.operators.grid import join_steps
 from aerogrid.operators.ordering import largest_group, max_group_rows, positions
 
 SMALL_INTERVALS = 50_000  # intervals whose step function may be broadcast
@@ -69,7 +70,7 @@ def grid_labels(
         .groupBy("station", "ts")
         .agg(*[m.merge(m.name).alias(m.name) for m in measures])
     )
-    return grid.join(steps, ["station", "ts"], "left")
+    return join_steps(grid, steps, "left")
 
 
 # ---------------------------------------------------------------- step functions

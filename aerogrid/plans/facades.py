@@ -47,7 +47,7 @@ def feature_matrix(
     if forecasts is not None:
         columns = [c for c in FORECAST_COLUMNS if c in forecasts.columns]
         span = grid.grid_span(obs, minutes)
-        out = out.join(grid.forecast_on_grid(forecasts, columns, minutes, within=span), ["station", "ts"], "left")
+        out = grid.join_steps(out, grid.forecast_on_grid(forecasts, columns, minutes, within=span), "left")
     out = regulation_labels(out, filters.with_weather_flag(regulations), minutes)
     hour_sin, hour_cos = D.cyclical(D.hour("ts"), 24)
     month_sin, month_cos = D.cyclical(F.month("ts"), 12)

@@ -185,7 +185,7 @@ FROM grid g LEFT JOIN n ON g.station = n.station AND g.ts = n.ts AND n.rn = 1"""
 def _(spark, d):
     span = grid.grid_span(S.observations(spark, d))
     steps = grid.forecast_on_grid(S.forecasts(spark, d), facades.FORECAST_COLUMNS, within=span)
-    return grid.time_grid(S.observations(spark, d)).join(steps, ["station", "ts"], "left")
+    return grid.join_steps(grid.time_grid(S.observations(spark, d)), steps, "left")
 
 
 @query(
@@ -199,7 +199,7 @@ def _(spark, d):
     labels = intervals.grid_labels(
         grid.time_grid(obs), active_intervals(spark, d), 30, [intervals.ACTIVE], "half_open"
     ).where(F.col("active") == 1)
-    joined = grid.resample(obs).join(labels, ["station", "ts"], "inner")
+    joined = grid.join_steps(grid.resample(obs), labels, "inner")
     return joined.select("station", "ts", (rnd("temperature_c", 8) + F.lit(0.0)).alias("temperature_c"), F.lit(1).alias("y"))
 
 

@@ -53,6 +53,31 @@ def test_points_match_brute_force(spark, data, strategy, closed):
     assert {r["event_id"]: (r["n"], r["severity"], r["last"]) for r in got} == brute(points, spans, closed)
 
 
+def test_large_step_function_is_not_broadcast(spark, data, monkeypatch):
+    monkeypatch.setattr(intervals, "BROADCAST_HOURS", 10)
+    points, spans = data
+    out = intervals.label_points(spark.createDataFrame(points, POINT), spark.createDataFrame(spans, SPAN), [Measure("n", "sum", "1")], strategy="broadcast")
+    assert "BroadcastNestedLoop" not in plan(out) and "BroadcastHashJoin [station" not in plan(out)
+    assert {r["event_id"]: r["n"] for r in out.collect()} == {i: v[0] for i, v in brute(points, spans, False).items()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_are_not_broadcast(spark):
+    obs = spark.createDataFrame([("A", minute(0), 1.0), ("B", minute(3000), 2.0)], "station string, ts timestamp_ntz, visibility_m double")
+    forecast = spark.createDataFrame([("A", minute(0), minute(0), minute(90), 5.0)], "station string, issue_time timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, visibility_m double")
+    steps = grid.forecast_on_grid(forecast, ["visibility_m"])
+    spans = spark.createDataFrame([("A", 0, minute(0), minute(59), 1)], SPAN)
+    joined = grid.join_steps(grid.on_grid(obs), steps, "left")
+    labelled = intervals.grid_labels(joined, spans, 30, [ACTIVE])
+    assert "BroadcastHashJoin" not in plan(labelled)
+    got = {(r["station"], r["ts"]): (r["visibility_m"], r["visibility_m_forecast"], r["active"]) for r in labelled.collect()}
+    assert len(got) == 2 * 101
+    assert got["A", minute(30)] == (1.0, 5.0, 1) and got["A", minute(120)] == (None, None, None) and got["B", minute(3000)] == (2.0, None, None)
+
+
 def test_large_placement_and_salting(spark, data, small_blocks, monkeypatch):
     monkeypatch.setattr(intervals, "SMALL_INTERVALS", 10)
     points, spans = data
