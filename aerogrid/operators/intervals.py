@@ -197,12 +197,12 @@ def label_points(
 ) -> DataFrame:
     """Add the measures of the intervals active at each point (null where none is).
 
-    broadcast: the checked-small step function goes to every task and the points are not shuffled.
+    broadcast: the checked-small step function goes to every task and the points are not shuffled; one of more than
+               BROADCAST_HOURS rows is never sent, and its points are labelled in the sorted way, with the same rows.
     sorted:    points and segments meet in (station, hour) buckets and each point takes the last
                segment at or before it; over-full buckets are salted.
     """
     size = _interval_size(intervals)
-    asked = strategy
     if strategy == "auto":
         strategy = "broadcast" if size[0] <= SMALL_INTERVALS and size[1] <= SMALL_BUCKET else "sorted"
     names = [m.name for m in measures]
@@ -214,7 +214,7 @@ def label_points(
     spread = segments.where(known).withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("from_us") / hour), F.floor((F.col("to_us") - 1) / hour)))
     )
-    if strategy == "broadcast" and asked == "auto":  # long segments stand in every hour they cover
+    if strategy == "broadcast":  # long segments stand in every hour they cover
         hours = F.floor((F.col("to_us") - 1) / hour) - F.floor(F.col("from_us") / hour) + 1
         if (segments.where(known).agg(F.sum(hours)).first()[0] or 0) > BROADCAST_HOURS:
             strategy = "sorted"
