@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from aerogrid.operators import models
+from aerogrid.operators import forest
 from aerogrid.operators.forest import BINS, Forest, ForestModel, best_splits, grow
 from aerogrid.session import scratch_path
 
@@ -94,3 +95,22 @@ def test_odd_rows(spark):
     for odd in (table.where("false"), table.where("y = 1"), table.limit(1)):
         alike = Forest(columns=["a", "b"], labelCol="y", numTrees=3).fit(odd).transform(table.limit(2))
         assert {r.p for r in alike.select(F.col("probability").cast("string").alias("p")).collect()}
+
+
+@pytest.mark.parametrize("width", [3, 11])
+def test_equal_rows_are_moved_as_one_and_grow_the_same_tree(width):
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 3, (4000, width)).astype(np.uint8)
+    bins[:, 3:] = 0
+    y, w, row = (bins[:, 0] > rng.integers(0, 3, 4000)).astype(float), np.where(bins[:, 1] > 0, 0.5, 2.0), np.arange(4000)
+    batch = forest.pa.RecordBatch.from_arrays([forest.pa.array(row), forest._packed_rows(bins), forest.pa.array(y), forest.pa.array(w)], ["row", "bins", "y", "w"])
+    moved = [r for b in forest._moved({}, {}, range(2), width, 1)(iter([batch])) for r in b.to_pylist()]
+    assert [len(r["times"]) // 8 for r in moved] == [27, 27]
+    made = [b.to_pylist()[0] for b in forest._grown(width, 2, 4, 2, 5, 1)(forest.pa.RecordBatch.from_pylist([r]) for r in moved)]
+    for r in made:
+        alone = grow(bins, y, w, forest._times(row, r["tree"], 1), 4, 2, 5, 2, np.random.default_rng((1, r["tree"], 1)))
+        assert np.frombuffer(r["feature"], np.int16).tolist() == alone["feature"].tolist() and np.frombuffer(r["bin"], np.uint8).tolist() == alone["bin"].tolist()
+        trees = forest.Trees([alone])
+        scored = forest._Scored(trees)
+        for part in (bins[:0], bins[:100], bins[50:], bins):
+            assert (scored.of(part) == trees.score(part)).all()
