@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -23,8 +23,9 @@ from aerogrid.llm.common import packed
 from aerogrid.llm.language_id import held_out
 from aerogrid.session import settle
 
-#: At most about this many labelled documents of each class are learnt from, chosen by a hash of the id.
-TRAIN_DOCS = 12_000
+#: Labelled documents are paired in groups of about this many, by a hash; half of it of the rarer class go to every group.
+GROUP_DOCS = 24_000
+BINS = 1_000  # that one pass of a rank search counts
 PAIRS_PER_DOC = 4
 PENALTY = 1e-4
 #: Fixed by the contract: scores from here on are predicted good.
@@ -83,44 +84,67 @@ class RankingModel:
     weights: list[float]
     threshold: float
 
+    def strength(self, vector: Column) -> Column:
+        return F.aggregate(F.zip_with(vector, F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+
     def score(self, vector: Column) -> Column:
         """Chance-like score in 0..1 that reaches CUT exactly where the strength reaches the threshold."""
         shift = float(np.log(CUT / (1 - CUT)))
-        strength = F.aggregate(
-            F.zip_with(vector, F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x
-        )
-        return 1 / (1 + F.exp(-(strength - self.threshold) - shift))
+        return 1 / (1 + F.exp(-(self.strength(vector) - self.threshold) - shift))
 
 
-def _sample(labels: DataFrame, limit: int) -> DataFrame:
-    """Rows (id, label, weight): about `limit` labelled ids per class at most, each standing for `weight` ids."""
-    counts = F.broadcast(labels.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")))  # two rows
-    even = F.shiftrightunsigned(F.xxhash64(F.lit(3), "_id"), 11) / F.lit(float(1 << 53))
-    drawn = labels.join(counts, "_label").where(even * F.col("_n") < limit)
-    return drawn.select("_id", "_label", F.greatest(F.lit(1.0), F.col("_n") / limit).alias("_weight"))
+def _paired(rows: pd.DataFrame, per_doc: int) -> pd.DataFrame:
+    """Feature differences of one group, good minus bad or the reverse with label 0; both classes take turns to be paired."""
+    ordered = rows.sort_values(["_hash", "_id", "_h1"])
+    good, bad = (ordered[ordered["_label"] == label] for label in (1, 0))
+    xg, xb = (np.array(part["_x"].tolist()).reshape(-1, len(FEATURES)) for part in (good, bad))
+    most = max(len(xg), len(xb)) if len(xg) and len(xb) else 0
+    turn = np.arange(most * per_doc)
+    label, diff = [turn % 2], [xg[turn % max(1, len(xg))] - xb[(turn + turn // max(1, most)) % max(1, len(xb))]] if most else [xg[:0]]
+    own = np.flatnonzero(good["_own"].to_numpy())
+    label.append(own % 2)
+    diff.append(xg[own] - np.array(EMPTY))
+    label, diff = np.concatenate(label), np.concatenate(diff)
+    return pd.DataFrame({"label": label.astype(float), "x": list(diff * np.where(label == 1, 1.0, -1.0)[:, None])})
 
 
-def _pairs(sample: DataFrame, per_doc: int) -> DataFrame:
-    """Feature differences, good minus bad or the reverse with label 0; both classes take turns to be paired.
+def _pairs(taught: DataFrame, sizes: dict[int, int], per_doc: int) -> DataFrame:
+    """Preference pairs of all labelled documents: each meets `per_doc` or more of the other class in its group.
 
-    Each good document is preferred to a text without words as well, which labels seldom have.
+    Each good document is preferred to a text without words as well, which labels seldom have.  A class too rare for all
+    groups to have some of it goes to every group.
     """
-    # the sample is bounded by its parameter, so its classes are numbered in one task each
-    numbered = sample.withColumn("_i", F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id")) - 1)
-    good = numbered.where("_label = 1").select(F.col("_i").alias("_g"), F.col("_x").alias("_xg"))
-    bad = numbered.where("_label = 0").select(F.col("_i").alias("_b"), F.col("_x").alias("_xb"))
-    n_good, n_bad = good.count(), bad.count()
-    most = max(n_good, n_bad)
-    turns = sample.sparkSession.range(most * per_doc).select(
-        (F.col("id") % n_good).cast("int").alias("_g"),
-        ((F.col("id") + F.floor(F.col("id") / most)) % n_bad).cast("int").alias("_b"),
-        (F.col("id") % 2).cast("double").alias("label"),
-    )
-    both = turns.join(F.broadcast(good), "_g").join(F.broadcast(bad), "_b").select("label", "_xg", "_xb")
-    blank = good.select((F.col("_g") % 2).cast("double").alias("label"), "_xg", F.array(*map(F.lit, EMPTY)).alias("_xb"))
-    both = both.unionByName(blank)
-    sign = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
-    return both.select("label", array_to_vector(F.zip_with("_xg", "_xb", lambda g, b: (g - b) * sign)).alias("features"))
+    groups = -(-sum(sizes.values()) // GROUP_DOCS)
+    own = F.pmod("_h2", F.lit(groups)).cast("int")
+    rare = [label for label, n in sizes.items() if n <= GROUP_DOCS // 2]
+    everywhere = F.when(F.col("_label").isin(rare), F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array(own))
+    spread = taught.withColumn("_group", F.explode(everywhere)).withColumn("_own", F.col("_group") == own)
+
+    def paired(rows: pd.DataFrame) -> pd.DataFrame:
+        return _paired(rows, per_doc)
+
+    pairs = spread.select("_group", "_label", "_hash", "_id", "_h1", "_x", "_own").groupBy("_group").applyInPandas(paired, "label double, x array<double>")
+    return pairs.select("label", array_to_vector("x").alias("features"))
+
+
+def _at_rank(values: DataFrame, rank: int) -> float:
+    """The value of column `_s` at a rank from 0 on; each pass brings the counts of at most BINS + 1 ranges to the driver."""
+    low, high = values.agg(F.min("_s"), F.max("_s")).first()
+    while low < high:
+        inside = values.where(F.col("_s").between(low, high))
+        place = F.floor((F.col("_s") - low) / F.lit(high - low) * BINS).cast("int")
+        for r in inside.groupBy(place.alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("low"), F.max("_s").alias("high")).orderBy("_p").collect():
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high = r["low"], r["high"]
+    return float(low)
+
+
+def _rank_threshold(values: DataFrame, n: int, level: float) -> float:
+    """`_threshold` of rows of weight 1, from the rows in `values` as they are distributed."""
+    k = max(1, min(n, int(np.ceil((level - 1e-9) * n))))
+    return (_at_rank(values, k - 1) + _at_rank(values, min(k, n - 1))) / 2
 
 
 def _threshold(strengths: np.ndarray, good: np.ndarray, weight: np.ndarray, level: float | None) -> float:
@@ -142,29 +166,27 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    limit: int = TRAIN_DOCS,
     quantile: float | None = None,
 ) -> RankingModel:
-    """Weights from preference pairs of labelled documents, and the threshold at a score quantile.
+    """Weights from preference pairs of all labelled documents, and the threshold at a quantile of all their scores.
 
-    The level of the quantile is by default the weighted share of label 0 in the sample.  Labels other than 0 and 1 and ids without a
+    The level of the quantile is by default the share of label 0.  Labels other than 0 and 1 and ids without a
     document teach nothing; rows that repeat an id and its text teach once; without documents of both classes every text has the
     same score, CUT.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1) AND _id IS NOT NULL").distinct()
-    drawn = F.broadcast(_sample(known, limit))  # bounded by `limit`
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(drawn, "_id")
-    hashed = rows.select("*", F.xxhash64("_id", "_text").alias("_h1"), F.xxhash64(F.lit(11), "_text", "_id").alias("_h2"))
-    once = hashed.groupBy("_h1", "_h2", "_label").agg(F.first("_id").alias("_id"), F.first("_weight").alias("_weight"), F.first("_text").alias("_text"))
-    sample = settle(once.select("_id", "_label", "_weight", F.xxhash64(F.lit(5), "_id").alias("_hash"), features("_text").alias("_x")))
-    if sample.select("_label").distinct().count() < 2:
+    key = F.col(id_col)  # texts stay where they are, only their features move
+    vectors = docs.select(key.alias("_id"), F.xxhash64(key, text_col).alias("_h1"), F.xxhash64(F.lit(11), text_col, key).alias("_h2"), features(text_col).alias("_x"))
+    once = vectors.join(known, "_id").groupBy("_h1", "_h2", "_label").agg(F.first("_id").alias("_id"), F.first("_x").alias("_x"))
+    taught = settle(once.select("_id", "_label", "_h1", "_h2", F.xxhash64(F.lit(5), "_id").alias("_hash"), "_x"))
+    sizes = {r["_label"]: r["n"] for r in taught.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(sizes) < 2:
         return RankingModel([0.0] * len(FEATURES), 0.0)
     fitter = LogisticRegression(fitIntercept=False, regParam=PENALTY, maxIter=100, tol=1e-7)
-    weights = fitter.fit(settle(_pairs(sample, PAIRS_PER_DOC))).coefficients.toArray()
-    drawn_rows = sample.select("_x", "_label", "_weight").toPandas()  # bounded by `limit`
-    strengths = np.array(drawn_rows["_x"].tolist()) @ weights
-    cut = _threshold(strengths, drawn_rows["_label"].to_numpy() == 1, drawn_rows["_weight"].to_numpy(), quantile)
-    return RankingModel([float(w) for w in weights], cut)
+    weights = [float(w) for w in fitter.fit(settle(_pairs(taught, sizes, PAIRS_PER_DOC))).coefficients.toArray()]
+    strengths = settle(taught.select(RankingModel(weights, 0.0).strength(F.col("_x")).alias("_s")))
+    n = sum(sizes.values())
+    return RankingModel(weights, _rank_threshold(strengths, n, sizes[0] / n if quantile is None else quantile))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

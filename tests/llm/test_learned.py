@@ -53,6 +53,27 @@ def test_threshold_is_a_quantile():
     assert quality._threshold(s, good, np.array([1.0, 1, 1, 1]), None) == quality._threshold(s, good[::-1], w, None)  # the share decides
 
 
+def test_rank_threshold_is_that_of_the_whole_table(spark):
+    rng = np.random.default_rng(1)
+    for s in (rng.normal(size=3_000), np.repeat([1.0, 2.0, 5.0], 700), np.array([3.0])):
+        values = spark.createDataFrame([(float(x),) for x in s], "_s double").repartition(3)
+        for level in (0.0, 0.3, 1 / 3, 1.0):
+            assert quality._rank_threshold(values, len(s), level) == quality._threshold(s, s > 0, np.ones(len(s)), level)
+
+
+def test_every_labelled_document_teaches_in_any_number_of_groups(spark, monkeypatch):
+    rows = [(i, int(i % 10 > 0), i * 7, i * 13, i, [float(i)] * len(quality.FEATURES)) for i in range(400)]
+    taught = spark.createDataFrame(rows, "_id long, _label int, _h1 long, _h2 long, _hash long, _x array<double>")
+    for group in (1_000, 100, 60):
+        monkeypatch.setattr(quality, "GROUP_DOCS", group)
+        pairs = [(r.label, r.features[0]) for r in quality._pairs(taught, {0: 40, 1: 360}, 4).collect()]
+        signed = [x if label else -x for label, x in pairs]  # the good document's value less that of the other
+        assert len(pairs) >= 4 * 360 + 360
+        good = {i for i in range(400) if i % 10}
+        assert all(any(float(g) == x for x in signed) for g in good)  # against the empty text, whose value is 0
+        assert sum(float(int(x)) != x for x in signed) == 0
+
+
 def test_every_quality_score_comes_from_the_weights(spark, sf_dir, odd):
     """Each score again in plain numpy, from the learnt weights and the features of the whole text."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
