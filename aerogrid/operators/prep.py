@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +102,25 @@ def one_hot(
 def one_hot_vector(df: DataFrame, column: str, out: str, drop_first: bool = False) -> DataFrame:
     """The indicators of `one_hot` as one sparse vector, for any number of values; missing values have none set."""
     indexer = StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
-    indexed = indexer.transform(df)
-    sparse = OneHotEncoder(inputCol="_index", outputCol="_all", dropLast=False, handleInvalid="keep").fit(indexed).transform(indexed)
     n = len(indexer.labels)
-    known = VectorSlicer(inputCol="_all", outputCol=out, indices=list(range(1 if drop_first else 0, n)))
-    return known.transform(sparse).drop("_index", "_all")
+    place = F.col("_index")
+    if drop_first:  # the first value goes with the missing ones, to the end
+        n = max(n - 1, 0)
+        place = F.when(place.isin(0.0, n + 1.0), float(n)).otherwise(place - 1.0)
+    sizes = {"ml_attr": {"type": "nominal", "name": "_place", "num_vals": n + 1}}
+    placed = indexer.transform(df).withColumn("_place", place).drop("_index").withMetadata("_place", sizes)
+    # the last place is that of the missing values, which the encoder drops, so nothing is done per value and row
+    return OneHotEncoder(inputCol="_place", outputCol=out, dropLast=True).fit(placed).transform(placed).drop("_place")
+
+
+def vector_place(vector: str) -> Column:
+    """(place, size) of a one-hot vector, from its sparse form: the place that is set, -1 if none is."""
+
+    @F.udf("place long, size long")
+    def place(v):
+        return (int(v.indices[0]) if len(v.indices) else -1, v.size)
+
+    return place(vector)
 
 
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0) -> DataFrame:

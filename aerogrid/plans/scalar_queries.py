@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aerogrid.functions import text as T
@@ -610,9 +609,7 @@ def _(spark, d):
 def _(spark, d):
     """One sparse vector for all stations: the place that is set, and the size."""
     out = prep.one_hot_vector(S.observations(spark, d).select("event_id", "station"), "station", "v")
-    v = F.col("v")
-    places = vector_to_array(v)
-    return out.select("event_id", (F.array_position(places, 1.0) - 1).alias("place"), F.size(places).cast("long").alias("size"))
+    return out.select("event_id", prep.vector_place("v").alias("v")).select("event_id", "v.place", "v.size")
 
 
 @query(

@@ -233,6 +233,19 @@ def test_many_categories(spark):
     assert abs(got["c7"] - (2 + 10 * 0.5) / 12) < 1e-12 and abs(got[None] - 0.5) < 1e-12
 
 
+def test_vectors_of_many_categories_stay_sparse(spark):
+    """Places and size come from the sparse form: 5,000 rows of 5,000 categories never become 25 million numbers."""
+    rows = spark.range(5_000).selectExpr("id", "concat('c', lpad(id, 5, '0')) AS station").unionByName(spark.createDataFrame([(-1, None)], "id long, station string"))
+    for drop, size in ((False, 5_000), (True, 4_999)):
+        got = prep.one_hot_vector(rows, "station", "v", drop_first=drop).select("id", prep.vector_place("v").alias("v")).select("id", "v.place", "v.size")
+        wrong = got.where((F.col("size") != size) | (F.col("place") != F.greatest(F.col("id") - int(drop), F.lit(-1))))
+        assert wrong.count() == 0 and got.count() == 5_001
+    few = spark.createDataFrame([("b",), ("a",), (None,)], "station string")
+    for table, drop, sizes in ((few, False, [(0, 2), (1, 2), (-1, 2)]), (few, True, [(-1, 1), (0, 1), (-1, 1)]), (few.where("station = 'a'"), False, [(0, 1)])):
+        placed = prep.one_hot_vector(table, "station", "v", drop_first=drop).select("station", prep.vector_place("v").alias("v"))
+        assert [tuple(r["v"]) for r in placed.orderBy(F.asc_nulls_last("station")).collect()] == sizes
+
+
 def test_a_million_categories_are_joined(spark, monkeypatch):
     """Beyond the broadcast limit the table is joined by a shuffle, and nothing of it is in the stage."""
     from aerogrid.operators import joins
