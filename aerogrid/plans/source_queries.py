@@ -22,6 +22,18 @@ MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _AWAY = "(sign({c}) * floor(abs({c}) + 0.5))"
 
 
+GROUPS = 16  # folders that a task writes a file to, for any number of stations
+NO_STATION = "__HIVE_DEFAULT_PARTITION__"  # the folder that rows without a station go to in a layout by station
+
+
+def _in_groups(rows, root):
+    """Report files in a few folders by station; the rows name their station, as thousands of stations make too many folders."""
+    station = F.coalesce(F.nullif("station", F.lit("")), F.lit(NO_STATION))
+    others = [c for c in rows.columns if c != "station"]
+    grouped = rows.select(station.alias("station"), *others, F.pmod(F.xxhash64("station"), F.lit(GROUPS)).alias("group"))
+    grouped.write.partitionBy("group").option("header", True).option("timestampNTZFormat", MICROS).csv(root)
+
+
 @query(
     "read_observation_files",
     "S-01 S-02 T-06 U-01",
@@ -32,8 +44,8 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00
 def _(spark, d):
     root = scratch_path(spark, "observations")
     rows = S.raw_reports(spark, d).select("station", F.col("ts").alias("datetime"), "report")
-    rows.write.partitionBy("station").option("header", True).option("timestampNTZFormat", MICROS).csv(root)
-    read = files.read_observations(spark, root, None, "2024-01-05", "2024-01-15", "ISO-8859-1", layout="station={station}")
+    _in_groups(rows, root)
+    read = files.read_observations(spark, root, None, "2024-01-05", "2024-01-15", "ISO-8859-1", layout="group=*")
     return read.select(
         "station", "ts", "wind_speed_kt", "visibility_m", (F.col("temperature_c") + F.lit(0.0)).alias("temperature_c")
     )
@@ -87,8 +99,8 @@ FROM forecast WHERE valid_from BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMES
 def _(spark, d):
     root = scratch_path(spark, "forecasts")
     rows = S.raw_forecast_reports(spark, d).select("station", "issue_time", "valid_from", "valid_to", "report")
-    rows.write.partitionBy("station").option("header", True).option("timestampNTZFormat", MICROS).csv(root)
-    read = files.read_forecasts(spark, root, None, "2024-01-05", "2024-01-15", layout="station={station}")
+    _in_groups(rows, root)
+    read = files.read_forecasts(spark, root, None, "2024-01-05", "2024-01-15", layout="group=*")
     return read.select(
         "station", "issue_time", "valid_from", "valid_to", "wind_speed_kt", "wind_direction", "visibility_m", "ceiling_ft"
     )

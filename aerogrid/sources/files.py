@@ -118,9 +118,8 @@ def _read_reports(spark: SparkSession, paths, schema: str, encoding: str, start,
         .csv(paths)
     )
     path = F.col("_metadata.file_path")
-    df = df.select(
-        "*", _station_of(path).alias("station"), F.col("_metadata.file_name").alias("source_file"), path.alias("_path")
-    )
+    folder = [] if "station" in df.columns else [_station_of(path).alias("station")]
+    df = df.select("*", *folder, F.col("_metadata.file_name").alias("source_file"), path.alias("_path"))
     if by_name:
         df = df.where(in_name_range("_path", start, end))
     return df.drop("_path")
@@ -174,6 +173,14 @@ def _folders(root: str, stations: Sequence[str] | None, layout: str) -> list[str
     return [f"{root}/{layout.format(station=s)}" for s in stations] if stations is not None else [f"{root}/{layout.format(station='*')}"]
 
 
+def _read_stations(spark: SparkSession, root: str, stations: Sequence[str] | None, layout: str, schema: str, encoding: str, start, end, by_name: bool) -> DataFrame:
+    """Rows of the given stations (None: all) by the station of their folder or, in a layout that names none, by their first column `station`."""
+    if "{station}" in layout:
+        return _read_reports(spark, _folders(root, stations, layout), schema, encoding, start, end, by_name)
+    rows = _read_reports(spark, f"{root}/{layout}", f"station STRING, {schema}", encoding, start, end, by_name)
+    return rows if stations is None else rows.where(F.col("station").isin(list(stations)))
+
+
 def read_observations(
     spark: SparkSession,
     root: str,
@@ -186,16 +193,16 @@ def read_observations(
 ) -> DataFrame:
     """Decoded observations of several stations (None: all) from <root>/<station folder>/*.csv in the closed date range.
 
-    `layout` gives the station folder (`station={station}` for a partitioned layout); `by_name` also prunes
-    files by the date in their name.  `encoding` "auto" reads each file as UTF-8 or, if its bytes are not, as
+    `layout` gives the station folder (`station={station}` for a partitioned layout), or for files of many stations,
+    which name them in a first column, their folders (`group=*`): a folder per station does not go on for thousands of
+    stations.  `by_name` also prunes files by the date in their name.  `encoding` "auto", of station folders only, reads each file as UTF-8 or, if its bytes are not, as
     ISO-8859-1; any other name holds for all files.  Rows that do not fit are in `malformed_rows`.
     """
-    paths = _folders(root, stations, layout)
     if encoding == "auto":
-        rows = _read_lines(spark, paths, OBSERVATION_SCHEMA, FALLBACK)
+        rows = _read_lines(spark, _folders(root, stations, layout), OBSERVATION_SCHEMA, FALLBACK)
         rows = (rows.where(in_name_range("_path", start, end)) if by_name else rows).drop("_path")
     else:
-        rows = _read_reports(spark, paths, OBSERVATION_SCHEMA, encoding, start, end, by_name)
+        rows = _read_stations(spark, root, stations, layout, OBSERVATION_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows.withColumnRenamed("datetime", "ts"), "ts", start, end)
     return rows.select(
         "station", "ts", "source_file", "report", *T.decode_report("report"), *T.phenomenon_flags("report")
@@ -212,9 +219,8 @@ def read_forecasts(
     by_name: bool = False,
     layout: str = "{station}",
 ) -> DataFrame:
-    """Forecast periods of several stations (None: all), filtered on the start of validity."""
-    paths = _folders(root, stations, layout)
-    rows = _read_reports(spark, paths, FORECAST_SCHEMA, encoding, start, end, by_name)
+    """Forecast periods of several stations (None: all), filtered on the start of validity; `layout` as for observations."""
+    rows = _read_stations(spark, root, stations, layout, FORECAST_SCHEMA, encoding, start, end, by_name)
     rows = filter_dates(rows, "valid_from", start, end)
     return rows.select("station", "issue_time", "valid_from", "valid_to", "source_file", *T.decode_report("report"))
 
