@@ -55,26 +55,42 @@ def grid_span(obs: DataFrame, minutes: int = 30) -> tuple | None:
 def time_grid(obs: DataFrame, minutes: int = 30) -> DataFrame:
     """Every station at every step between the common bounds."""
     step = F.expr(f"INTERVAL {minutes} MINUTES")
-    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few stations make many steps, so they are dealt out first
-    return station_bounds(obs, minutes).repartition(parts, "station").select("station", F.explode(F.sequence("lo", "hi", step)).alias("ts"))
+    return by_station(station_bounds(obs, minutes)).select("station", F.explode(F.sequence("lo", "hi", step)).alias("ts"))
 
 
-def join_steps(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join two tables of steps by station and time, sorted: plans take the size of exploded steps for that of their source and would broadcast them."""
+def by_station(df: DataFrame) -> DataFrame:
+    """Rows dealt by station, as the grid's are: a few stations make many steps."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "station")
+
+
+def join_steps(left: DataFrame, right: DataFrame, how: str, strategy: str = "blocked") -> DataFrame:
+    """Join two tables of steps by station and time, sorted: plans take the size of exploded steps for that of their source and would broadcast them.
+
+    With ``plain``, for series that a task can hold, the steps of `right` are sent to where the grid, dealt by station, has them, so that
+    the grid, which has many more rows, is never shuffled.
+    """
+    if strategy == "plain":
+        left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # else both sides are dealt once more by both keys
+        right = by_station(right)
     return left.join(right.hint("merge"), ["station", "ts"], how)
 
 
 def series_strategy(obs: DataFrame, minutes: int = 30) -> str:
     """How windows over the grid's series are run: all series have the same length, which follows from the span, so none is counted."""
-    span = grid_span(obs, minutes)
+    return strategy_within(obs, grid_span(obs, minutes), minutes)
+
+
+def strategy_within(df: DataFrame, span: tuple | None, minutes: int = 30) -> str:
+    """The strategy for series of all steps within the span."""
     steps = 0 if span is None else (span[1] - span[0]) // timedelta(minutes=minutes) + 1
-    return "plain" if steps <= max_group_rows(obs) else "blocked"
+    return "plain" if steps <= max_group_rows(df) else "blocked"
 
 
 def on_grid(obs: DataFrame, minutes: int = 30, fill_minutes: int | None = 60) -> DataFrame:
     """Grid rows with the resampled values, filled forward for at most `fill_minutes`."""
-    joined = join_steps(time_grid(obs, minutes), resample(obs, minutes), "left")
-    return joined if fill_minutes is None else forward_fill(joined, fill_minutes // minutes, strategy=series_strategy(obs, minutes))
+    strategy = series_strategy(obs, minutes)
+    joined = join_steps(time_grid(obs, minutes), resample(obs, minutes), "left", strategy)
+    return joined if fill_minutes is None else forward_fill(joined, fill_minutes // minutes, strategy=strategy)
 
 
 def value_columns(df: DataFrame, keys: Sequence[str] = ("station", "ts")) -> list[str]:

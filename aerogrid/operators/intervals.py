@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.functions.num import flag
 from aerogrid.functions.timefeat import ceil_time, epoch_us, floor_time
-from aerogrid.operators.grid import join_steps
+from aerogrid.operators.grid import join_steps, strategy_within
 from aerogrid.operators.ordering import largest_group, max_group_rows, positions
 
 SMALL_INTERVALS = 50_000  # intervals whose step function may be broadcast
@@ -46,9 +46,12 @@ ACTIVE = Measure("active", "max", "1")
 
 
 def grid_labels(
-    grid: DataFrame, intervals: DataFrame, minutes: int, measures: Sequence[Measure], bounds: str = "closed"
+    grid: DataFrame, intervals: DataFrame, minutes: int, measures: Sequence[Measure], bounds: str = "closed", within: tuple | None = None
 ) -> DataFrame:
-    """Label grid steps.  bounds: closed [start,end], half_open [start,end), overlap (starts inside or active)."""
+    """Label grid steps.  bounds: closed [start,end], half_open [start,end), overlap (starts inside or active).
+
+    `within` gives the first and last time of the grid, which is made once more to find them otherwise.
+    """
     step = F.expr(f"INTERVAL {minutes} MINUTES")
     micro = F.expr("INTERVAL 1 MICROSECOND")
     start, end = F.col("start_time"), F.col("end_time")
@@ -61,7 +64,7 @@ def grid_labels(
         hi = F.greatest(lo, floor_time(end - micro, minutes))
     else:
         raise ValueError(f"unknown bounds {bounds}")
-    first, last = grid.agg(F.min("ts"), F.max("ts")).first()  # steps outside the grid label nothing
+    first, last = within or grid.agg(F.min("ts"), F.max("ts")).first()  # steps outside the grid label nothing
     lo, hi = F.greatest(lo, F.lit(first)), F.least(hi, F.lit(last))
     covered = intervals.select("station", lo.alias("_lo"), hi.alias("_hi"), *[F.expr(m.value).alias(m.name) for m in measures])
     steps = (
@@ -70,7 +73,7 @@ def grid_labels(
         .groupBy("station", "ts")
         .agg(*[m.merge(m.name).alias(m.name) for m in measures])
     )
-    return join_steps(grid, steps, "left")
+    return join_steps(grid, steps, "left", strategy_within(grid, None if first is None else (first, last), minutes))
 
 
 # ---------------------------------------------------------------- step functions

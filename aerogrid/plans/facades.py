@@ -19,15 +19,15 @@ from aerogrid.session import settle
 FORECAST_COLUMNS = ["wind_speed_kt", "wind_direction", "visibility_m", "ceiling_ft"]
 
 
-def regulation_labels(steps: DataFrame, regulations: DataFrame, minutes: int) -> DataFrame:
-    """Grid steps with has_regulation, has_weather_regulation and regulation_severity (closed bounds)."""
+def regulation_labels(steps: DataFrame, regulations: DataFrame, minutes: int, within: tuple | None = None) -> DataFrame:
+    """Grid steps, all `within` a span if it is given, with has_regulation, has_weather_regulation and regulation_severity (closed bounds)."""
     measures = [
         intervals.ACTIVE,
         intervals.Measure("weather", "max", "CAST(is_weather_related AS INT)"),
     ]
     if "severity" in regulations.columns:
         measures.append(intervals.Measure("severity", "max", "severity"))
-    out = intervals.grid_labels(steps, regulations, minutes, measures, "closed")
+    out = intervals.grid_labels(steps, regulations, minutes, measures, "closed", within)
     severity = F.coalesce("severity", F.lit(0)) if "severity" in out.columns else F.lit(0)
     return out.select(
         *steps.columns,
@@ -44,11 +44,12 @@ def feature_matrix(
     if start is not None and end is not None:
         obs = filters.filter_dates(obs, "ts", start, end)
     out = on_steps = grid.on_grid(obs, minutes)
+    span = grid.grid_span(obs, minutes)
+    strategy = grid.strategy_within(obs, span, minutes)
     if forecasts is not None:
         columns = [c for c in FORECAST_COLUMNS if c in forecasts.columns]
-        span = grid.grid_span(obs, minutes)
-        out = grid.join_steps(out, grid.forecast_on_grid(forecasts, columns, minutes, within=span), "left")
-    out = regulation_labels(out, filters.with_weather_flag(regulations), minutes)
+        out = grid.join_steps(out, grid.forecast_on_grid(forecasts, columns, minutes, within=span), "left", strategy)
+    out = regulation_labels(out, filters.with_weather_flag(regulations), minutes, span)
     hour_sin, hour_cos = D.cyclical(D.hour("ts"), 24)
     month_sin, month_cos = D.cyclical(F.month("ts"), 12)
     out = out.select(
@@ -70,7 +71,7 @@ def feature_matrix(
         ),
     )
     levels = on_steps.select(M.visibility_category("visibility_m").alias("vis_category"), M.ceiling_category("ceiling_ft").alias("ceiling_category"))
-    return handle_missing(out, _modes(levels), strategy=grid.series_strategy(obs, minutes))
+    return handle_missing(out, _modes(levels), strategy=strategy)
 
 
 def _modes(levels: DataFrame) -> dict[str, str]:

@@ -185,7 +185,7 @@ FROM grid g LEFT JOIN n ON g.station = n.station AND g.ts = n.ts AND n.rn = 1"""
 def _(spark, d):
     span = grid.grid_span(S.observations(spark, d))
     steps = grid.forecast_on_grid(S.forecasts(spark, d), facades.FORECAST_COLUMNS, within=span)
-    return grid.join_steps(grid.time_grid(S.observations(spark, d)), steps, "left")
+    return grid.join_steps(grid.time_grid(S.observations(spark, d)), steps, "left", grid.strategy_within(steps, span))
 
 
 @query(
@@ -347,7 +347,7 @@ def _(spark, d):
     obs = S.observations(spark, d).select("station", "ts", "visibility_m", "ceiling_ft")
     steps = grid.on_grid(obs)
     usable = filters.usable_intervals(S.intervals(spark, d))
-    labels = intervals.grid_labels(steps, usable, 30, [intervals.ACTIVE], "half_open")
+    labels = intervals.grid_labels(steps, usable, 30, [intervals.ACTIVE], "half_open", grid.grid_span(obs))
     return (
         labels.select(
             "station",

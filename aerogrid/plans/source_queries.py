@@ -14,7 +14,7 @@ from aerogrid.operators import ordering, results
 from aerogrid.plans import facades, join_queries
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
-from aerogrid.session import scratch_path, settle
+from aerogrid.session import scratch_path, settle_by_column
 from aerogrid.sources import files, storage
 from aerogrid.sources import standins as S
 
@@ -380,7 +380,7 @@ _TWICE = "CAST(ts AS DATE) >= DATE '2024-01-20'"
 def _(spark, d):
     """Report files to a stored matrix: a first run over all days, a second that replaces the later ones, then retention."""
     root = scratch_path(spark, "matrix")
-    made = settle(join_queries.feature_matrix(spark, d).select("station", "ts", *_KEPT))
+    made = settle_by_column(join_queries.feature_matrix(spark, d).select("station", "ts", *_KEPT))
     storage.store_days(made, root)
     storage.store_days(made.where(F.expr(_TWICE)).withColumn("has_regulation", F.col("has_regulation") + 10), root)
     storage.retain_days(spark, root, "2024-01-31", 21)

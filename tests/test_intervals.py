@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aerogrid.operators import grid, intervals
 from aerogrid.operators.intervals import ACTIVE, Measure
-from tests.helpers import at
+from tests.helpers import at, rows_of
 
 POINT = "station string, event_id long, ts timestamp_ntz"
 SPAN = "station string, ordinal long, start_time timestamp_ntz, end_time timestamp_ntz, severity int"
@@ -206,3 +206,21 @@ def test_long_segments_are_not_broadcast(spark, monkeypatch):
     labelled = intervals.label_points(points, spans, [ACTIVE])
     assert "BroadcastHashJoin" not in labelled._jdf.queryExecution().executedPlan().toString().split("Window")[0]
     assert labelled.where("active = 1").count() == sum(1 for i in range(400) if i * 7 >= 60)
+
+
+def test_the_grid_is_dealt_once(spark):
+    """Labels and observations come to the steps of a station; no exploded step is shuffled, and the rows are those of the other way."""
+    obs = spark.createDataFrame([(f"S{i % 7}", at(f"2024-01-0{1 + i % 3} 0{i % 9}:10:00"), float(i)) for i in range(60)], "station string, ts timestamp_ntz, visibility_m double")
+    spans = spark.createDataFrame([(f"S{i}", at(f"2024-01-02 0{i}:00:00"), at(f"2024-01-02 0{i + 2}:30:00")) for i in range(5)], "station string, start_time timestamp_ntz, end_time timestamp_ntz")
+    found = []
+    for limit in ("1000", "10"):
+        spark.conf.set("spark.aerogrid.maxGroupRows", limit)
+        try:
+            labels = intervals.grid_labels(grid.on_grid(obs), spans, 30, [ACTIVE], "half_open", grid.grid_span(obs))
+            found.append(rows_of(labels))
+            plan = labels.groupBy("station", "active").count()._jdf.queryExecution().executedPlan().toString()
+            top = plan.split("SortMergeJoin")[0]
+            assert ("Exchange" in top) == (limit == "10"), plan
+        finally:
+            spark.conf.unset("spark.aerogrid.maxGroupRows")
+    assert found[0] == found[1] and len(found[0][1]) > 500
