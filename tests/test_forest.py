@@ -114,3 +114,11 @@ def test_equal_rows_are_moved_as_one_and_grow_the_same_tree(width):
         scored = forest._Scored(trees)
         for part in (bins[:0], bins[:100], bins[50:], bins):
             assert (scored.of(part) == trees.score(part)).all()
+
+
+def test_many_rows_of_few_ranges_grow_whole_trees(spark, monkeypatch):
+    """What a task holds are distinct rows of ranges: without more of them than `smallRows`, no pass over the rows adds up histograms."""
+    table = spark.range(0, 2000, 1, 3).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id % 3 = 0 OR id % 5 > 2 AS INT) AS y")
+    monkeypatch.setattr(forest, "_histograms", None)
+    cut, whole = (Forest(columns=["a", "b"], labelCol="y", numTrees=5, maxDepth=6, smallRows=n).fit(table) for n in (100, 200_000))
+    assert all((cut.trees.parts[k] == whole.trees.parts[k]).all() for k in forest.Trees.NAMES) and (cut.trees.first == whole.trees.first).all()
