@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
@@ -29,6 +30,17 @@ BUFFER_ROWS = 500_000  # that a task deals out at once
 SCORED = 500_000  # rows of bins whose scores a task keeps
 HISTOGRAMS = 20_000  # nodes whose histograms one pass over the rows adds up
 POISSON = np.cumsum(np.exp(-1.0) / np.array([1.0, 1, 2, 6, 24, 120, 720, 5040, 40320]))
+CHUNK = 1 << 15  # rows whose draws stay in a core's cache
+
+
+def _least_above(share: float) -> int:
+    """The smallest of 64 bits that, as a share of 2 ** 64, exceeds `share`."""
+    x = share * 2.0**64
+    middle = int(x) + int(np.spacing(x)) // 2
+    return middle if float(middle) > x else middle + 1
+
+
+DRAWS = np.array([_least_above(x) for x in POISSON], np.uint64)
 
 
 def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
@@ -40,8 +52,13 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _times(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """How often a tree sees each row."""
-    return np.searchsorted(POISSON, _mixed(rows, seed * 100_003 + tree) / 2.0**64).astype(np.int64)
+    """How often a tree sees each row: the number of `POISSON` below the row's hash as a share."""
+    out = np.zeros(len(rows), np.uint8)
+    for at in range(0, len(rows), CHUNK):
+        part, h = out[at : at + CHUNK], _mixed(rows[at : at + CHUNK], seed * 100_003 + tree)
+        for least in DRAWS:
+            part += h >= least
+    return out
 
 
 def _choice(tree: int, node: int, seed: int, features: int, tried: int) -> np.ndarray:
@@ -238,11 +255,21 @@ def _walk(bins: np.ndarray, splits: tuple[np.ndarray, np.ndarray, np.ndarray] |
     return node
 
 
-def _seen(row: np.ndarray, cell: np.ndarray, cells: int, y: np.ndarray, w: np.ndarray, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(times, weight, positive weight) of each cell in a tree."""
-    times = _times(row, tree, seed)
-    weight = w * times
-    return tuple(np.bincount(cell, x, cells) for x in (times, weight, weight * y))
+class _Kinds:
+    """Rows sorted by cell, label and weight, so that a tree's draws are added up before they are weighed."""
+
+    def __init__(self, row: np.ndarray, cell: np.ndarray, cells: int, y: np.ndarray, w: np.ndarray):
+        order = np.lexsort((w, y, cell))
+        cell, y, w = cell[order], y[order], w[order]
+        self.first = np.flatnonzero(np.append(True, (np.diff(cell) != 0) | (y[1:] != y[:-1]) | (w[1:] != w[:-1])))
+        self.row, self.cells = row[order], cells
+        self.cell, self.y, self.w = cell[self.first], y[self.first], w[self.first]
+
+    def seen(self, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(times, weight, positive weight) of each cell in a tree."""
+        times = np.add.reduceat(_times(self.row, tree, seed), self.first, dtype=np.int64)
+        weight = self.w * times
+        return tuple(np.bincount(self.cell, x, self.cells) for x in (times, weight, weight * self.y))
 
 
 def _histograms(splits: Splits, open_: dict[int, np.ndarray], features: int, tried: int, seed: int):
@@ -253,8 +280,9 @@ def _histograms(splits: Splits, open_: dict[int, np.ndarray], features: int, tri
         sums: dict[int, np.ndarray] = {}
         for row, rows, y, w in _buffers(batches, features):
             bins, cell = _alike(rows)
+            kinds = _Kinds(row, cell, len(bins), y, w)
             for tree, nodes in open_.items():
-                times, weight, positive = _seen(row, cell, len(bins), y, w, tree, seed)
+                times, weight, positive = kinds.seen(tree, seed)
                 node = _walk(bins, splits.get(tree))
                 at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
                 here = np.flatnonzero((nodes[at] == node) & (times > 0))
@@ -314,8 +342,9 @@ def _moved(splits: Splits, leaves: dict[int, np.ndarray], trees: range, features
         for row, rows, y, w in _buffers(batches, features):
             y, w = (x.astype(np.float32).astype(np.float64) for x in (y, w))
             bins, cell = _alike(rows)
+            rows_of = _Kinds(row, cell, len(bins), y, w)
             for tree in trees:
-                times, weight, positive = _seen(row, cell, len(bins), y, w, tree, seed)
+                times, weight, positive = rows_of.seen(tree, seed)
                 node = _walk(bins, splits.get(tree))
                 here = np.flatnonzero((times > 0) & ~np.isin(node, leaves.get(tree, np.zeros(0, np.int64))))
                 here = here[np.argsort(node[here], kind="stable")]
@@ -428,9 +457,18 @@ class Forest(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**{k: list(v) if k == "columns" else v for k, v in self._input_kwargs.items()})
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
-        names = self.getOrDefault(self.columns)
-        s = {"trees": self.numTrees, "depth": self.maxDepth, "least": self.minInstancesPerNode, "split": self.minInstancesSplit, "small": self.smallRows, "seed": self.seed}
-        s = {k: self.getOrDefault(v) for k, v in s.items()}
+        return self._grow(dataset, *self._rows(dataset))
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict[Param, object]]) -> Iterator[tuple[int, ForestModel]]:
+        """As one fit for each map, but the ranges of the rows are worked out once, unless a map changes what they rest on."""
+        if any({self.columns, self.labelCol, self.weightCol, self.smallRows} & set(m) for m in paramMaps):
+            return super().fitMultiple(dataset, paramMaps)
+        rows = self._rows(dataset)
+        return _FitMultipleIterator(lambda i: self.copy(paramMaps[i])._grow(dataset, *rows), len(paramMaps))
+
+    def _rows(self, dataset: DataFrame) -> tuple[DataFrame, list[list[float]], int, int]:
+        """Rows as ranges, with the cuts between these, the number of rows and of distinct rows of ranges."""
+        names, small = self.getOrDefault(self.columns), self.getOrDefault(self.smallRows)
         weight = F.col(self.getOrDefault(self.weightCol)).cast("double") if self.getOrDefault(self.weightCol) else F.lit(1.0)
         values = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
         known = dataset.select(*values, F.col(self.getOrDefault(self.labelCol)).cast("double").alias("y"), weight.alias("w")).where("y IS NOT NULL")
@@ -439,20 +477,26 @@ class Forest(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable)
         cuts = numbered.approxQuantile(plain, [i / BINS for i in range(1, BINS)], 0.25 / BINS)
         edges = [sorted({float(x) for x in c}) for c in cuts]
         rows = settle(numbered.mapInArrow(_with_bins(plain, edges), "row long, bins binary, y double, w double"))
-        n, features = rows.count(), len(names)
-        cells = n  # distinct rows of bins, which are all that a task holds of a node
-        if n > s["small"]:
+        n = cells = rows.count()  # cells: distinct rows of bins, which are all that a task holds of a node
+        if n > small:
             rows = settle(rows.repartitionByRange("bins", "row"))  # equal rows meet in a task, a hot one in several
             cells = rows.select("bins").distinct().count()
+        return rows, edges, n, cells
+
+    def _grow(self, dataset: DataFrame, rows: DataFrame, edges: list[list[float]], n: int, cells: int) -> ForestModel:
+        s = {"trees": self.numTrees, "depth": self.maxDepth, "least": self.minInstancesPerNode, "split": self.minInstancesSplit, "small": self.smallRows, "seed": self.seed}
+        s = {k: self.getOrDefault(v) for k, v in s.items()}
+        features = len(edges)
         tried = int(np.ceil(np.sqrt(features)))
         splits, upper = _grow_upper(rows, cells, features, tried, s)
         leaves = {t: np.array([k for k, v in nodes.items() if v[0] < 0], np.int64) for t, nodes in upper.items()}
         parts = rows.mapInArrow(_moved(splits, leaves, range(s["trees"]), features, s["seed"]), _MOVED)
-        dealt = parts.repartition(self._parts(dataset, s, n), "tree", "node").sortWithinPartitions("tree", "node")
+        dealt_to = self._parts(dataset, s, n if upper[0] else 0)
+        dealt = parts.repartition(dealt_to, "tree", "node").sortWithinPartitions("tree", "node")
         grown = dealt.mapInArrow(_grown(features, tried, s["depth"], s["least"], s["split"], s["seed"]), "tree int, node long, feature binary, bin binary, left binary, value binary, gain binary")
         below: dict[int, dict[int, dict]] = {t: {} for t in range(s["trees"])}
         kinds = {**Trees.NAMES, "gain": np.float32}
-        for r in settle(grown).toLocalIterator():
+        for r in settle(grown).coalesce(max(1, dealt_to // 16)).toLocalIterator(prefetchPartitions=True):  # one job per partition
             below[r["tree"]][r["node"]] = {k: np.frombuffer(r[k], kind) for k, kind in kinds.items()}
         empty = {"feature": np.array([-1], np.int16), "bin": np.zeros(1, np.uint8), "left": np.zeros(1, np.int32), "value": np.zeros(1, np.float32), "gain": np.zeros(1, np.float32)}
         trees = [_whole_tree(upper[t], below[t] if below[t] or upper[t] else {1: empty}) for t in range(s["trees"])]

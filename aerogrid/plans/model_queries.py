@@ -31,7 +31,8 @@ def poor_conditions(spark, d):
 
 
 def _split(spark, d):
-    rows = settle(stratified_split(poor_conditions(spark, d), "y", _KEY, [0.15, 0.15], ["train", "val", "test"]))
+    whole = settle(poor_conditions(spark, d))  # the split reads it several times
+    rows = settle(stratified_split(whole, "y", _KEY, [0.15, 0.15], ["train", "val", "test"]))
     return [rows.where(F.col("split") == s) for s in ("train", "val", "test")]
 
 

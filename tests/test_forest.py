@@ -122,3 +122,34 @@ def test_many_rows_of_few_ranges_grow_whole_trees(spark, monkeypatch):
     monkeypatch.setattr(forest, "_histograms", None)
     cut, whole = (Forest(columns=["a", "b"], labelCol="y", numTrees=5, maxDepth=6, smallRows=n).fit(table) for n in (100, 200_000))
     assert all((cut.trees.parts[k] == whole.trees.parts[k]).all() for k in forest.Trees.NAMES) and (cut.trees.first == whole.trees.first).all()
+
+
+def test_draws_are_the_shares_of_the_hash():
+    rows = np.arange(100_000)
+    for tree in range(3):
+        assert (forest._times(rows, tree, 42) == np.searchsorted(forest.POISSON, forest._mixed(rows, 42 * 100_003 + tree) / 2.0**64)).all()
+    near = np.array([int(x) + step for x in forest.DRAWS for step in (-1, 0, 1)], np.uint64)
+    assert ((near[:, None] >= forest.DRAWS).sum(axis=1) == np.searchsorted(forest.POISSON, near / 2.0**64)).all()
+
+
+def test_draws_are_added_up_by_cell_label_and_weight():
+    rng = np.random.default_rng(3)
+    cell, y, w, row = rng.integers(0, 20, 5000), rng.integers(0, 2, 5000).astype(float), rng.choice([0.5, 2.0], 5000), rng.permutation(5000)
+    times = forest._times(row, 7, 42).astype(float)
+    for got, x in zip(forest._Kinds(row, cell, 21, y, w).seen(7, 42), (times, times * w, times * w * y), strict=True):
+        assert (got == np.bincount(cell, x, 21)).all()
+
+
+def test_a_search_works_out_the_ranges_once(spark, monkeypatch):
+    table = spark.range(0, 2000, 1, 3).selectExpr("CAST(id % 50 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id % 3 = 0 AS INT) AS y")
+    made, cut = [], forest._with_bins
+    monkeypatch.setattr(forest, "_with_bins", lambda *args: made.append(1) or cut(*args))
+    one = Forest(columns=["a", "b"], labelCol="y", numTrees=4)
+    maps = [{one.maxDepth: 3}, {one.maxDepth: 6, one.numTrees: 2}]
+    together = dict(one.fitMultiple(table, maps))
+    assert len(made) == 1
+    for i, alone in enumerate(one.fit(table, m) for m in maps):
+        assert all((together[i].trees.parts[k] == alone.trees.parts[k]).all() for k in forest.Trees.NAMES)
+        assert together[i].getOrDefault("maxDepth") == alone.getOrDefault("maxDepth")
+    dict(one.fitMultiple(table, [{one.labelCol: "b"}, {one.labelCol: "y"}]))
+    assert len(made) == 5  # other labels are other rows
