@@ -51,8 +51,8 @@ def project_kind(df: DataFrame, kind: str) -> DataFrame:
 
 def missing_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Share of missing values per column; one aggregation, one row to the driver."""
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    n, *known = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)) for c in columns]).first()
+    return {c: (n - k) / n if n else 0.0 for c, k in zip(columns, known, strict=True)}
 
 
 def drop_sparse_columns(df: DataFrame, limit: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:

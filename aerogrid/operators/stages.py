@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from aerogrid.functions import timefeat, weather
 from aerogrid.functions.num import categorical_columns, numeric_columns
 from aerogrid.operators import filters, joins, ordering, prep, reduction, selection, windows
-from aerogrid.session import settle
+from aerogrid.session import settle, settle_by_column
 
 KEYS = ("station", "ts", "event_id")
 
@@ -215,7 +215,7 @@ def _fit_select(df, s):
 def _fit_fill(df, s):
     names = _numbers(df, s)
     flowing = [c for c in names if any(p in c for p in ("lag_", "roll_", "diff"))]
-    filled = ordering.fill_series(df, flowing) if flowing else df
+    filled = settle_by_column(ordering.fill_series(df, flowing).select(*names), "filled") if flowing else df  # read by five passes
     shares = filters.missing_shares(filled, names)
     known = [c for c in names if shares[c] < 1.0]
     return {"flowing": flowing, "medians": prep.medians(filled, known), "dropped": [c for c in names if shares[c] == 1.0]}
