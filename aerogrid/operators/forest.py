@@ -22,7 +22,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerogrid.session import settle
+from aerogrid.session import DEALT_ROWS, part_sizes, settle, uneven
 
 BINS = 32
 SMALL_ROWS = 200_000
@@ -473,11 +473,14 @@ class Forest(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable)
         values = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
         known = dataset.select(*values, F.col(self.getOrDefault(self.labelCol)).cast("double").alias("y"), weight.alias("w")).where("y IS NOT NULL")
         numbered = settle(known.withColumn("row", F.monotonically_increasing_id()))
+        cores, sizes = dataset.sparkSession.sparkContext.defaultParallelism, part_sizes(numbered)
+        n = cells = sum(sizes)  # cells: distinct rows of bins, which are all that a task holds of a node
+        if n >= DEALT_ROWS and uneven(sizes, cores):
+            numbered = settle(numbered.repartition(cores, "row"))
         plain = [f"c{i}" for i in range(len(names))]
         cuts = numbered.approxQuantile(plain, [i / BINS for i in range(1, BINS)], 0.25 / BINS)
         edges = [sorted({float(x) for x in c}) for c in cuts]
         rows = settle(numbered.mapInArrow(_with_bins(plain, edges), "row long, bins binary, y double, w double"))
-        n = cells = rows.count()  # cells: distinct rows of bins, which are all that a task holds of a node
         if n > small:
             rows = settle(rows.repartitionByRange("bins", "row"))  # equal rows meet in a task, a hot one in several
             cells = rows.select("bins").distinct().count()

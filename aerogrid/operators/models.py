@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from aerogrid.operators import metrics
 from aerogrid.operators.balance import stratified_folds
 from aerogrid.operators.forest import Forest
-from aerogrid.session import checkpoint_dir, settle
+from aerogrid.session import checkpoint_dir, part_sizes, settle, uneven
 
 # Settings of the four classifiers of the balanced flow.
 SETTINGS = {
@@ -66,10 +66,10 @@ SPREAD_ROWS = 100_000  # fewer are not worth a shuffle
 
 
 def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns' rows dealt evenly over the cores, if some partition holds over twice its share: a file is read in few and uneven parts."""
+    """The columns' rows dealt evenly over the cores, if some partition holds over twice its share."""
     n, rows = df.sparkSession.sparkContext.defaultParallelism, df.select(*columns)
-    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]  # one number per partition
-    if sum(sizes) < SPREAD_ROWS or max(sizes) * n <= 2 * sum(sizes):
+    sizes = part_sizes(rows)
+    if sum(sizes) < SPREAD_ROWS or not uneven(sizes, n):
         return df
     return settle(rows.repartition(n))
 

@@ -11,7 +11,7 @@ from aerogrid.operators import detectors, metrics, models, quality, reduction, r
 from aerogrid.operators.balance import stratified_split, with_class_weight
 from aerogrid.plans.oracle_views import r
 from aerogrid.plans.registry import query
-from aerogrid.session import scratch_path, settle
+from aerogrid.session import dealt, scratch_path, settle
 from aerogrid.sources import standins as S
 
 _FC = S.FEATURES
@@ -30,9 +30,13 @@ def poor_conditions(spark, d):
     return S.observations(spark, d).select("event_id", "station", "ts", *_W, D.hour().alias("hour"), y.alias("y"))
 
 
+def _settled(spark, d):
+    """What models read of the observations, for jobs that read it several times, whatever parts the file is read in."""
+    return settle(dealt(poor_conditions(spark, d).select(*_KEY, "y", *_W)))
+
+
 def _split(spark, d):
-    whole = settle(poor_conditions(spark, d))  # the split reads it several times
-    rows = settle(stratified_split(whole, "y", _KEY, [0.15, 0.15], ["train", "val", "test"]))
+    rows = settle(stratified_split(_settled(spark, d), "y", _KEY, [0.15, 0.15], ["train", "val", "test"]))
     return [rows.where(F.col("split") == s) for s in ("train", "val", "test")]
 
 
@@ -146,25 +150,25 @@ def _(spark, d):
 
 @query("recursive_elimination", "L-04")
 def _(spark, d):
-    rows = settle(poor_conditions(spark, d))
+    rows = _settled(spark, d)
     return rows.select("event_id", "y", *models.eliminate_features(rows, _W, "y", 2))
 
 
 @query("validated_elimination", "L-04")
 def _(spark, d):
-    rows = settle(poor_conditions(spark, d))
+    rows = _settled(spark, d)
     return rows.select("event_id", "y", *models.eliminate_by_validation(rows, _W, "y", _KEY))
 
 
 @query("lasso_selection", "L-05")
 def _(spark, d):
-    rows = settle(poor_conditions(spark, d))
+    rows = _settled(spark, d)
     return rows.select("event_id", "y", *models.lasso_features(rows, _W, "y"))
 
 
 @query("forest_selection", "L-06")
 def _(spark, d):
-    rows = settle(poor_conditions(spark, d))
+    rows = _settled(spark, d)
     return rows.select("event_id", "y", *models.important_features(rows, _W, "y"))
 
 
