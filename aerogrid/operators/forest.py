@@ -532,6 +532,7 @@ class ForestModel(Model, _Settings, MLWritable, MLReadable):
             trees, edges = shared.value
             scored = _Scored(trees)
             for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)  # of one column Spark gives the series itself
                 yield pd.Series(scored.of(binned(np.column_stack([c.to_numpy(np.float64) for c in columns]), edges)))
 
         p = positive(*[F.col(c).cast("double") for c in self.getOrDefault(self.columns)])

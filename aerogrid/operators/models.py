@@ -127,8 +127,9 @@ def out_of_fold(
 
 
 def cross_validate(df: DataFrame, kind: str, columns: Sequence[str], label: str, keys: Sequence[str], k: int = 5, **kw):
-    """Metrics of every fold."""
-    return evaluate(out_of_fold(df, kind, columns, label, keys, k, **kw), label, by=["fold"])
+    """Metrics of every fold; the rows are scored once for all of them."""
+    scored = out_of_fold(df, kind, columns, label, keys, k, **kw).select(label, "fold", "score")
+    return evaluate(settle(scored), label, by=["fold"])
 
 
 def train_many(df: DataFrame, test: DataFrame, runs: dict[str, dict], columns: Sequence[str], label: str) -> DataFrame:
@@ -325,7 +326,8 @@ def eliminate_by_validation(
 ) -> list[str]:
     """The feature set of the elimination path with the best cross-validated AUC."""
     path = elimination_path(df, columns, label, kind, 1, **kw)
-    aucs = [cross_validate(df, kind, left, label, keys, k, **kw).agg(F.avg("auc")).first()[0] or 0.0 for left in path]
+    folded = settle(stratified_folds(df, label, keys, k))
+    aucs = [cross_validate(folded, kind, left, label, keys, k, **kw).agg(F.avg("auc")).first()[0] or 0.0 for left in path]
     return path[aucs.index(max(aucs))]
 
 

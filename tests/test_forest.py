@@ -153,3 +153,19 @@ def test_a_search_works_out_the_ranges_once(spark, monkeypatch):
         assert together[i].getOrDefault("maxDepth") == alone.getOrDefault("maxDepth")
     dict(one.fitMultiple(table, [{one.labelCol: "b"}, {one.labelCol: "y"}]))
     assert len(made) == 5  # other labels are other rows
+
+
+def test_one_feature_is_scored(halves):
+    train, test = halves
+    model = Forest(columns=["c"], labelCol="y", numTrees=10, maxDepth=6).fit(train)
+    assert area(model.transform(test)) > 0.6
+
+
+def test_elimination_comes_down_to_the_one_feature_that_tells(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    table = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    left = models.eliminate_by_validation(table, ["a", "b"], "y", ["id"], numTrees=10, maxDepth=3)
+    assert "a" in left
+    aucs = models.cross_validate(table, "random_forest", ["a"], "y", ["id"], 3, numTrees=10, maxDepth=3)
+    assert min(r["auc"] for r in aucs.collect()) > 0.95
