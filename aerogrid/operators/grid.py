@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerogrid.functions.timefeat import ceil_time, epoch_us, floor_time, from_us
@@ -97,13 +97,30 @@ def value_columns(df: DataFrame, keys: Sequence[str] = ("station", "ts")) -> lis
     return [c for c in df.columns if c not in keys]
 
 
+NEAR_ROWS = 4  # rows that are looked up one by one; a frame reads all of its rows anew at each row
+
+
+def _known_before(w: WindowSpec, c: str, limit: int) -> Column:
+    """The last known value of this and the `limit` rows before it."""
+    if limit > NEAR_ROWS:
+        return F.last(c, True).over(w.rowsBetween(-limit, 0))
+    return F.coalesce(F.col(c), *[F.lag(c, i).over(w) for i in range(1, limit + 1)])
+
+
+def _known_after(w: WindowSpec, c: str, limit: int) -> Column:
+    """The first known value of this and the `limit` rows after it."""
+    if limit > NEAR_ROWS:
+        return F.first(c, True).over(w.rowsBetween(0, limit))
+    return F.coalesce(F.col(c), *[F.lead(c, i).over(w) for i in range(1, limit + 1)])
+
+
 def forward_fill(df: DataFrame, limit: int, columns: Sequence[str] | None = None, strategy: str = "auto") -> DataFrame:
     """Carry the last known value over at most `limit` following rows."""
     columns = list(columns) if columns is not None else value_columns(df)
     keep = [c for c in df.columns if c not in columns]
     return over_series(
         df,
-        lambda w: [F.last(c, True).over(w.rowsBetween(-limit, 0)).alias(c) for c in columns],
+        lambda w: [_known_before(w, c, limit).alias(c) for c in columns],
         tie="ts",
         back=limit,
         keep=keep,
@@ -122,12 +139,7 @@ def fill_both_ways(
     keep = [c for c in df.columns if c not in columns]
     return over_series(
         df,
-        lambda w: [
-            F.coalesce(
-                F.last(c, True).over(w.rowsBetween(-limit, 0)), F.first(c, True).over(w.rowsBetween(0, limit))
-            ).alias(c)
-            for c in columns
-        ],
+        lambda w: [F.coalesce(_known_before(w, c, limit), _known_after(w, c, limit)).alias(c) for c in columns],
         ts=ts,
         tie=tie,
         back=limit,
