@@ -1,5 +1,7 @@
 """Models, detectors, reductions and preparation stages."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -274,3 +276,12 @@ def test_balanced_flow(spark, sf_dir):
     assert set(got) == set(runs)
     for r in got.values():
         assert 0 <= r["threshold"] <= 1 and all(0 <= r[m] <= 1 for m in ("accuracy", "precision", "recall", "f1", "auc") if r[m] is not None)
+
+
+def test_balanced_models_are_fitted_at_the_same_time(spark, sf_dir, monkeypatch):
+    rows = facades.balanced_dataset(S.observations(spark, sf_dir), S.intervals(spark, sf_dir))
+    met, fit = threading.Barrier(2, timeout=60), models.fit
+    monkeypatch.setattr(models, "fit", lambda *a, **kw: met.wait() is not None and fit(*a, **kw))
+    runs = {"a": {"kind": "logistic_regression", "maxIter": 3}, "b": {"kind": "logistic_regression", "maxIter": 3}}
+    a, b = facades.balanced_models(rows, runs).collect()
+    assert (a["model"], b["model"]) == ("a", "b") and a[1:] == b[1:]
